@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; texts may be long, so this stays small.
 ARROW_ROWS = 400
@@ -45,3 +46,21 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _split(key: Column, bounds: list[int]) -> Column:
+    """Number of bounds at or below the key, by two short scans."""
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    coarse = F.size(F.filter(F.array(*[F.lit(g[0]).cast("long") for g in groups]), lambda b: b <= key))
+    fine = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups]), F.greatest(coarse, F.lit(1)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda b: b <= key)))
+
+
+def key_ranges(df: DataFrame, key: Column, n: int) -> tuple[Column, int]:
+    """A column that numbers ``n`` or fewer ranges of a long key, of about equal rows, ascending; only the bounds come to the driver."""
+    if n < 2:
+        return F.lit(0), 1
+    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"]
+    bounds = sorted({int(b) for b in found or []})
+    return (_split(key, bounds), len(bounds) + 1) if bounds else (F.lit(0), 1)

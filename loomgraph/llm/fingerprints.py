@@ -88,15 +88,6 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return base.mapInArrow(run, schema)
 
 
-def _split(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the key, by two short scans."""
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    coarse = F.size(F.filter(F.array(*[F.lit(g[0]).cast("long") for g in groups]), lambda b: b <= key))
-    fine = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups]), F.greatest(coarse, F.lit(1)))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, lambda b: b <= key)))
-
-
 def ordered_with_next(df: DataFrame, key: Column, columns: list[str]) -> DataFrame:
     """Rows dealt into key ranges, descending, each range followed by the first row of the next (the last by the first of all).
 
@@ -105,11 +96,9 @@ def ordered_with_next(df: DataFrame, key: Column, columns: list[str]) -> DataFra
     sorted within its partitions.
     """
     spark = df.sparkSession
-    n = min(4096, 4 * common.partitions(spark))
     keyed = df.select(*columns, key.alias("_key"))
-    bounds = keyed.select(F.percentile_approx("_key", [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else []
-    bounds = sorted({int(b) for b in bounds or []})
-    keyed = keyed.withColumn("_range", _split(F.col("_key"), bounds) if bounds else F.lit(0))
+    ranged, n = common.key_ranges(keyed, F.col("_key"), min(4096, 4 * common.partitions(spark)))
+    keyed = keyed.withColumn("_range", ranged)
     tops = {r["_range"]: r["t"] for r in keyed.groupBy("_range").agg(F.max("_key").alias("t")).collect()}
     there = sorted(tops)
     before = {p: there[(i + 1) % len(there)] for i, p in enumerate(there)}  # the range that ends where p begins

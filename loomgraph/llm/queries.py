@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, fingerprints, mixing
+from loomgraph.llm import common, fingerprints, mixing, token_ids
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(common.table(spark, sf_dir, "documents"), token_ids.public_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
