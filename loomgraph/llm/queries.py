@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, fingerprints, mixing, token_ids, warc
+from loomgraph.llm import common, fingerprints, metric_join, mixing, token_ids, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op10_token_ids": op10_token_ids}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
