@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, fingerprints, metric_join, mixing, token_ids, warc
+from loomgraph.llm import common, fingerprints, metric_join, mixing, token_ids, toxicity, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,14 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(documents, common.table(spark, sf_dir, "labels"))
+    return toxicity.scores(documents, net).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op10_token_ids": op10_token_ids}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
