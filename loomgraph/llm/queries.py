@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, fingerprints, lpf_dedup, metric_join, mixing, token_ids, toxicity, warc
+from loomgraph.llm import common, fingerprints, lpf_dedup, metric_join, mixing, pieces, token_counts, token_ids, toxicity, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup.removal_report(common.table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.table(spark, sf_dir, "documents"), pieces.public_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_token_ids": op10_token_ids}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
