@@ -33,8 +33,13 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def sketches(raw: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: int = BITS, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Low bits of each densified bin (texts x bins), and whether a text has any shingle."""
-    n = len(offsets) - 1
     hashes, at = shingles.shingle_hashes(raw, offsets, width)
+    return (bins_of(hashes, at, bins) & np.uint64((1 << bits) - 1)).astype(np.uint8), np.diff(at) > 0
+
+
+def bins_of(hashes: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
+    """Least value of each bin (texts x bins), empty ones filled; all ones where a text has no shingle."""
+    n = len(at) - 1
     least = np.full(n * bins, _NONE, np.uint64)
     if len(hashes):
         shift = np.uint64(64 - int(bins).bit_length() + 1)
@@ -51,7 +56,7 @@ def sketches(raw: np.ndarray, offsets: np.ndarray, bins: int = BINS, bits: int =
         hit = filled[row, probe]
         dense[row[hit], col[hit]] = least[row[hit], probe[hit]]
         row, col = row[~hit], col[~hit]
-    return (dense & np.uint64((1 << bits) - 1)).astype(np.uint8), some
+    return dense
 
 
 def packed(low: np.ndarray, some: np.ndarray, bits: int = BITS) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, fingerprints, lpf_dedup, metric_join, mixing, pieces, sentencepieces, token_counts, token_ids, toxicity, warc
+from loomgraph.llm import chosen_path, common, fingerprints, lpf_dedup, metric_join, mixing, pieces, sentencepieces, token_counts, token_ids, toxicity, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(common.table(spark, sf_dir, "documents"), pieces.public_model())
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_classes(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_sentencepiece": op4_sentencepiece, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_token_ids": op10_token_ids}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_sentencepiece": op4_sentencepiece, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_token_ids": op10_token_ids}
 
 
 def oracle_sql() -> dict[str, str]:
