@@ -264,8 +264,10 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
         sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
         a = sides[0]
         b = a if whole else sides[1]
+        if not a or not b:
+            return pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], pa.int64()), pa.array([], kind)], names=["rep", "links", "other"])
         x, y = ([np.frombuffer(r[3], "<u8") for r in side] for side in (a, b))
-        inter = intersections(x, y) if x and y else np.zeros((len(x), len(y)), np.int64)
+        inter = intersections(x, y)
         size = lambda z: np.array([len(s) for s in z], np.int64)
         union = size(x)[:, None] + size(y)[None, :] - inter
         near = inter >= threshold * union - 1e-9
