@@ -1,12 +1,50 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Each stage takes all rows that the one before it kept and returns the columns of
+``documents``, but for the last, which returns piece ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import common
+from loomgraph.llm import chosen_path, common, lpf_dedup, mixing, pieces, sentencepieces, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on the labels, does not call toxic."""
+    net = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, net).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts linked by a shingle similarity of 0.8 or more."""
+    return chosen_path.without_near_copies(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 200-byte strings that start earlier in the corpus too; the first copy stays, and so does every document."""
+    return lpf_dedup.without_later_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as drawn, shard by shard in random order."""
+    return mixing.shuffled(mixing.mixed_documents(docs)).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, with the scores of its best segmentations."""
+    return sentencepieces.encode(docs, pieces.public_model())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("suffix_array", cut_repeats),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+#: No SQL states a trained network or sampled draws; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

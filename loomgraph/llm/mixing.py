@@ -47,11 +47,12 @@ def _uniform(*parts: Column | int | str) -> Column:
     return (F.shiftrightunsigned(_hash(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source, its sortable key (null last), words and block of every document."""
+def sizes(documents: DataFrame, carried: Column | None = None) -> DataFrame:
+    """doc_id, source, its sortable key (null last), words and block of every document, and ``_row`` if anything is carried."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    return documents.select("doc_id", "source", key.alias("_source"), words.alias("size")).withColumn(
+    row = [] if carried is None else [carried.alias("_row")]
+    return documents.select("doc_id", "source", key.alias("_source"), words.alias("size"), *row).withColumn(
         "_block", F.pmod(_hash("block", F.col("doc_id"), F.col("size")), F.lit(BLOCKS)).cast("int")
     )
 
@@ -160,9 +161,9 @@ def block_draws(sized: DataFrame, levels: int) -> DataFrame:
     return blocks.select("_source", "_block", "source_size", "target").join(lists, ["_source", "_block"], "left")
 
 
-def mix(documents: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(documents: DataFrame, shard_words: int = SHARD_WORDS, carried: Column | None = None) -> DataFrame:
     """Every document with its size, its source's size and target, the words taken, and ``draws``: pass, shard, words and place in the shard's local order."""
-    sized = common.written(sizes(documents), "mix-sizes")
+    sized = common.written(sizes(documents, carried), "mix-sizes")
     words = sized.agg(F.sum("size").alias("n")).first()["n"] or 0
     levels = min(14, max(0, (max(1, -(-words // shard_words)) - 1).bit_length()))
     blocks = block_draws(sized, levels)
@@ -179,24 +180,21 @@ def mix(documents: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     )
     rows = rows.withColumn("draws", F.filter(draws, lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *([] if carried is None else ["_row"]))
 
 
 def mixed_documents(documents: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of the mix with the columns of ``documents``: a row per draw, in shard order when written by ``shuffled``.
+    """The rows of the mix with the columns of ``documents``, a row per draw, and the draw's ``_shard`` and ``_place``.
 
-    Needs distinct doc_ids.  A document that is taken in part keeps its first
-    words, joined by single spaces.
+    A document that is taken in part keeps its first words, joined by single
+    spaces, and its n_chars follows.
     """
-    draws = mix(documents, shard_words).select("doc_id", "size", F.explode("draws").alias("_d"))
-    rows = documents.join(draws, "doc_id")
+    rows = mix(documents, shard_words, F.struct(*documents.columns)).select("_row", "size", F.explode("draws").alias("_d"))
     cut = F.col("_d.words") < F.col("size")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(cut, F.concat_ws(" ", F.slice(words, F.lit(1), F.col("_d.words").cast("int")))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*documents.columns, F.col("_d.shard").alias("_shard"), F.col("_d.place").alias("_place"))
+    words = F.filter(F.split(F.col("_row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(cut, F.concat_ws(" ", F.slice(words, F.lit(1), F.col("_d.words").cast("int")))).otherwise(F.col("_row.text"))
+    own = {"text": text, "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("_row")["n_chars"])} if "n_chars" in documents.columns else {"text": text}
+    return rows.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in documents.columns], F.col("_d.shard").alias("_shard"), F.col("_d.place").alias("_place"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
