@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph
+from loomgraph.plans import graph, retrieval
 
-FAMILIES = (graph,)
+FAMILIES = (graph, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,11 +47,8 @@ def expand_capped(spark, d):
     return G.expand(edges(spark, d), seeds(spark)).select("seed_id", "rel_type", "id", F.col("place").cast("bigint").alias("place"))
 
 
-LINKED = ["nation#3", "region#1", "nation#1", "order#1", "part#1553", "customer#5", "supplier#7", "nation#7"]
-
-
 def _linked_seeds(spark, d):
-    first = table(spark, d, "orders").where("o_orderkey < 20").select(F.explode(F.array(F.concat(F.lit("order#"), F.col("o_orderkey")), F.concat(F.lit("customer#"), F.col("o_custkey")))).alias("seed_id"))
+    first = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.explode(F.array(F.concat(F.lit("order#"), F.col("o_orderkey")), F.concat(F.lit("customer#"), F.col("o_custkey")))).alias("seed_id"))
     return first.unionByName(table(spark, d, "nation").select(F.concat(F.lit("nation#"), F.col("n_nationkey")).alias("seed_id"))).unionByName(seeds(spark, ["region#0", "region#1"])).distinct()
 
 
@@ -133,13 +130,15 @@ def dedupe_first_wins(spark, d):
 
 
 def eligibility_derivation(spark, d):
-    """Customers may take parts of their nation's class or of no class, budget by the best rule first."""
-    customer = table(spark, d, "customer").where("c_custkey < 50").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_acctbal")
-    part = table(spark, d, "part").where("p_partkey < 400").select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("bigint") % 25).alias("class"), "p_retailprice", "p_type")
-    can = G.universal_or_equal(customer, part, "c_nationkey", "class")
+    """Customers may take parts of their nation's class or of no class; parts are summed by class and type before they meet customers."""
+    customer = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_acctbal")
+    part = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("bigint") % 25).alias("class"), "p_type")
+    kinds = part.groupBy("class", "p_type").agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("least"))
+    can = G.universal_or_equal(customer, kinds, "c_nationkey", "class")
     # three-valued: a null type never qualifies, a small type needs a balance
     can = can.where("(p_type <> 'SMALL' OR coalesce(c_acctbal, 0) >= 1000) AND p_type <> 'ECONOMY'")
-    return can.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"), F.count_if(F.col("class").isNull()).alias("universal"))
+    universal = F.sum(F.when(F.col("class").isNull(), F.col("parts")).otherwise(0))
+    return can.groupBy("c_custkey").agg(F.sum("parts").alias("n"), F.min("least").alias("first_part"), universal.alias("universal"))
 
 
 def best_upgrade(spark, d):
@@ -151,7 +150,7 @@ def best_upgrade(spark, d):
 
 def relabel_two_pass(spark, d):
     """Pass one relabels edges by what they point at, pass two promotes sources of one of the new labels."""
-    line = table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     weapon = table(spark, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("_w"))
     item = table(spark, d, "part").where("p_retailprice > 1500 OR p_size > 45").select(F.col("p_partkey").alias("_i"))
     one = line.join(weapon, F.col("dst") == F.col("_w"), "left").join(item, F.col("dst") == F.col("_i"), "left")
@@ -245,7 +244,7 @@ QUERIES = {f.__name__: f for f in (
 
 _LINK_SEEDS_SQL = """seeds AS (
   SELECT DISTINCT * FROM (
-  SELECT unnest(['order#' || o_orderkey, 'customer#' || o_custkey]) AS seed_id FROM orders WHERE o_orderkey < 20
+  SELECT unnest(['order#' || o_orderkey, 'customer#' || o_custkey]) AS seed_id FROM orders WHERE o_orderkey % 100 = 0
   UNION ALL SELECT 'nation#' || n_nationkey FROM nation UNION ALL SELECT unnest(['region#0', 'region#1'])))"""
 _NEAR_SQL = "near2 AS (SELECT center, id, distance FROM dist WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY center ORDER BY distance, id) <= 150)"
 ORACLES = {
@@ -271,12 +270,12 @@ ORACLES = {
         SELECT 'order#' || l_orderkey AS src, count(*) AS n, sum(l_quantity) AS quantity FROM k GROUP BY l_orderkey""",
     "dedupe_last_wins": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "dedupe_first_wins": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
-    "eligibility_derivation": """WITH c AS (SELECT * FROM customer WHERE c_custkey < 50), p AS (SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_size % 25 END AS class, p_type FROM part WHERE p_partkey < 400)
+    "eligibility_derivation": """WITH c AS (SELECT * FROM customer), p AS (SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_size % 25 END AS class, p_type FROM part)
         SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part, count(*) FILTER (class IS NULL) AS universal FROM c JOIN p ON class IS NULL OR class = c_nationkey
         WHERE (p_type <> 'SMALL' OR coalesce(c_acctbal, 0) >= 1000) AND p_type <> 'ECONOMY' GROUP BY c_custkey""",
     "best_upgrade": """SELECT l_suppkey, l_partkey, CASE WHEN l_linenumber % 2 = 1 THEN l_quantity END AS budget, l_orderkey AS via FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY (l_linenumber % 2 = 0), l_linenumber, l_orderkey, l_quantity) = 1""",
-    "relabel_two_pass": """WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey < 2000),
+    "relabel_two_pass": """WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem),
         r AS (SELECT src, CASE WHEN p_size > 40 THEN 'UNLOCKS_WEAPON' WHEN p_retailprice > 1500 OR p_size > 45 THEN 'UNLOCKS_ITEM' ELSE 'UNLOCKS_RULE' END AS relation FROM e LEFT JOIN part ON dst = p_partkey)
         SELECT src, relation, count(*) AS n, CASE WHEN src IN (SELECT src FROM r WHERE relation = 'UNLOCKS_WEAPON') THEN 'weapon_add' ELSE 'rule_add' END AS kind FROM r GROUP BY src, relation""",
     "roster_listing": """SELECT c_custkey, n_name, c_mktsegment, types FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS types FROM orders GROUP BY 1) ON o_custkey = c_custkey
