@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph, retrieval
+from loomgraph.plans import graph, retrieval, texts
 
-FAMILIES = (graph, retrieval)
+FAMILIES = (graph, retrieval, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
