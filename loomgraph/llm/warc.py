@@ -220,8 +220,9 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("target_uri").alias("uri"))
     long_enough = F.col("payload_bytes") >= least_bytes
     heads = base.where(long_enough).groupBy("_sha").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    heads = heads.where("_n > 1").select("_sha", "_first")
-    # a digest seen once needs no partner; a hot digest is split by the adaptive skew join
+    # a digest seen once needs no partner; the written table tells the planner its size, which broadcasts it
+    # while small and otherwise joins by shuffle, splitting a hot digest
+    heads = common.written(heads.where("_n > 1").select("_sha", "_first"), "repeated-payloads")
     rows = base.join(heads.withColumnRenamed("_sha", "_of"), (F.col("_sha") == F.col("_of")) & long_enough, "left")
     again = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(place)
     return rows.select(
