@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph, retrieval, texts
+from loomgraph.plans import checks, graph, retrieval, texts
 
-FAMILIES = (graph, retrieval, texts)
+FAMILIES = (graph, retrieval, texts, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
