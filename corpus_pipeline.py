@@ -14,7 +14,7 @@ from loomgraph.llm import chosen_path, common, lpf_dedup, mixing, pieces, senten
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, fitted on the labels, does not call toxic."""
     net = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, net).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, net)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

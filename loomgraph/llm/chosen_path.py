@@ -422,11 +422,11 @@ def similarity_classes(documents: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def without_near_copies(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` that stand for their class; of rows equal in doc_id and text one stays."""
-    found = classes(documents, threshold).where(F.struct("doc", "h") == F.col("class")).select(F.col("doc").alias("_doc"), F.col("h").alias("_h")).distinct()
+    found = classes(documents, threshold).where(F.struct("doc", "h") == F.col("class")).select(F.col("doc").alias("_cp_d"), F.col("h").alias("_cp_g")).distinct()
     text = F.coalesce("text", F.lit(""))
-    keyed = documents.withColumns({"_k_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)), "_k_h": (F.xxhash64(text) % 2147483647).cast("int")})
-    kept = keyed.join(found, (F.col("_k_doc") == F.col("_doc")) & (F.col("_k_h") == F.col("_h")), "left_semi")
-    repeated = kept.groupBy("_k_doc", "_k_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = documents.withColumns({"_cp_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)), "_cp_h": (F.xxhash64(text) % 2147483647).cast("int")})
+    kept = keyed.join(found, (F.col("_cp_doc") == F.col("_cp_d")) & (F.col("_cp_h") == F.col("_cp_g")), "left_semi")
+    repeated = kept.groupBy("_cp_doc", "_cp_h").agg(F.count(F.lit(1)).alias("_cp_n")).where("_cp_n > 1")
     if repeated.isEmpty():
         return kept.select(*documents.columns)
-    return kept.dropDuplicates(["_k_doc", "_k_h"]).select(*documents.columns)
+    return kept.dropDuplicates(["_cp_doc", "_cp_h"]).select(*documents.columns)

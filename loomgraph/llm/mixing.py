@@ -184,7 +184,7 @@ def mix(documents: DataFrame, shard_words: int = SHARD_WORDS, carried: Column |
 
 
 def mixed_documents(documents: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of the mix with the columns of ``documents``, a row per draw, and the draw's ``_shard`` and ``_place``.
+    """The rows of the mix with the columns of ``documents``, a row per draw, and the draw's ``_mix_shard`` and ``_mix_place``.
 
     A document that is taken in part keeps its first words, joined by single
     spaces, and its n_chars follows.
@@ -194,10 +194,10 @@ def mixed_documents(documents: DataFrame, shard_words: int = SHARD_WORDS) -> Dat
     words = F.filter(F.split(F.col("_row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(cut, F.concat_ws(" ", F.slice(words, F.lit(1), F.col("_d.words").cast("int")))).otherwise(F.col("_row.text"))
     own = {"text": text, "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("_row")["n_chars"])} if "n_chars" in documents.columns else {"text": text}
-    return rows.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in documents.columns], F.col("_d.shard").alias("_shard"), F.col("_d.place").alias("_place"))
+    return rows.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in documents.columns], F.col("_d.shard").alias("_mix_shard"), F.col("_d.place").alias("_mix_place"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """Shard by shard, each in its own random order."""
     shards = common.partitions(mixed.sparkSession)
-    return mixed.repartition(shards, "_shard").sortWithinPartitions("_shard", "_place")
+    return mixed.repartition(shards, "_mix_shard").sortWithinPartitions("_mix_shard", "_mix_place")

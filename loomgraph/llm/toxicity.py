@@ -376,8 +376,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Networ
     return train([r["text"] or "" for r in rows], np.array([r["_toxic"] for r in rows], np.float32))
 
 
+def _logits(own: Network, texts: list[str]) -> np.ndarray:
+    """Scores of texts, about ``CHUNK`` characters at a time."""
+    logit = np.empty(len(texts), np.float64)
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) < CHUNK):
+            size += len(texts[j])
+            j += 1
+        logit[i:j] = own.texts(texts[i:j])
+        i = j
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def scores(documents: DataFrame, net: Network) -> DataFrame:
-    """``documents`` with ``score`` (0 to 1) and ``predicted``; a single pass without a shuffle."""
+    """``documents`` with ``score`` (0 to 1) and ``predicted``, in place of columns of those names; a single pass without a shuffle."""
     spark = documents.sparkSession
     common.small_batches(spark)
     base = documents.drop("score", "predicted")
@@ -387,17 +401,21 @@ def scores(documents: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(*shared.value).index()
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            logit = np.empty(len(texts), np.float64)
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < CHUNK):
-                    size += len(texts[j])
-                    j += 1
-                logit[i:j] = own.texts(texts[i:j])
-                i = j
-            score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            score = _logits(own, [t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     return base.mapInArrow(run, schema)
+
+
+def without_toxic(documents: DataFrame, net: Network) -> DataFrame:
+    """The rows of ``documents`` that score below 0.5, with their own columns."""
+    spark = documents.sparkSession
+    common.small_batches(spark)
+    shared = spark.sparkContext.broadcast((net.p, net.vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network(*shared.value).index()
+        for b in batches:
+            yield b.filter(pa.array(_logits(own, [t or "" for t in b.column("text").to_pylist()]) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
