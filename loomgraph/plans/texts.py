@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import classify as C
 from loomgraph.functions import markup as M
+from loomgraph.functions import richtext as T
 from loomgraph.functions import text as X
 from loomgraph.sources.tables import table
 
@@ -222,12 +223,30 @@ def roster_line(spark, d):
     return p.select("p_partkey", X.joined("; ", F.col("p_type"), F.when(F.col("p_brand") != F.col("p_type"), F.col("p_brand")), F.concat(F.col("p_retailprice").cast("bigint"), F.lit(" pts/model")), size).alias("line"))
 
 
+def rich_text_nodes(spark, d):
+    """Every turn as a tree of paragraphs, flattened again: nodes, text nodes and characters."""
+    t = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), T.paragraphs(F.split("text", "\n")).alias("tree"))
+    n = T.nodes(t, "key", "tree")
+    return n.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("node_type") == "text").alias("texts"), _int(F.max("depth")).alias("depth"), _int(F.sum(F.length("text"))).alias("chars"))
+
+
+def rich_text_plain(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", T.paragraphs(F.split("text", "\n")).alias("tree"))
+    return t.select("conv_id", "turn", T.text_of(F.col("tree")).alias("plain"))
+
+
+def sql_search_function(spark, d):
+    """A table function over the catalogue: parts by prefix, called from SQL."""
+    table(spark, d, "part").createOrReplaceTempView("loomgraph_parts")
+    return spark.sql("SELECT p_partkey, p_name FROM loomgraph_parts WHERE startswith(lower(p_name), lower('RED'))")
+
+
 QUERIES = {f.__name__: f for f in (
     canonical_url, url_slug, classify_url, crawlable, page_links, page_slug_collisions, slugify_names, label_to_snake, stem_words, lucene_escape_text,
     strip_parenthetical, bracket_citations, unit_size_parse, base_size_parse, stat_value_parse, cost_unit_parse, budget_parse, option_classifier,
     percent_limits_parse, per_points_parse, version_parse, alliance_parse, terrain_class, failure_taxonomy, json_path, props_struct, array_flatten,
     section_assignment, mutex_counter, html_title, html_to_markdown, html_document_title, front_matter, chat_text, sse_lines, compose_node_text,
-    compose_unit_text, roster_line,
+    compose_unit_text, roster_line, rich_text_nodes, rich_text_plain, sql_search_function,
 )}
 
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -286,4 +305,7 @@ ORACLES = {
     "compose_unit_text": """WITH o AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS kinds, arg_max(o_orderkey, struct_pack(a := o_totalprice, b := o_orderkey)) AS top, count(*) AS n FROM orders GROUP BY 1)
         SELECT c_custkey, concat_ws('. ', c_name, n_name, 'Orders: ' || kinds, 'Top ' || top || ' (+' || n || CASE WHEN n % 2 = 0 THEN ' pt/model)' ELSE ' pts)' END) AS text FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON o_custkey = c_custkey""",
     "roster_line": "SELECT p_partkey, concat_ws('; ', p_type, CASE WHEN p_brand <> p_type THEN p_brand END, trunc(p_retailprice)::BIGINT || ' pts/model', CASE WHEN p_size % 2 = 0 THEN 'unit size ' || p_size || '+' ELSE 'unit size ' || p_size || '-' || (p_size + 10) END) AS line FROM part",
+    "rich_text_nodes": """SELECT conv_id || '-' || turn AS key, 1 + 2 * len(string_split(text, chr(10))) AS n, len(string_split(text, chr(10))) AS texts, 2::BIGINT AS depth, length(replace(text, chr(10), '')) AS chars FROM conversations""",
+    "rich_text_plain": "SELECT conv_id, turn, replace(text, chr(10), '') AS plain FROM conversations",
+    "sql_search_function": "SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'red')",
 }
