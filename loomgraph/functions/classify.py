@@ -61,3 +61,19 @@ def failure_kind(status: Column, message: Column, tries: Column) -> Column:
 
 def hop_bucket(n: Column) -> Column:
     return F.when(n >= 3, "3+").otherwise(n.cast("string"))
+
+
+def weapon_kind(slug: Column, name: Column) -> Column:
+    """By a set of slugs, then by wording of slug and name."""
+    said = F.concat_ws(" ", slug, F.lower(name))
+    return first_rule([(slug.isin("old-rod", "new-rod"), "great_weapon"), (said.rlike("bolt|arrow|bow"), "missile"), (said.rlike("ring|gem"), "arcane"), (said.rlike("rod|widget"), "combat")], "other")
+
+
+def document_kind(section: Column, slug: Column) -> Column:
+    """Rule or document, by section or by section and slug together."""
+    return F.when(section.isin("src0", "src1") | F.concat(section, F.lit("/"), slug).isin("src2/en", "src3/de"), "Document").otherwise("CoreRule")
+
+
+def routed_kind(kind: Column, slug: Column, has_data: Column) -> Column:
+    """Corrections of a page's kind, the first that applies."""
+    return F.when(slug.rlike("^[0-9]+$") & (kind == "article"), "numbered").when(has_data, "data").when(kind == "toc", "index").otherwise(kind)

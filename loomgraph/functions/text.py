@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: characters that a full-text query must escape.
-LUCENE_SPECIAL = r'+-&|!(){}[]^"~*?:\/'
-
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

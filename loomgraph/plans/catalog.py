@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import checks, graph, retrieval, texts
+from loomgraph.plans import checks, graph, retrieval, texts, workload
 
-FAMILIES = (graph, retrieval, texts, checks)
+FAMILIES = (graph, retrieval, texts, checks, workload)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -93,7 +93,7 @@ def stat_value_parse(spark, d):
 
 
 def _options(spark, d):
-    """Option lines in the reference's wording, made of every part's columns."""
+    """Option lines made of every part's columns."""
     words = F.array(*[F.lit(x) for x in ["Standard Bearer", "musician", "Champion", "magic items up to a total of 50 points", "Level 2 Wizard", "may ride a mount", "replace hand weapon", "Shields", "veteran rule"]])
     cost = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" (+"), "p_size", F.lit(" points per model)"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" (+"), "p_size", F.lit(" point per unit)"))).otherwise("")
     return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(": "), F.element_at(words, (F.col("p_partkey") % 9 + 1).cast("int")), cost).alias("line"))
