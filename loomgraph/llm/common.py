@@ -64,3 +64,9 @@ def key_ranges(df: DataFrame, key: Column, n: int) -> tuple[Column, int]:
     found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("b")).first()["b"]
     bounds = sorted({int(b) for b in found or []})
     return (_split(key, bounds), len(bounds) + 1) if bounds else (F.lit(0), 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` has made; results that still read them must have been used by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomgraph")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chosen_path, common, fingerprints, lpf_dedup, metric_join, mixing, pieces, sentencepieces, token_counts, token_ids, toxicity, warc
+from loomgraph.llm import chosen_path, common, fingerprints, lpf_dedup, metric_join, mixing, oracles, pieces, sentencepieces, token_counts, token_ids, toxicity, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
