@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +35,9 @@ HEADER = 256
 MAGIC = "token-ids-1"
 END_ID = 2
 #: Texts of about so many bytes go into one file.
-FILE_BYTES = 32_000_000
+FILE_BYTES = 16_000_000
 #: Entries of a worker's word cache, which is emptied when full.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -124,16 +124,19 @@ class TokenFile:
 class WordEncoder:
     """Ids of texts by a tokenizers file, remembering the ids of words.
 
-    Texts are cut at space and newline, which the pre-tokenizer drops and which
-    no rule of it or of the normaliser reaches across.  A new word takes the
-    library's own normaliser, pre-tokenizer and model unless it is made of plain Latin
-    letters, digits and punctuation: then the two outer steps are done here and
-    the library's model encodes the parts.
+    A text of plain Latin letters, digits, punctuation, spaces and newlines in
+    composed form is lower-cased and cut here as the file's normaliser and
+    pre-tokenizer do, and the library's model encodes words not met before.
+    Any other text goes through the library whole.
     """
 
     #: Fixed value: the pre-tokenizer's pattern, as its file states it.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-įĲ-ž]*")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Code points U+0021..U+017E but for controls, the no-break space, the soft hyphen and dotted or dotless I of U+0130 and U+0131.
+    PLAIN = "\x21-\x7e\xa1-\xac\xae-\u012f\u0132-\u017e"
+    #: The letters and digits (\\p{N}) among them.
+    LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u017e"
+    DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,7 +147,9 @@ class WordEncoder:
         spec = json.loads(self.whole.to_str())
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.known = split.get("pattern", {}).get("Regex") == self.PATTERN.pattern and steps == ["NFC", "Replace", "Lowercase"]
+        self.known = split.get("pattern", {}).get("Regex") == self.PATTERN and steps == ["NFC", "Replace", "Lowercase"]
+        self.plain = re.compile(f"[ \n{self.PLAIN}]*")
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.DIGITS}]|[^ \n{self.LETTERS}{self.DIGITS}]+")
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -156,9 +161,9 @@ class WordEncoder:
         others = [i for i in range(256) if i not in printable]
         self.table = {i: i if i in printable else 256 + others.index(i) for i in range(256)}
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         text = " ".join(p.encode("utf-8").decode("latin-1").translate(self.table) for p in new)
         ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -166,34 +171,28 @@ class WordEncoder:
             raise ValueError("a word did not end in one piece")
         raw, begin = ids.tobytes(), 0
         for p, end in zip(new, stop.tolist()):
-            self.parts[p] = raw[begin:end]
+            self.words[p] = raw[begin:end]
             begin = end
 
-    def learn(self, new: list[str]) -> None:
-        split: dict[str, list[str]] = {}
-        for w in new:
-            if self.known and self.PLAIN.fullmatch(w) and "<|" not in w:
-                split[w] = self.PATTERN.findall(unicodedata.normalize("NFC", w).lower())
-            else:
-                self.words[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
-        unseen = list({p for ps in split.values() for p in ps if p not in self.parts})
-        for i in range(0, len(unseen), 2000):
-            self._learn_parts(unseen[i : i + 2000])
-        get = self.parts.__getitem__
-        for w, ps in split.items():
-            self.words[w] = b"".join(map(get, ps))
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE:
-            self.words = {}
-        new = set().union(*cut).difference(self.words) if cut else set()
-        if new:
-            self.learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        cut: list[list[str] | None] = []
+        for t in texts:
+            plain = self.known and self.plain.fullmatch(t) and "<|" not in t and unicodedata.is_normalized("NFC", t)
+            cut.append(self.cut.findall(t.lower()) if plain else None)
+        if len(self.words) > CACHE:  # words of the last round stay at hand
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        new = []
+        for w in set().union(*[c for c in cut if c]).difference(words):
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                words[w] = ids
+        for i in range(0, len(new), 2000):
+            self._learn(new[i : i + 2000])
+        get = words.__getitem__
+        whole = lambda t: np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 def _write_ranges(encoder: Callable[[], WordEncoder], folder: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
