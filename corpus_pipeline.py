@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, with the scores of its best segmentations."""
+    """Piece ids of every text, with the scores of its best segmentations and what they change in those ids."""
     return sentencepieces.encode(docs, pieces.public_model())
 
 

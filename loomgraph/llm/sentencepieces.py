@@ -10,6 +10,8 @@ scores the gap to the second best.  A text's N best can differ from its best
 only in the N - 1 units of least gap: there a backward A* search whose heuristic
 is the forward Viterbi score, hence exact, lists the unit's N best, and the
 lists are merged.  Ties go to the unit that comes first and to the longer last piece.
+Every segmentation comes out whole: the best as ids, each as the runs of those
+ids that it replaces, from which ``nbest_ids`` writes its ids in full.
 
 Decoding joins pieces and bytes; encoding and decoding give back every text, a
 literal U+2581 included (it is always written as bytes).
@@ -28,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, pieces, shingles
@@ -41,6 +43,8 @@ SLICE = 100_000
 CHUNK = 1_000_000
 MARK = pieces.SPACE
 Unit = tuple[bytes, float, float]
+#: Place in the best ids, the ids that stand there, and those that replace them.
+Change = tuple[int, bytes, bytes]
 
 
 class Encoder:
@@ -212,8 +216,8 @@ class Encoder:
             text = text.replace(MARK, mark)
         return self.cut.findall(MARK + text.replace(" ", MARK)), mark
 
-    def __call__(self, texts: list[str], count: int = NBEST) -> list[tuple[bytes, list[float], list[int]]]:
-        """Per text the ids of the best segmentation, and scores and piece counts of the ``count`` best."""
+    def __call__(self, texts: list[str], count: int = NBEST) -> list[tuple[bytes, list[float], list[int], list[list[Change]]]]:
+        """Per text the ids of the best segmentation, and scores, piece counts and changes to those ids of the ``count`` best."""
         if len(self.units) > CACHE:
             self.units, self.older = {}, self.units
         cut = [self._split(t) if t else ([], "") for t in texts]
@@ -237,11 +241,11 @@ class Encoder:
                 new, size = [], 0
         if new:
             self._learn(new)
-        lists: dict[str, list[tuple[float, bytes]]] = {}
+        lists: dict[tuple[str, str], list[tuple[float, bytes]]] = {}
         out = []
         for us, mark in cut:
             if not us:
-                out.append((b"", [0.0], [0]))
+                out.append((b"", [0.0], [0], [[]]))
                 continue
             if mark:
                 found = []
@@ -253,22 +257,36 @@ class Encoder:
                         found.append(self.units[u])
             else:
                 found = list(map(self.units.__getitem__, us))
-            data = b"".join([f[0] for f in found])
+            parts = [f[0] for f in found]
+            data = b"".join(parts)
             total = sum([f[1] for f in found])
             gaps = np.array([f[2] for f in found])
             near = np.argsort(gaps, kind="stable")[: count - 1] if len(gaps) < 64 else _least(gaps, count - 1)
-            ways = [(0.0, len(data) // 4)]
-            for i in near.tolist():
-                if not np.isfinite(gaps[i]):
-                    continue
+            near = near[np.isfinite(gaps[near])].tolist()
+            ways: list[tuple[float, int, tuple[tuple[int, bytes], ...]]] = [(0.0, len(data) // 4, ())]
+            for i in near:
                 u = us[i]
-                if (best := lists.get(u)) is None:
-                    best = lists[u] = self.nbest(u, count, mark if mark and mark in u else "")
+                own = mark if mark and mark in u else ""
+                if (best := lists.get((u, own))) is None:
+                    best = self.nbest(u, count, own)
+                    if best[0][1] != parts[i]:  # of equal ones that in ``data`` is the first
+                        best = [(best[0][0], parts[i]), *[x for x in best if x[1] != parts[i]]][:count]
+                    lists[u, own] = best
                 top, size = best[0][0], len(best[0][1])
-                ways = sorted(((d + s - top, k + (len(x) - size) // 4) for d, k in ways for s, x in best), key=lambda w: -w[0])[:count]
-            out.append((data, [total + d for d, _ in ways], [k for _, k in ways]))
+                ways = sorted(((d + s - top, k + (len(x) - size) // 4, (*w, (i, x)) if r else w) for d, k, w in ways for r, (s, x) in enumerate(best)), key=lambda w: -w[0])[:count]
+            place, at, past = {}, 0, 0
+            for i in sorted(near):
+                at += sum(map(len, parts[past:i]))
+                place[i], past = at // 4, i
+            changes = [[(place[i], parts[i], x) for i, x in sorted(w)] for _, _, w in ways]
+            out.append((data, [total + d for d, _, _ in ways], [k for _, k, _ in ways], changes))
         return out
 
+    def _same(self, change: Change) -> bool:
+        """Whether the new ids stand for the bytes of the old ones."""
+        old, new = (b"".join(map(self.raw.__getitem__, np.frombuffer(x, "<i4").tolist())) for x in change[1:])
+        return old == new
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
         if not ids:
@@ -288,12 +306,32 @@ def encoder(model: str) -> Encoder:
     return Encoder(model)
 
 
+def _changes(rows: list[list[list[Change]]]) -> pa.Array:
+    """The changes of each rank of each text as one nested array."""
+    ranks = [r for row in rows for r in row]
+    flat = [c for r in ranks for c in r]
+    ends = lambda lists: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+    size = lambda k: np.array([len(c[k]) // 4 for c in flat], np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size(2))]).astype(np.int32)), pa.array(np.frombuffer(b"".join([c[2] for c in flat]), "<i4")))
+    structs = pa.StructArray.from_arrays([pa.array([c[0] for c in flat], pa.int32()), pa.array(size(1)), ids], names=["place", "size", "ids"])
+    return pa.ListArray.from_arrays(ends(rows), pa.ListArray.from_arrays(ends(ranks), structs))
+
+
+def nbest_ids(ids: str = "ids", changes: str = "nbest_changes") -> Column:
+    """Full ids of every segmentation, best first."""
+    put = lambda x, c: F.concat(F.slice(x, F.lit(1), c["place"]), c["ids"], F.slice(x, c["place"] + c["size"] + 1, F.size(x)))
+    return F.transform(changes, lambda way: F.aggregate(F.reverse(way), F.col(ids), put))
+
+
 def encode(documents: DataFrame, model: str, nbest: int = NBEST) -> DataFrame:
-    """doc_id, n_pieces, ids, nbest_scores, nbest_pieces and whether decoding gives the text back; a single pass without a shuffle."""
+    """doc_id, n_pieces, ids, nbest_scores, nbest_pieces, nbest_changes and whether decoding every rank gives the text back; a single pass without a shuffle.
+
+    ``nbest_changes`` has for each rank the runs of ``ids`` that it replaces, by place from 0 and in order; ``nbest_ids`` applies them.
+    """
     common.small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text")
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_pieces int, ids array<int>, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean"
+    schema = f"doc_id {kind}, n_pieces int, ids array<int>, nbest_scores array<double>, nbest_pieces array<int>, nbest_changes array<array<struct<place:int,size:int,ids:array<int>>>>, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(model)
@@ -308,12 +346,12 @@ def encode(documents: DataFrame, model: str, nbest: int = NBEST) -> DataFrame:
                 made = machine(texts[i:j], nbest)
                 flat = np.frombuffer(b"".join(m[0] for m in made), "<i4")
                 at = np.concatenate([[0], np.cumsum([len(m[0]) // 4 for m in made])]).astype(np.int32)
-                back = [machine.decode(flat[a:e].tolist()) == t for a, e, t in zip(at, at[1:], texts[i:j])]
+                back = [machine.decode(flat[a:e].tolist()) == t and all(machine._same(c) for w in m[3] for c in w) for a, e, t, m in zip(at, at[1:], texts[i:j], made)]
                 cols = [
                     b.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                    pa.array([m[1] for m in made], pa.list_(pa.float64())), pa.array([m[2] for m in made], pa.list_(pa.int32())), pa.array(back),
+                    pa.array([m[1] for m in made], pa.list_(pa.float64())), pa.array([m[2] for m in made], pa.list_(pa.int32())), _changes([m[3] for m in made]), pa.array(back),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_pieces", "ids", "nbest_scores", "nbest_pieces", "round_trip"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_pieces", "ids", "nbest_scores", "nbest_pieces", "nbest_changes", "round_trip"])
                 i = j
 
     return rows.mapInArrow(run, schema)

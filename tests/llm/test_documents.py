@@ -229,3 +229,20 @@ def test_sentencepiece_round_trip(spark):
     assert len(out) == len(texts()) and all(r.round_trip for r in out)
     assert all(r.nbest_scores == sorted(r.nbest_scores, reverse=True) and r.nbest_pieces[0] == r.n_pieces == len(r.ids) for r in out)
     assert sentencepieces.encode(documents(spark, []), pieces.public_model()).collect() == []
+
+
+def test_sentencepiece_every_rank_decodes(spark):
+    e = sentencepieces.Encoder(pieces.public_model())
+    made = {i: k for k, i in e.byte.items()}
+    score = lambda ids: sum(e.unknown if i in made else float(e.scores[i]) for i in ids)
+    rows = [*texts(), (50, "thé añ 🙂x", "s0"), (51, "a  b ▁a b", "s0"), (52, "to be or not", "s0")]
+    out = sentencepieces.encode(documents(spark, rows), pieces.public_model()).withColumn("all", sentencepieces.nbest_ids()).collect()
+    assert len(out) == len(rows) and max(len(r.all) for r in out) == sentencepieces.NBEST
+    text = defaultdict(set)
+    for i, t, _ in rows:
+        text[i].add(t or "")
+    for r in out:
+        assert r.all[0] == r.ids and len({tuple(x) for x in r.all}) == len(r.all) == len(r.nbest_scores)
+        assert [len(x) for x in r.all] == r.nbest_pieces
+        assert len({e.decode(x) for x in r.all}) == 1 and e.decode(r.all[0]) in text[r.doc_id]
+        assert np.allclose([score(x) for x in r.all], r.nbest_scores)
