@@ -8,8 +8,9 @@ MinHash values, two sets agreeing on a value with probability J.  From each of
 the path, and sets on one path form a bucket.  Buckets of one set are dropped,
 small ones compared by brute force on the embeddings, larger ones split
 again.  What is still large after ``DEPTH`` splits is alike throughout and is
-compared with its leaders.  With the defaults a pair at the threshold is missed
-by all runs with probability below 1e-4.
+compared with its leaders.  ``RUNS`` is set so that a pair at the threshold is
+missed by all runs with probability below ``MISS`` even if each of its buckets
+is split ``DEPTH`` times (taking the values of the bins as independent).
 
 Pairs that look alike (``SLACK`` below the threshold) only join candidate
 components, as forests; inside a component every pair is then decided exactly
@@ -24,6 +25,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +40,10 @@ from loomgraph.llm.components import components
 THRESHOLD = 0.8
 WIDTH = 5
 BINS = 64
-RUNS = 12
 SPREAD = 1.6
 DEPTH = 4
+#: Most that may be missed of the pairs at the threshold, at full depth.
+MISS = 1e-4
 #: Buckets up to this size are compared by brute force.
 BUCKET = 512
 #: How far below the threshold an estimate may lie for a pair to stay a candidate: five standard errors of BINS values.
@@ -50,6 +53,21 @@ BLOCK_TOKENS = 1_000_000
 LEAST_ID = -(2**63)
 
 
+def missed(runs: int, levels: int) -> float:
+    """Probability that no run brings a pair at the threshold together, when its paths are followed over so many levels."""
+    out = 0.0
+    for k in range(BINS + 1):  # values on which the pair agrees
+        lost = 0.0
+        for _ in range(levels):
+            lost = (1 - SPREAD / BINS * (1 - lost)) ** k
+        seen = k >= (THRESHOLD - SLACK) * BINS
+        out += math.comb(BINS, k) * THRESHOLD**k * (1 - THRESHOLD) ** (BINS - k) * (lost**runs if seen else 1)
+    return out
+
+
+RUNS = next(r for r in range(1, 1000) if missed(r, DEPTH + 1) < MISS)
+
+
 def embedded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """MinHash values (texts x BINS, 16 bits) and the sorted shingle sets."""
     hashes, at = shingles.shingle_hashes(raw, offsets, WIDTH)

@@ -246,3 +246,24 @@ def test_sentencepiece_every_rank_decodes(spark):
         assert [len(x) for x in r.all] == r.nbest_pieces
         assert len({e.decode(x) for x in r.all}) == 1 and e.decode(r.all[0]) in text[r.doc_id]
         assert np.allclose([score(x) for x in r.all], r.nbest_scores)
+
+
+def test_missed_pairs_at_full_depth():
+    """Pairs that agree on 51 of 64 values, followed by the code itself down to the last split."""
+    rng = np.random.default_rng(7)
+    bins, runs = chosen_path.BINS, 4000
+    a = rng.integers(0, 1 << 16, bins).astype("<u2")
+    b = a.copy()
+    b[rng.permutation(bins)[51:]] ^= 1
+    paths = np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+    run = np.arange(runs)
+    lost = 0.0
+    for _ in range(chosen_path.DEPTH + 1):
+        (i, p), (j, q) = (chosen_path._children(paths, np.tile(x, (len(paths), 1)), chosen_path.SPREAD) for x in (a, b))
+        both = np.isin(p, q)
+        paths, run = p[both], run[i[both]]
+        lost = (1 - chosen_path.SPREAD / bins * (1 - lost)) ** 51
+    share = 1 - len(np.unique(run)) / runs
+    assert abs(share - lost) < 0.04
+    assert lost**chosen_path.RUNS < 1e-4
+    assert chosen_path.missed(chosen_path.RUNS, chosen_path.DEPTH + 1) < 1e-4
