@@ -68,8 +68,12 @@ def without_parenthetical(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), r"\s*\([^)]*\)\s*$", "")
 
 
+#: Letters, marks and numbers of any script, and the underscore.
+WORD = r"\p{L}\p{M}\p{N}_"
+
+
 def words(c: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit("([a-z0-9_]+)"), 1)
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(f"([{WORD}]+)"), 1)
 
 
 def joined(separator: str, *parts: Column) -> Column:

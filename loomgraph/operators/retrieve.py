@@ -129,5 +129,5 @@ def dictionary_join(names: DataFrame, texts: DataFrame, lead: int = 3) -> DataFr
         return texts.select(F.lit(None).alias("name_id"), "text_id").limit(0)
     met = runs.join(n.select("name_id", "gram", "_size"), ["gram", "_size"]).select("name_id", "text_id").distinct()
     full = met.join(n.select("name_id", "_name"), "name_id").join(texts.select("text_id", F.lower("text").alias("_text")), "text_id")
-    bounded = F.concat(F.lit(r"(^|[^a-z0-9_])\Q"), F.col("_name"), F.lit(r"\E($|[^a-z0-9_])"))
+    bounded = F.concat(F.lit(rf"(^|[^{X.WORD}])\Q"), F.col("_name"), F.lit(rf"\E($|[^{X.WORD}])"))
     return full.where(F.contains("_text", F.col("_name")) & F.regexp_like("_text", bounded)).select("name_id", "text_id")

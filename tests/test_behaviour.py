@@ -58,6 +58,16 @@ def test_rrf(spark):
     assert max(got, key=got.get) == "b"
 
 
+def test_words_of_any_script(spark):
+    assert one(spark, X.words, "Über L'Été_2, señor! 日本語 नमस्ते cafe\u0301") == ["über", "l", "été_2", "señor", "日本語", "नमस्ते", "cafe\u0301"]
+    names = spark.createDataFrame([(1, "cole"), (2, "été"), (3, "日本")], "name_id int, name string")
+    texts = spark.createDataFrame([(1, "l'école cole"), (2, "l'école"), (3, "Un ÉTÉ, 日本!"), (4, "日本語 étés")], "text_id int, text string")
+    assert {tuple(r) for r in R.dictionary_join(names, texts).collect()} == {(1, 1), (2, 3), (3, 3)}
+    docs = spark.createDataFrame([(1, "café noir"), (2, "caf noir"), (3, "日本 noir")], "doc_id int, text string")
+    queries = spark.createDataFrame([(1, "CAFÉ"), (2, "日本")], "query_id int, text string")
+    assert {(r.query_id, r.id) for r in R.bm25(docs, "doc_id", F.col("text"), queries, 8).collect()} == {(1, 1), (2, 3)}
+
+
 def links(spark, rows):
     return spark.createDataFrame([("hub", *r) for r in rows], "center string, src string, dst string, relation string")
 

@@ -1,0 +1,18 @@
+"""Word queries against their SQL with the class of word signs widened from [a-z0-9_] to letters of any script."""
+
+from __future__ import annotations
+
+import pytest
+from test_oracles import ORACLES, QUERIES, SF, duck, plain  # noqa: F401
+
+from loomgraph.functions import text as X
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "text_dictionary_join", "lexical_matches", "stem_words"])
+def test_oracle_of_any_script(spark, duck, name):  # noqa: F811
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    cur = duck.execute(ORACLES[name].replace("a-z0-9_]", f"{X.WORD}]"))
+    names = [d[0] for d in cur.description]
+    assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
