@@ -9,6 +9,7 @@ from loomgraph.functions import classify as C
 from loomgraph.functions import markup as M
 from loomgraph.functions import text as X
 from loomgraph.operators import quality as Q
+from loomgraph.operators import retrieve as R
 from loomgraph.sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 
 _int = lambda c: c.cast("bigint")
@@ -146,11 +147,11 @@ def cost_override(spark, d):
 
 
 def text_contains_join(spark, d):
-    """First words of passages that no label holds yet (anti join), met with the words of every turn."""
+    """Passages that no label holds yet (anti join), bare of the full stop, and the number of conversations with a turn that holds the whole passage."""
     held = table(spark, d, "labels").select(F.col("doc_id").alias("item_id"))
-    free = table(spark, d, "benchmark").join(held, "item_id", "left_anti").select("item_id", X.words("text")[0].alias("word"))
-    t = table(spark, d, "conversations").select("conv_id", F.explode(F.array_distinct(X.words("text"))).alias("word")).distinct()
-    return free.join(t, "word").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    free = table(spark, d, "benchmark").join(held, "item_id", "left_anti").select(F.col("item_id").alias("name_id"), F.regexp_replace("text", r"\.$", "").alias("name"))
+    t = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("text_id"), "text")
+    return R.dictionary_join(free, t).groupBy(F.col("name_id").alias("item_id")).agg(F.countDistinct("text_id.conv_id").alias("n"))
 
 
 def label_of_id(spark, d):

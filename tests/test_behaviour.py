@@ -68,6 +68,16 @@ def test_words_of_any_script(spark):
     assert {(r.query_id, r.id) for r in R.bm25(docs, "doc_id", F.col("text"), queries, 8).collect()} == {(1, 1), (2, 3)}
 
 
+def test_text_contains_join_takes_whole_passages(spark, tmp_path):
+    from loomgraph.plans import workload
+
+    make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    make("benchmark", [(1, "the old red rod."), (2, "the old"), (3, "old")], "item_id long, text string")
+    make("labels", [(3,)], "doc_id long")
+    make("conversations", [(1, 0, "See the Old red rod, now"), (1, 1, "the old red rod"), (2, 0, "the older rod"), (3, 0, "the old house"), (4, 0, "the")], "conv_id long, turn long, text string")
+    assert {tuple(r) for r in workload.text_contains_join(spark, str(tmp_path)).collect()} == {(1, 1), (2, 2)}
+
+
 def links(spark, rows):
     return spark.createDataFrame([("hub", *r) for r in rows], "center string, src string, dst string, relation string")
 
