@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
+from loomgraph.sources import replay
 from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, LABELS, NODES_SQL, RELATIONS, edges, nodes, table, undirected
 
 SEEDS = ["part#1", "part#2", "nation#3", "customer#5", "supplier#7", "order#11", "nation#19", "region#1"]
@@ -222,17 +223,16 @@ def budget_lookup(spark, d):
 
 
 def crawl_frontier(spark, d):
-    """Breadth-first rounds over page links: hosts reached from a seed host by shared first link words."""
+    """Breadth-first rounds over page links: hosts reached from a seed host by shared first link words, until a round meets no new one.
+
+    Hosts and words take turns, so hosts that share a word are not paired.
+    """
     pages = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), F.regexp_extract_all("html", F.lit('<a href="/([a-z]+)"'), 1).alias("links"))
-    links = pages.select("host", F.explode("links").alias("word")).distinct()
-    hop = links.withColumnRenamed("host", "from_host").join(links.withColumnRenamed("host", "to_host"), "word").select("from_host", "to_host").distinct()
-    frontier = pages.select("host").distinct().orderBy("host").limit(1).withColumn("round", F.lit(0))
-    seen = frontier
-    for k in (1, 2):
-        step = frontier.join(hop, F.col("host") == F.col("from_host")).select(F.col("to_host").alias("host")).distinct()
-        frontier = step.join(seen.select("host"), "host", "left_anti").withColumn("round", F.lit(k))
-        seen = seen.unionByName(frontier)
-    return seen.select("host", F.col("round").cast("bigint").alias("round"))
+    pairs = pages.select(F.concat(F.lit("host "), "host").alias("host"), F.explode(F.transform("links", lambda w: F.concat(F.lit("word "), w))).alias("word")).distinct()
+    links = pairs.toDF("from_url", "to_url").unionByName(pairs.toDF("to_url", "from_url"))
+    seed = pages.select("host").distinct().orderBy("host").limit(1).select(F.concat(F.lit("host "), "host").alias("url"))
+    seen = replay.frontier(seed, links).where(F.col("url").startswith("host "))
+    return seen.select(F.substring("url", 6, 2**31 - 1).alias("host"), F.floor(F.col("round") / 2).cast("bigint").alias("round"))
 
 
 QUERIES = {f.__name__: f for f in (

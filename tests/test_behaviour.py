@@ -192,6 +192,18 @@ def test_sinks_and_replay(spark, tmp_path):
     assert {r.url: r.round for r in found.collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_frontiers_go_on_until_empty(spark, tmp_path):
+    from loomgraph.plans import graph
+
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(5)] + [("n5", "n0"), ("n5", None)]
+    found = replay.frontier(spark.createDataFrame([("n0",)], "url string"), spark.createDataFrame(chain, "from_url string, to_url string"))
+    assert {r.url: r.round for r in found.collect()} == {f"n{i}": i for i in range(6)}
+    words = ["a", "b", "c", "d", "e"]
+    page = lambda i: (i, f"https://h{i}/x", "".join(f'<a href="/{w}">' for w in words[max(0, i - 1) : i + 1]))
+    spark.createDataFrame([*map(page, range(5)), (9, "https://z/", '<a href="/far">')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {tuple(r) for r in graph.crawl_frontier(spark, str(tmp_path)).collect()} == {(f"h{i}", i) for i in range(5)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
