@@ -1,7 +1,8 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over blocks.
 
-Native: DataFrame functions only.  Documents fall by hash into ``BLOCKS`` blocks
-a source.  A source's target (its weight's share of all words, at most
+Native: DataFrame functions only.  Documents fall by hash into blocks, at least
+``BLOCKS`` a source and ``SHARE`` for each output shard, whatever their number.
+A source's target (its weight's share of all words, at most
 ``MOST`` times its own, the excess shared again by weight) becomes a list of
 block draws: whole passes over all its blocks, then a permuted prefix.  The
 exact draw counts of all sources are split down a binary tree: at each node the
@@ -9,7 +10,8 @@ left half of the shards gets half of the node's draws, sampled from the
 multivariate hypergeometric distribution by one conditional draw per source, so
 quotas stay exact.  A shard then takes the next run of its count from each
 source's permuted list; runs are disjoint.  Inside a shard rows are ordered by
-a seeded hash.
+a seeded hash.  Running sums along a permuted list are made in two steps, over
+``SLOTS`` slots of the list and within each, so no window holds a whole source.
 
 The last block of the prefix is filled document by document and its last
 document is cut to the words that the target still wants, so a source's words
@@ -32,6 +34,12 @@ from loomgraph.llm import common
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 4096
+#: Blocks of a source for each shard, at least.
+SHARE = 64
+#: log2 of the slots of a permuted list.
+SLOT_BITS = 10
+#: Levels of the tree that one plan holds; the nodes are written between.
+LEVELS = 4
 MOST = 3
 SHARD_WORDS = 4_000_000
 SEED = 20_240_917
@@ -48,13 +56,16 @@ def _uniform(*parts: Column | int | str) -> Column:
 
 
 def sizes(documents: DataFrame, carried: Column | None = None) -> DataFrame:
-    """doc_id, source, its sortable key (null last), words and block of every document, and ``_row`` if anything is carried."""
+    """doc_id, source, its sortable key (null last) and words of every document, and ``_row`` if anything is carried."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     row = [] if carried is None else [carried.alias("_row")]
-    return documents.select("doc_id", "source", key.alias("_source"), words.alias("size"), *row).withColumn(
-        "_block", F.pmod(_hash("block", F.col("doc_id"), F.col("size")), F.lit(BLOCKS)).cast("int")
-    )
+    return documents.select("doc_id", "source", key.alias("_source"), words.alias("size"), *row)
+
+
+def in_blocks(sized: DataFrame, levels: int) -> DataFrame:
+    """``sized`` with the block of each document."""
+    return sized.withColumn("_block", F.pmod(_hash("block", F.col("doc_id"), F.col("size")), F.lit(max(BLOCKS, SHARE << levels)).cast("long")))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -99,9 +110,15 @@ def _hypergeometric(good: Column, population: Column, drawn: Column, u: Column)
 
 
 def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
-    """From one row with ``quotas`` (draws of each source) to 2^levels rows ``shard, quotas``; the counts of a source sum to its quota."""
-    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "quotas")
+    """From one row with ``quotas`` (draws of each source) to 2^levels rows ``shard, quotas, starts``.
+
+    The counts of a source sum to its quota; ``starts`` says where the shard's
+    run begins in each source's list.
+    """
+    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "quotas", F.transform("quotas", lambda q: q * 0).alias("starts"))
     for level in range(levels):
+        if level and level % LEVELS == 0:
+            nodes = common.written(nodes, "mix-tree")
         sum_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
         start = F.struct(
             sum_of(F.col("quotas")).alias("population"),
@@ -122,57 +139,62 @@ def splitting_tree(quotas: DataFrame, levels: int) -> DataFrame:
 
         nodes = nodes.withColumn("_left", F.aggregate("quotas", start, step, lambda s: s["left"]))
         halves = F.array(
-            F.struct((F.col("shard") * 2).alias("shard"), F.col("_left").alias("quotas")),
-            F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("quotas", "_left", lambda q, x: q - x).alias("quotas")),
+            F.struct((F.col("shard") * 2).alias("shard"), F.col("_left").alias("quotas"), F.col("starts")),
+            F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("quotas", "_left", lambda q, x: q - x).alias("quotas"), F.zip_with("starts", "_left", lambda t, x: t + x).alias("starts")),
         )
-        nodes = nodes.select(F.explode(halves).alias("n")).select("n.shard", "n.quotas")
+        nodes = nodes.select(F.explode(halves).alias("n")).select("n.shard", "n.quotas", "n.starts")
     return nodes
 
 
-def block_draws(sized: DataFrame, levels: int) -> DataFrame:
-    """Per source and block: target columns and its draws (pass, shard, words it may give; null: all)."""
-    per = targets(sized)
-    blocks = sized.groupBy("_source", "_block").agg(F.sum("size").alias("_words"))
-    blocks = blocks.join(per, "_source")
-    want = F.round("target").cast("long")
+def block_draws(blocked: DataFrame, levels: int) -> DataFrame:
+    """Per source and block: target columns and its draws (pass, shard, words it may give; null: all), null if none."""
+    per = common.written(targets(blocked), "mix-targets")
+    blocks = blocked.groupBy("_source", "_block").agg(F.sum("size").alias("_words"))
+    blocks = common.written(blocks.join(per, "_source"), "mix-blocks")
     size = F.greatest("source_size", F.lit(1))
-    blocks = blocks.withColumn("_full", F.floor(want / size).cast("int")).withColumn("_rest", want - F.floor(want / size) * size)
-    each = blocks.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_full"))))
-    permuted = Window.partitionBy("_source", "_pass").orderBy(_hash("order", F.col("_source"), F.col("_pass"), F.col("_block")), "_block")
-    each = each.withColumn("_before", F.coalesce(F.sum("_words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    each = each.withColumn("_rank", F.row_number().over(permuted))
-    drawn = each.where((F.col("_words") > 0) & ((F.col("_pass") < F.col("_full")) | (F.col("_before") < F.col("_rest"))))
+    want = F.round("target").cast("long")
+    each = blocks.where("_words > 0").withColumn("_full", F.floor(want / size).cast("int")).withColumn("_rest", want - F.col("_full") * size)
+    each = each.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_full"))))
+    each = each.withColumn("_order", _hash("order", F.col("_source"), F.col("_pass"), F.col("_block")))
+    each = each.withColumn("_slot", F.shiftrightunsigned("_order", 64 - SLOT_BITS))
+    # running words and ranks along each permuted list: of the slots before, then inside the slot
+    slots = each.groupBy("_source", "_pass", "_slot").agg(F.sum("_words").alias("_w"), F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_source", "_pass").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = Window.partitionBy("_source").orderBy("_pass", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("_source", "_pass", "_slot", F.coalesce(F.sum("_w").over(upto), F.lit(0)).alias("_w"), F.coalesce(F.sum("_n").over(ranks), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_source", "_pass", "_slot").orderBy("_order", "_block")
+    drawn = each.join(slots, ["_source", "_pass", "_slot"])
+    drawn = drawn.withColumn("_before", F.col("_w") + F.coalesce(F.sum("_words").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a pass but the last takes all its blocks, the last a prefix, so the ranks of what is drawn follow each other
+    drawn = drawn.withColumn("_nth", F.col("_n") + F.row_number().over(inside) - 1)
+    drawn = drawn.where((F.col("_pass") < F.col("_full")) | (F.col("_before") < F.col("_rest")))
     drawn = drawn.withColumn("_limit", F.when(F.col("_pass") == F.col("_full"), F.col("_rest") - F.col("_before")))
-    drawn = drawn.withColumn("_nth", F.row_number().over(Window.partitionBy("_source").orderBy("_pass", "_rank")) - 1)
+    drawn = common.written(drawn.select("_source", "_at", "_block", "_pass", "_nth", "_limit"), "mix-draws")
     counts = drawn.groupBy("_at").agg(F.count(F.lit(1)).alias("n"))
     quotas = counts.agg(F.sort_array(F.collect_list(F.struct("_at", "n"))).alias("q"))
-    quotas = quotas.select(F.transform("q", lambda x: x["n"]).alias("quotas"), F.transform("q", lambda x: x["_at"]).alias("ats"))
-    shards = splitting_tree(quotas, levels)
-    ats = quotas.select("ats")
-    runs = shards.select("shard", F.posexplode("quotas").alias("i", "n")).join(ats.select(F.posexplode("ats").alias("i", "_at")), "i")
-    upto = F.aggregate  # running ends of the shards' runs, in shard order
-    runs = runs.groupBy("_at").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "n"))), lambda x: x["n"]).alias("n"))
-    ends = upto("n", F.array().cast("array<bigint>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
-    drawn = drawn.join(runs.select("_at", ends.alias("_ends")), "_at")
-    drawn = drawn.withColumn("_shard", F.size(F.filter("_ends", lambda e: e <= F.col("_nth"))))
-    lists = drawn.groupBy("_source", "_block").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_pass").alias("pass"), F.col("_shard").alias("shard"), F.col("_limit").alias("limit")))).alias("_draws")
-    )
-    return blocks.select("_source", "_block", "source_size", "target").join(lists, ["_source", "_block"], "left")
+    quotas = common.written(quotas.select(F.transform("q", lambda x: x["n"]).alias("quotas"), F.transform("q", lambda x: x["_at"]).alias("ats")), "mix-quotas")
+    shards = common.written(splitting_tree(quotas, levels), "mix-shards")
+    runs = shards.select("shard", F.posexplode(F.arrays_zip("quotas", "starts")).alias("i", "r")).where("r.quotas > 0")
+    runs = runs.select("shard", "i", F.explode(F.sequence(F.col("r.starts"), F.col("r.starts") + F.col("r.quotas") - 1)).alias("_nth"))
+    runs = runs.join(quotas.select(F.posexplode("ats").alias("i", "_at")), "i").select("_at", "_nth", "shard")
+    draw = F.struct(F.col("_pass").alias("pass"), F.col("shard").cast("long").alias("shard"), F.col("_limit").alias("limit"))
+    lists = drawn.join(runs, ["_at", "_nth"]).groupBy("_source", "_block").agg(F.sort_array(F.collect_list(draw)).alias("_draws"))
+    return blocks.select("_source", "_block", "source_size", "target").join(common.written(lists, "mix-lists"), ["_source", "_block"], "left")
 
 
 def mix(documents: DataFrame, shard_words: int = SHARD_WORDS, carried: Column | None = None) -> DataFrame:
     """Every document with its size, its source's size and target, the words taken, and ``draws``: pass, shard, words and place in the shard's local order."""
     sized = common.written(sizes(documents, carried), "mix-sizes")
     words = sized.agg(F.sum("size").alias("n")).first()["n"] or 0
-    levels = min(14, max(0, (max(1, -(-words // shard_words)) - 1).bit_length()))
-    blocks = block_draws(sized, levels)
+    levels = max(0, (max(1, -(-words // shard_words)) - 1).bit_length())
+    blocked = in_blocks(sized, levels)
+    blocks = block_draws(blocked, levels)
     local = Window.partitionBy("_source", "_block").orderBy(_hash("document", F.col("doc_id"), F.col("size")), "doc_id", "size")
-    rows = sized.join(blocks, ["_source", "_block"])
+    rows = blocked.join(blocks, ["_source", "_block"])
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     give = lambda d: F.when(d["limit"].isNull(), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), d["limit"] - F.col("_before"))))
     draws = F.transform(
-        F.coalesce("_draws", F.array().cast("array<struct<pass:int,shard:int,limit:bigint>>")),
+        F.coalesce("_draws", F.array().cast("array<struct<pass:int,shard:bigint,limit:bigint>>")),
         lambda d: F.struct(
             d["pass"].alias("pass"), d["shard"].alias("shard"), give(d).cast("long").alias("words"),
             _hash("place", d["shard"], d["pass"], F.col("doc_id")).alias("place"),

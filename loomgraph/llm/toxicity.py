@@ -11,8 +11,8 @@ positive text teaches by its highest window, a negative one by its highest and
 by others.
 
 Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows outside the
-held-out fold, by hash, of texts up to ``SAMPLE_BYTES`` bytes.  Scoring covers
-all words of all texts.
+held-out fold, by hash, a text beyond ``SAMPLE_CHARS`` characters giving
+stretches spread over it.  Scoring covers all words of all texts.
 
 Defined cases: null, empty and wordless texts are one window without words and
 get the network's base score; null or other labels than 0 and 1 teach nothing;
@@ -38,7 +38,8 @@ WORD_DIM = CHAR_DIM = 8
 VOCABULARY = 8192
 GRAMS = 1 << 14
 SAMPLE = 6000
-SAMPLE_BYTES = 60_000
+#: Characters that one text brings to the sample at most, and of the stretches drawn from longer ones.
+SAMPLE_CHARS, STRETCH = 60_000, 2000
 FOLDS = 5
 EPOCHS = 9
 CHUNK = 1_000_000
@@ -364,16 +365,47 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from at most ``sample`` labelled rows outside the held-out fold; their texts come to the driver."""
-    spark = documents.sparkSession
+def drawn(text: str, most: int) -> str:
+    """What a text brings to the sample: itself, or of one beyond ``most`` characters stretches of ``STRETCH`` spread evenly over it."""
+    if len(text) <= most:
+        return text
+    count = max(2, most // STRETCH)
+    return " ".join(text[s : s + STRETCH] for s in (i * (len(text) - STRETCH) // (count - 1) for i in range(count)))
+
+
+def sample_of(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text and label of at most ``sample`` labelled rows outside the held-out fold, the least by hash."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    ids = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    chosen = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in ids], "_id long, _toxic int")
-    texts = documents.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], np.array([r["_toxic"] for r in rows], np.float32))
+    chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    most = SAMPLE_CHARS
+    chosen = common.written(chosen.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("_toxic")), "toxic-sample")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(1, "text", pa.array([drawn(t or "", most) for t in b.column("text").to_pylist()]))
+
+    rows = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "_toxic")
+    rows = rows.mapInArrow(run, "doc_id long, text string, toxic int")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)  # a doc_id may stand on many rows
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+    """A network trained in one task on the bounded sample; only the weights come to the driver."""
+    common.small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")]))
+        net = train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
+        made = {**net.p, "vocabulary": net.vocabulary}
+        cols = [pa.array(list(made)), pa.array([a.dtype.str for a in made.values()]), pa.array([list(a.shape) for a in made.values()], pa.list_(pa.int32())), pa.array([a.tobytes() for a in made.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["name", "kind", "shape", "data"])
+
+    # one partition even where the sample is empty
+    made = sample_of(documents, labels, sample).coalesce(1).mapInArrow(run, "name string, kind string, shape array<int>, data binary").collect()
+    p = {r["name"]: np.frombuffer(bytes(r["data"]), r["kind"]).reshape(r["shape"]).copy() for r in made}
+    if not p:
+        return train([], np.zeros(0, np.float32))
+    return Network(p, p.pop("vocabulary")).index()
 
 
 def _logits(own: Network, texts: list[str]) -> np.ndarray:

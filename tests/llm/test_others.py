@@ -128,3 +128,87 @@ def test_pipeline(spark):
 def test_every_operator_is_registered():
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+
+
+def test_toxicity_learns_from_long_texts_alone(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4000)
+    bad, good = "you vile idiot " * 20, "a calm walk by the river " * 20
+    rows = [(i, (bad if i % 2 else good) * 40) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    sample = toxicity.sample_of(docs, labels, 50).collect()
+    assert len(sample) == 50 and max(len(r.text) for r in sample) < 5000
+    out = toxicity.scores(docs, toxicity.fit(docs, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
+
+
+def test_forward_pass_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    texts = ["alpha beta beta gamma", "delta", "", " ".join(f"w{i % 7}" for i in range(150))]
+    known = np.unique(toxicity.words_of(texts).hashes)[:5]
+    net = toxicity.Network.new(known, rng.normal(size=len(known)), rng.normal(size=toxicity.GRAMS), 0.1).index()
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+    for text, got in zip(texts, net.texts(texts)):
+        w = toxicity.words_of([text])
+        where = {int(x): i for i, x in enumerate(known)}
+        ends = [*w.starts[1:], len(w.grams)]
+        x = []
+        for k in range(len(w.hashes)):
+            word = net.p["word"][where.get(int(w.hashes[k]), len(known))]
+            gram = sum((net.p["gram"][g] for g in w.grams[w.starts[k] : ends[k]]), np.zeros(toxicity.CHAR_DIM))
+            x.append([word @ net.p["in_w"][d] + gram @ net.p["in_c"][d] + net.p["in_b"][d, 0] for d in (0, 1)])
+        best = -np.inf
+        for at in range(0, max(1, len(x)), toxicity.STRIDE):
+            part = x[at : at + toxicity.WINDOW]
+            states = []
+            for d in (0, 1):
+                s, own = np.zeros(h), []
+                for step in part if d == 0 else part[::-1]:
+                    a, u = step[d], s @ net.p["rec"][d]
+                    z, r = sigmoid(a[:h] + u[:h]), sigmoid(a[h : 2 * h] + u[h : 2 * h])
+                    s = z * s + (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :])
+                    own.append(s)
+                states.append(own if d == 0 else own[::-1])
+            e = np.array([f @ net.p["att"][0] + b @ net.p["att"][1] for f, b in zip(*states)])
+            v = np.array([f @ net.p["out"][0] + b @ net.p["out"][1] for f, b in zip(*states)])
+            pooled = (np.exp(e - e.max()) / np.exp(e - e.max()).sum()) @ v if len(e) else 0.0
+            best = max(best, pooled + net.p["bias"][0])
+            if at + toxicity.WINDOW >= len(x):
+                break
+        assert abs(best - got) < 1e-3
+
+
+def test_gradients_of_words():
+    texts = ["abc def ghi you are low", "abc x"]
+    w = toxicity.words_of(texts)
+    known = np.unique(w.hashes)
+    rng = np.random.default_rng(2)
+    net = toxicity.Network.new(known, rng.normal(size=len(known)), rng.normal(size=toxicity.GRAMS), 0.0).index()
+    ids = net.ids(w.hashes)
+    _, first, length = toxicity.windows_of(w.at)
+    label = np.array([1.0, 0.0], np.float32)
+    g = net.gradients(w, ids, first, length, label, np.ones(2, np.float32))
+
+    def loss() -> float:
+        z = net.score(net.inputs(w, ids), first, length).astype(np.float64)
+        return float(np.mean(np.log1p(np.exp(z)) - label * z))
+
+    for name in ("word", "in_w"):
+        k = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        old = net.p[name][k]
+        net.p[name][k] = old + 1e-2
+        up = loss()
+        net.p[name][k] = old - 1e-2
+        slope = (up - loss()) / 2e-2
+        net.p[name][k] = old
+        assert abs(slope - g[name][k]) < 2e-3
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    with common.scratch(spark):
+        gone = common.written(spark.range(3), "gone").inputFiles()[0]
+        stays = common.kept(spark.range(3), "stays")
+    assert stays.count() == 3 and not Path(gone.removeprefix("file://")).exists()
