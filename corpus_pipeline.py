@@ -2,6 +2,12 @@
 
 Each stage takes all rows that the one before it kept and returns the columns of
 ``documents``, but for the last, which returns piece ids.
+
+Defined cases, by stage: a null or empty text counts as empty, gets the
+network's base score, is near to nothing, repeats nothing, has no words and so
+is never drawn by the mix; equal rows and ties go as the operators state; an
+empty table stays empty; extra columns, whatever their names, are carried up to
+the last stage.
 """
 
 from __future__ import annotations
@@ -49,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over all that the one before it kept; what a stage wrote on its way goes when it ends."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark):
+            docs = common.kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
