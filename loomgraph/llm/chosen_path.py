@@ -3,14 +3,21 @@
 Sets are the hashed five-word shingles of a text; equal sets collapse to one
 representative with a count.  A set is embedded as ``BINS`` one-permutation
 MinHash values, two sets agreeing on a value with probability J.  From each of
-``RUNS`` roots a set follows the coordinates that a hash of the path samples
+the runs' roots a set follows the coordinates that a hash of the path samples
 (``SPREAD`` on average, so about SPREAD * J shared ones): its value there extends
-the path, and sets on one path form a bucket.  Buckets of one set are dropped,
-small ones compared by brute force on the embeddings, larger ones split
-again.  What is still large after ``DEPTH`` splits is alike throughout and is
-compared with its leaders.  ``RUNS`` is set so that a pair at the threshold is
-missed by all runs with probability below ``MISS`` even if each of its buckets
-is split ``DEPTH`` times (taking the values of the bins as independent).
+the path, and sets on one path form a bucket.  Small buckets are compared by
+brute force on the embeddings, larger ones split again, until none is left.
+
+The first ``FIRST`` runs join most of what is alike into components; in their
+large buckets each set is compared with a leader alone.  From then on a record
+carries its component, only buckets in which components meet go on (those of
+the first runs that were too large among them), and a bucket gives edges
+between components only.  In a large bucket a leader joins what is like it, so
+what stays to be split shares too few values for its paths to live on.
+
+The number of runs follows from the recall that is asked for: a pair at the
+threshold is missed by all runs with probability below 1 - recall even if its
+buckets are split without end (taking the values of the bins as independent).
 
 Pairs that look alike (``SLACK`` below the threshold) only join candidate
 components, as forests; inside a component every pair is then decided exactly
@@ -41,9 +48,10 @@ THRESHOLD = 0.8
 WIDTH = 5
 BINS = 64
 SPREAD = 1.6
-DEPTH = 4
-#: Most that may be missed of the pairs at the threshold, at full depth.
-MISS = 1e-4
+#: Share of the pairs at the threshold that the runs find, however deep their buckets are split (0.99999 where none is, 0.9999 after four splits).
+RECALL = 0.996
+#: Runs that are joined to components before the others.
+FIRST = 3
 #: Buckets up to this size are compared by brute force.
 BUCKET = 512
 #: How far below the threshold an estimate may lie for a pair to stay a candidate: five standard errors of BINS values.
@@ -53,26 +61,28 @@ BLOCK_TOKENS = 1_000_000
 LEAST_ID = -(2**63)
 
 
-def missed(runs: int, levels: int) -> float:
-    """Probability that no run brings a pair at the threshold together, when its paths are followed over so many levels."""
+def missed(runs: int) -> float:
+    """Probability that no run brings a pair at the threshold together, however deep its paths are followed."""
     out = 0.0
     for k in range(BINS + 1):  # values on which the pair agrees
         lost = 0.0
-        for _ in range(levels):
+        for _ in range(200):
             lost = (1 - SPREAD / BINS * (1 - lost)) ** k
         seen = k >= (THRESHOLD - SLACK) * BINS
         out += math.comb(BINS, k) * THRESHOLD**k * (1 - THRESHOLD) ** (BINS - k) * (lost**runs if seen else 1)
     return out
 
 
-RUNS = next(r for r in range(1, 1000) if missed(r, DEPTH + 1) < MISS)
+def runs_for(recall: float) -> int:
+    """Runs that find this share of the pairs at the threshold."""
+    return next(r for r in range(FIRST + 1, 1000) if missed(r) < 1 - recall)
 
 
 def embedded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """MinHash values (texts x BINS, 16 bits) and the sorted shingle sets."""
+    """MinHash values (texts x BINS, 32 bits) and the sorted shingle sets."""
     hashes, at = shingles.shingle_hashes(raw, offsets, WIDTH)
     sets = [np.unique(hashes[a:b]) for a, b in zip(at, at[1:])]
-    return fingerprints.bins_of(hashes, at, BINS).astype("<u2"), sets
+    return fingerprints.bins_of(hashes, at, BINS).astype("<u4"), sets
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -111,131 +121,140 @@ def _children(paths: np.ndarray, sketch: np.ndarray, spread: float) -> tuple[np.
     return row, shingles.mixed(draw[row, col] ^ (sketch[row, col].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
-def _paths(records: DataFrame, roots: bool) -> DataFrame:
-    """The next paths of each record; from the roots when ``roots``."""
+_REP = pa.struct([("doc", pa.int64()), ("h", pa.int32())])
+
+
+def _grid(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, BINS)
+
+
+def _step(records: DataFrame, runs: range | None = None) -> DataFrame:
+    """The next paths of each record, with what it carries; from the roots of ``runs`` if any are given."""
+    kept = [c for c in ("rep", "root") if c in records.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), "<u2").reshape(-1, BINS)
-            starts = [np.full(len(b), (r + 1) * 0x94D049BB133111EB % 2**64, np.uint64) for r in range(RUNS)] if roots else [b.column("path").to_numpy().view(np.uint64)]
+            sketch = _grid(b.column("sketch"))
+            starts = [b.column("path").to_numpy().view(np.uint64)] if runs is None else [np.full(len(b), (r + 1) * 0x94D049BB133111EB % 2**64, np.uint64) for r in runs]
             made = [_children(p, sketch, SPREAD) for p in starts]
-            row, path = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(row)), pa.array(path.view(np.int64))], names=["rep", "path"])
+            row, path = pa.array(np.concatenate([m[0] for m in made])), np.concatenate([m[1] for m in made])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(row) for c in kept], pa.array(path.view(np.int64))], names=[*kept, "path"])
 
-    return records.mapInArrow(run, "rep struct<doc:long,h:int>, path long")
+    return records.mapInArrow(run, ", ".join(f"{c} struct<doc:long,h:int>" for c in kept) + ", path long")
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal values of each row of x with each of y."""
-    same = np.zeros((len(x), len(y)), np.uint8)
-    for c in range(BINS):
-        same += x[:, c, None] == y[None, :, c]
-    return same / BINS
+def _meeting(paths: DataFrame) -> DataFrame:
+    """The records of paths on which different texts (or components, where records carry them) meet, and how many they are."""
+    end = "root" if "root" in paths.columns else "rep"
+    counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("a"), F.max(end).alias("b")).where("a <> b")
+    # written, so that the join has exchanges of its own, which can be split where a path is hot
+    counts = common.written(counts.select(F.col("path").alias("_path"), "n"), "path-counts")
+    return common.written(paths.join(counts, F.col("path") == F.col("_path")).drop("_path"), "shared-paths")
 
 
-def _forest(x: np.ndarray, near: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that look alike."""
-    n = len(x)
-    root = np.arange(n)
-    out = []
-    for s in range(0, n, 256):
-        i, j = np.nonzero(_alike(x[s : s + 256], x) >= near)
-        i = i + s
-        for a, b in zip(i[i < j].tolist(), j[i < j].tolist()) if n < 64 else _thinned(i, j, root):
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((a, b))
-    return out
+def _alike(x: np.ndarray) -> np.ndarray:
+    """Share of equal values of each two rows; x may be a stack of buckets."""
+    same = np.zeros((*x.shape[:-1], x.shape[-2]), np.uint8)
+    for c in range(BINS):
+        same += x[..., :, None, c] == x[..., None, :, c]
+    return same / BINS
 
 
-def _thinned(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs in turn, leaving out those whose ends already hang together."""
-    keep = i < j
-    i, j = i[keep], j[keep]
-    while len(i):
-        yield int(i[0]), int(j[0])
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root[:] = up
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-
-
-def _led(x: np.ndarray, near: float) -> list[tuple[int, int]]:
-    """Links to leaders: each row joins all leaders that could be shared with a similar row, and leads if none is near."""
-    far = max(0.05, near - (1 - THRESHOLD) - SLACK / 2)
-    leaders: list[int] = []
-    out = []
-    for s in range(len(x)):
-        if leaders:
-            est = (x[leaders] == x[s]).mean(axis=1)
-            out += [(leaders[k], s) for k in np.flatnonzero(est >= far).tolist()]
-            if est.max() >= near:
-                continue
-        leaders.append(s)
-    return out
+def _trees(x: np.ndarray, root: np.ndarray, near: float) -> np.ndarray:
+    """For each row of each bucket (buckets x rows x BINS) the first row of its tree, once those that look alike or have one root are joined."""
+    joined = (_alike(x) >= near) | (root[:, :, None] == root[:, None, :])
+    n = x.shape[1]
+    label = np.broadcast_to(np.arange(n), x.shape[:2])
+    while True:
+        low = np.where(joined, label[:, None, :], n).min(axis=2)
+        low = np.take_along_axis(low, low, axis=1)
+        if (low == label).all():
+            return low
+        label = low
 
 
-def _bucket_edges(records: DataFrame, led: bool) -> DataFrame:
-    """Forest edges of each bucket; records come sorted by path."""
+def _bucket_edges(records: DataFrame) -> DataFrame:
+    """Each bucket's trees as stars, rows to a root, between ends that differ."""
     near = THRESHOLD - SLACK
-    kind = pa.struct([("doc", pa.int64()), ("h", pa.int32())])
+    end = "root" if "root" in records.columns else "rep"
+    kind = np.dtype([("doc", np.int64), ("h", np.int32)])
+
+    def edges(path: np.ndarray, ends: np.ndarray, grid: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        size = np.diff(np.append(first, len(path)))
+        known, code = np.unique(ends, return_inverse=True)
+        found = []
+        for n in np.unique(size[size > 1]).tolist():
+            starts, most = first[size == n], max(1, 8_000_000 // (n * n))
+            for s in range(0, len(starts), most):
+                at = starts[s : s + most, None] + np.arange(n)
+                label = _trees(grid[at], code[at], near)
+                u, v = code[at], code[np.take_along_axis(at, label, axis=1)]
+                found.append(np.stack([u[u != v], v[u != v]]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        sides = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(known[p][k])) for k in ("doc", "h")], fields=list(_REP)) for p in pairs]
+        return pa.RecordBatch.from_arrays(sides, names=["u", "v"])
 
-    def edges(x: list[bytes], reps: list[dict]) -> pa.RecordBatch:
-        order = sorted(range(len(reps)), key=lambda k: (reps[k]["doc"], reps[k]["h"]))
-        m = np.frombuffer(b"".join(x[k] for k in order), "<u2").reshape(-1, BINS)
-        pairs = _led(m, near) if led else _forest(m, near)
-        ends = [[reps[order[p[k]]] for p in pairs] for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(e, kind) for e in ends], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros((0, BINS), "<u4")
+        for b in batches:
+            if not len(b):
+                continue
+            e = b.column(end)
+            now = b.column("path").to_numpy(), np.rec.fromarrays([e.field(0).to_numpy(), e.field(1).to_numpy()], dtype=kind), _grid(b.column("sketch"))
+            path, ends, grid = (np.concatenate(x) for x in zip(held, now))
+            stop = int(np.flatnonzero(path == path[-1])[0])
+            if stop:
+                yield edges(path[:stop], ends[:stop], grid[:stop])
+            held = path[stop:], ends[stop:], grid[stop:]
+        if len(held[0]):
+            yield edges(*held)
+
+    dealt = records.where(F.col("n") <= BUCKET).select(end, "path", "sketch").repartition("path").sortWithinPartitions("path")
+    return dealt.mapInArrow(run, "u struct<doc:long,h:int>, v struct<doc:long,h:int>")
+
+
+def _leader_edges(large: DataFrame) -> DataFrame:
+    """In each large bucket, those that look like its leader, which a hash of the path picks."""
+    near = THRESHOLD - SLACK
+    end = "root" if "root" in large.columns else "rep"
+    leaders = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "rep.doc", "rep.h").alias("by"), F.col(end).alias("to"), "sketch")).alias("l"))
+    leaders = common.written(leaders.select(F.col("path").alias("_path"), F.col("l.to").alias("to"), F.col("l.sketch").alias("lead")), "leaders")
+    met = large.join(leaders, F.col("path") == F.col("_path")).where(F.col(end) != F.col("to")).select(F.col(end).alias("u"), F.col("to").alias("v"), "sketch", "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, x, reps = None, [], []
         for b in batches:
-            for path, rep, sketch in zip(b.column("path").to_pylist(), b.column("rep").to_pylist(), b.column("sketch").to_pylist()):
-                if path != held:
-                    if len(x) > 1:
-                        yield edges(x, reps)
-                    held, x, reps = path, [], []
-                x.append(sketch)
-                reps.append(rep)
-        if len(x) > 1:
-            yield edges(x, reps)
-
-    return records.mapInArrow(run, "u struct<doc:long,h:int>, v struct<doc:long,h:int>")
-
-
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Forest edges over ``reps(rep, sketch)`` whose components hold every similar pair, up to the stated recall."""
-    found = []
-    records = reps
-    for level in range(DEPTH + 1):
-        paths = common.written(_paths(records, level == 0).distinct(), "paths")
-        counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("path", "_path")
-        shared = common.written(paths.join(counts, F.col("path") == F.col("_path")).drop("_path"), "shared-paths")
-        full = shared.join(reps, "rep").select("rep", "path", "n", "sketch")
-        last = level == DEPTH
-        small = full if last else full.where(F.col("n") <= BUCKET)
-        found.append(_bucket_edges(small.where(F.col("n") <= BUCKET).repartition("path").sortWithinPartitions("path"), led=False))
-        if last:
-            found.append(_bucket_edges(full.where(F.col("n") > BUCKET).repartition("path").sortWithinPartitions("path"), led=True))
-            break
-        if shared.where(F.col("n") > BUCKET).isEmpty():
-            break
-        records = common.written(full.where(F.col("n") > BUCKET).drop("n"), "large-buckets")
-    edges = found[0]
-    for e in found[1:]:
-        edges = edges.unionByName(e)
-    return edges
+            if len(b):
+                alike = (_grid(b.column("sketch")) == _grid(b.column("lead"))).mean(axis=1) >= near
+                yield b.select(["u", "v"]).filter(pa.array(alike))
+
+    return met.mapInArrow(run, "u struct<doc:long,h:int>, v struct<doc:long,h:int>")
+
+
+def _rooted(records: DataFrame, roots: DataFrame) -> DataFrame:
+    """Records with their component so far, or themselves."""
+    return records.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep")).drop("node", "component")
+
+
+def candidate_groups(reps: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``node, component`` over ``reps(rep, sketch)``; a similar pair shares a component with the given recall."""
+    runs = runs_for(recall)
+    first = _meeting(common.written(_step(reps, range(FIRST)), "paths"))
+    full = first.join(reps, "rep")
+    edges = _bucket_edges(full).unionByName(_leader_edges(common.written(full.where(F.col("n") > BUCKET), "large-buckets")))
+    roots = common.written(components(edges), "roots")
+    paths = _step(_rooted(reps, roots), range(FIRST, runs))
+    paths = paths.unionByName(_rooted(first.where(F.col("n") > BUCKET).select("rep", "path"), roots).select("rep", "root", "path"))
+    while True:
+        full = _meeting(common.written(paths, "paths")).join(reps, "rep")
+        large = common.written(full.where(F.col("n") > BUCKET), "large-buckets")
+        edges = _bucket_edges(full).unionByName(roots.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        if large.isEmpty():
+            return components(edges)
+        roots = common.written(components(edges.unionByName(_leader_edges(large))), "roots")
+        paths = _rooted(_step(large.drop("root")), roots).select("rep", "root", "path")
 
 
 # -- exact verification ----------------------------------------------------------
@@ -406,8 +425,10 @@ def _compressed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, h int, z binary").dropDuplicates(["doc", "h"])
 
 
-def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Row key (doc, h), class (least row key of those reachable by links) and n_links of every row of ``documents``."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"the runs are laid out for thresholds from {THRESHOLD} on")
     spark = documents.sparkSession
     common.small_batches(spark)
     rows = _rows(documents)
@@ -415,10 +436,11 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     some = profiles.where("size > 0")
     per_set = some.groupBy("set").agg(F.min(F.struct("doc", "h")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     reps = common.written(per_set, "sets")
-    groups = common.written(components(candidate_edges(reps.select("rep", "sketch"))), "candidates")
+    groups = common.written(candidate_groups(reps.select("rep", "sketch"), recall), "candidates")
     members = groups.join(reps, groups["node"] == reps["rep"]).select("rep", F.col("component").alias("comp"), "copies", "size")
     sizes = members.groupBy("comp").agg(F.sum("size").alias("tokens"))
     sizes = sizes.select(F.col("comp").alias("_comp"), F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    sizes = common.written(sizes, "component-sizes")
     wanted = common.written(members.join(sizes, F.col("comp") == F.col("_comp")).drop("_comp"), "wanted")
     placed = _placed_sets(rows, wanted)
     dealt = placed.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "side")
@@ -431,9 +453,9 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc", "h", F.coalesce("class", F.struct("doc", "h")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def similarity_classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similarity_classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (other rows of similarity ``threshold`` or more) and kept, a row per document."""
-    found = classes(documents, threshold)
+    found = classes(documents, threshold, recall)
     real = lambda c: F.when(c != LEAST_ID, c)
     return found.select(real(F.col("doc")).alias("doc_id"), real(F.col("class.doc")).alias("class_id"), "n_links", (F.struct("doc", "h") == F.col("class")).alias("kept"))
 

@@ -21,8 +21,8 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each pair with the least neighbour of u; minima combine before the shuffle and a hot u is split in the join."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
+    """Each pair with the least neighbour of u; minima combine before the shuffle, and as they are written the join has exchanges of its own, in which a hot u can be split."""
+    least = common.written(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u"), "least")
     return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
@@ -61,22 +61,24 @@ def _contracted(edges: DataFrame, count: int) -> DataFrame:
         pick = lambda k: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(known[n][k])) for n in names], fields=list(ends[0].type)) if names else pa.array(known[k])
         yield pa.RecordBatch.from_arrays([pick(node), pick(root[node])], names=["u", "v"])
 
-    return edges.repartition(max(2, -(-count // PART_EDGES))).mapInArrow(run, schema).distinct()
+    return edges.repartition(max(1, -(-count // PART_EDGES))).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges(u, v)``; the component is its least node.
 
     Edges may repeat, loop and point either way; nulls are dropped.  Parts of
-    the edges of bounded size are contracted first, each in a task.  Each round is
+    the edges of bounded size are contracted first, each in a task (edges that fit
+    one part are done then).  Each round is
     written to the shared folder, and only a count and a checksum come to the
     driver.
     """
     now = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = common.written(now, "edges")
-    now = common.written(_contracted(now, now.count()), "edges")
+    count = now.count()
+    now = common.written(_contracted(now, count), "edges")
     seen = _sum(now)
-    while seen[0]:
+    while seen[0] and count > PART_EDGES:  # a single part is whole once contracted
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = _with_least(large)

@@ -248,22 +248,79 @@ def test_sentencepiece_every_rank_decodes(spark):
         assert np.allclose([score(x) for x in r.all], r.nbest_scores)
 
 
-def test_missed_pairs_at_full_depth():
-    """Pairs that agree on 51 of 64 values, followed by the code itself down to the last split."""
+def test_missed_pairs_at_any_depth():
+    """Pairs that agree on 51 of 64 values, followed by the code itself over many splits."""
     rng = np.random.default_rng(7)
-    bins, runs = chosen_path.BINS, 4000
-    a = rng.integers(0, 1 << 16, bins).astype("<u2")
+    bins, runs, levels = chosen_path.BINS, 4000, 12
+    a = rng.integers(0, 1 << 16, bins).astype("<u4")
     b = a.copy()
     b[rng.permutation(bins)[51:]] ^= 1
     paths = np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
     run = np.arange(runs)
     lost = 0.0
-    for _ in range(chosen_path.DEPTH + 1):
+    for _ in range(levels):
         (i, p), (j, q) = (chosen_path._children(paths, np.tile(x, (len(paths), 1)), chosen_path.SPREAD) for x in (a, b))
         both = np.isin(p, q)
-        paths, run = p[both], run[i[both]]
+        paths, run = p[both][:20_000], run[i[both]][:20_000]
         lost = (1 - chosen_path.SPREAD / bins * (1 - lost)) ** 51
+        if len(paths) == 20_000:
+            break
     share = 1 - len(np.unique(run)) / runs
-    assert abs(share - lost) < 0.04
-    assert lost**chosen_path.RUNS < 1e-4
-    assert chosen_path.missed(chosen_path.RUNS, chosen_path.DEPTH + 1) < 1e-4
+    assert len(paths) == 20_000 or abs(share - lost) < 0.04
+    assert chosen_path.missed(chosen_path.runs_for(chosen_path.RECALL)) < 1 - chosen_path.RECALL
+
+
+def _varied(rng, words: list[str], changes: int) -> str:
+    out = list(words)
+    for k in rng.permutation(len(words))[:changes]:
+        out[k] = f"z{rng.integers(1 << 40)}"
+    return " ".join(out)
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Two thousand pairs of 0.8 and above, of texts of all lengths, and none of those below it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(2000):
+        n = int(rng.choice([12, 30, 60, 200, 500]))
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+        own = list(words)
+        for _ in range(n // 60 + 1):  # at the end a change touches few shingles
+            at = n - 1 - int(rng.integers(max(1, n // 25)))
+            own[at] = f"y{rng.integers(1 << 40)}"
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(own), "s")]
+    sets = [shingles(t) for _, t, _ in rows]
+    near = {k for k in range(0, len(rows), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    assert len(near) > 1000
+    out = {r.doc_id: r for r in chosen_path.similarity_classes(documents(spark, rows)).collect()}
+    found = {k for k in range(0, len(rows), 2) if out[k + 1].class_id == k and out[k].n_links == 1}
+    assert found <= near and len(found) >= 0.996 * len(near)
+
+
+def test_one_large_class_of_near_copies(spark, monkeypatch):
+    """A class of three thousand different near copies, and as many texts that share a passage with it but are not near."""
+    rng = np.random.default_rng(6)
+    words, passage = [f"w{k}" for k in range(100)], [f"p{k}" for k in range(30)]
+    rows = [(k, _varied(rng, words + passage, 1), "s") for k in range(3000)]
+    rows += [(3000 + k, _varied(rng, [f"v{k}x{j}" for j in range(40)] + passage, 0), "s") for k in range(1500)]
+    seen = []
+    real = chosen_path.components
+    monkeypatch.setattr(chosen_path, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    out = chosen_path.similarity_classes(documents(spark, rows)).collect()
+    assert {r.class_id for r in out if r.doc_id < 3000} == {0}
+    assert all(r.class_id == r.doc_id and r.n_links == 0 for r in out if r.doc_id >= 3000)
+    assert max(seen[:-1]) < 8 * 3000  # a few stars, not pairs
+    links = {r.doc_id: r.n_links for r in out}
+    sets = [shingles(t) for _, t, _ in rows[:3000]]
+    for k in range(0, 3000, 300):
+        assert links[k] == sum(1 for j in range(3000) if j != k and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]))
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    from loomgraph.llm import components as c
+
+    for part in (c.PART_EDGES, 50):
+        monkeypatch.setattr(c, "PART_EDGES", part)
+        edges = [(k + 1, k) for k in range(400) if k % 100] + [(1000, 500 + k) for k in range(60)]
+        out = {r.node: r.component for r in c.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert all(out[k] == k // 100 * 100 + 1 for k in range(1, 400) if k % 100) and all(out[500 + k] == 500 for k in range(60))
