@@ -10,6 +10,10 @@ scores the gap to the second best.  A text's N best can differ from its best
 only in the N - 1 units of least gap: there a backward A* search whose heuristic
 is the forward Viterbi score, hence exact, lists the unit's N best, and the
 lists are merged.  Ties go to the unit that comes first and to the longer last piece.
+Units of more than ``LONG`` characters (text without spaces) fall apart at every
+place that no piece crosses; what is still long is searched edge by edge, and as
+of the N best at most N pass a node with different ends, A* opens a node N times
+at most: work and memory grow with the length of the text.
 Every segmentation comes out whole: the best as ids, each as the runs of those
 ids that it replaces, from which ``nbest_ids`` writes its ids in full.
 
@@ -41,6 +45,8 @@ CACHE = 250_000
 #: Characters of new units that one numpy pass takes.
 SLICE = 100_000
 CHUNK = 1_000_000
+#: Characters from which on a unit is taken apart.
+LONG = 64
 MARK = pieces.SPACE
 Unit = tuple[bytes, float, float]
 #: Place in the best ids, the ids that stand there, and those that replace them.
@@ -180,33 +186,119 @@ class Encoder:
             data = raw[4 * a : 4 * b]
             self.units[text] = (data if u not in odd else self.nbest(text, 1)[0][1], s, g)
 
+    def _found(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, places and ids of all pieces of a unit, slice by slice."""
+        for s in range(0, len(points), SLICE):
+            window = points[s : s + SLICE + self.most - 1]
+            powers, _ = shingles._power_tables(len(window) + 1)
+            sums = np.zeros(len(window) + 1, np.uint64)
+            np.cumsum((window.astype(np.uint64) + np.uint64(1)) * powers[: len(window)], out=sums[1:])
+            for k in range(1, min(self.most, len(window)) + 1):
+                i = np.arange(min(SLICE, len(window) - k + 1))
+                found = self._find(self._hashes(window, i, i + k, sums))
+                yield k, i[found >= 0] + s, found[found >= 0]
+
+    def _parts(self, unit: str) -> list[str]:
+        """A long unit, cut wherever no piece crosses."""
+        points = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+        step = np.zeros(len(points) + 2, np.int32)
+        for k, i, _ in self._found(points):
+            if k > 1:
+                step[i + 1] += 1
+                step[i + k] -= 1
+        free = np.flatnonzero(np.cumsum(step)[1 : len(points)] == 0) + 1
+        cuts = [0, *free.tolist(), len(unit)]
+        return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _lattice(self, unit: str, mark: str = "") -> tuple[list[int], list[int], list[float], list[int]]:
+        """Begin, id (-1: bytes) and score of the edges by the node at which they end, longest first, and each node's first edge."""
+        points = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+        found = [(i, i + k, x, self.scores[x]) for k, i, x in self._found(points)]
+        lone = np.ones(len(points), bool)
+        for i, e, _, _ in found:
+            lone[i[e == i + 1]] = False
+        i = np.flatnonzero(lone)
+        width = np.where(points[i] < 0x80, 1, np.where(points[i] < 0x800, 2, np.where(points[i] < 0x10000, 3, 4)))
+        if mark:
+            width[points[i] == ord(mark)] = len(MARK.encode("utf-8"))
+        found.append((i, i + 1, np.full(len(i), -1), width * self.unknown))
+        begin, end, ids, score = (np.concatenate([f[c] for f in found]) for c in range(4))
+        order = np.lexsort((begin, end))
+        at = np.searchsorted(end[order], np.arange(len(points) + 2))
+        return begin[order].tolist(), ids[order].tolist(), score[order].tolist(), at.tolist()
+
+    def _ahead(self, n: int, begin: list[int], score: list[float], at: list[int]) -> tuple[list[float], list[int]]:
+        """Forward Viterbi scores of the nodes, and the edge by which each is reached."""
+        ahead, by = [0.0] * (n + 1), [0] * (n + 1)
+        for j in range(1, n + 1):
+            best, edge = -np.inf, 0
+            for x in range(at[j], at[j + 1]):
+                v = ahead[begin[x]] + score[x]
+                if v > best:
+                    best, edge = v, x
+            ahead[j], by[j] = best, edge
+        return ahead, by
+
+    def _own(self, unit: str, i: int, j: int, k: int, mark: str = "") -> list[int]:
+        """Ids of an edge."""
+        return [k] if k >= 0 else [self.byte[x] for x in (MARK if unit[i:j] == mark else unit[i:j]).encode("utf-8")]
+
+    def _long(self, unit: str, mark: str = "") -> Unit:
+        """Best path, its score and the gap to the second best of one long unit."""
+        n = len(unit)
+        begin, ids, score, at = self._lattice(unit, mark)
+        ahead, by = self._ahead(n, begin, score, at)
+        behind = [-np.inf] * n + [0.0]
+        for j in range(n, 0, -1):
+            for x in range(at[j], at[j + 1]):
+                v = behind[j] + score[x]
+                if v > behind[begin[x]]:
+                    behind[begin[x]] = v
+        path, j = [], n
+        while j:
+            path.append((by[j], j))
+            j = begin[by[j]]
+        through = np.array(ahead)[begin] + np.array(score) + np.array(behind)[np.repeat(np.arange(n + 1), np.diff(at))]
+        through[[x for x, _ in path]] = -np.inf
+        flat = [k for x, j in reversed(path) for k in self._own(unit, begin[x], j, ids[x], mark)]
+        return np.array(flat, "<i4").tobytes(), ahead[n], ahead[n] - float(through.max(initial=-np.inf))
+
     def nbest(self, unit: str, count: int, mark: str = "") -> list[tuple[float, bytes]]:
         """The ``count`` best segmentations of a unit, best first; ``mark`` stands for a literal U+2581."""
         n = len(unit)
-        into: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]  # edges ending at each node
-        ahead = [0.0] + [-np.inf] * n
-        for j in range(1, n + 1):
-            for i in range(j - 1, max(-1, j - 1 - self.most), -1):
-                k = self.ids.get(unit[i:j], -1)
-                if k >= 0 or i == j - 1:
-                    own = MARK if unit[i:j] == mark else unit[i:j]
-                    s = float(self.scores[k]) if k >= 0 else len(own.encode("utf-8")) * self.unknown
-                    into[j].append((i, s, k))
-                    ahead[j] = max(ahead[j], ahead[i] + s)
-        heap: list[tuple[float, int, int, float, tuple]] = [(-ahead[n], 0, n, 0.0, ())]
+        if n > LONG:
+            begin, ids, score, at = self._lattice(unit, mark)
+        else:
+            begin, ids, score, at = [], [], [], [0, 0]
+            for j in range(1, n + 1):
+                for i in range(max(0, j - self.most), j):
+                    k = self.ids.get(unit[i:j], -1)
+                    if k >= 0 or i == j - 1:
+                        begin.append(i)
+                        ids.append(k)
+                        score.append(float(self.scores[k]) if k >= 0 else len((MARK if unit[i:j] == mark else unit[i:j]).encode("utf-8")) * self.unknown)
+                at.append(len(begin))
+        ahead, _ = self._ahead(n, begin, score, at)
+        # of equal promise the node nearest to the start comes first, then the longer piece
+        heap: list[tuple[float, int, int, float, tuple]] = [(-ahead[n], n, 0, 0.0, ())]
+        opened = [0] * (n + 1)
         out, turn = [], 0
         while heap and len(out) < count:
-            _, _, j, s, path = heapq.heappop(heap)
+            _, j, _, s, path = heapq.heappop(heap)
             if j == 0:
-                found, chain = [], path
-                while chain:
-                    i, e, k, chain = chain
-                    found += [k] if k >= 0 else [self.byte[x] for x in (MARK if unit[i:e] == mark else unit[i:e]).encode("utf-8")]
+                found: list[int] = []
+                while path:
+                    i, e, k, path = path
+                    found += self._own(unit, i, e, k, mark)
                 out.append((s, np.array(found, "<i4").tobytes()))
                 continue
-            for i, cost, k in reversed(into[j]):
+            if opened[j] == count:
+                continue
+            opened[j] += 1
+            for x in range(at[j], at[j + 1]):
                 turn += 1
-                heapq.heappush(heap, (-(s + cost + ahead[i]), turn, i, s + cost, (i, j, k, path)))
+                i = begin[x]
+                heapq.heappush(heap, (-(s + score[x] + ahead[i]), i, turn, s + score[x], (i, j, ids[x], path)))
         return out
 
     def _split(self, text: str) -> tuple[list[str], str]:
@@ -221,19 +313,21 @@ class Encoder:
         if len(self.units) > CACHE:
             self.units, self.older = {}, self.units
         cut = [self._split(t) if t else ([], "") for t in texts]
+        cut = [([x for u in us for x in (self._parts(u) if len(u) > LONG else (u,))], m) if max(map(len, us), default=0) > LONG else (us, m) for us, m in cut]
         marked = {u: m for us, m in cut if m for u in us if m in u}
         new: list[str] = []
+        lengthy: dict[str, Unit] = {}
         size = 0
         for u in set().union(*[us for us, _ in cut]).difference(self.units):
             if u in marked:
                 continue
+            if len(u) > LONG:  # not remembered beyond this call
+                lengthy[u] = self._long(u)
+                continue
             known = self.older.get(u)
             if known is not None:
                 self.units[u] = known
                 continue
-            if len(u) > 4 * SLICE // 10 and new:
-                self._learn([u])
-                continue
             new.append(u)
             size += len(u)
             if size > SLICE:
@@ -247,14 +341,8 @@ class Encoder:
             if not us:
                 out.append((b"", [0.0], [0], [[]]))
                 continue
-            if mark:
-                found = []
-                for u in us:
-                    if mark in u:
-                        two = self.nbest(u, 2, mark)
-                        found.append((two[0][1], two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf))
-                    else:
-                        found.append(self.units[u])
+            if mark or lengthy:
+                found = [self._long(u, mark) if mark and mark in u else lengthy.get(u) or self.units[u] for u in us]
             else:
                 found = list(map(self.units.__getitem__, us))
             parts = [f[0] for f in found]
@@ -323,6 +411,21 @@ def nbest_ids(ids: str = "ids", changes: str = "nbest_changes") -> Column:
     return F.transform(changes, lambda way: F.aggregate(F.reverse(way), F.col(ids), put))
 
 
+def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """``encoded`` with the text of the pieces in ``ids``, in place of a column ``out``; null ids give null."""
+    common.small_batches(encoded.sparkSession)
+    base = encoded.drop(out)
+    schema = base.withColumn(out, F.lit("")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = encoder(model)
+        for b in batches:
+            texts = [None if x is None else machine.decode(x) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+
+    return base.mapInArrow(run, schema)
+
+
 def encode(documents: DataFrame, model: str, nbest: int = NBEST) -> DataFrame:
     """doc_id, n_pieces, ids, nbest_scores, nbest_pieces, nbest_changes and whether decoding every rank gives the text back; a single pass without a shuffle.
 

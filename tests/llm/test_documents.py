@@ -297,6 +297,50 @@ def test_recall_of_pairs_near_the_threshold(spark):
     assert found <= near and len(found) >= 0.996 * len(near)
 
 
+def _best_scores(e, text: str, count: int) -> list[float]:
+    """The best scores of a whole text by lists at every node, without units."""
+    s = "\u2581" + text.replace("\u2581", "\ufdd0").replace(" ", "\u2581") if text else ""
+    best = [[0.0]]
+    for j in range(1, len(s) + 1):
+        found = []
+        for i in range(max(0, j - e.most), j):
+            k = e.ids.get(s[i:j])
+            if k is not None:
+                found += [x + float(e.scores[k]) for x in best[i]]
+            elif i == j - 1:
+                found += [x + (3 if s[i] == "\ufdd0" else len(s[i].encode())) * e.unknown for x in best[i]]
+        best.append(sorted(found, reverse=True)[:count])
+    return best[-1]
+
+
+def test_sentencepiece_nbest_of_whole_texts():
+    e = sentencepieces.Encoder(pieces.public_model())
+    rng = np.random.default_rng(9)
+    odd = ["x" * 300, "ab" * 200, "日本語の文章" * 40, "".join(rng.choice(list("etaoin"), 400)), "a▁b" * 60, "▁" * 90, "\n".join("word" for _ in range(50)), "🙂" * 70 + "abc"]
+    for text in [t or "" for i, t, _ in texts() if i != 40] + odd:
+        got = e([text])[0]
+        assert np.allclose(got[1], _best_scores(e, text, sentencepieces.NBEST)), text[:40]
+        assert e.decode(np.frombuffer(got[0], "<i4").tolist()) == text
+
+
+def test_sentencepiece_work_grows_with_the_length():
+    import time
+
+    e = sentencepieces.Encoder(pieces.public_model())
+    rng = np.random.default_rng(9)
+    for text in ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 100_000))), "x" * 100_000, "".join(rng.choice(list("etaoinshr"), 100_000))]:
+        began = time.process_time()
+        got = e([text])[0]
+        assert time.process_time() - began < 15
+        assert e.decode(np.frombuffer(got[0], "<i4").tolist()) == text and len(got[1]) in (1, sentencepieces.NBEST)
+
+
+def test_sentencepiece_decode(spark):
+    made = sentencepieces.encode(documents(spark), pieces.public_model())
+    back = sentencepieces.decode(made, pieces.public_model()).collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t, _ in texts())
+
+
 def test_one_large_class_of_near_copies(spark, monkeypatch):
     """A class of three thousand different near copies, and as many texts that share a passage with it but are not near."""
     rng = np.random.default_rng(6)
