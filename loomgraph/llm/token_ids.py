@@ -5,6 +5,9 @@ fewest that hold the vocabulary, little-endian, in blocks of ``BLOCK`` ids that
 start on a byte of their own, so numpy unpacks a block with a few shifts and
 any id range is read from its blocks alone.
 
+Files of about ``FILE_BYTES`` of text follow each other inside a key range, so
+neither a task nor the driver holds a range whole.
+
 Layout: a JSON header of fixed fields padded to ``HEADER`` bytes, then doc ids
 (int64), their validity (uint8), document offsets in ids (uint64, one more than
 documents), block offsets in bytes (uint64, one more than blocks), the blocks.
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, storage
@@ -34,8 +37,10 @@ BLOCK = 4096
 HEADER = 256
 MAGIC = "token-ids-1"
 END_ID = 2
-#: Texts of about so many bytes go into one file.
+#: Texts of about so many bytes, or one document, go into one file.
 FILE_BYTES = 16_000_000
+#: Key ranges at most, each written by one task, file after file; their bounds and sums come to the driver.
+RANGES = 4096
 #: Entries of a worker's word cache, which is emptied when full.
 CACHE = 300_000
 
@@ -195,31 +200,33 @@ class WordEncoder:
         return [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
-def _write_ranges(encoder: Callable[[], WordEncoder], folder: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write_ranges(encoder: Callable[[], WordEncoder], folder: str, end_id: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         bits = width_of(max(encode.size, end_id + 1))
         tail = np.array([end_id], "<u4").tobytes()
-        held, docs, lengths, ids = None, [], [], []
+        held, part, filled, docs, lengths, ids = None, 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
-            uri = f"{folder}/ids-{held:06d}.bin"
+            uri = f"{folder}/ids-{held:06d}-{part:06d}.bin"
             flat = np.concatenate([np.frombuffer(x, "<u4") for x in ids])
             storage.put(uri, file_bytes(docs, np.array(lengths), flat, bits))
-            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([uri]), pa.array([len(flat)], pa.int64())], names=["range", "uri", "n_ids"])
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(flat)], pa.int64())], names=["range", "part", "uri", "n_ids"])
 
         for b in batches:
             keys, ranges, texts = b.column("doc_id").to_pylist(), b.column("_range").to_pylist(), b.column("text").to_pylist()
             i = 0
             while i < len(keys):
                 j, size = i, 0
-                while j < len(keys) and ranges[j] == ranges[i] and (j == i or size < common.CHUNK_BYTES):
+                while j < len(keys) and ranges[j] == ranges[i] and (j == i or size < min(common.CHUNK_BYTES, most)):
                     size += len(texts[j])
                     j += 1
-                if ranges[i] != held:
+                if ranges[i] != held or filled >= most:
                     if held is not None:
                         yield close()
-                    held, docs, lengths, ids = ranges[i], [], [], []
+                    part = part + 1 if ranges[i] == held else 0
+                    held, filled, docs, lengths, ids = ranges[i], 0, [], [], []
+                filled += size
                 made = encode(texts[i:j])
                 docs += keys[i:j]
                 lengths += [len(x) // 4 + 1 for x in made]
@@ -232,21 +239,24 @@ def _write_ranges(encoder: Callable[[], WordEncoder], folder: str, end_id: int)
 
 
 def write_ids(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Encode ``documents`` into files in ascending doc_id order; the manifest (range, uri, n_ids, start) is returned."""
+    """Encode ``documents`` into files in ascending doc_id order; the manifest (range, part, uri, n_ids, start) is returned."""
     spark = documents.sparkSession
     common.small_batches(spark)
     folder = folder or common.shared_path(spark, "token-ids")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    ranged, n = common.key_ranges(rows, F.coalesce("doc_id", F.lit(-(2**63))), min(4096, max(common.partitions(spark), -(-size // FILE_BYTES))))
+    ranged, n = common.key_ranges(rows, F.coalesce("doc_id", F.lit(-(2**63))), min(RANGES, max(common.partitions(spark), -(-size // FILE_BYTES))))
     dealt = rows.withColumn("_range", ranged).repartition(n, "_range").sortWithinPartitions("_range", F.col("doc_id").asc_nulls_first(), "text")
-    files = common.written(dealt.mapInArrow(_write_ranges(lambda: WordEncoder(tokenizer), folder, end_id), "range int, uri string, n_ids long"), "token-manifest")
-    made = sorted(files.collect())  # a row per file, at most 4096
-    start, table = 0, []
-    for r in made:
-        table.append((r["range"], r["uri"], r["n_ids"], start))
-        start += r["n_ids"]
-    return spark.createDataFrame(table, "range int, uri string, n_ids long, start long")
+    files = dealt.mapInArrow(_write_ranges(lambda: WordEncoder(tokenizer), folder, end_id, FILE_BYTES), "range int, part int, uri string, n_ids long")
+    files = common.written(files, "token-manifest")
+    start, before = 0, []
+    for r in sorted(files.groupBy("range").agg(F.sum("n_ids").alias("n")).collect()):  # a row per range
+        before.append((r["range"], start))
+        start += r["n"]
+    starts = spark.createDataFrame(before, "_range int, _start long")
+    earlier = F.sum("n_ids").over(Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("_own", F.coalesce(earlier, F.lit(0)))
+    return files.join(F.broadcast(starts), F.col("range") == F.col("_range")).select("range", "part", "uri", "n_ids", (F.col("_start") + F.col("_own")).alias("start"))
 
 
 def read_ids(manifest: DataFrame, columns: tuple[str, ...] = ("ids",)) -> DataFrame:

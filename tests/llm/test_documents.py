@@ -174,6 +174,29 @@ def test_token_ids(spark):
     assert token_ids.round_trip(documents(spark, []), path).collect() == []
 
 
+def test_token_files_of_a_range(spark, monkeypatch):
+    """Several files a range, several blocks a file, and random access to documents."""
+    monkeypatch.setattr(token_ids, "FILE_BYTES", 3000)
+    monkeypatch.setattr(token_ids, "RANGES", 2)
+    path = token_ids.public_tokenizer()
+    rows = [(i, f"one two {i} three " * (40 if i != 5 else 6000), "s") for i in range(60)]
+    files = token_ids.write_ids(documents(spark, rows), path)
+    made = sorted(files.collect())
+    assert max(r.part for r in made) > 3 and len({r.range for r in made}) == 2
+    assert [r.start for r in made] == [sum(x.n_ids for x in made[:k]) for k in range(len(made))]
+    encode = token_ids.WordEncoder(path)
+    text, seen, blocks = {i: t for i, t, _ in rows}, [], 0
+    for r in made:
+        with token_ids.TokenFile(r.uri) as f:
+            blocks = max(blocks, len(f._at) - 1)
+            for k in reversed(range(len(f.doc_ids))):
+                want = np.frombuffer(encode([text[int(f.doc_ids[k])]])[0], "<u4")
+                assert (f.document(k) == np.append(want, 2)).all()
+            seen += f.doc_ids.tolist()
+    assert seen == list(range(60)) and blocks > 5
+    assert sorted(r.doc_id for r in token_ids.read_ids(files).collect()) == seen
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_packing(bits):
     x = np.random.default_rng(bits).integers(0, 1 << bits, 777).astype(np.uint32)
