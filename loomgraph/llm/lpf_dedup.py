@@ -284,10 +284,13 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH, keep_first: bool =
     rows = _rows(documents)
     anchors = _anchors(rows, length)
     again = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("s0"), F.max("seg").alias("s1")).where("c > 1").select(F.col("key").alias("_key"), (F.col("s0") != F.col("s1")).alias("several"))
+    # what is counted by key is written before it is joined: the join then has exchanges of its own, in which a hot key can be split
+    again = common.written(again, "anchors-met-again")
     # anchors are made a second time rather than stored: they cost less than the disk they take
     found = common.written(anchors.join(again, F.col("key") == F.col("_key")).drop("_key"), "anchors")
     each = common.written(found.groupBy("key", "seg", "several").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "h", "a")).alias("first"), F.first("n").alias("n")), "segments")
     sizes = each.where("several").groupBy("key").agg((F.count(F.lit(1)) > HOT).alias("hot")).withColumnRenamed("key", "_key")
+    sizes = common.written(sizes, "anchor-sizes")
     wanted = each.where("several").join(sizes, F.col("key") == F.col("_key")).drop("_key")
     needs = wanted.groupBy("first.doc", "first.h").agg(F.collect_list(F.struct("key", "seg", F.col("first.a").alias("a"), "n", "hot")).alias("wants"))
     texts = common.written(_segment_texts(_compressed(rows.where(F.octet_length("text") >= length), ["doc", "h"]).dropDuplicates(["doc", "h"]), needs, length), "segment-texts")
@@ -305,6 +308,7 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH, keep_first: bool =
     earlier = F.when(F.col("ehi").isNotNull(), F.struct(F.col("elo").alias("lo"), F.col("ehi").alias("hi")))
     either = F.when(F.col("c") > 1, whole).otherwise(F.struct("lo", "hi"))
     flags = flags.select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), "first", (earlier if keep_first else either).alias("of_first"), whole.alias("of_rest") if keep_first else either.alias("of_rest"))
+    flags = common.written(flags, "segment-flags")
     marked = found.join(flags, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg")))
     run = F.when(F.struct("doc", "h", "a") == F.col("first"), F.col("of_first")).otherwise(F.col("of_rest"))
     marked = marked.withColumn("run", run).where("run IS NOT NULL")
