@@ -13,7 +13,9 @@ large buckets each set is compared with a leader alone.  From then on a record
 carries its component, only buckets in which components meet go on (those of
 the first runs that were too large among them), and a bucket gives edges
 between components only.  In a large bucket a leader joins what is like it, so
-what stays to be split shares too few values for its paths to live on.
+what stays to be split shares too few values for its paths to live on.  Buckets
+of at most ``WHOLE`` sets are split on in the memory of one task, larger ones
+across tasks; both are the same recursion.
 
 The number of runs follows from the recall that is asked for: a pair at the
 threshold is missed by all runs with probability below 1 - recall even if its
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, fingerprints, shingles
-from loomgraph.llm.components import components
+from loomgraph.llm.components import components, roots_of
 
 THRESHOLD = 0.8
 WIDTH = 5
@@ -54,6 +56,8 @@ RECALL = 0.996
 FIRST = 3
 #: Buckets up to this size are compared by brute force.
 BUCKET = 512
+#: Buckets up to this size are split on inside the task that has them, larger ones by a further shuffle.
+WHOLE = 50_000
 #: How far below the threshold an estimate may lie for a pair to stay a candidate: five standard errors of BINS values.
 SLACK = 0.25
 #: Shingles that one block of a component holds.
@@ -175,44 +179,78 @@ def _trees(x: np.ndarray, root: np.ndarray, near: float) -> np.ndarray:
         label = low
 
 
+def _meetings(path: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of the runs of equal paths in which different codes meet."""
+    first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+    size = np.diff(np.append(first, len(path)))
+    meet = np.minimum.reduceat(code, first) != np.maximum.reduceat(code, first)
+    return first[meet], size[meet]
+
+
+def _joined(path: np.ndarray, code: np.ndarray, grid: np.ndarray, near: float, small: int) -> np.ndarray:
+    """Pairs of codes, as stars, that join whatever looks alike in the runs of equal paths: small runs by brute force, larger ones split until small."""
+    found = [np.zeros((2, 0), np.int64)]
+    rows = np.arange(len(path))
+    while len(rows):
+        own = code[rows]
+        first, size = _meetings(path, own)
+        for n in np.unique(size[size <= small]).tolist():
+            starts, most = first[size == n], max(1, 8_000_000 // (n * n))
+            for s in range(0, len(starts), most):
+                at = starts[s : s + most, None] + np.arange(n)
+                label = _trees(grid[rows[at]], own[at], near)
+                u, v = own[at], own[np.take_along_axis(at, label, axis=1)]
+                found.append(np.stack([u[u != v], v[u != v]]))
+        first, size = first[size > small], size[size > small]
+        if not len(first):
+            break
+        # the leader of each large run, then what is still apart goes a step further
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        lead = first + (shingles.mixed(path[first].view(np.uint64)) % size.astype(np.uint64)).astype(np.int64)
+        lead = np.repeat(lead, size)
+        alike = (grid[rows[at]] == grid[rows[lead]]).mean(axis=1) >= near
+        found.append(np.stack([own[at[alike]], own[lead[alike]]]))
+        pairs = np.concatenate(found, axis=1)
+        code = roots_of(pairs[0], pairs[1], len(code))[code]
+        found = [np.unique(pairs, axis=1)]
+        row, child = _children(path[at].view(np.uint64), grid[rows[at]], SPREAD)
+        order = np.argsort(child, kind="stable")
+        path, rows = child[order].view(np.int64), rows[at[row[order]]]
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
 def _bucket_edges(records: DataFrame) -> DataFrame:
     """Each bucket's trees as stars, rows to a root, between ends that differ."""
-    near = THRESHOLD - SLACK
+    near, small, whole = THRESHOLD - SLACK, BUCKET, WHOLE
     end = "root" if "root" in records.columns else "rep"
     kind = np.dtype([("doc", np.int64), ("h", np.int32)])
 
     def edges(path: np.ndarray, ends: np.ndarray, grid: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-        size = np.diff(np.append(first, len(path)))
         known, code = np.unique(ends, return_inverse=True)
-        found = []
-        for n in np.unique(size[size > 1]).tolist():
-            starts, most = first[size == n], max(1, 8_000_000 // (n * n))
-            for s in range(0, len(starts), most):
-                at = starts[s : s + most, None] + np.arange(n)
-                label = _trees(grid[at], code[at], near)
-                u, v = code[at], code[np.take_along_axis(at, label, axis=1)]
-                found.append(np.stack([u[u != v], v[u != v]]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = _joined(path, code, grid, near, small)
+        pairs = pairs[:, pairs[0] != pairs[1]]
         sides = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(known[p][k])) for k in ("doc", "h")], fields=list(_REP)) for p in pairs]
         return pa.RecordBatch.from_arrays(sides, names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros((0, BINS), "<u4")
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
             if not len(b):
                 continue
             e = b.column(end)
             now = b.column("path").to_numpy(), np.rec.fromarrays([e.field(0).to_numpy(), e.field(1).to_numpy()], dtype=kind), _grid(b.column("sketch"))
-            path, ends, grid = (np.concatenate(x) for x in zip(held, now))
+            if parts and parts[-1][0][-1] == now[0][0] == now[0][-1]:  # one bucket goes on
+                parts.append(now)
+                continue
+            path, ends, grid = (np.concatenate(x) for x in zip(*parts, now))
             stop = int(np.flatnonzero(path == path[-1])[0])
             if stop:
                 yield edges(path[:stop], ends[:stop], grid[:stop])
-            held = path[stop:], ends[stop:], grid[stop:]
-        if len(held[0]):
-            yield edges(*held)
+            parts = [(path[stop:], ends[stop:], grid[stop:])]
+        if parts:
+            yield edges(*(np.concatenate(x) for x in zip(*parts)))
 
-    dealt = records.where(F.col("n") <= BUCKET).select(end, "path", "sketch").repartition("path").sortWithinPartitions("path")
+    dealt = records.where(F.col("n") <= whole).select(end, "path", "sketch").repartition("path").sortWithinPartitions("path")
     return dealt.mapInArrow(run, "u struct<doc:long,h:int>, v struct<doc:long,h:int>")
 
 
@@ -243,13 +281,13 @@ def candidate_groups(reps: DataFrame, recall: float = RECALL) -> DataFrame:
     runs = runs_for(recall)
     first = _meeting(common.written(_step(reps, range(FIRST)), "paths"))
     full = first.join(reps, "rep")
-    edges = _bucket_edges(full).unionByName(_leader_edges(common.written(full.where(F.col("n") > BUCKET), "large-buckets")))
+    edges = _bucket_edges(full).unionByName(_leader_edges(common.written(full.where(F.col("n") > WHOLE), "large-buckets")))
     roots = common.written(components(edges), "roots")
     paths = _step(_rooted(reps, roots), range(FIRST, runs))
-    paths = paths.unionByName(_rooted(first.where(F.col("n") > BUCKET).select("rep", "path"), roots).select("rep", "root", "path"))
+    paths = paths.unionByName(_rooted(first.where(F.col("n") > WHOLE).select("rep", "path"), roots).select("rep", "root", "path"))
     while True:
         full = _meeting(common.written(paths, "paths")).join(reps, "rep")
-        large = common.written(full.where(F.col("n") > BUCKET), "large-buckets")
+        large = common.written(full.where(F.col("n") > WHOLE), "large-buckets")
         edges = _bucket_edges(full).unionByName(roots.select(F.col("node").alias("u"), F.col("component").alias("v")))
         if large.isEmpty():
             return components(edges)

@@ -89,9 +89,10 @@ def test_splitting_tree_keeps_quotas(spark):
     assert {sum(r.quotas) for r in leaves} <= {101, 102} and all(q >= 0 for r in leaves for q in r.quotas)
 
 
-@pytest.mark.parametrize("bucket,block", [(512, 1_000_000), (2, 200)])
-def test_jaccard_classes(spark, monkeypatch, bucket, block):
+@pytest.mark.parametrize("bucket,whole,block", [(512, 50_000, 1_000_000), (2, 4, 200), (2, 1000, 200)])
+def test_jaccard_classes(spark, monkeypatch, bucket, whole, block):
     monkeypatch.setattr(chosen_path, "BUCKET", bucket)
+    monkeypatch.setattr(chosen_path, "WHOLE", whole)
     monkeypatch.setattr(chosen_path, "BLOCK_TOKENS", block)
     rows = texts()
     sets = [shingles(t) for _, t, _ in rows]
@@ -364,8 +365,10 @@ def test_sentencepiece_decode(spark):
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t, _ in texts())
 
 
-def test_one_large_class_of_near_copies(spark, monkeypatch):
-    """A class of three thousand different near copies, and as many texts that share a passage with it but are not near."""
+@pytest.mark.parametrize("whole", [50_000, 700])
+def test_one_large_class_of_near_copies(spark, monkeypatch, whole):
+    """A class of three thousand different near copies, and half as many texts that share a passage with it but are not near."""
+    monkeypatch.setattr(chosen_path, "WHOLE", whole)
     rng = np.random.default_rng(6)
     words, passage = [f"w{k}" for k in range(100)], [f"p{k}" for k in range(30)]
     rows = [(k, _varied(rng, words + passage, 1), "s") for k in range(3000)]
