@@ -20,6 +20,28 @@ def page_kind(path: Column) -> Column:
     return first_rule([(path.isin("", "/"), "toc"), (path.rlike(r"^/[a-z]{2}/\d+/?$"), "article"), (path.rlike(r"^/[a-z]{2}(/|$)"), "section"), (path.rlike(r"\.(pdf|zip)$"), "file")])
 
 
+def page_type(path: Column) -> Column:
+    """Type of a page by the first pattern of its path; null for pages that are passed over."""
+    # fixed values: the patterns, in order
+    patterns = [
+        (r"^/?$", "toc"), (r"^/sitemap(/.*)?$", "sitemap"), (r"^/army/[^/]+/reference/?$", "army_reference"), (r"^/army/[^/]+$", "army"), (r"^/unit/[^/]+$", "unit"), (r"^/faq/?$", "faq"),
+        (r"^/faq/[^/]+$", "faq"), (r"^/errata/?$", "errata"), (r"^/special-rules/[^/]+$", "special_rule"), (r"^/troop-types-in-detail/[^/]+$", "troop_type"), (r"^/magic-items/[^/]+$", "magic_item"),
+        (r"^/the-lores-of-magic/[^/]+$", "spell"), (r"^/spell/[^/]+$", "spell_page"), (r"^/weapons-of-war/[^/]+$", "weapon"), (r"^/battlefield-terrain/[^/]+$", "terrain"), (r"^/[^/]+/[^/]+$", "core_rule"),
+    ]
+    return first_rule([(path.rlike(p), v) for p, v in patterns])
+
+
+def page_parser(kind: Column, path: Column, has_items: Column) -> Column:
+    """The parser of a page: four corrections of its type, the first that applies."""
+    bare = F.regexp_replace(path, "/+$", "")
+    core = kind == "core_rule"
+    rules = [((kind == "magic_item") & ~has_items, "core_rule"), (core & bare.endswith("-army-list"), "army_list"), (core & bare.startswith("/spell/"), "spell_page"), (core & bare.startswith("/magic-item/"), "magic_item")]
+    out = F.when(*rules[0])
+    for r in rules[1:]:
+        out = out.when(*r)
+    return out.otherwise(kind)
+
+
 def crawlable(url: Column, host: str, excluded: tuple[str, ...] = ("/api", "/preview")) -> Column:
     """http(s), of the host or below it, outside the excluded prefixes."""
     path = X.url_path(url)
@@ -29,23 +51,6 @@ def crawlable(url: Column, host: str, excluded: tuple[str, ...] = ("/api", "/pre
     return out
 
 
-def option_kind(t: Column) -> Column:
-    """Kind of an upgrade by its wording; the order of the rules matters."""
-    return first_rule(
-        [
-            (t.rlike("(?i)standard bearer|standard"), "standard"), (t.rlike("(?i)musician"), "musician"), (t.rlike("(?i)champion|upgrade one model"), "champion"),
-            (t.rlike("(?i)up to (a total of )?[0-9]+ (points|pts)"), "budget"), (t.rlike("(?i)wizard"), "wizard_level"), (t.rlike("(?i)\\bmount|\\bride"), "mount"),
-            (t.rlike("(?i)replace"), "weapon_swap"), (t.rlike("(?i)armou?r|shield|barding"), "armour_add"),
-        ],
-        "rule_add",
-    )
-
-
-def option_cost_unit(kind: Column, unit: Column) -> Column:
-    """The unit stated with the cost, else the kind's own."""
-    return F.coalesce(unit, F.when(kind == "budget", "budget").when(kind.isin("standard", "musician", "champion", "wizard_level"), "flat").when(kind.isin("weapon_swap", "armour_add"), "per_model"))
-
-
 def terrain_kind(slug: Column, body: Column) -> Column:
     """By slug, else by the first keyword of the first 500 characters."""
     head = F.lower(F.substring(body, 1, 500))

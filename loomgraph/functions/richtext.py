@@ -120,3 +120,52 @@ def paragraphs(lines: Column) -> Column:
     """A tree of one paragraph a line, natively."""
     text = lambda x: F.struct(F.lit("text").alias("nodeType"), x.alias("value"))
     return F.to_json(F.struct(F.lit("document").alias("nodeType"), F.transform(lines, lambda x: F.struct(F.lit("paragraph").alias("nodeType"), F.array(text(x)).alias("content"))).alias("content")))
+
+
+ITEM = (
+    StructType().add("pos", IntegerType()).add("group_no", IntegerType()).add("header", StringType()).add("text", StringType())
+    .add("links", ArrayType(StructType().add("slug", StringType()).add("kind", StringType())))
+)
+
+
+def _children(node: Any, *kinds: str) -> list[dict]:
+    return [c for c in (node.get("content") or () if isinstance(node, dict) else ()) if isinstance(c, dict) and c.get("nodeType") in kinds]
+
+
+def _option_items(node: Any) -> list[dict]:
+    """Items of the first bullet list; one with a nested list heads a group and gives its nested items, each with the group's header."""
+    out: list[dict] = []
+
+    def add(item: dict, group: int, header: str | None) -> None:
+        text = next((plain(c) for c in _children(item, "paragraph")), "")
+        links = [{"slug": s, "kind": c or ""} for _, k, _, s, c in _walk(item) if s and k in ("entry-hyperlink", "embedded-entry-inline")]
+        out.append({"pos": len(out), "group_no": group, "header": header, "text": text, "links": links})
+
+    for top in _children(node, "unordered-list")[:1]:
+        for group, item in enumerate(_children(top, "list-item")):
+            nested = _children(item, "unordered-list")
+            if nested:
+                header = next((plain(c) for c in _children(item, "paragraph")), "").strip().rstrip(":").strip()
+                for child in _children(nested[0], "list-item"):
+                    add(child, group, header)
+            else:
+                add(item, group, None)
+    return out
+
+
+@F.pandas_udf(ArrayType(ITEM))
+def option_items(trees: pd.Series) -> pd.Series:
+    return trees.map(lambda t: _option_items(_load(t)))
+
+
+def _leaves(item: dict) -> list[dict]:
+    nested = _children(item, "unordered-list", "ordered-list")
+    deeper = [x for c in (_children(nested[0], "list-item") if nested else ()) for x in _leaves(c)]
+    return deeper or [item]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def leaf_texts(trees: pd.Series) -> pd.Series:
+    """First paragraph of each leaf of all lists, however deep, in order."""
+    texts = lambda node: [next((plain(c) for c in _children(leaf, "paragraph")), "") for top in _children(node, "unordered-list", "ordered-list") for item in _children(top, "list-item") for leaf in _leaves(item)]
+    return trees.map(lambda t: texts(_load(t)))

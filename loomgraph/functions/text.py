@@ -30,6 +30,21 @@ def canonical_url(c: Column | str) -> Column:
     return F.concat(head, kept, query)
 
 
+def absolute_url(c: Column | str, base: Column | str) -> Column:
+    """A link as its page means it, canonical: absolute, from the root, or from the page's folder, with dots resolved."""
+    link, here = _c(c), _c(base)
+    root = F.regexp_extract(here, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(here, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    folder = F.regexp_extract(url_path(here), r"^(.*/)", 1)
+    path, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    full = F.when(path == "", url_path(here)).when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(F.regexp_replace(full, "^/", ""), "/")
+    resolved = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    query = F.when((path == "") & ~tail.startswith("?"), F.concat(F.regexp_extract(here, r"(\?[^#]*)", 1), tail)).otherwise(tail)
+    return canonical_url(F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(root, resolved, query)))
+
+
 def url_path(c: Column | str) -> Column:
     return F.regexp_extract(_c(c), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
@@ -76,6 +91,10 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(f"([{WORD}]+)"), 1)
 
 
+def count_words(c: Column | str) -> Column:
+    return F.regexp_count(_c(c), F.lit(f"[{WORD}]+"))
+
+
 def joined(separator: str, *parts: Column) -> Column:
     """Parts that are neither null nor empty, joined."""
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), separator)
@@ -104,26 +123,28 @@ def unit_size(c: Column | str) -> Column:
 
 
 def points_cost(c: Column | str) -> Column:
-    """Points and unit (per_model, per_unit, flat) of ``+N point[s] [per model|unit]``."""
-    pattern = r"(?i)\+?(\d+)\s*points?(?:\s+per\s+(model|unit))?"
+    """Points and unit (per_model, per_unit, flat) of ``(+N point[s] [per model|unit])``, brackets and sign included."""
+    pattern = r"(?i)\(\s*\+(\d+)\s*points?(?:\s+per\s+(model|unit))?\s*\)"
     n, per = or_null(F.regexp_extract(_c(c), pattern, 1)), F.lower(F.regexp_extract(_c(c), pattern, 2))
     unit = F.when(n.isNotNull(), F.when(per == "model", "per_model").when(per == "unit", "per_unit").otherwise("flat"))
     return F.struct(n.try_cast("int").alias("points"), unit.alias("unit"))
 
 
 def points_budget(c: Column | str) -> Column:
-    return or_null(F.regexp_extract(_c(c), r"(?i)up to (?:a total of )?(\d+) (?:points|pts)", 1)).try_cast("int")
+    return or_null(F.regexp_extract(_c(c), r"(?i)up\s+to\s+(?:a\s+total\s+of\s+)?(\d+)\s+(?:points?|pts)", 1)).try_cast("int")
 
 
 def percent_limits(c: Column | str) -> Column:
-    """(max, min) of ``up to N%`` and ``at least N%``."""
-    number = lambda p: or_null(F.regexp_extract(_c(c), p, 1)).try_cast("int")
-    return F.struct(number(r"(?i)up to (\d+)\s*%").alias("max"), number(r"(?i)at least (\d+)\s*%").alias("min"))
+    """(max, min) of the first ``up to N%`` or ``at least N%`` of the first paragraph."""
+    p = r"(?i)(up\s+to|at\s+least)\s+(\d+)\s*%"
+    first = F.element_at(F.split(_c(c), r"\R"), 1)
+    number, least = or_null(F.regexp_extract(first, p, 2)).try_cast("int"), F.contains(F.lower(F.regexp_extract(first, p, 1)), F.lit("least"))
+    return F.struct(F.when(~least, number).alias("max"), F.when(least, number).alias("min"))
 
 
 def per_points_limit(c: Column | str) -> Column:
     """(max count, points) of ``0-N ... per Y,000 points``."""
-    p = r"(?i)0-(\d+).*?per ([\d,]+) points"
+    p = r"(?i)0-(\d+)\s+[\w\s]*per\s+([\d,]+)\s+points?"
     return F.struct(
         or_null(F.regexp_extract(_c(c), p, 1)).try_cast("int").alias("max_count"),
         or_null(F.regexp_replace(F.regexp_extract(_c(c), p, 2), ",", "")).try_cast("int").alias("per_points"),
@@ -132,13 +153,14 @@ def per_points_limit(c: Column | str) -> Column:
 
 def document_version(c: Column | str) -> Column:
     """(document, version) of ``Title - Version 1.2``; else the whole text and null."""
-    p = r"^(.*?)\s*[-–—]\s*Version\s+([\d.]+)"
+    p = r"(?i)^(.*?)\s*[-–—]\s*Version\s+([\d.]+)"
     version = or_null(F.regexp_extract(_c(c), p, 2))
     return F.struct(F.when(version.isNotNull(), F.regexp_extract(_c(c), p, 1)).otherwise(_c(c)).alias("document"), version.alias("version"))
 
 
 def alliance_type(c: Column | str) -> Column:
-    return F.coalesce(or_null(F.lower(F.regexp_extract(_c(c), r"(?i)(suspicious|trusted|uneasy)", 1))), F.lit("trusted"))
+    """Of a bracketed kind; trusted where there is none."""
+    return F.coalesce(or_null(F.lower(F.regexp_extract(_c(c), r"(?i)\(\s*(suspicious|trusted|uneasy)\s*\)", 1))), F.lit("trusted"))
 
 
 def cost_suffix(points: Column, unit: Column) -> Column:

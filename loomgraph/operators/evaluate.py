@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +32,106 @@ def reciprocal_rank(found: Column, expected: Column) -> Column:
 
 
 def ndcg(found: Column, expected: Column, k: int) -> Column:
-    """Binary gains, discounted by log2(rank + 1); the ideal has as many hits as distinct expected ids fit."""
+    """Binary gains, discounted by log2(rank + 1); the ideal has as many hits as distinct expected ids fit; null if nothing is expected or found."""
     top = F.slice(found, 1, k)
     gain = lambda i: 1.0 / F.log2(i + 2.0)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     dcg = total(F.transform(top, lambda x, i: F.when(F.array_contains(expected, x), gain(i.cast("double"))).otherwise(0.0)))
     ideal = F.least(F.size(F.array_distinct(expected)), F.size(top))
     best = total(F.transform(F.when(ideal > 0, F.sequence(F.lit(0), ideal - 1)).otherwise(F.array().cast("array<int>")), lambda i: gain(i.cast("double"))))
-    return F.when(F.size(expected) > 0, F.coalesce(F.try_divide(dcg, best), F.lit(0.0)))
+    return F.when((F.size(expected) > 0) & (F.size(top) > 0), F.coalesce(F.try_divide(dcg, best), F.lit(0.0)))
+
+
+def army_retrieved(found: Column, army: Column) -> Column:
+    """Whether the expected army is among the found; null if none is expected."""
+    return F.when(army.isNotNull(), F.array_contains(found, army))
+
+
+def citation_coverage(cited: Column, expected: Column) -> Column:
+    return F.when(F.size(expected) > 0, _hits(cited, expected) / F.size(expected))
+
+
+def citation_precision(cited: Column, expected: Column) -> Column:
+    """Null, not zero, where nothing is cited or expected."""
+    return F.when((F.size(expected) > 0) & (F.size(cited) > 0), _hits(expected, cited) / F.size(cited))
+
+
+def citations(rows: DataFrame) -> DataFrame:
+    """``rows(cited, expected)`` with coverage, precision and F1 of the citations."""
+    out = rows.withColumns({"citation_coverage": citation_coverage(F.col("cited"), F.col("expected")), "citation_precision": citation_precision(F.col("cited"), F.col("expected"))})
+    return out.withColumn("citation_f1", f1(F.col("citation_precision"), F.col("citation_coverage")))
+
+
+def cited_ids(artifact: Column, content: Column) -> Column:
+    """Ids of a tool message's sources: the artifact's (JSON) where it has any list of them, else the content's, else none."""
+    sources = lambda c: F.from_json(F.get_json_object(c, "$.sources"), "array<struct<id:string>>")
+    ids = F.coalesce(sources(artifact), sources(content), F.array().cast("array<struct<id:string>>"))
+    return F.filter(F.transform(ids, lambda x: x["id"]), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def answer_hit(correctness: Column) -> Column:
+    return correctness >= 2
+
+
+AXES = ("correctness", "groundedness", "citation")
+
+
+def judged(rows: DataFrame, by: str) -> DataFrame:
+    """Mean of each axis and the share of hits by group, over rows that have a verdict."""
+    some = rows.where(F.col("correctness").isNotNull())
+    return some.groupBy(by).agg(*[F.avg(a).alias(a) for a in AXES], F.avg(answer_hit(F.col("correctness")).cast("double")).alias("answer_hit"), F.count(F.lit(1)).alias("n"))
+
+
+def summary(rows: DataFrame, recall_least: float = 0.5, judge_least: float = 1.0) -> DataFrame:
+    """One row: means that pass over nulls, and the ids of queries below a threshold, sorted and each once.
+
+    ``rows`` has query_id and may lack any metric or axis.  The list of ids grows
+    with the failures; take ``flagged`` for it as rows.
+    """
+    names = [c for c in ("recall", "precision", "f1", "mrr", "ndcg", *AXES, "citation_precision", "citation_f1") if c in rows.columns]
+    means = [F.avg(c).alias(f"mean_{c}") for c in names]
+    hit = [F.avg(answer_hit(F.col("correctness")).cast("double")).alias("answer_hit_rate")] if "correctness" in names else []
+    counted = rows.agg(F.count(F.lit(1)).alias("total_queries"), F.count("recall").alias("recall_queries"), *means, *hit)
+    low = flagged(rows, recall_least, judge_least).agg(F.array_sort(F.collect_list("query_id")).alias("below_threshold"))
+    return counted.crossJoin(low)  # a row each
+
+
+def flagged(rows: DataFrame, recall_least: float = 0.5, judge_least: float = 1.0) -> DataFrame:
+    """Queries whose recall or mean verdict is below its threshold, each once."""
+    low = F.col("recall") < recall_least
+    if all(a in rows.columns for a in AXES):
+        low = low | F.coalesce((sum(F.col(a) for a in AXES) / len(AXES)) < judge_least, F.lit(False))
+    return rows.where(F.coalesce(low, F.lit(False))).select("query_id").distinct()
+
+
+def by_category(queries: DataFrame) -> DataFrame:
+    """Categories with their queries' ids in order and how many they are."""
+    return queries.groupBy("category").agg(F.array_sort(F.collect_set("query_id")).alias("query_ids"), F.count(F.lit(1)).alias("n"))
+
+
+def paired(results: DataFrame, metric: str, baseline: str = "vector") -> DataFrame:
+    """mode, query_id and the metric's difference to the baseline, for queries that both modes have a value for."""
+    base = results.where((F.col("mode") == baseline) & F.col(metric).isNotNull()).select("query_id", F.col(metric).alias("_b"))
+    return results.where((F.col("mode") != baseline) & F.col(metric).isNotNull()).join(base, "query_id").select("mode", "query_id", (F.col(metric) - F.col("_b")).alias("d"))
+
+
+def significance(results: DataFrame, metric: str, baseline: str = "vector", level: float = 0.05) -> DataFrame:
+    """Per mode the signed-rank test against the baseline: statistic, n, p and whether it is significant; no difference at all gives p = 1."""
+    d = paired(results, metric, baseline)
+    counts = d.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    ranks = signed_ranks(d, ["mode"]).select("mode", F.least("w_plus", "w_minus").alias("statistic"), F.col("n").alias("_used"))
+
+    @F.pandas_udf("double")
+    def p(w: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p(a, int(b)) for a, b in zip(w, n)])
+
+    out = counts.join(ranks, "mode", "left").withColumn("statistic", F.coalesce("statistic", F.lit(0.0))).withColumn("p", p("statistic", F.coalesce("_used", F.lit(0))))
+    return out.select("mode", F.lit(metric).alias("metric"), "statistic", "n", "p", (F.col("p") < level).alias("significant"))
+
+
+def bucket_order(bucket: Column) -> list[Column]:
+    """Numeric buckets by number first, then the others by text."""
+    return [bucket.try_cast("int").asc_nulls_last(), bucket.asc()]
 
 
 def metrics(results: DataFrame, k: int) -> DataFrame:

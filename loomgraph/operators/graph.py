@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.sources.tables import undirected
+from loomgraph.sources.constants import UNIVERSAL_ARMIES
+from loomgraph.sources.tables import undirected, written
 
 #: Relation tiers, best first, and how many neighbours of a relation a seed may show.
 TIERS = {"IN_REGION": 1, "IN_NATION": 1, "PLACED_BY": 2, "SUPPLIED_BY": 2, "CONTAINS": 3}
@@ -50,15 +50,17 @@ def links_between(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, centers: DataFrame, depth: int) -> DataFrame:
     """Least number of undirected hops, up to ``depth``, from each of ``centers(center)`` to the nodes it reaches.
 
-    Level by level: each frontier is joined to the edges and stripped of what is
-    known, so a level shuffles the frontier only.
+    Level by level: each frontier is written, joined to the edges and stripped of
+    what is known, so a level shuffles the frontier only and plans do not grow.
     """
-    pairs = undirected(edges).select("node", "other").distinct()
-    known = centers.select("center", F.col("center").alias("id"), F.lit(0).alias("distance"))
-    front = known
+    pairs = undirected(edges).select("node", "other")
+    front = written(centers.select("center", F.col("center").alias("id"), F.lit(0).alias("distance")), "hops")
+    known = front
     for level in range(1, depth + 1):
         step = front.join(pairs, F.col("id") == F.col("node")).select("center", F.col("other").alias("id")).distinct()
-        front = step.join(known.select("center", "id"), ["center", "id"], "left_anti").withColumn("distance", F.lit(level))
+        front = written(step.join(known.select("center", "id"), ["center", "id"], "left_anti").withColumn("distance", F.lit(level)), "hops")
+        if front.isEmpty():
+            break
         known = known.unionByName(front)
     return known
 
@@ -76,43 +78,39 @@ def subgraph(edges: DataFrame, centers: DataFrame, depth: int = 2, most: int = 1
 def capped_bfs(links: DataFrame) -> DataFrame:
     """Edges of each center's subgraph that stay under the caps while every kept node stays reachable.
 
-    First a breadth-first sweep in sorted order takes discovery edges while the
-    parent has room for the relation; then cross edges between kept nodes are
-    added while both ends have room.  Order matters, so a center's edges (at most
-    those among 150 nodes) are handled together.
+    A sweep level by level, each frontier in sorted order: a node claims new
+    neighbours by tier and id while it has room for the relation.  Then the other
+    edges among kept nodes are added by tier and ends while both ends have room,
+    the claimed edges counting at both.  Order matters, so a center's edges (at
+    most those among 150 nodes) are handled together.
     """
 
-    def one(center: str, rows: list[tuple[str, str, str]]) -> Iterator[tuple[str, str, str]]:
-        rows = sorted(set(rows))
-        used: dict[tuple[str, str], int] = {}
-        beside: dict[str, list[tuple[str, str, tuple[str, str, str]]]] = {}
+    def one(center: str, rows: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+        rows = sorted(set(rows), key=lambda r: (TIERS.get(r[2], 99), r))
+        beside: dict[str, list[tuple[int, str, tuple[str, str, str]]]] = defaultdict(list)
         for r in rows:
-            if r[0] == r[1]:
-                continue
-            beside.setdefault(r[0], []).append((r[2], r[1], r))
-            beside.setdefault(r[1], []).append((r[2], r[0], r))
-        room = lambda n, rel: used.get((n, rel), 0) < CAPS.get(rel, DEFAULT_CAP)
-        seen, queue, taken = {center}, deque([center]), set()
-        while queue:
-            at = queue.popleft()
-            for rel, to, r in sorted(beside.get(at, ())):
-                if to in seen or not room(at, rel):
-                    continue
-                seen.add(to)
-                queue.append(to)
-                taken.add(r)
-                used[at, rel] = used.get((at, rel), 0) + 1
+            beside[r[0]].append((TIERS.get(r[2], 99), r[1], r))
+            beside[r[1]].append((TIERS.get(r[2], 99), r[0], r))
+        cap = lambda rel: CAPS.get(rel, DEFAULT_CAP)
+        seen, frontier, taken = {center}, [center], []
+        while frontier:
+            found = []
+            for at in sorted(frontier):
+                used: Counter = Counter()
+                for _, to, r in sorted(beside[at]):
+                    if to not in seen and used[r[2]] < cap(r[2]):
+                        used[r[2]] += 1
+                        seen.add(to)
+                        taken.append(r)
+                        found.append(to)
+            frontier = found
+        total = Counter((n, r[2]) for r in taken for n in r[:2])
+        claimed = set(taken)
         for r in rows:
-            if r in taken:
-                continue
-            if r[0] == r[1]:
-                if r[0] in seen:
-                    taken.add(r)
-            elif r[0] in seen and r[1] in seen and room(r[0], r[2]) and room(r[1], r[2]):
-                taken.add(r)
-                for n in (r[0], r[1]):
-                    used[n, r[2]] = used.get((n, r[2]), 0) + 1
-        return iter(sorted(taken))
+            if r not in claimed and r[0] in seen and r[1] in seen and all(total[n, r[2]] < cap(r[2]) for n in r[:2]):
+                total.update((n, r[2]) for n in {r[0], r[1]})
+                taken.append(r)
+        return taken
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(frame["src"], frame["dst"], frame["relation"]))
@@ -121,6 +119,21 @@ def capped_bfs(links: DataFrame) -> DataFrame:
     return links.groupBy("center").applyInPandas(run, "center string, src string, dst string, relation string")
 
 
+def shortest_route(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
+    """``shortest_path`` with the nodes on the way; of several routes the least in the order of node ids from ``b`` back."""
+    found = written(hops(edges, pairs.select(F.col("a").alias("center")).distinct(), most), "distances")
+    back = undirected(edges).select("node", "other").distinct()
+    ends = pairs.join(found, (F.col("a") == F.col("center")) & (F.col("b") == F.col("id")), "left").select("a", "b", "distance")
+    routes = ends.withColumn("at", F.col("b")).withColumn("route", F.when(F.col("distance").isNotNull(), F.array("b")))
+    for level in range(most - 1, -1, -1):  # one step nearer to a, for the routes that are longer than that
+        near = found.where(F.col("distance") == level).select(F.col("center").alias("_c"), F.col("id").alias("_id"))
+        step = routes.where(F.col("distance") > level).join(back, F.col("at") == F.col("node")).join(near, (F.col("a") == F.col("_c")) & (F.col("other") == F.col("_id")))
+        step = step.groupBy("a", "b").agg(F.min("other").alias("_to"))
+        routes = routes.join(step, ["a", "b"], "left").withColumn("route", F.when(F.col("_to").isNotNull(), F.concat(F.array("_to"), "route")).otherwise(F.col("route")))
+        routes = routes.withColumn("at", F.coalesce("_to", "at")).drop("_to")
+    return routes.select("a", "b", F.col("distance").cast("bigint").alias("hops"), F.array_join("route", ">").alias("route"))
+
+
 def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
     """Length of the shortest undirected path of up to ``most`` hops between ``pairs(a, b)``; null where there is none."""
     found = hops(edges, pairs.select(F.col("a").alias("center")).distinct(), most)
@@ -146,12 +159,56 @@ def radial_layout(distances: DataFrame) -> DataFrame:
     return distances.select("center", "id", "distance", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
 
 
-def merge_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Upsert by key: values that ``new`` has win, the others stay."""
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
-    return joined.select(pick(key), *[pick(c) for c in columns])
+def merge_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """Upsert by key: the columns that ``new`` has overwrite, a null clearing the value; the others stay.
+
+    Of rows of ``new`` with equal keys the last by ``order`` counts.
+    """
+    given = [c for c in columns if c in new.columns]
+    if order is not None:
+        new = last_wins(new.select(key, *given, order), [key], order)
+    joined = old.alias("o").join(new.select(key, *given, F.lit(True).alias("_is")).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    pick = lambda c: F.when(F.col("n._is"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in given else F.col(f"o.{c}").alias(c)
+    return joined.select(F.coalesce(F.col(f"n.{key}"), F.col(f"o.{key}")).alias(key), *[pick(c) for c in columns])
+
+
+def fill_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of ``old`` with the values that ``new`` has for their key; a null of ``new`` never overwrites."""
+    joined = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "left")
+    value = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in columns else F.col(f"o.{c}")
+    return joined.select(*[value(c).alias(c) for c in old.columns])
+
+
+def eligible(units: DataFrame, upgrades: DataFrame, items: DataFrame) -> DataFrame:
+    """unit, item, budget, unlimited, via: the items that units can take, in three passes; the first pass and the best upgrade make the edge.
+
+    ``units(unit, army, wizard_level)``, ``upgrades(upgrade, unit, upgrade_type,
+    points_budget, magic_standard_budget, unlimited, ord)``, ``items(item,
+    item_type, army)``.  Items of one army meet its units by an equi-join; those
+    for all armies, kept apart by ``universal_or_equal``, have a null class.
+    """
+    own = units.select("unit", F.col("army").alias("_army"), "wizard_level")
+    kind = F.col("upgrade_type")
+    wide = items.withColumn("_class", F.when(~F.col("army").isin(*UNIVERSAL_ARMIES), F.col("army"))).select("item", "item_type", "_class")
+    passes = [
+        (0, kind.isin("magic_item_budget", "command_bsb"), F.col("points_budget"), "item_type NOT IN ('magic_standard', 'ability')", False),
+        (
+            1, ((kind == "magic_standard_budget") & F.col("points_budget").isNotNull()) | ((kind == "command_standard") & F.col("magic_standard_budget").isNotNull()) | ((kind == "command_bsb") & F.col("unlimited")),
+            F.coalesce("points_budget", "magic_standard_budget"), "item_type = 'magic_standard'", False,
+        ),
+        (2, kind.isin("vampiric_powers_budget", "rune_budget"), F.col("points_budget"), "item_type = 'ability'", True),
+    ]
+    found = None
+    for n, wanted, budget, which, army_only in passes:
+        # of a unit's upgrades the best alone makes its edges, so no other one meets the items
+        unlimited = (kind == "command_bsb") & F.coalesce("unlimited", F.lit(False)) if n < 2 else F.lit(False)
+        best = upgrades.where(wanted).groupBy("unit").agg(F.min(F.struct(budget.isNull().alias("no"), "ord", F.col("upgrade").alias("via"), budget.alias("budget"), unlimited.alias("unlimited"))).alias("b"))
+        able = own.join(best, "unit")
+        some = wide.where(which)
+        met = able.join(some.where("_class IS NOT NULL"), F.col("_army") == F.col("_class")) if army_only else universal_or_equal(able, some, "_army", "_class")
+        met = met.where("item_type <> 'arcane_item' OR coalesce(wizard_level, 0) >= 1").select("unit", "item", F.lit(n).alias("pass"), "b.budget", "b.unlimited", "b.via")
+        found = met if found is None else found.unionByName(met)
+    return found
 
 
 def merge_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -45,3 +45,41 @@ def coverage(rows: DataFrame, key: str, covered: DataFrame, covered_key: str, le
 def dangling(rows: DataFrame, reference: str, targets: DataFrame, key: str) -> DataFrame:
     """Rows whose reference is set and points at nothing."""
     return rows.where(F.col(reference).isNotNull()).join(targets.select(F.col(key).alias("_k")), F.col(reference) == F.col("_k"), "left_anti")
+
+
+def ratio_check(rows: DataFrame, part: Column, most: float = 0.3) -> DataFrame:
+    """How many rows are of a kind, their share, and whether it is too high."""
+    t = rows.agg(F.count_if(part).alias("part"), F.count(F.lit(1)).alias("total"))
+    return t.withColumn("ratio", ratio(F.col("part"), F.col("total"))).withColumn("high", F.col("ratio") > most)
+
+
+def unreachable_items(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """Items without an army that no unit can take."""
+    return items.where("army IS NULL").join(edges.select(F.col("item").alias("_i")), F.col("item") == F.col("_i"), "left_anti")
+
+
+def intrinsic_edges(edges: DataFrame, intrinsic: list[str]) -> DataFrame:
+    """How many edges point at rules that every unit has and none should name."""
+    return edges.agg(F.count_if(F.col("dst").isin(*intrinsic)).alias("n")).withColumn("ok", F.col("n") == 0)
+
+
+def report(checks: dict[str, DataFrame]) -> DataFrame:
+    """check, row (JSON) and failed for the rows of small check results; a row fails by a true ``low``, ``high``, ``failed`` or ``status`` of error, or a false ``ok``."""
+    out = None
+    for name, df in checks.items():
+        bad = F.lit(False)
+        for c in ("low", "high", "failed"):
+            bad = bad | F.coalesce(F.col(c), F.lit(False)) if c in df.columns else bad
+        bad = bad | ~F.coalesce(F.col("ok"), F.lit(True)) if "ok" in df.columns else bad
+        bad = bad | F.coalesce(F.col("status") == "error", F.lit(False)) if "status" in df.columns else bad
+        part = df.select(F.lit(name).alias("check"), F.to_json(F.struct(*df.columns)).alias("row"), bad.alias("failed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def raise_if_failed(rows: DataFrame) -> DataFrame:
+    """The report, or an error that names the failed checks."""
+    failed = sorted(r["check"] for r in rows.where("failed").select("check").distinct().collect())
+    if failed:
+        raise ValueError("checks failed: " + ", ".join(failed))
+    return rows

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.sources.tables import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -60,12 +61,13 @@ def postings(documents: DataFrame, key: str, body: Column) -> DataFrame:
 
 
 def bm25(documents: DataFrame, key: str, body: Column, queries: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` documents for each of ``queries(query_id, text)``; postings are kept to the query terms before they are counted."""
+    """Best ``k`` documents for each of ``queries(query_id, text)``; the postings of the query terms are written once, the corpus is only counted."""
     terms = queries.select("query_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
-    corpus = documents.select(F.size(X.words(body)).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
+    corpus = documents.select(F.coalesce(X.count_words(body), F.lit(-1)).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     wanted = terms.select("term").distinct()
     tokens = documents.select(F.col(key).alias("id"), X.words(body).alias("_w")).withColumn("len", F.size("_w"))
     found = tokens.select("id", "len", F.explode("_w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    found = written(found, "postings")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = found.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus))  # the corpus statistics are one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -82,33 +84,31 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return all_.groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def grams(words: Column, most: int) -> Column:
-    """All runs of 1 to ``most`` words, joined by spaces."""
-    runs = [
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), _run(words, n))).otherwise(F.array().cast("array<string>"))
-        for n in range(1, most + 1)
-    ]
-    return F.array_distinct(F.flatten(F.array(*runs)))
-
-
 def _run(words: Column, n: int):
     return lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
 
 
-def lexical_matches(names: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
+def _meeting(runs_of: DataFrame, names: DataFrame, lead: int) -> DataFrame:
+    """Names (id, kind, gram, full) and texts (text_id, kind, words) that share the name's first ``lead`` words or fewer."""
+    runs = [F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), _run(F.col("words"), n))).otherwise(F.array().cast("array<string>")) for n in range(1, lead + 1)]
+    grams_ = runs_of.select("text_id", "kind", "words", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("gram"))
+    return grams_.join(names, ["kind", "gram"])
+
+
+def lexical_matches(names: DataFrame, queries: DataFrame, lead: int = 3) -> DataFrame:
     """Names that stand in a query as whole words, bare of a trailing parenthesis, or stemmed when they have several words.
 
-    An equi-join on word runs, so no name is tried against every query.
+    Blocked by the name's first ``lead`` words in an equi-join, so no name is tried
+    against every query; names of any length are then compared whole.
     """
-    words = F.col("_w")
-    q = queries.select("query_id", X.words("text").alias("_w"))
-    plain = q.select("query_id", F.explode(grams(words, most)).alias("gram")).withColumn("kind", F.lit("exact"))
-    stems = q.select("query_id", F.explode(grams(F.transform(words, X.stem), most)).alias("gram")).where(F.contains("gram", F.lit(" "))).withColumn("kind", F.lit("stem"))
-    bare = X.without_parenthetical("name")
-    n = names.select("id", "name", F.array_join(X.words(bare), " ").alias("exact"), F.array_join(F.transform(X.words(bare), X.stem), " ").alias("stem"))
-    keys = n.select("id", "name", F.explode(F.array(F.struct(F.lit("exact").alias("kind"), F.col("exact").alias("gram")), F.struct(F.lit("stem").alias("kind"), F.col("stem").alias("gram")))).alias("k"))
-    keys = keys.select("id", "name", "k.kind", "k.gram").where("gram <> ''")
-    return plain.unionByName(stems).join(keys, ["kind", "gram"]).select("query_id", "id", "name").distinct()
+    words = X.words("text")
+    q = queries.select(F.col("query_id").alias("text_id"), F.explode(F.array(F.struct(F.lit("exact").alias("kind"), words.alias("words")), F.struct(F.lit("stem").alias("kind"), F.transform(words, X.stem).alias("words")))).alias("q")).select("text_id", "q.*")
+    bare = X.words(X.without_parenthetical("name"))
+    forms = F.array(F.struct(F.lit("exact").alias("kind"), bare.alias("w")), F.struct(F.lit("stem").alias("kind"), F.transform(bare, X.stem).alias("w")))
+    n = names.select("id", "name", F.explode(forms).alias("f")).select("id", "name", "f.kind", "f.w").where((F.size("w") > 0) & ((F.col("kind") == "exact") | (F.size("w") > 1)))
+    n = n.select("id", "name", "kind", F.array_join(F.slice("w", 1, lead), " ").alias("gram"), F.array_join("w", " ").alias("full"))
+    whole = F.contains(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), F.concat(F.lit(" "), "full", F.lit(" ")))
+    return _meeting(q, n, lead).where(whole).select(F.col("text_id").alias("query_id"), "id", "name").distinct()
 
 
 def dictionary_join(names: DataFrame, texts: DataFrame, lead: int = 3) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import checks, graph, retrieval, texts, workload
+from loomgraph.plans import catalogue, checks, graph, parsing, retrieval, texts, workload
 
-FAMILIES = (graph, retrieval, texts, checks, workload)
+FAMILIES = (graph, retrieval, texts, checks, workload, parsing, catalogue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

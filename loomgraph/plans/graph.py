@@ -57,7 +57,7 @@ def links_between(spark, d):
     return G.links_between(edges(spark, d), _linked_seeds(spark, d)).select("src", "dst", "relation")
 
 
-_HOP_EDGES = ("IN_REGION", "IN_NATION", "SUPPLIED_BY")
+_HOP_EDGES = ("IN_REGION", "IN_NATION", "SUPPLIED_BY")  # stated: the relations without orders
 _HOP_SQL = "relation IN ('IN_REGION', 'IN_NATION', 'SUPPLIED_BY')"
 _LEVELS_SQL = f"""
 pairs AS (SELECT DISTINCT node, other FROM both_ways WHERE {_HOP_SQL}),
@@ -264,7 +264,7 @@ ORACLES = {
         p AS (SELECT *, CASE WHEN distance = 0 THEN 0 ELSE greatest(distance * 260.0::DOUBLE, n * 170.0::DOUBLE / (2 * pi())) END AS radius, distance * pi() / 7 + 2 * pi() * i / n AS angle FROM r)
         SELECT center, id, round(radius * cos(angle), 4) AS x, round(radius * sin(angle), 4) AS y FROM p""",
     "merge_nodes": """WITH n AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END AS k, CASE WHEN p_partkey % 5 = 0 THEN p_name END AS name, p_retailprice * 2 AS price FROM part WHERE p_partkey % 3 = 0)
-        SELECT coalesce(k, p_partkey) AS p_partkey, coalesce(name, p_name) AS p_name, coalesce(price, p_retailprice) AS price FROM part FULL JOIN n ON k = p_partkey""",
+        SELECT coalesce(k, p_partkey) AS p_partkey, CASE WHEN k IS NULL THEN p_name ELSE name END AS p_name, CASE WHEN k IS NULL THEN p_retailprice ELSE price END AS price FROM part FULL JOIN n ON k = p_partkey""",
     "merge_edges": """WITH e AS (SELECT l_orderkey, l_partkey + CASE WHEN l_linenumber = 7 THEN 10000000 ELSE 0 END AS p, l_quantity, l_linenumber FROM lineitem),
         k AS (SELECT * FROM e WHERE p IN (SELECT p_partkey FROM part) AND l_orderkey IN (SELECT o_orderkey FROM orders) QUALIFY row_number() OVER (PARTITION BY l_orderkey, p ORDER BY l_linenumber, l_quantity) = 1)
         SELECT 'order#' || l_orderkey AS src, count(*) AS n, sum(l_quantity) AS quantity FROM k GROUP BY l_orderkey""",
@@ -288,11 +288,11 @@ ORACLES = {
     "union_of_paths": f"""WITH {EDGES_SQL} SELECT b.dst AS id FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src IN ('part#1', 'part#5') AND a.relation = 'SUPPLIED_BY' AND b.relation = 'IN_NATION'
         UNION SELECT dst FROM edges WHERE relation = 'IN_NATION' AND src IN ('customer#1', 'customer#2', 'customer#3')""",
     "optional_branches": "SELECT 'nation#' || n_nationkey AS id, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation",
-    "unlock_chain": f"""WITH {EDGES_SQL} SELECT a.src, a.dst AS part, a.quantity, b.dst AS supplier FROM edges a LEFT JOIN (SELECT * FROM edges WHERE relation = 'SUPPLIED_BY') b ON a.dst = b.src
-        WHERE a.relation = 'CONTAINS' AND a.src IN ('order#1', 'order#2', 'order#3')""",
+    "unlock_chain": """WITH a AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_quantity, l_extendedprice) = 1),
+        b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT 'order#' || l_orderkey AS src, 'part#' || l_partkey AS part, l_quantity AS quantity, 'supplier#' || l_suppkey AS supplier FROM a LEFT JOIN b USING (l_partkey)""",
     "budget_lookup": f"WITH {EDGES_SQL} SELECT dst AS id, p_name AS name, quantity, price FROM edges JOIN part ON dst = 'part#' || p_partkey WHERE relation = 'CONTAINS' AND src = 'order#7'",
-    "crawl_frontier": """WITH l AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, '<a href="/([a-z]+)"', 1)) AS word FROM pages),
-        hop AS (SELECT DISTINCT a.host AS f, b.host AS t FROM l a JOIN l b USING (word)), s0 AS (SELECT min(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages),
-        s1 AS (SELECT t AS host FROM hop JOIN s0 ON f = host EXCEPT SELECT * FROM s0), s2 AS (SELECT t AS host FROM hop JOIN s1 ON f = host EXCEPT SELECT * FROM s0 EXCEPT SELECT * FROM s1)
-        SELECT host, 0::BIGINT AS round FROM s0 UNION ALL SELECT host, 1 FROM s1 UNION ALL SELECT host, 2 FROM s2""",
+    "crawl_frontier": """WITH RECURSIVE l AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, '<a href="/([a-z]+)"', 1)) AS word FROM pages),
+        hop AS (SELECT DISTINCT a.host AS f, b.host AS t FROM l a JOIN l b USING (word)), hosts AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages),
+        walk AS (SELECT min(host) AS host, 0::BIGINT AS round FROM hosts UNION SELECT t, round + 1 FROM walk JOIN hop ON f = host WHERE round < (SELECT count(*) FROM hosts))
+        SELECT host, min(round) AS round FROM walk GROUP BY 1""",
 }

@@ -10,7 +10,7 @@ from loomgraph.operators import compose as E
 from loomgraph.operators import graph as G
 from loomgraph.operators import retrieve as R
 from loomgraph.plans.graph import _EXPAND_SQL
-from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, NODES_SQL, edges, nodes, table
+from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, NODES_SQL, edges, nodes, table, written
 
 TOP = 8
 _K = R.per_label_k(TOP)
@@ -49,14 +49,15 @@ def bm25_topk(spark, d):
     return _bm25(spark, d).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _by_length(spark, d) -> DataFrame:
+def _by_length(spark, d, hits: DataFrame) -> DataFrame:
     """A second ranking: documents of each query's BM25 pool by length."""
-    pool = _bm25(spark, d, 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    pool = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
     return R.top(pool.select("query_id", "id", F.col("n_chars").cast("double").alias("score")), 20)
 
 
 def rrf_fusion(spark, d):
-    fused = R.rrf([_bm25(spark, d, 20), _by_length(spark, d)])
+    hits = written(_bm25(spark, d, 20), "hits")
+    fused = R.rrf([hits, _by_length(spark, d, hits)])
     return R.top(fused.withColumn("score", F.round("score", 9)), TOP).select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -134,7 +135,7 @@ s AS (SELECT query_id, label::BIGINT AS label, vec_id AS id, (1 + list_cosine_si
 knn AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= {_K}),
 best AS (SELECT query_id, label, id, score FROM knn QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, label, rank) = 1),
 hits AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best QUALIFY rank <= {TOP})"""
-_TERMS = "regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)"
+_TERMS = "regexp_extract_all(lower(text), '([\\p{L}\\p{M}\\p{N}_]+)', 1)"
 _BM25_SQL = f"""
 d AS (SELECT doc_id AS id, {_TERMS} AS w FROM documents),
 corpus AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
@@ -153,12 +154,12 @@ ORACLES = {
     "rrf_fusion": f"""WITH {_BM25_SQL}, b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, id) AS rank FROM ranked JOIN documents ON id = doc_id),
         f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM ranked UNION ALL SELECT * FROM b) GROUP BY 1, 2)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= {TOP}""",
-    "lexical_matches": f"""WITH q AS (SELECT p_partkey AS query_id, ' ' || array_to_string(regexp_extract_all(lower('Which ' || p_name || 's of ' || lower(p_type) || ' class fit the big red bolts?'), '([a-z0-9_]+)', 1), ' ') || ' ' AS t FROM part WHERE p_partkey % 100 = 0),
+    "lexical_matches": f"""WITH q AS (SELECT p_partkey AS query_id, ' ' || array_to_string(regexp_extract_all(lower('Which ' || p_name || 's of ' || lower(p_type) || ' class fit the big red bolts?'), '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', 1), ' ') || ' ' AS t FROM part WHERE p_partkey % 100 = 0),
         qs AS (SELECT query_id, t, ' ' || array_to_string(list_transform(string_split(trim(t), ' '), lambda w: {_STEM}), ' ') || ' ' AS st FROM q),
         n AS (SELECT p_name || ' (x)' AS name, min(p_partkey) AS id, p_name AS bare, array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_STEM}), ' ') AS st FROM part GROUP BY p_name)
         SELECT query_id, id, name FROM qs, n WHERE contains(qs.t, ' ' || bare || ' ') OR (contains(n.st, ' ') AND contains(qs.st, ' ' || n.st || ' '))""",
     "text_dictionary_join": r"""SELECT item_id AS name_id, doc_id AS text_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(regexp_replace(b.text, '\.$', '')))
-        AND regexp_matches(lower(d.text), '(^|[^a-z0-9_])' || regexp_escape(lower(regexp_replace(b.text, '\.$', ''))) || '($|[^a-z0-9_])')""",
+        AND regexp_matches(lower(d.text), '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(lower(regexp_replace(b.text, '\.$', ''))) || '($|[^\p{L}\p{M}\p{N}_])')""",
     "slug_reference_join": r"""SELECT trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1""",
     "hybrid_retrieve": f"""WITH {_KNN_SQL}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best QUALIFY rank <= 50),
         b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM best QUALIFY rank <= 50),

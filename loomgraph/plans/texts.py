@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import classify as C
 from loomgraph.functions import markup as M
+from loomgraph.functions import options as O
 from loomgraph.functions import richtext as T
 from loomgraph.functions import text as X
 from loomgraph.sources.tables import table
@@ -94,7 +95,7 @@ def stat_value_parse(spark, d):
 
 def _options(spark, d):
     """Option lines made of every part's columns."""
-    words = F.array(*[F.lit(x) for x in ["Standard Bearer", "musician", "Champion", "magic items up to a total of 50 points", "Level 2 Wizard", "may ride a mount", "replace hand weapon", "Shields", "veteran rule"]])
+    words = F.array(*[F.lit(x) for x in ["upgrade one model to a Standard Bearer", "upgrade one model to a musician", "upgrade one model to a Champion", "magic items up to a total of 50 points", "be a Level 2 Wizard", "may ride a mount", "replace hand weapon", "Shield", "veteran rule"]])
     cost = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" (+"), "p_size", F.lit(" points per model)"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" (+"), "p_size", F.lit(" point per unit)"))).otherwise("")
     return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(": "), F.element_at(words, (F.col("p_partkey") % 9 + 1).cast("int")), cost).alias("line"))
 
@@ -108,8 +109,8 @@ def budget_parse(spark, d):
 
 
 def option_classifier(spark, d):
-    o = _options(spark, d).withColumn("kind", C.option_kind(F.col("line")))
-    return o.select("p_partkey", "kind", C.option_cost_unit(F.col("kind"), X.points_cost("line")["unit"]).alias("cost_unit"))
+    none = F.array().cast("array<struct<slug:string,kind:string>>")
+    return _options(spark, d).select("p_partkey", O.upgrade(F.col("line"), none, F.lit(False)).alias("u")).select("p_partkey", F.col("u.upgrade_type").alias("kind"), "u.cost_unit")
 
 
 def percent_limits_parse(spark, d):
@@ -128,7 +129,7 @@ def version_parse(spark, d):
 
 
 def alliance_parse(spark, d):
-    return table(spark, d, "customer").select("c_custkey", X.alliance_type(F.when(F.col("c_custkey") % 3 == 0, "An Uneasy pact").when(F.col("c_custkey") % 3 == 1, F.lower("c_mktsegment")).otherwise("SUSPICIOUS of all")).alias("kind"))
+    return table(spark, d, "customer").select("c_custkey", X.alliance_type(F.when(F.col("c_custkey") % 3 == 0, "A pact (Uneasy)").when(F.col("c_custkey") % 3 == 1, F.lower("c_mktsegment")).otherwise("all of them ( SUSPICIOUS )")).alias("kind"))
 
 
 def terrain_class(spark, d):
@@ -252,9 +253,8 @@ QUERIES = {f.__name__: f for f in (
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _SLUG = f"coalesce(nullif(regexp_extract({_PATH}, '([^/]+)/*$', 1), ''), 'toc')"
-_OPTION = """o AS (SELECT p_partkey, p_size, p_name || ': ' || (['Standard Bearer', 'musician', 'Champion', 'magic items up to a total of 50 points', 'Level 2 Wizard', 'may ride a mount', 'replace hand weapon', 'Shields', 'veteran rule'])[p_partkey % 9 + 1]
+_OPTION = """o AS (SELECT p_partkey, p_size, p_name || ': ' || (['upgrade one model to a Standard Bearer', 'upgrade one model to a musician', 'upgrade one model to a Champion', 'magic items up to a total of 50 points', 'be a Level 2 Wizard', 'may ride a mount', 'replace hand weapon', 'Shield', 'veteran rule'])[p_partkey % 9 + 1]
   || CASE p_size % 3 WHEN 0 THEN ' (+' || p_size || ' points per model)' WHEN 1 THEN ' (+' || p_size || ' point per unit)' ELSE '' END AS line FROM part)"""
-_UNIT = "CASE WHEN p_size % 3 = 0 THEN 'per_model' WHEN p_size % 3 = 1 THEN 'per_unit' WHEN p_partkey % 9 = 3 THEN 'flat' END"
 _LINES = "l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM conversations)"
 _TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 _YAML = lambda v: f"""CASE WHEN regexp_matches({v}, '[:#"''\\[\\],]') OR regexp_matches({v}, '^\\s|\\s$') OR {v} = '' THEN '"' || replace(replace({v}, '\\', '\\\\'), '"', '\\"') || '"' ELSE {v} END"""
@@ -272,7 +272,7 @@ ORACLES = {
     "slugify_names": "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
     "label_to_snake": """WITH l AS (SELECT p_partkey, upper(left(p_type, 1)) || lower(substr(p_type, 2)) || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '') AS label FROM part)
         SELECT p_partkey, label, ltrim(lower(regexp_replace(label, '([A-Z])', '_\\1', 'g')), '_') AS snake FROM l""",
-    "stem_words": f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS word FROM benchmark) SELECT word, {_STEM_WORD} AS stem FROM w",
+    "stem_words": f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', 1)) AS word FROM benchmark) SELECT word, {_STEM_WORD} AS stem FROM w",
     "lucene_escape_text": r"""SELECT item_id, regexp_replace('(Ld) a+b? ' || text, '([+\-&|!(){}\[\]^"~*?:\\/])', '\\\1', 'g') AS escaped FROM benchmark""",
     "strip_parenthetical": "SELECT c_custkey, c_name AS bare FROM customer",
     "bracket_citations": r"""WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part)
@@ -280,10 +280,10 @@ ORACLES = {
     "unit_size_parse": "SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN 1 ELSE p_size END::BIGINT AS size_min, CASE p_size % 4 WHEN 1 THEN p_size + 20 WHEN 2 THEN p_size END::BIGINT AS size_max FROM part",
     "base_size_parse": "SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size END::BIGINT AS width, CASE WHEN p_size > 5 THEN p_size * 2 END::BIGINT AS depth FROM part",
     "stat_value_parse": "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN p_size END::BIGINT AS value FROM part",
-    "cost_unit_parse": f"SELECT p_partkey, CASE WHEN p_size % 3 < 2 AND p_partkey % 9 <> 3 THEN p_size WHEN p_partkey % 9 = 3 THEN 50 END::BIGINT AS points, CASE WHEN p_partkey % 9 = 3 THEN 'flat' ELSE {_UNIT} END AS unit FROM part",
+    "cost_unit_parse": "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_size END::BIGINT AS points, CASE p_size % 3 WHEN 0 THEN 'per_model' WHEN 1 THEN 'per_unit' END AS unit FROM part",
     "budget_parse": f"WITH {_OPTION} SELECT p_partkey, nullif(regexp_extract(line, '(?i)up to (?:a total of )?(\\d+) (?:points|pts)', 1), '')::BIGINT AS budget FROM o",
-    "option_classifier": f"""WITH {_OPTION}, k AS (SELECT *, (['standard', 'musician', 'champion', 'budget', 'wizard_level', 'mount', 'weapon_swap', 'armour_add', 'rule_add'])[p_partkey % 9 + 1] AS kind FROM o)
-        SELECT p_partkey, kind, coalesce(CASE WHEN p_partkey % 9 = 3 THEN 'flat' ELSE {_UNIT} END, CASE WHEN kind = 'budget' THEN 'budget' WHEN kind IN ('standard', 'musician', 'champion', 'wizard_level') THEN 'flat' WHEN kind IN ('weapon_swap', 'armour_add') THEN 'per_model' END) AS cost_unit FROM k""",
+    "option_classifier": """WITH k AS (SELECT p_partkey, p_size, (['command_standard', 'command_musician', CASE WHEN p_size % 3 < 2 THEN 'command_champion' ELSE 'rule_add' END, 'magic_item_budget', 'wizard_level', 'rule_add', 'rule_add', 'armour_add', 'rule_add'])[p_partkey % 9 + 1] AS kind FROM part)
+        SELECT p_partkey, kind, CASE WHEN kind = 'magic_item_budget' THEN 'budget' WHEN p_size % 3 = 0 THEN 'per_model' WHEN p_size % 3 = 1 THEN 'per_unit' WHEN kind LIKE 'command%' THEN 'per_unit' WHEN kind = 'wizard_level' THEN 'flat' WHEN kind = 'armour_add' THEN 'per_model' END AS cost_unit FROM k""",
     "percent_limits_parse": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END::BIGINT AS max_pct, CASE WHEN p_size % 2 = 1 THEN p_size END::BIGINT AS min_pct FROM part",
     "per_points_parse": "SELECT p_partkey, p_size::BIGINT AS max_count, 1000 + p_size::BIGINT AS per_points FROM part",
     "version_parse": "SELECT p_partkey, p_name AS document, CASE WHEN p_size % 2 = 0 THEN '1.' || p_size END AS version FROM part",
@@ -297,6 +297,8 @@ ORACLES = {
         SELECT conv_id, section, count(*) AS n FROM s GROUP BY 1, 2""",
     "mutex_counter": """WITH g AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM lineitem)
         SELECT l_orderkey, g, count(*) AS n FROM g GROUP BY 1, 2""",
+    "html_title": r"""WITH h AS (SELECT page_id, regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), '(?s)<[^>]*>[^<]*</[^>]*>', '', 'g') AS t FROM pages)
+        SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM h""",
     "html_document_title": f"SELECT page_id, nullif({_TITLE}, '') AS title, NULL::VARCHAR AS data FROM pages",
     "front_matter": f"SELECT page_id, '---' || chr(10) || 'title: ' || {_YAML(_TITLE)} || chr(10) || 'source: ' || {_YAML('url')} || chr(10) || 'kind: page' || chr(10) || '---' || chr(10) AS front FROM pages",
     "chat_text": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1",

@@ -167,7 +167,6 @@ QUERIES = {f.__name__: f for f in (
 
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _KIND = f"CASE WHEN {_PATH} IN ('', '/') THEN 'toc' WHEN regexp_matches({_PATH}, '^/[a-z]{{2}}/\\d+/?$') THEN 'article' WHEN regexp_matches({_PATH}, '^/[a-z]{{2}}(/|$)') THEN 'section' WHEN regexp_matches({_PATH}, '\\.(pdf|zip)$') THEN 'file' END"
-_WORDS = "regexp_extract_all(lower({}), '([a-z0-9_]+)', 1)"
 ORACLES = {
     "constant_relation_join": f"WITH {_ALLIES_SQL} SELECT src, dst, kind, a.r_name AS src_name, b.r_name AS dst_name FROM allies JOIN region a ON src = 'region#' || a.r_regionkey JOIN region b ON dst = 'region#' || b.r_regionkey",
     "seed_upsert": "SELECT coalesce(k, n_nationkey)::BIGINT AS id, coalesce(name, n_name) AS name, coalesce(region, n_regionkey)::BIGINT AS region FROM nation FULL JOIN (VALUES (1, 'SEED ONE', 9), (99, 'NEW', 2)) s(k, name, region) ON n_nationkey = k",
@@ -191,7 +190,7 @@ ORACLES = {
     "page_router": f"""SELECT page_id, CASE WHEN regexp_matches(coalesce(nullif(regexp_extract({_PATH}, '([^/]+)/*$', 1), ''), 'toc'), '^[0-9]+$') AND {_KIND} = 'article' THEN 'numbered' WHEN contains(html, '__NEXT_DATA__') THEN 'data' WHEN {_KIND} = 'toc' THEN 'index' ELSE {_KIND} END AS kind FROM pages""",
     "spell_values": "SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END::BIGINT AS value, CASE WHEN p_size % 7 = 0 THEN p_size || '+' END AS override, (p_size // 10)::BIGINT AS number, lower(p_type) AS lore_id FROM part",
     "cost_override": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size END::BIGINT AS cost FROM part",
-    "text_contains_join": f"""WITH f AS (SELECT item_id, {_WORDS.format('text')}[1] AS word FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)), t AS (SELECT DISTINCT conv_id, unnest({_WORDS.format('text')}) AS word FROM conversations)
-        SELECT item_id, count(*) AS n FROM f JOIN t USING (word) GROUP BY 1""",
+    "text_contains_join": r"""WITH f AS (SELECT item_id, lower(regexp_replace(text, '\.$', '')) AS name FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels))
+        SELECT item_id, count(DISTINCT conv_id) AS n FROM f JOIN conversations c ON contains(lower(c.text), name) AND regexp_matches(lower(c.text), '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{M}\p{N}_])') GROUP BY 1""",
     "label_of_id": f"WITH {NODES_SQL} SELECT regexp_extract(id, '^([a-z]+)#', 1) AS kind, label, count(*) AS n, count(name) AS named, count(text) AS with_text FROM nodes GROUP BY 1, 2",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,19 +26,105 @@ def write_by_label(nodes: DataFrame, path: str) -> None:
     nodes.repartition("label", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("label", "id").write.mode("overwrite").partitionBy("label").parquet(path)
 
 
+def _fs(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def current(spark, path: str) -> DataFrame | None:
+    """The table that ``upsert`` keeps below ``path``; none yet gives None."""
+    fs, _ = _fs(spark, path)
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+
+
+def _publish(spark, path: str, version: str) -> None:
+    """Point at a version that is whole: the pointer is written beside its place and renamed into it."""
+    fs, _ = _fs(spark, path)
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    out = fs.create(at(f"{version}.pointer"), True)
+    out.write(bytearray(version.encode("utf-8")))
+    out.close()
+    fs.delete(at("CURRENT"), False)
+    fs.rename(at(f"{version}.pointer"), at("CURRENT"))
+
+
 def upsert(nodes: DataFrame, path: str, key: str, columns: list[str]) -> DataFrame:
-    """Merge into what ``path`` holds, written beside it under a new name; a second run changes nothing. Returns the merged rows."""
+    """Merge into what ``path`` holds as a new version, which then takes the old one's place; a second run changes nothing. Returns the merged rows."""
     spark = nodes.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # only a missing target means an empty one
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        nodes.select(key, *columns).write.parquet(path)
-        return spark.read.parquet(path)
-    merged = merge_rows(old, nodes, key, columns)
-    merged.write.mode("overwrite").parquet(f"{path}.next")
-    return spark.read.parquet(f"{path}.next")
+    old = current(spark, path)
+    given = [c for c in columns if c in nodes.columns]
+    fresh = nodes.select(key, *given, *[F.lit(None).cast("string").alias(c) for c in columns if c not in given]).select(key, *columns).dropDuplicates([key])
+    merged = fresh if old is None else merge_rows(old, nodes.dropDuplicates([key]), key, columns)
+    version = f"v-{uuid.uuid4().hex}"
+    merged.write.parquet(f"{path}/{version}")
+    _publish(spark, path, version)
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def wipe(spark, path: str, tables: list[str] = []) -> None:  # noqa: B006
+    """Drop tables, and delete all that ``upsert`` or ``write_by_label`` keep below ``path``."""
+    for t in tables:
+        spark.sql(f"DROP TABLE IF EXISTS `{t}`")
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def vector_table(nodes: DataFrame, path: str, size: int) -> None:
+    """The searchable vectors: unit length, one folder a label, sorted by id; an error where a vector has another size."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    fits = F.when(F.size("embedding") == size, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("vector of a wrong size: "), F.col("id").cast("string"))).cast("array<float>"))
+    unit = nodes.where("embedding IS NOT NULL").select("id", "label", F.transform(fits, lambda x: (x / norm).cast("float")).alias("embedding"))
+    unit.repartition("label", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("label", "id").write.mode("overwrite").partitionBy("label").parquet(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One folder of JSON a label, and the edges."""
+    nodes.repartition("label", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("label").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_graph(spark, path: str, labels: list[str], schema: str) -> DataFrame:
+    """Nodes of the given labels; a label without files gives none."""
+    fs, _ = _fs(spark, path)
+    out = spark.createDataFrame([], f"{schema}, label string")
+    for label in labels:
+        at = f"{path}/nodes/label={label}"
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at)):
+            out = out.unionByName(spark.read.schema(schema).json(at).withColumn("label", F.lit(label)))
+    return out
+
+
+def pages_of(spark, manifest: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The manifest's pages with their HTML, and those whose file is missing."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("_file"), F.col("value").alias("html"))
+    name = F.regexp_extract("html_path", r"([^/]+)$", 1)
+    return manifest.join(files, name == F.col("_file")).drop("_file"), manifest.join(files.select("_file"), name == F.col("_file"), "left_anti")
+
+
+def append_results(rows: DataFrame, path: str) -> DataFrame:
+    """Append the results that ``path`` does not have yet, by query_id, as JSON lines; returns all of them."""
+    spark = rows.sparkSession
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        done = spark.read.schema(rows.schema).json(path).select(F.col("query_id").alias("_q"))
+        rows = rows.join(done, F.col("query_id") == F.col("_q"), "left_anti")
+    rows.write.mode("append").json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def read_cache(spark, path: str) -> DataFrame:
+    """The translation memory (source, target); a missing file or an unreadable line counts as empty."""
+    fs, p = _fs(spark, path)
+    schema = "source string, target string"
+    return spark.read.schema(schema).json(path).where("source IS NOT NULL AND target IS NOT NULL") if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+def write_cache(memory: DataFrame, path: str) -> None:
+    """Add pairs to the translation memory; the newest pair of a source counts when it is read through ``dropDuplicates``."""
+    memory.select("source", "target").write.mode("append").json(path)
 
 
 def write_texts(files: DataFrame, folder: str) -> DataFrame:
@@ -51,8 +138,10 @@ def write_texts(files: DataFrame, folder: str) -> DataFrame:
                 full = f"{base}/{path}"
                 fs.create_dir(full.rpartition("/")[0], recursive=True)
                 raw = (content or "").encode("utf-8")
-                with fs.open_output_stream(full) as out:
+                own = f"{full}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(own) as out:
                     out.write(raw)
+                fs.move(own, full)  # a reader sees the old file or the new one
                 sizes.append(len(raw))
             yield pd.DataFrame({"path": f["path"], "bytes": sizes})
 
