@@ -158,8 +158,9 @@ ORACLES = {
         qs AS (SELECT query_id, t, ' ' || array_to_string(list_transform(string_split(trim(t), ' '), lambda w: {_STEM}), ' ') || ' ' AS st FROM q),
         n AS (SELECT p_name || ' (x)' AS name, min(p_partkey) AS id, p_name AS bare, array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_STEM}), ' ') AS st FROM part GROUP BY p_name)
         SELECT query_id, id, name FROM qs, n WHERE contains(qs.t, ' ' || bare || ' ') OR (contains(n.st, ' ') AND contains(qs.st, ' ' || n.st || ' '))""",
-    "text_dictionary_join": r"""SELECT item_id AS name_id, doc_id AS text_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(regexp_replace(b.text, '\.$', '')))
-        AND regexp_matches(lower(d.text), '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(lower(regexp_replace(b.text, '\.$', ''))) || '($|[^\p{L}\p{M}\p{N}_])')""",
+    "text_dictionary_join": r"""WITH n AS MATERIALIZED (SELECT item_id, lower(regexp_replace(text, '\.$', '')) AS name FROM benchmark), d AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents),
+        m AS MATERIALIZED (SELECT item_id, doc_id, name, t FROM n, d WHERE contains(t, name))
+        SELECT item_id AS name_id, doc_id AS text_id FROM m WHERE regexp_matches(t, '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{M}\p{N}_])')""",
     "slug_reference_join": r"""SELECT trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1""",
     "hybrid_retrieve": f"""WITH {_KNN_SQL}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best QUALIFY rank <= 50),
         b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM best QUALIFY rank <= 50),

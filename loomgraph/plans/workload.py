@@ -190,7 +190,8 @@ ORACLES = {
     "page_router": f"""SELECT page_id, CASE WHEN regexp_matches(coalesce(nullif(regexp_extract({_PATH}, '([^/]+)/*$', 1), ''), 'toc'), '^[0-9]+$') AND {_KIND} = 'article' THEN 'numbered' WHEN contains(html, '__NEXT_DATA__') THEN 'data' WHEN {_KIND} = 'toc' THEN 'index' ELSE {_KIND} END AS kind FROM pages""",
     "spell_values": "SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END::BIGINT AS value, CASE WHEN p_size % 7 = 0 THEN p_size || '+' END AS override, (p_size // 10)::BIGINT AS number, lower(p_type) AS lore_id FROM part",
     "cost_override": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size END::BIGINT AS cost FROM part",
-    "text_contains_join": r"""WITH f AS (SELECT item_id, lower(regexp_replace(text, '\.$', '')) AS name FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels))
-        SELECT item_id, count(DISTINCT conv_id) AS n FROM f JOIN conversations c ON contains(lower(c.text), name) AND regexp_matches(lower(c.text), '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{M}\p{N}_])') GROUP BY 1""",
+    "text_contains_join": r"""WITH f AS MATERIALIZED (SELECT item_id, lower(regexp_replace(text, '\.$', '')) AS name FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)), c AS MATERIALIZED (SELECT conv_id, lower(text) AS t FROM conversations),
+        m AS MATERIALIZED (SELECT item_id, conv_id, name, t FROM f, c WHERE contains(t, name))
+        SELECT item_id, count(DISTINCT conv_id) AS n FROM m WHERE regexp_matches(t, '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{M}\p{N}_])') GROUP BY 1""",
     "label_of_id": f"WITH {NODES_SQL} SELECT regexp_extract(id, '^([a-z]+)#', 1) AS kind, label, count(*) AS n, count(name) AS named, count(text) AS with_text FROM nodes GROUP BY 1, 2",
 }
