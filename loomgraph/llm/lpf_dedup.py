@@ -41,6 +41,8 @@ from loomgraph.llm import common, shingles
 LENGTH = 200
 GRAM = 64
 HOT = 2048
+#: Stands for a null doc_id, and so comes first.
+LEAST_ID = -(2**63)
 #: Starts that one block sorts; a block takes whole anchors.
 BLOCK_STARTS = 100_000
 _PIECE = 1 << 20
@@ -226,7 +228,7 @@ def _factor_runs(texts: DataFrame, length: int) -> DataFrame:
 
 def _rows(documents: DataFrame, carried: list[Column] | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select(*(carried or []), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), (F.xxhash64(text) % 2147483647).cast("int").alias("h"), text.alias("text"))
+    return documents.select(*(carried or []), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc"), (F.xxhash64(text) % 2147483647).cast("int").alias("h"), text.alias("text"))
 
 
 def _compressed(rows: DataFrame, carried: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ Reading plans one partition per archive file.  Filters on ``record_type``,
 the payload of a record that fails them, or that no asked-for column needs, is
 passed over by its Content-Length without being read.
 
+Archives of other writers are read too: ``.warc.gz`` with a member a record,
+header names in any case, undecodable header bytes replaced.
+
 Writing makes uncompressed WARC/1.1 files.  Payloads are HTTP-free
 (``resource``-like bodies under ``response`` records).  Revisit records carry
 the digest and length of the payload they repeat, and no body.
@@ -18,6 +21,7 @@ empty table writes no record; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import re
@@ -40,6 +44,7 @@ SCHEMA = "page_id long, target_uri string, record_type string, payload_digest st
 FILE_BYTES = 256_000_000
 _BATCH_BYTES = 4_000_000
 _FIELDS = {"WARC-Type": "record_type", "WARC-Target-URI": "target_uri", "WARC-Payload-Digest": "payload_digest", "X-Page-Id": "page_id", "X-Payload-Length": "payload_bytes", "X-Refers-To-Page": "refers_to"}
+_BY_NAME = {k.lower(): v for k, v in _FIELDS.items()}
 _NUMBERS = {"page_id", "payload_bytes", "refers_to"}
 
 
@@ -143,7 +148,7 @@ class WarcReader(DataSourceReader):
         if fs.get_file_info(path).type == pafs.FileType.NotFound:
             return [Archive("")]
         prefix = "" if "://" not in self.folder else self.folder[: self.folder.index("://")] + "://"
-        found = [x for x in fs.get_file_info(pafs.FileSelector(path)) if x.is_file and x.base_name.endswith(".warc")]
+        found = [x for x in fs.get_file_info(pafs.FileSelector(path)) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
         return [Archive(f"{self.folder.rstrip('/')}/{x.base_name}" if prefix else x.path) for x in sorted(found, key=lambda x: -x.size)] or [Archive("")]
 
     def _kept(self, head: dict[str, Any]) -> bool:
@@ -158,17 +163,23 @@ class WarcReader(DataSourceReader):
         held = 0
         with fs.open_input_file(path) as raw:
             f = io.BufferedReader(raw, 1 << 20) if hasattr(raw, "readinto") else raw
+            if partition.value.endswith(".gz"):  # one member a record, read as one stream
+                f = io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20)
             while line := f.readline():
                 if not line.startswith(b"WARC/"):
                     continue
                 head: dict[str, Any] = dict.fromkeys(self.columns) | dict.fromkeys(_FIELDS.values())
                 length = 0
                 while (line := f.readline()) not in (b"\r\n", b""):
-                    name, _, value = line.decode("utf-8").rstrip("\r\n").partition(": ")
-                    if name == "Content-Length":
+                    name, _, value = line.decode("utf-8", "replace").partition(":")
+                    name, value = name.strip().lower(), value.rstrip("\r\n").removeprefix(" ")
+                    if name == "content-length":
                         length = int(value)
-                    elif field := _FIELDS.get(name):
-                        head[field] = int(value) if field in _NUMBERS else value.removeprefix("sha1:") if field == "payload_digest" else value
+                    elif field := _BY_NAME.get(name):
+                        head[field] = (int(value) if value.lstrip("-").isdigit() else None) if field in _NUMBERS else value.strip() if field == "record_type" else value.removeprefix("sha1:") if field == "payload_digest" else value
+                own = head["payload_bytes"] is not None  # archives of other writers do not state it, nor do they escape their URIs
+                if not own:
+                    head["payload_bytes"] = length
                 if with_body and self._kept(head):
                     head["payload"] = f.read(length)
                     held += length
@@ -177,7 +188,7 @@ class WarcReader(DataSourceReader):
                     f.seek(length, io.SEEK_CUR)
                     keep = not with_body and self._kept(head)
                 if keep:
-                    if head.get("target_uri"):
+                    if own and head.get("target_uri"):
                         head["target_uri"] = re.sub(r"\\(.)", lambda m: {"r": "\r", "n": "\n"}.get(m[1], m[1]), head["target_uri"])
                     rows.append({c: head[c] for c in self.columns})
                 if held > _BATCH_BYTES or len(rows) >= 5000:

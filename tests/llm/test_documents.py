@@ -82,10 +82,31 @@ def test_mixing(spark):
     assert words == sum(r.taken for r in out)
 
 
+def test_mixing_fills_every_shard_with_all_sources(spark, monkeypatch):
+    """Many more shards than the least number of blocks: each shard holds the sources in about their shares."""
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    rows = [(i, f"w{i} a b c", f"s{i % 3}") for i in range(12_000)]
+    out = mixing.mix(documents(spark, rows), shard_words=800).collect()
+    words, shard = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in out:
+        for x in r.draws:
+            words[r.source] += x.words
+            shard[x.shard][r.source] += x.words
+    target = {r.source: r.target for r in out}
+    assert len(shard) == 64 and all(abs(words[s] - target[s]) <= 1 for s in target)
+    for own in shard.values():
+        total = sum(own.values())
+        assert all(abs(own[s] / total - target[s] / sum(target.values())) < 0.2 for s in target)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([([100, 300, 0, 7],)], "quotas array<bigint>")
     leaves = mixing.splitting_tree(quotas, 2).collect()
     assert [sum(c) for c in zip(*[r.quotas for r in leaves])] == [100, 300, 0, 7]
+    upto = [0, 0, 0, 0]
+    for r in sorted(leaves, key=lambda r: r.shard):
+        assert r.starts == upto
+        upto = [a + b for a, b in zip(upto, r.quotas)]
     assert {sum(r.quotas) for r in leaves} <= {101, 102} and all(q >= 0 for r in leaves for q in r.quotas)
 
 
@@ -143,7 +164,7 @@ def test_later_copies_go(spark):
     assert out.columns == d.columns and out.count() == d.count()
     by = {r.doc_id: r for r in out.collect()}
     full = {i: t for i, t, _ in texts()}
-    # the null id counts as 0 here, so its copy of the shared text is the first
+    # the null id comes before all others, so its copy of the shared text is the first
     assert len(by[30].text) < len(full[30]) and by[32].text == "" and by[0].text == full[0]
     assert all(r.n_chars == len(r.text) for r in by.values())
     assert lpf_dedup.without_later_copies(documents(spark, [])).collect() == []
@@ -217,7 +238,7 @@ def test_token_counts(spark):
             n += 1
         return n
 
-    rows = [r for r in texts() if r[0] != 40]
+    rows = texts()
     out = token_counts.token_counts(documents(spark, rows), model).collect()
     want = sorted((str(i), sum(greedy(w) for w in (t or "").encode().split())) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.n_tokens) for r in out) == want

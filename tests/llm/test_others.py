@@ -39,6 +39,16 @@ def test_warc_pushdown_and_order(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_warc_of_another_writer(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\nhi"
+    one = lambda kind, uri: b"WARC/1.0\r\nwarc-type:" + kind + b"\r\nWARC-TARGET-URI: " + uri + b"\r\nX-Odd: \xff\xfe\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, [one(b"warcinfo", b"f"), one(b"response", b"http://h/a\\n"), one(b"response", b"http://h/b")])))
+    rows = warc.read(spark, f"file://{tmp_path}").where("record_type = 'response'").collect()
+    assert [(r.target_uri, r.payload_bytes, bytes(r.payload), r.page_id) for r in rows] == [("http://h/a\\n", len(block), block, None), ("http://h/b", len(block), block, None)]
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
@@ -125,6 +135,24 @@ def test_pipeline(spark):
     assert docs.where("NOT round_trip").count() == 0
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties and repeats, clashing extra columns; then no rows at all; reruns agree."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 0) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (None, []):
+        docs = documents(spark, rows)
+        names, runs = docs.columns, []
+        for _ in range(2):
+            now = docs
+            for name, stage in corpus_pipeline.STAGES:
+                now = common.written(stage(spark, now, str(tmp_path)), name)
+                if name != "sentencepiece":
+                    assert now.columns == names
+            runs.append(sorted(map(str, now.select("doc_id", "ids").collect())))
+        assert runs[0] == runs[1] and bool(runs[0]) == (rows is None)
+
+
 def test_every_operator_is_registered():
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
