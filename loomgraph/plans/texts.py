@@ -70,12 +70,14 @@ def strip_parenthetical(spark, d):
 
 
 def bracket_citations(spark, d):
-    """Bracketed ids that are known, the text without them, and whether the last word is mentioned outside brackets."""
+    """Bracketed ids that are known, the text without them, and whether a known id is mentioned as a whole word outside brackets."""
     p = table(spark, d, "part").select("p_partkey", X.slugify("p_name").alias("slug"))
-    said = p.select("p_partkey", F.concat(F.lit("see ["), "slug", F.lit("] and [other-"), F.col("p_partkey") % 3, F.lit("] or [other-9]")).alias("t"), F.array(F.col("slug"), F.lit("other-1")).alias("known"))
+    said = p.select("p_partkey", F.concat(F.lit("see ["), "slug", F.lit("] and [other-"), F.col("p_partkey") % 3, F.lit("] or [other-9]"), F.when(F.col("p_partkey") % 4 == 0, " as OTHER-1 says").when(F.col("p_partkey") % 4 == 1, " as another-1 says").otherwise("")).alias("t"), F.array(F.col("slug"), F.lit("other-1")).alias("known"))
     found = F.array_intersect(F.regexp_extract_all("t", F.lit(r"\[([a-z0-9][a-z0-9-]*)\]"), 1), F.col("known"))
     cleared = F.aggregate("known", F.col("t"), lambda s, k: F.replace(s, F.concat(F.lit("["), k, F.lit("]")), F.lit("")))
-    return said.select("p_partkey", F.array_join(found, ",").alias("cited"), cleared.alias("cleared"))
+    bare = F.regexp_replace("t", r"\[.*?\]", " ")
+    mentioned = F.exists("known", lambda k: F.regexp_like(bare, F.concat(F.lit(r"(?i)\b\Q"), k, F.lit(r"\E\b"))))
+    return said.select("p_partkey", F.array_join(found, ",").alias("cited"), cleared.alias("cleared"), mentioned.alias("mentioned"))
 
 
 def unit_size_parse(spark, d):
@@ -237,9 +239,10 @@ def rich_text_plain(spark, d):
 
 
 def sql_search_function(spark, d):
-    """A table function over the catalogue: parts by prefix, called from SQL."""
+    """A SQL table function over the catalogue: parts by prefix in any case."""
     table(spark, d, "part").createOrReplaceTempView("loomgraph_parts")
-    return spark.sql("SELECT p_partkey, p_name FROM loomgraph_parts WHERE startswith(lower(p_name), lower('RED'))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION parts_by_prefix(q STRING) RETURNS TABLE (p_partkey BIGINT, p_name STRING) RETURN SELECT p_partkey, p_name FROM loomgraph_parts WHERE startswith(lower(p_name), lower(parts_by_prefix.q))")
+    return spark.sql("SELECT p_partkey, p_name FROM parts_by_prefix('RED')")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -276,7 +279,7 @@ ORACLES = {
     "lucene_escape_text": r"""SELECT item_id, regexp_replace('(Ld) a+b? ' || text, '([+\-&|!(){}\[\]^"~*?:\\/])', '\\\1', 'g') AS escaped FROM benchmark""",
     "strip_parenthetical": "SELECT c_custkey, c_name AS bare FROM customer",
     "bracket_citations": r"""WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part)
-        SELECT p_partkey, slug || CASE WHEN p_partkey % 3 = 1 THEN ',other-1' ELSE '' END AS cited, 'see  and ' || CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '[other-' || p_partkey % 3 || ']' END || ' or [other-9]' AS cleared FROM p""",
+        SELECT p_partkey, slug || CASE WHEN p_partkey % 3 = 1 THEN ',other-1' ELSE '' END AS cited, 'see  and ' || CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '[other-' || p_partkey % 3 || ']' END || ' or [other-9]' || CASE p_partkey % 4 WHEN 0 THEN ' as OTHER-1 says' WHEN 1 THEN ' as another-1 says' ELSE '' END AS cleared, p_partkey % 4 = 0 AS mentioned FROM p""",
     "unit_size_parse": "SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN 1 ELSE p_size END::BIGINT AS size_min, CASE p_size % 4 WHEN 1 THEN p_size + 20 WHEN 2 THEN p_size END::BIGINT AS size_max FROM part",
     "base_size_parse": "SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size END::BIGINT AS width, CASE WHEN p_size > 5 THEN p_size * 2 END::BIGINT AS depth FROM part",
     "stat_value_parse": "SELECT p_partkey, CASE WHEN p_size % 5 = 2 THEN p_size END::BIGINT AS value FROM part",
