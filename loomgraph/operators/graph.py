@@ -16,6 +16,8 @@ TIERS = {"IN_REGION": 1, "IN_NATION": 1, "PLACED_BY": 2, "SUPPLIED_BY": 2, "CONT
 CAPS = {"CONTAINS": 3, "SUPPLIED_BY": 5, "PLACED_BY": 20}
 DEFAULT_CAP = 4
 SEED_CAP = 40
+#: Shares of a table that meets rows which fit everything.
+SPREAD = 64
 
 
 def _case(values: dict[str, int], of: Column, default: int) -> Column:
@@ -135,9 +137,16 @@ def shortest_route(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFra
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
-    """Length of the shortest undirected path of up to ``most`` hops between ``pairs(a, b)``; null where there is none."""
-    found = hops(edges, pairs.select(F.col("a").alias("center")).distinct(), most)
-    return pairs.join(found, (F.col("a") == F.col("center")) & (F.col("b") == F.col("id")), "left").select("a", "b", F.col("distance").cast("bigint").alias("hops"))
+    """Length of the shortest undirected path of up to ``most`` hops between ``pairs(a, b)``; null where there is none.
+
+    Both ends are walked half way, and paths meet at a node that both have reached.
+    """
+    ends = pairs.select(F.col("a").alias("center")).union(pairs.select("b")).distinct()
+    near = hops(edges, ends, (most + 1) // 2).select("center", "id", "distance")
+    there = near.toDF("_c", "_id", "_d")
+    met = pairs.distinct().join(near, F.col("a") == F.col("center")).join(there, (F.col("b") == F.col("_c")) & (F.col("id") == F.col("_id")))
+    least = met.groupBy("a", "b").agg(F.min(F.col("distance") + F.col("_d")).alias("hops")).where(F.col("hops") <= most)
+    return pairs.join(least, ["a", "b"], "left").select("a", "b", F.col("hops").cast("bigint").alias("hops"))
 
 
 def variable_length(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -234,9 +243,11 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def universal_or_equal(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """``right_key IS NULL OR left_key = right_key`` as two equi-joins, not a nested loop.
 
-    Rows of the right that fit everything are joined on a constant: their number
-    must be small against the left, which stays where it is when they broadcast.
+    Rows of the right that fit everything stand in each of ``SPREAD`` shares of the
+    left, so no key takes the whole of it; where they are few they broadcast and
+    the left stays where it is.
     """
     fitting = left.join(right.where(F.col(right_key).isNotNull()), F.col(left_key) == F.col(right_key))
-    general = left.withColumn("_one", F.lit(1)).join(right.where(F.col(right_key).isNull()).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    shares = right.where(F.col(right_key).isNull()).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    general = left.withColumn("_share", F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")).join(shares, "_share").drop("_share")
     return fitting.unionByName(general)

@@ -10,6 +10,9 @@ from loomgraph.plans import catalogue, checks, graph, parsing, retrieval, texts,
 
 FAMILIES = (graph, retrieval, texts, checks, workload, parsing, catalogue)
 
+#: Queries by stage: the module that registers them.
+STAGES = {m.__name__.rpartition(".")[2]: m.QUERIES for m in FAMILIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for m in FAMILIES for k, f in m.QUERIES.items()}

@@ -456,8 +456,7 @@ def shortest_routes(spark, d):
     from loomgraph.sources.tables import edges
 
     pairs = spark.createDataFrame([("part#1", "region#1"), ("customer#5", "supplier#7"), ("region#1", "region#2"), ("part#1", "missing#1"), ("customer#5", "customer#5")], "a string, b string")
-    e = edges(spark, d, ("IN_REGION", "IN_NATION", "SUPPLIED_BY"))
-    return G.shortest_route(e, pairs).select("a", "b", "hops", F.size(F.split("route", ">")).cast("bigint").alias("nodes"), F.coalesce(F.startswith("route", "a") & F.endswith("route", "b"), F.lit(False)).alias("whole"))
+    return G.shortest_route(edges(spark, d), pairs).select("a", "b", "hops", F.size(F.split("route", ">")).cast("bigint").alias("nodes"), F.coalesce(F.startswith("route", "a") & F.endswith("route", "b"), F.lit(False)).alias("whole"))
 
 
 def ratio_flag(spark, d):

@@ -57,8 +57,8 @@ def links_between(spark, d):
     return G.links_between(edges(spark, d), _linked_seeds(spark, d)).select("src", "dst", "relation")
 
 
-_HOP_EDGES = ("IN_REGION", "IN_NATION", "SUPPLIED_BY")  # stated: the relations without orders
-_HOP_SQL = "relation IN ('IN_REGION', 'IN_NATION', 'SUPPLIED_BY')"
+_HOP_EDGES = tuple(RELATIONS)
+_HOP_SQL = "relation IS NOT NULL"
 _LEVELS_SQL = f"""
 pairs AS (SELECT DISTINCT node, other FROM both_ways WHERE {_HOP_SQL}),
 l0 AS (SELECT seed_id AS center, seed_id AS id FROM seeds),

@@ -150,8 +150,8 @@ def json_path(spark, d):
 
 def props_struct(spark, d):
     """Readable properties as compact JSON, nulls left out."""
-    line = table(spark, d, "lineitem").where("l_linenumber = 1")
-    return line.select("l_orderkey", F.to_json(F.struct(F.col("l_quantity").cast("bigint").alias("budget"), F.when(F.col("l_returnflag") == "R", F.col("l_returnflag")).alias("alliance_type"))).alias("props"))
+    line = table(spark, d, "lineitem")
+    return line.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.to_json(F.struct(F.col("l_quantity").cast("bigint").alias("budget"), F.when(F.col("l_returnflag") == "R", F.col("l_returnflag")).alias("alliance_type"))).alias("props"))
 
 
 def array_flatten(spark, d):
@@ -294,7 +294,7 @@ ORACLES = {
     "terrain_class": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'hill' WHEN doc_id % 7 = 1 THEN 'woods' WHEN contains(lower(left(text, 500)), 'water') THEN 'water' WHEN contains(lower(left(text, 500)), 'wall') THEN 'linear_obstacle' WHEN contains(lower(left(text, 500)), 'the') THEN 'open' ELSE 'special' END AS kind FROM documents",
     "failure_taxonomy": "SELECT CASE WHEN event_id % 5 = 0 THEN '404' WHEN event_id % 5 = 1 THEN 'http_error' WHEN event_id % 5 = 2 THEN 'network' WHEN event_id % 6 > 3 THEN 'isr_exhausted' WHEN event_id % 5 = 3 THEN 'unexpected' END AS reason, count(*) AS n FROM events GROUP BY 1",
     "json_path": "SELECT event_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k, props->>'$.none.deep' AS deep FROM events",
-    "props_struct": "SELECT l_orderkey, '{\"budget\":' || l_quantity::BIGINT || CASE WHEN l_returnflag = 'R' THEN ',\"alliance_type\":\"R\"' ELSE '' END || '}' AS props FROM lineitem WHERE l_linenumber = 1",
+    "props_struct": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, '{\"budget\":' || l_quantity::BIGINT || CASE WHEN l_returnflag = 'R' THEN ',\"alliance_type\":\"R\"' ELSE '' END || '}' AS props FROM lineitem",
     "array_flatten": f"WITH {_LINES} SELECT conv_id, turn, count(*) AS lines, max(place)::BIGINT AS last_place, sum(length(line))::BIGINT AS chars FROM l WHERE trim(line) <> '' GROUP BY 1, 2",
     "section_assignment": f"""WITH {_LINES}, s AS (SELECT conv_id, last_value(CASE WHEN NOT contains(line, ' ') THEN line END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, place ROWS UNBOUNDED PRECEDING) AS section FROM l)
         SELECT conv_id, section, count(*) AS n FROM s GROUP BY 1, 2""",
