@@ -11,9 +11,9 @@ only in the N - 1 units of least gap: there a backward A* search whose heuristic
 is the forward Viterbi score, hence exact, lists the unit's N best, and the
 lists are merged.  Ties go to the unit that comes first and to the longer last piece.
 Units of more than ``LONG`` characters (text without spaces) fall apart at every
-place that no piece crosses; what is still long is searched edge by edge, and as
-of the N best at most N pass a node with different ends, A* opens a node N times
-at most: work and memory grow with the length of the text.
+place that no piece crosses; what is still long is searched edge by edge.  A*
+keeps the N most promising ends only, so work and memory grow with the length of
+the text.
 Every segmentation comes out whole: the best as ids, each as the runs of those
 ids that it replaces, from which ``nbest_ids`` writes its ids in full.
 
@@ -27,7 +27,6 @@ doc_ids stay; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -279,12 +278,12 @@ class Encoder:
                         score.append(float(self.scores[k]) if k >= 0 else len((MARK if unit[i:j] == mark else unit[i:j]).encode("utf-8")) * self.unknown)
                 at.append(len(begin))
         ahead, _ = self._ahead(n, begin, score, at)
-        # of equal promise the node nearest to the start comes first, then the longer piece
-        heap: list[tuple[float, int, int, float, tuple]] = [(-ahead[n], n, 0, 0.0, ())]
-        opened = [0] * (n + 1)
+        # as the heuristic is exact, each open end stands for a segmentation of just its promise, and different ends for
+        # different ones: the ``count`` most promising are enough. Of equal ones the nearest to the start comes first, then the longer piece
+        ends: list[tuple[float, int, int, float, tuple]] = [(-ahead[n], n, 0, 0.0, ())]
         out, turn = [], 0
-        while heap and len(out) < count:
-            _, j, _, s, path = heapq.heappop(heap)
+        while ends and len(out) < count:
+            _, j, _, s, path = ends.pop(0)
             if j == 0:
                 found: list[int] = []
                 while path:
@@ -292,13 +291,12 @@ class Encoder:
                     found += self._own(unit, i, e, k, mark)
                 out.append((s, np.array(found, "<i4").tobytes()))
                 continue
-            if opened[j] == count:
-                continue
-            opened[j] += 1
             for x in range(at[j], at[j + 1]):
                 turn += 1
                 i = begin[x]
-                heapq.heappush(heap, (-(s + score[x] + ahead[i]), i, turn, s + score[x], (i, j, ids[x], path)))
+                ends.append((-(s + score[x] + ahead[i]), i, turn, s + score[x], (i, j, ids[x], path)))
+            ends.sort()
+            del ends[count - len(out) :]
         return out
 
     def _split(self, text: str) -> tuple[list[str], str]:

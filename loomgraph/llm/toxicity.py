@@ -36,7 +36,7 @@ WINDOW, STRIDE = 64, 32
 HIDDEN = 8
 WORD_DIM = CHAR_DIM = 8
 VOCABULARY = 8192
-GRAMS = 1 << 14
+GRAMS = 1 << 14  # with the place of other bytes behind them they fit 16 bits
 SAMPLE = 6000
 #: Characters that one text brings to the sample at most, and of the stretches drawn from longer ones.
 SAMPLE_CHARS, STRETCH = 60_000, 2000
@@ -79,7 +79,7 @@ def words_of(texts: list[str]) -> Words:
     first[starts] = 1
     g = (v[:n] | (c1 << 8) | (c2 << 16) | (c3 << 24)) ^ (first * np.uint32(0x5BD1E995))
     g = (g * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAMS.bit_length() + 1)
-    grams = np.where(low > 0, g, GRAMS).astype(np.int64)
+    grams = np.where(low > 0, g, GRAMS).astype(np.uint16)
     assert len(stops) == len(starts) == len(hashes)
     return Words(hashes, starts, np.concatenate([[0], np.searchsorted(starts, ends)]), grams)
 
