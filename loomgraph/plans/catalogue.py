@@ -159,7 +159,7 @@ def texts_by_label(spark, d):
     id_ = F.when(label == "Unit", F.concat(F.lit("unit-"), k % 200)).when(label == "MagicItem", F.concat(F.lit("item-"), k % 300)).otherwise(F.concat(F.lit("army-"), k % 30))
     ids = table(spark, d, "orders").select(k.alias("place"), label.alias("label"), id_.alias("id"))
     names = table(spark, d, "nation").select(F.concat(F.lit("army-"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"))
-    return B.aligned(ids, {"Unit": lambda w: _unit_texts(spark, d, w), "MagicItem": lambda w: _item_texts(spark, d, w)}, names).select("place", "id", F.length("text").alias("chars"), F.substring("text", 1, 40).alias("head"))
+    return B.aligned(ids, {"Unit": lambda w: _unit_texts(spark, d, w), "MagicItem": lambda w: _item_texts(spark, d, w)}, names).select("place", "id", _int(F.length("text")).alias("chars"), F.substring("text", 1, 40).alias("head"))
 
 
 # -- context ---------------------------------------------------------------------
