@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chosen_path, common, fingerprints, lpf_dedup, metric_join, mixing, oracles, pieces, sentencepieces, token_counts, token_ids, toxicity, warc
+from loomgraph.llm import chosen_path, common, fill_middle, fingerprints, lpf_dedup, metric_join, mixing, oracles, packing, pieces, sentencepieces, token_counts, token_ids, toxicity, vector_codes, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similarity_classes(common.table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"), token_ids.public_tokenizer())
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_sentencepiece": op4_sentencepiece, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_token_ids": op10_token_ids}
+    return {"op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_warc": op3_warc, "op4_sentencepiece": op4_sentencepiece, "op5_ngram_jaccard_join": op5_ngram_jaccard_join, "op6_embedding_near_dedup": op6_embedding_near_dedup, "op7_toxicity": op7_toxicity, "op8_token_counts": op8_token_counts, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_token_ids": op10_token_ids, "op11_fill_middle": op11_fill_middle, "op12_packing": op12_packing, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:

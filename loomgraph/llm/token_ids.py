@@ -259,6 +259,15 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str | None = None, e
     return files.join(F.broadcast(starts), F.col("range") == F.col("_range")).select("range", "part", "uri", "n_ids", (F.col("_start") + F.col("_own")).alias("start"))
 
 
+def store_ids(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """Encode ``documents`` where they are read, without a shuffle, into files of bounded size; the manifest (range, part, uri, n_ids) is returned, a range being what a task reads."""
+    spark = documents.sparkSession
+    common.small_batches(spark)
+    folder = folder or common.shared_path(spark, "token-store")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.spark_partition_id().alias("_range"))
+    return common.written(rows.mapInArrow(_write_ranges(lambda: WordEncoder(tokenizer), folder, end_id, FILE_BYTES), "range int, part int, uri string, n_ids long"), "token-store")
+
+
 def read_ids(manifest: DataFrame, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens and ``ids`` or ``ids_crc32``, as asked for."""
     kinds = {"ids": "array<int>", "ids_crc32": "long"}

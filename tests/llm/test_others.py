@@ -155,7 +155,7 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
 
 def test_every_operator_is_registered():
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
 
 
 def test_toxicity_learns_from_long_texts_alone(spark, monkeypatch):
