@@ -60,8 +60,11 @@ BUCKET = 512
 WHOLE = 50_000
 #: How far below the threshold an estimate may lie for a pair to stay a candidate: five standard errors of BINS values.
 SLACK = 0.25
-#: Shingles that one block of a component holds.
+#: Shingles and sets that one block of a component holds.
 BLOCK_TOKENS = 1_000_000
+BLOCK_SETS = 4000
+#: Cells of the comparison of two blocks that are worked out at once.
+TILE_CELLS = 1_000_000
 LEAST_ID = -(2**63)
 
 
@@ -298,37 +301,52 @@ def candidate_groups(reps: DataFrame, recall: float = RECALL) -> DataFrame:
 # -- exact verification ----------------------------------------------------------
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set of a with each of b."""
-    out = np.zeros((len(a), len(b)), np.int64)
+def near_pairs(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of a are alike with which of b, as a matrix of booleans; intersections are counted for a tile of rows of a at a time."""
+    near = np.zeros((len(a), len(b)), bool)
+    na, nb = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
     tokens, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    na = sum(map(len, a))
-    ta, tb = at[:na], at[na:]
-    ra, rb = np.repeat(np.arange(len(a)), [len(s) for s in a]), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    ta, tb = at[: na.sum()].astype(np.int32), at[na.sum() :].astype(np.int32)
+    ra, rb = np.repeat(np.arange(len(a), dtype=np.int32), na), np.repeat(np.arange(len(b), dtype=np.int32), nb)
     da, db = np.bincount(ta, minlength=len(tokens)), np.bincount(tb, minlength=len(tokens))
-    often = np.flatnonzero((da * db > 64))
-    for s in range(0, len(often), 2048):
-        part = often[s : s + 2048]
-        column = np.full(len(tokens), -1, np.int64)
-        column[part] = np.arange(len(part))
-        x, y = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
-        for grid, row, t in ((x, ra, ta), (y, rb, tb)):
-            c = column[t]
-            grid[row[c >= 0], c[c >= 0]] = 1
-        out += np.rint(x @ y.T).astype(np.int64)
+    often = np.flatnonzero(da * db > 64)
+    column = np.full(len(tokens), -1, np.int32)
+    column[often] = np.arange(len(often), dtype=np.int32)
     rare = (da > 0) & (db > 0) & (da * db <= 64)
     keep = rare[tb]
     order = np.argsort(tb[keep], kind="stable")
-    tb, rb = tb[keep][order], rb[keep][order]
-    keep = rare[ta]
-    ta, ra = ta[keep], ra[keep]
-    lo, hi = np.searchsorted(tb, ta, "left"), np.searchsorted(tb, ta, "right")
-    for s in range(0, len(ta), 100_000):
-        n = (hi - lo)[s : s + 100_000]
-        i = np.repeat(ra[s : s + 100_000], n)
-        j = rb[np.repeat(lo[s : s + 100_000] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        np.add.at(out, (i, j), 1)
-    return out
+    rare_tb, rare_rb = tb[keep][order], rb[keep][order]
+
+    def by_column(t: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = column[t]
+        order = np.argsort(c, kind="stable")[(c < 0).sum() :]
+        return c[order], row[order]
+
+    cb, rows_b = by_column(tb, rb)
+    ends = np.concatenate([[0], np.cumsum(na)])
+    height = max(1, TILE_CELLS // max(1, len(b)))
+    width = max(1, TILE_CELLS // max(1, len(b)))
+    for top in range(0, len(a), height):
+        low = min(top + height, len(a))
+        t, r = ta[ends[top] : ends[low]], ra[ends[top] : ends[low]] - top
+        out = np.zeros((low - top, len(b)), np.float32)  # counts stay far below 2^24
+        ca, rows_a = by_column(t, r)
+        for s in range(0, len(often), width):
+            x, y = (np.zeros((n, min(width, len(often) - s)), np.float32) for n in (low - top, len(b)))
+            for grid, c, row in ((x, ca, rows_a), (y, cb, rows_b)):
+                i, j = np.searchsorted(c, [s, s + width])
+                grid[row[i:j], c[i:j] - s] = 1
+            out += x @ y.T
+        of_rare = rare[t]
+        t, r = t[of_rare], r[of_rare]
+        lo, hi = np.searchsorted(rare_tb, t, "left"), np.searchsorted(rare_tb, t, "right")
+        for s in range(0, len(t), 20_000):
+            n = (hi - lo)[s : s + 20_000]
+            j = rare_rb[np.repeat(lo[s : s + 20_000] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            np.add.at(out, (np.repeat(r[s : s + 20_000], n), j), 1)
+        union = (na[top:low, None] + nb[None, :]).astype(np.float64) - out
+        near[top:low] = out >= threshold * union - 1e-9
+    return near
 
 
 def _verified(sets: DataFrame, threshold: float) -> DataFrame:
@@ -342,10 +360,7 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
         if not a or not b:
             return pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], pa.int64()), pa.array([], kind)], names=["rep", "links", "other"])
         x, y = ([np.frombuffer(r[3], "<u8") for r in side] for side in (a, b))
-        inter = intersections(x, y)
-        size = lambda z: np.array([len(s) for s in z], np.int64)
-        union = size(x)[:, None] + size(y)[None, :] - inter
-        near = inter >= threshold * union - 1e-9
+        near = near_pairs(x, y, threshold)
         if whole:
             np.fill_diagonal(near, False)
         reps: list[dict] = []
@@ -476,8 +491,9 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, recall: float =
     reps = common.written(per_set, "sets")
     groups = common.written(candidate_groups(reps.select("rep", "sketch"), recall), "candidates")
     members = groups.join(reps, groups["node"] == reps["rep"]).select("rep", F.col("component").alias("comp"), "copies", "size")
-    sizes = members.groupBy("comp").agg(F.sum("size").alias("tokens"))
-    sizes = sizes.select(F.col("comp").alias("_comp"), F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    sizes = members.groupBy("comp").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("sets"))
+    blocks = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("sets") / BLOCK_SETS)).cast("int")
+    sizes = sizes.select(F.col("comp").alias("_comp"), blocks.alias("blocks"))
     sizes = common.written(sizes, "component-sizes")
     wanted = common.written(members.join(sizes, F.col("comp") == F.col("_comp")).drop("_comp"), "wanted")
     placed = _placed_sets(rows, wanted)

@@ -127,6 +127,38 @@ def test_jaccard_classes(spark, monkeypatch, bucket, whole, block):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in out) == want
 
 
+@pytest.mark.parametrize("cells", [10**6, 700, 7])
+def test_near_pairs_against_sets(monkeypatch, cells):
+    monkeypatch.setattr(chosen_path, "TILE_CELLS", cells)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    some = [np.unique(np.concatenate([base[rng.random(40) < 0.97], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(70)]
+    some += [base[:1], base[:2], base[39:]]
+    want = [[len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) for y in some[30:]] for x in some]
+    assert chosen_path.near_pairs(some, some[30:], 0.8).tolist() == want and 0 < np.sum(want) < np.size(want)
+
+
+def test_blocks_of_short_near_copies_stay_small():
+    """A full block of short sets is compared in little memory, whatever the number of sets."""
+    import tracemalloc
+
+    base = np.arange(15, dtype=np.uint64)
+    block = [np.append(base, np.uint64(100 + k)) for k in range(chosen_path.BLOCK_SETS)]
+    tracemalloc.start()
+    near = chosen_path.near_pairs(block, block, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.all() and peak < 100e6
+
+
+def test_many_short_near_copies(spark, monkeypatch):
+    """A class of more sets than a block holds, each different from the others in its last word."""
+    monkeypatch.setattr(chosen_path, "BLOCK_SETS", 700)
+    head = " ".join(f"w{k}" for k in range(19))
+    out = chosen_path.similarity_classes(documents(spark, [(k, f"{head} x{k}", "s") for k in range(3000)])).collect()
+    assert {(r.class_id, r.n_links) for r in out} == {(0, 2999)} and len(out) == 3000
+
+
 def test_without_near_copies(spark):
     d = documents(spark)
     kept = chosen_path.without_near_copies(d)
