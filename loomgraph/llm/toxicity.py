@@ -11,8 +11,9 @@ positive text teaches by its highest window, a negative one by its highest and
 by others.
 
 Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows outside the
-held-out fold, by hash, a text beyond ``SAMPLE_CHARS`` characters giving
-stretches spread over it.  Scoring covers all words of all texts.
+held-out fold, by hash, as many as hold ``SAMPLE_CHARS`` characters together, each
+with its whole text (texts beyond ``LONGEST`` characters are not drawn).  Scoring
+covers all words of all texts.
 
 Defined cases: null, empty and wordless texts are one window without words and
 get the network's base score; null or other labels than 0 and 1 teach nothing;
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, shingles
@@ -38,8 +39,10 @@ WORD_DIM = CHAR_DIM = 8
 VOCABULARY = 8192
 GRAMS = 1 << 14  # with the place of other bytes behind them they fit 16 bits
 SAMPLE = 6000
-#: Characters that one text brings to the sample at most, and of the stretches drawn from longer ones.
-SAMPLE_CHARS, STRETCH = 60_000, 2000
+#: Characters of the sample's texts together; training holds about seven bytes for each.
+SAMPLE_CHARS = 48_000_000
+#: Characters of a text that the sample may draw.
+LONGEST = 3_000_000
 FOLDS = 5
 EPOCHS = 9
 CHUNK = 1_000_000
@@ -283,8 +286,11 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
     pairs: list[np.ndarray] = []
     grams = np.zeros((2, GRAMS), np.int64)
     parts = []
-    for i in range(0, n, 200):
-        w = words_of(texts[i : i + 200])
+    begins = []
+    while (i := begins[-1] + len(parts[-1].at) - 1 if begins else 0) < n:
+        size = np.cumsum([len(t) for t in texts[i : i + 200]])
+        w = words_of(texts[i : i + max(1, int(np.searchsorted(size, CHUNK, "right")))])
+        begins.append(i)
         parts.append(w)
         for j in range(len(w.at) - 1):
             pairs.append(np.unique(w.hashes[w.at[j] : w.at[j + 1]]))
@@ -330,7 +336,7 @@ def train(texts: list[str], labels: np.ndarray) -> Network:
                 spans[k] = (text, first, length)
                 top = order[last]
                 w.top = top  # type: ignore[attr-defined]
-            label = labels[200 * k + text]
+            label = labels[begins[k] + text]
             more = np.flatnonzero((label == 0) & (rng.random(len(text)) < 2.0 / np.maximum(1, np.bincount(text)[text])))
             tasks.append((w, ids, first, length, label, np.unique(np.concatenate([w.top, more]))))  # type: ignore[attr-defined]
         for k in rng.permutation(len(tasks)):
@@ -365,28 +371,19 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def drawn(text: str, most: int) -> str:
-    """What a text brings to the sample: itself, or of one beyond ``most`` characters stretches of ``STRETCH`` spread evenly over it."""
-    if len(text) <= most:
-        return text
-    count = max(2, most // STRETCH)
-    return " ".join(text[s : s + STRETCH] for s in (i * (len(text) - STRETCH) // (count - 1) for i in range(count)))
-
-
 def sample_of(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text and label of at most ``sample`` labelled rows outside the held-out fold, the least by hash."""
+    """doc_id, text and toxic of labelled rows outside the held-out fold, the least by hash within both bounds; texts are whole, and equal rows count once."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    most = SAMPLE_CHARS
     chosen = common.written(chosen.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("_toxic")), "toxic-sample")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.set_column(1, "text", pa.array([drawn(t or "", most) for t in b.column("text").to_pylist()]))
-
-    rows = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "_toxic")
-    rows = rows.mapInArrow(run, "doc_id long, text string, toxic int")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)  # a doc_id may stand on many rows
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("doc_id"), text.alias("text"), F.col("_toxic").alias("toxic"), F.xxhash64(text).alias("_hash"))
+    # a doc_id may stand on many rows: the sizes alone say which rows fit, then their texts are read
+    sizes = rows.groupBy("doc_id", "_hash").agg(F.max(F.char_length("text")).alias("n")).where(F.col("n") <= min(LONGEST, SAMPLE_CHARS))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_hash")]
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over the sample's rows alone
+    fits = common.written(sizes.orderBy(*order).limit(sample).withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_CHARS).select("doc_id", "_hash"), "toxic-fits")
+    return rows.join(F.broadcast(fits), ["doc_id", "_hash"]).groupBy("doc_id", "_hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).drop("_hash")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:

@@ -159,17 +159,43 @@ def test_every_operator_is_registered():
 
 
 def test_toxicity_learns_from_long_texts_alone(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4000)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400_000)
     bad, good = "you vile idiot " * 20, "a calm walk by the river " * 20
     rows = [(i, (bad if i % 2 else good) * 40) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     sample = toxicity.sample_of(docs, labels, 50).collect()
-    assert len(sample) == 50 and max(len(r.text) for r in sample) < 5000
+    whole = dict(rows)
+    assert all(r.text == whole[r.doc_id] for r in sample) and 380_000 < sum(len(r.text) for r in sample) <= 400_000
+    assert toxicity.sample_of(docs.unionByName(docs), labels, 50).count() == len(sample)
+    assert toxicity.sample_of(docs, labels, 7).count() == 7
     out = toxicity.scores(docs, toxicity.fit(docs, labels)).collect()
     assert all(r.predicted == r.doc_id % 2 for r in out)
 
 
+def test_scores_of_empty_documents(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.scores(docs, toxicity.fit(docs, labels)).collect() == []
+
+
+def test_sample_at_its_full_bound_trains_in_bounded_memory(monkeypatch):
+    """Arrays for each character of the sample stay below what the bound promises; a tenth of it is measured."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(5000)])
+    n = toxicity.SAMPLE_CHARS // 10 // 60_000
+    sample = [" ".join(rng.choice(words, 10_300)) for _ in range(n)]
+    size = sum(map(len, sample))
+    tracemalloc.start()
+    toxicity.train(sample, np.arange(n) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 + 9 * size  # what does not grow with the sample, and its arrays
+
+
 def test_forward_pass_against_a_plain_loop():
     rng = np.random.default_rng(4)
     texts = ["alpha beta beta gamma", "delta", "", " ".join(f"w{i % 7}" for i in range(150))]
