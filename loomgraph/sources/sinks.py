@@ -10,7 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import merge_rows
+from loomgraph.sources import versions
+from loomgraph.sources.keyed import KeyedTable
 
 
 def write_manifest(pages: DataFrame, path: str) -> None:
@@ -26,49 +27,30 @@ def write_by_label(nodes: DataFrame, path: str) -> None:
     nodes.repartition("label", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("label", "id").write.mode("overwrite").partitionBy("label").parquet(path)
 
 
-def _fs(spark, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def current(spark, path: str) -> DataFrame | None:
     """The table that ``upsert`` keeps below ``path``; none yet gives None."""
-    fs, _ = _fs(spark, path)
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    if not fs.exists(pointer):
-        return None
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
-
-
-def _publish(spark, path: str, version: str) -> None:
-    """Point at a version that is whole: the pointer is written beside its place and renamed into it."""
-    fs, _ = _fs(spark, path)
-    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-    out = fs.create(at(f"{version}.pointer"), True)
-    out.write(bytearray(version.encode("utf-8")))
-    out.close()
-    fs.delete(at("CURRENT"), False)
-    fs.rename(at(f"{version}.pointer"), at("CURRENT"))
-
-
-def upsert(nodes: DataFrame, path: str, key: str, columns: list[str]) -> DataFrame:
-    """Merge into what ``path`` holds as a new version, which then takes the old one's place; a second run changes nothing. Returns the merged rows."""
+    held = KeyedTable(spark, path)
+    return held.read() if held.exists() else None
+
+
+def upsert(nodes: DataFrame, path: str, key: str, columns: list[str] | dict[str, str], order: str | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
+    """Merge into the keyed table below ``path``, made where there is none; a second run changes nothing. Returns the merged rows.
+
+    A column that ``nodes`` lacks has the type that ``columns`` says when the table is made, else string.
+    """
     spark = nodes.sparkSession
-    old = current(spark, path)
-    given = [c for c in columns if c in nodes.columns]
-    fresh = nodes.select(key, *given, *[F.lit(None).cast("string").alias(c) for c in columns if c not in given]).select(key, *columns).dropDuplicates([key])
-    merged = fresh if old is None else merge_rows(old, nodes.dropDuplicates([key]), key, columns)
-    version = f"v-{uuid.uuid4().hex}"
-    merged.write.parquet(f"{path}/{version}")
-    _publish(spark, path, version)
-    return spark.read.parquet(f"{path}/{version}")
+    types = dict(nodes.dtypes)
+    kinds = columns if isinstance(columns, dict) else {c: types.get(c, "string") for c in columns}
+    held = KeyedTable.create(spark, path, ", ".join(f"`{c}` {k}" for c, k in {key: types[key], **kinds}.items()), [key])
+    held.upsert(nodes, order, batch)
+    return held.read()
 
 
 def wipe(spark, path: str, tables: list[str] = []) -> None:  # noqa: B006
     """Drop tables, and delete all that ``upsert`` or ``write_by_label`` keep below ``path``."""
     for t in tables:
         spark.sql(f"DROP TABLE IF EXISTS `{t}`")
-    fs, p = _fs(spark, path)
+    fs, p = versions.path_of(spark, path)
     fs.delete(p, True)
 
 
@@ -88,7 +70,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def read_graph(spark, path: str, labels: list[str], schema: str) -> DataFrame:
     """Nodes of the given labels; a label without files gives none."""
-    fs, _ = _fs(spark, path)
+    fs, _ = versions.path_of(spark, path)
     out = spark.createDataFrame([], f"{schema}, label string")
     for label in labels:
         at = f"{path}/nodes/label={label}"
@@ -98,16 +80,28 @@ def read_graph(spark, path: str, labels: list[str], schema: str) -> DataFrame:
 
 
 def pages_of(spark, manifest: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The manifest's pages with their HTML, and those whose file is missing."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("_file"), F.col("value").alias("html"))
-    name = F.regexp_extract("html_path", r"([^/]+)$", 1)
-    return manifest.join(files, name == F.col("_file")).drop("_file"), manifest.join(files.select("_file"), name == F.col("_file"), "left_anti")
+    """The manifest's pages with their HTML, and those whose file is missing.
+
+    They meet on the whole path below ``folder``.  The manifest may name it from
+    the folder itself, from any folder above, or from the root.
+    """
+    fs, p = versions.path_of(spark, folder)
+    base = fs.makeQualified(p).toUri().getPath().rstrip("/")
+    decoded = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.regexp_extract(decoded, rf"\Q{base}/\E(.*)$", 1).alias("_file"), F.col("value").alias("html"))
+    named = F.regexp_replace(F.replace("html_path", F.lit("\\"), F.lit("/")), r"^([a-z0-9]+://[^/]*|\./)", "")
+    steps = base.split("/")[1:]
+    heads = [base + "/", *("/".join(steps[n:]) + "/" for n in range(len(steps)))]  # longest first
+    cut = [F.when(F.startswith(named, F.lit(h)), F.substring(named, len(h) + 1, 2**31 - 1)) for h in heads]
+    inside = F.coalesce(*cut, named)
+    at = manifest.withColumn("_at", inside)
+    return at.join(files, F.col("_at") == F.col("_file")).drop("_file", "_at"), at.join(files.select("_file"), F.col("_at") == F.col("_file"), "left_anti").drop("_at")
 
 
 def append_results(rows: DataFrame, path: str) -> DataFrame:
     """Append the results that ``path`` does not have yet, by query_id, as JSON lines; returns all of them."""
     spark = rows.sparkSession
-    fs, p = _fs(spark, path)
+    fs, p = versions.path_of(spark, path)
     if fs.exists(p):
         done = spark.read.schema(rows.schema).json(path).select(F.col("query_id").alias("_q"))
         rows = rows.join(done, F.col("query_id") == F.col("_q"), "left_anti")
@@ -117,7 +111,7 @@ def append_results(rows: DataFrame, path: str) -> DataFrame:
 
 def read_cache(spark, path: str) -> DataFrame:
     """The translation memory (source, target); a missing file or an unreadable line counts as empty."""
-    fs, p = _fs(spark, path)
+    fs, p = versions.path_of(spark, path)
     schema = "source string, target string"
     return spark.read.schema(schema).json(path).where("source IS NOT NULL AND target IS NOT NULL") if fs.exists(p) else spark.createDataFrame([], schema)
 
