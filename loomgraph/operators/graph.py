@@ -32,7 +32,11 @@ def expand(edges: DataFrame, seeds: DataFrame, per_seed: int = SEED_CAP) -> Data
 
     Two window limits in a row; both push down as group limits before the shuffle.
     """
-    near = undirected(edges.where(F.col("relation").isin(*TIERS))).join(seeds, F.col("node") == F.col("seed_id"))
+    return capped(undirected(edges.where(F.col("relation").isin(*TIERS))).join(seeds, F.col("node") == F.col("seed_id")), seeds, per_seed)
+
+
+def capped(near: DataFrame, seeds: DataFrame, per_seed: int) -> DataFrame:
+    """Neighbours (seed_id, relation, other) that are no seeds, within the caps."""
     near = near.join(seeds.select(F.col("seed_id").alias("_s")), F.col("other") == F.col("_s"), "left_anti")
     near = near.select("seed_id", F.col("relation").alias("rel_type"), F.col("other").alias("id")).withColumn("tier", _case(TIERS, F.col("rel_type"), 9))
     by_type = Window.partitionBy("seed_id", "rel_type").orderBy("tier", "id")
@@ -142,7 +146,12 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 4) -> DataFram
     Both ends are walked half way, and paths meet at a node that both have reached.
     """
     ends = pairs.select(F.col("a").alias("center")).union(pairs.select("b")).distinct()
-    near = hops(edges, ends, (most + 1) // 2).select("center", "id", "distance")
+    return meeting(pairs, hops(edges, ends, (most + 1) // 2), most)
+
+
+def meeting(pairs: DataFrame, reached: DataFrame, most: int) -> DataFrame:
+    """Hops between ``pairs(a, b)`` by way of a node that both have ``reached(center, id, distance)``."""
+    near = reached.select("center", "id", "distance")
     there = near.toDF("_c", "_id", "_d")
     met = pairs.distinct().join(near, F.col("a") == F.col("center")).join(there, (F.col("b") == F.col("_c")) & (F.col("id") == F.col("_id")))
     least = met.groupBy("a", "b").agg(F.min(F.col("distance") + F.col("_d")).alias("hops")).where(F.col("hops") <= most)

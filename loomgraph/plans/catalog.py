@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import catalogue, checks, graph, parsing, retrieval, texts, workload
+from loomgraph.plans import catalogue, checks, graph, indexed, parsing, retrieval, texts, workload
 
-FAMILIES = (graph, retrieval, texts, checks, workload, parsing, catalogue)
+FAMILIES = (graph, retrieval, indexed, texts, checks, workload, parsing, catalogue)
 
 #: Queries by stage: the module that registers them.
 STAGES = {m.__name__.rpartition(".")[2]: m.QUERIES for m in FAMILIES}

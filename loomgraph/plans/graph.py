@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
+from loomgraph.operators.adjacency import Adjacency
 from loomgraph.sources import replay
-from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, LABELS, NODES_SQL, RELATIONS, edges, nodes, table, undirected
+from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, LABELS, NODES_SQL, edges, nodes, table, undirected
 
 SEEDS = ["part#1", "part#2", "nation#3", "customer#5", "supplier#7", "order#11", "nation#19", "region#1"]
 _SEEDS_SQL = "seeds AS (SELECT unnest([" + ", ".join(f"'{s}'" for s in SEEDS) + "]) AS seed_id)"
@@ -45,7 +46,7 @@ def expand_one_hop(spark, d):
 
 
 def expand_capped(spark, d):
-    return G.expand(edges(spark, d), seeds(spark)).select("seed_id", "rel_type", "id", F.col("place").cast("bigint").alias("place"))
+    return Adjacency.of_tables(spark, d).expand(seeds(spark)).select("seed_id", "rel_type", "id", F.col("place").cast("bigint").alias("place"))
 
 
 def _linked_seeds(spark, d):
@@ -57,7 +58,6 @@ def links_between(spark, d):
     return G.links_between(edges(spark, d), _linked_seeds(spark, d)).select("src", "dst", "relation")
 
 
-_HOP_EDGES = tuple(RELATIONS)
 _HOP_SQL = "relation IS NOT NULL"
 _LEVELS_SQL = f"""
 pairs AS (SELECT DISTINCT node, other FROM both_ways WHERE {_HOP_SQL}),
@@ -77,26 +77,26 @@ def _centers(spark):
 
 
 def hop_distance(spark, d):
-    return G.hops(edges(spark, d, _HOP_EDGES), _centers(spark), 4).groupBy("center", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return Adjacency.of_tables(spark, d).hops(_centers(spark), 4).groupBy("center", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def subgraph_depth2(spark, d):
-    _, among = G.subgraph(edges(spark, d, _HOP_EDGES), _centers(spark))
+    _, among = Adjacency.of_tables(spark, d).subgraph(_centers(spark))
     return among
 
 
 def subgraph_nodes(spark, d):
-    near, _ = G.subgraph(edges(spark, d, _HOP_EDGES), _centers(spark))
+    near, _ = Adjacency.of_tables(spark, d).subgraph(_centers(spark))
     return near
 
 
 def capped_bfs(spark, d):
-    return G.capped_bfs(G.subgraph(edges(spark, d, _HOP_EDGES), _centers(spark))[1])
+    return G.capped_bfs(Adjacency.of_tables(spark, d).subgraph(_centers(spark))[1])
 
 
 def shortest_path(spark, d):
     pairs = spark.createDataFrame([("part#1", "region#1"), ("customer#5", "supplier#7"), ("region#1", "region#2"), ("part#1", "missing#1"), ("customer#5", "customer#5")], "a string, b string")
-    return G.shortest_path(edges(spark, d, _HOP_EDGES), pairs)
+    return Adjacency.of_tables(spark, d).shortest_path(pairs)
 
 
 def var_length_1_2(spark, d):
@@ -105,7 +105,7 @@ def var_length_1_2(spark, d):
 
 
 def radial_layout(spark, d):
-    near, _ = G.subgraph(edges(spark, d, _HOP_EDGES), _centers(spark))
+    near, _ = Adjacency.of_tables(spark, d).subgraph(_centers(spark))
     return G.radial_layout(near).select("center", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 

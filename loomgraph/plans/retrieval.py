@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import compose as E
-from loomgraph.operators import graph as G
 from loomgraph.operators import retrieve as R
+from loomgraph.operators.adjacency import Adjacency
 from loomgraph.plans.graph import _EXPAND_SQL
-from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, NODES_SQL, edges, nodes, table, written
+from loomgraph.sources.tables import BOTH_SQL, EDGES_SQL, NODES_SQL, nodes, table, written
 
 TOP = 8
 _K = R.per_label_k(TOP)
@@ -102,7 +102,7 @@ def _seed_nodes(spark, d) -> DataFrame:
 
 def _expanded(spark, d) -> tuple[DataFrame, DataFrame]:
     hits = _seed_nodes(spark, d)
-    return hits, G.expand(edges(spark, d), hits.select("seed_id").distinct())
+    return hits, Adjacency.of_tables(spark, d).expand(hits.select("seed_id").distinct())
 
 
 def retrieve_and_expand(spark, d):

@@ -16,9 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: ``df`` written to the folder that driver and executors share (a temporary one only where none is set) and read back."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that driver and executors share (a temporary one only where none is set and all runs on this machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
@@ -26,7 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: ``df`` written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
