@@ -101,6 +101,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
     """Row key, set key, set size and embedding of every text."""
     names = ["doc", "h", "set", "size", "sketch"]
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = shingles.utf8_buffers(b.column("text"))
@@ -139,6 +140,7 @@ def _step(records: DataFrame, runs: range | None = None) -> DataFrame:
     """The next paths of each record, with what it carries; from the roots of ``runs`` if any are given."""
     kept = [c for c in ("rep", "root") if c in records.columns]
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
@@ -235,6 +237,7 @@ def _bucket_edges(records: DataFrame) -> DataFrame:
         sides = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(known[p][k])) for k in ("doc", "h")], fields=list(_REP)) for p in pairs]
         return pa.RecordBatch.from_arrays(sides, names=["u", "v"])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
@@ -265,6 +268,7 @@ def _leader_edges(large: DataFrame) -> DataFrame:
     leaders = common.written(leaders.select(F.col("path").alias("_path"), F.col("l.to").alias("to"), F.col("l.sketch").alias("lead")), "leaders")
     met = large.join(leaders, F.col("path") == F.col("_path")).where(F.col(end) != F.col("to")).select(F.col(end).alias("u"), F.col("to").alias("v"), "sketch", "lead")
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
@@ -383,6 +387,7 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
             other.append(b[q][1])
         return pa.RecordBatch.from_arrays([pa.array(reps, kind), pa.array(total, pa.int64()), pa.array(other, kind)], names=["rep", "links", "other"])
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
         for b in batches:
@@ -440,6 +445,7 @@ def _placed_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     kinds = [kind, pa.int32(), pa.int32(), pa.int32(), kind, pa.int64(), pa.binary()]
     names = ["comp", "bi", "bj", "side", "rep", "copies", "data"]
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for b in batches:
@@ -469,6 +475,7 @@ def _placed_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _compressed(rows: DataFrame) -> DataFrame:
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:

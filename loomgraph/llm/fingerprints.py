@@ -85,6 +85,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     base = df.drop(out)
     schema = base.withColumn(out, F.lit("")).schema
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = pa.array(packed(*_sketch_texts(b.column(text))), pa.string())
@@ -150,6 +151,7 @@ def edited_pairs(documents: DataFrame) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(~skip[:-1]))
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:

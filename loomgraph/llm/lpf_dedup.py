@@ -44,8 +44,8 @@ HOT = 2048
 #: Stands for a null doc_id, and so comes first.
 LEAST_ID = -(2**63)
 #: Starts that one block sorts; a block takes whole anchors.
-BLOCK_STARTS = 100_000
-_PIECE = 1 << 20
+BLOCK_STARTS = 50_000
+_PIECE = 1 << 19
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -98,7 +98,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of at most about 1 MB: bytes, piece offsets, text of each piece and its place there; long texts overlap by length - 1."""
+    """Buffers of at most about half a MB: bytes, piece offsets, text of each piece and its place there; long texts overlap by length - 1."""
     parts: list[bytes] = []
     text: list[int] = []
     place: list[int] = []
@@ -126,6 +126,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
     names = ["key", "seg", "doc", "h", "a", "n"]
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, h = b.column("doc").to_numpy(), b.column("h").to_numpy()
@@ -207,6 +208,7 @@ def _factor_runs(texts: DataFrame, length: int) -> DataFrame:
         keys = [pa.array([r[i] for r in group], pa.int64()) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, pa.int32()) for c in cols]], names=names)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         starts = 0
@@ -234,6 +236,7 @@ def _rows(documents: DataFrame, carried: list[Column] | None = None) -> DataFram
 def _compressed(rows: DataFrame, carried: list[str]) -> DataFrame:
     """The rows with their text as zstd, which the shuffles then carry."""
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -249,6 +252,7 @@ def _segment_texts(docs: DataFrame, needs: DataFrame, length: int) -> DataFrame:
     schema = "key long, seg long, doc long, h int, a int, bytes binary, prefix long, off int"
     names = ["key", "seg", "doc", "h", "a", "bytes", "prefix", "off"]
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for b in batches:
@@ -334,6 +338,7 @@ def _with_runs(documents: DataFrame, carried: list[str], runs: DataFrame, schema
     packed = _rows(documents, [F.col(c).alias(n) for c, n in zip(carried, own)])
     joined = _compressed(packed, [*own, "doc", "h"]).join(runs.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "runs"), (F.col("doc") == F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for b in batches:

@@ -97,6 +97,7 @@ def _pieces(f: token_ids.TokenFile, table: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _class_counts(files: DataFrame, capacity: int, waste: int) -> DataFrame:
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = cut_table(capacity, waste)
         for b in batches:
@@ -127,6 +128,7 @@ def _placed(files: DataFrame, totals: dict[int, int], capacity: int, waste: int,
     kinds = {"ids": "array<int>", "ids_crc32": "long"}
     schema = "doc_id long, start long, length long, doc_tokens long, kind int, place long, exponent int, file long, item long" + "".join(f", {c} {kinds[c]}" for c in columns)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = cut_table(capacity, waste)
         full = np.zeros(capacity + 1, np.int64)

@@ -40,10 +40,10 @@ from loomgraph.llm import common, pieces, shingles
 
 NBEST = 5
 PENALTY = 10.0
-CACHE = 250_000
+CACHE = 125_000
 #: Characters of new units that one numpy pass takes.
 SLICE = 100_000
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Characters from which on a unit is taken apart.
 LONG = 64
 MARK = pieces.SPACE
@@ -415,6 +415,7 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "text")
     base = encoded.drop(out)
     schema = base.withColumn(out, F.lit("")).schema
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(model)
         for b in batches:
@@ -434,6 +435,7 @@ def encode(documents: DataFrame, model: str, nbest: int = NBEST) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_pieces int, ids array<int>, nbest_scores array<double>, nbest_pieces array<int>, nbest_changes array<array<struct<place:int,size:int,ids:array<int>>>>, round_trip boolean"
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(model)
         for b in batches:

@@ -201,6 +201,7 @@ class WordEncoder:
 
 
 def _write_ranges(encoder: Callable[[], WordEncoder], folder: str, end_id: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         bits = width_of(max(encode.size, end_id + 1))
@@ -273,6 +274,7 @@ def read_ids(manifest: DataFrame, columns: tuple[str, ...] = ("ids",)) -> DataFr
     kinds = {"ids": "array<int>", "ids_crc32": "long"}
     schema = "doc_id long, start long, n_tokens long" + "".join(f", {c} {kinds[c]}" for c in columns)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column("uri").to_pylist(), b.column("start").to_pylist()):

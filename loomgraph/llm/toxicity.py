@@ -45,7 +45,7 @@ SAMPLE_CHARS = 48_000_000
 LONGEST = 3_000_000
 FOLDS = 5
 EPOCHS = 9
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -390,6 +390,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Networ
     """A network trained in one task on the bounded sample; only the weights come to the driver."""
     common.small_batches(documents.sparkSession)
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")]))
         net = train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
@@ -427,6 +428,7 @@ def scores(documents: DataFrame, net: Network) -> DataFrame:
     schema = base.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
     shared = spark.sparkContext.broadcast((net.p, net.vocabulary))
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(*shared.value).index()
         for b in batches:
@@ -442,6 +444,7 @@ def without_toxic(documents: DataFrame, net: Network) -> DataFrame:
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast((net.p, net.vocabulary))
 
+    @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(*shared.value).index()
         for b in batches:
