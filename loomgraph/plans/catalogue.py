@@ -375,7 +375,7 @@ def paired_differences(spark, d):
 @family(
     "cited_ids", "artifact:string content:string", "ids:string",
     [
-        ('{"sources":[{"id":"a"},{"id":""},{"name":"x"},{"id":"b"}]}', '{"sources":[{"id":"c"}]}', "a,b"), (None, '{"sources":[{"id":"c"}]}', "c"), ('{"sources":"none"}', '{"sources":[{"id":"d"}]}', "d"), (None, "not json", ""), (None, None, ""), ('{"sources":[]}', '{"sources":[{"id":"e"}]}', ""),
+        ('{"sources":[{"id":"§a"},{"id":""},{"name":"x"},{"id":"§b-§n"}]}', '{"sources":[{"id":"c"}]}', "§a,§b-§n"), (None, '{"sources":[{"id":"§a-c"}]}', "§a-c"), ('{"sources":"none"}', '{"sources":[{"id":"§m"}]}', "§m"), (None, "not §b", ""), (None, None, ""), ('{"sources":[]}', '{"sources":[{"id":"e"}]}', ""),
     ],
 )
 def cited_ids(artifact, content):
@@ -386,24 +386,24 @@ def cited_ids(artifact, content):
 # -- texts a row, by cases ---------------------------------------------------------
 
 
-@family("question_texts", "asked:string answer:string", "text:string", [("Why?", "So.", "Why? So."), ("Why?", None, "Why?"), (None, "So.", "So."), ("", "", "")])
+@family("question_texts", "asked:string answer:string", "text:string", [("Why the §a §b?", "For §n.", "Why the §a §b? For §n."), ("Why the §a §b?", None, "Why the §a §b?"), (None, "For §n.", "For §n."), ("", "", "")])
 def question_texts(asked, answer):
     return B.question(asked, answer)
 
 
-@family("erratum_texts", "name:string old:string new:string", "text:string", [("N", "o", "c", "N. Original: o. Corrected: c"), (None, None, "c", "Corrected: c"), ("N", "", None, "N")])
+@family("erratum_texts", "name:string old:string new:string", "text:string", [("§A §B", "§n points", "§m points", "§A §B. Original: §n points. Corrected: §m points"), (None, None, "§b", "Corrected: §b"), ("§A", "", None, "§A")])
 def erratum_texts(name, old, new):
     return B.erratum(name, old, new)
 
 
-@family("item_texts", "name:string kind:string cost:bigint body:string", "text:string", [("N", "magic_weapon", 0, "T", "N. magic weapon. 0 pts. T"), ("N", None, None, None, "N"), (None, "ability", 5, "", "ability. 5 pts")])
+@family("item_texts", "name:string kind:string cost:bigint body:string", "text:string", [("§A §B", "magic_weapon", "§n", "Of §a make.", "§A §B. magic weapon. §n pts. Of §a make."), ("§B", None, None, None, "§B"), (None, "ability", 5, "", "ability. 5 pts")])
 def item_texts(name, kind, cost, body):
     return B.item(name, kind, cost, body)
 
 
 @family(
     "weapon_texts", "name:string kind:string reach:string strength:string ap:string shots:string armour:string rules:string body:string", "text:string",
-    [("Bow", "missile", '24"', "3", None, "2", None, "slow|loud", "Shoots.", 'Bow. missile. Range 24" Str 3 Shots 2. Special rules: slow, loud. Shoots.'), ("Shield", "great_thing", None, None, None, None, "6+", "", "", "Shield. great thing. AV 6+"), (None, None, None, None, "-1", None, None, "", None, "AP -1")],
+    [("§A Bow", "missile", '§n"', "3", None, "2", None, "§a|loud", "Shoots.", '§A Bow. missile. Range §n" Str 3 Shots 2. Special rules: §a, loud. Shoots.'), ("§B Shield", "great_thing", None, None, None, None, "6+", "", "", "§B Shield. great thing. AV 6+"), (None, None, None, None, "-§n", None, None, "", None, "AP -§n")],
 )
 def weapon_texts(name, kind, reach, strength, ap, shots, armour, rules, body):
     return B.weapon(name, kind, reach, strength, ap, shots, armour, F.filter(F.split(rules, r"\|"), lambda x: x != ""), body)
@@ -411,7 +411,7 @@ def weapon_texts(name, kind, reach, strength, ap, shots, armour, rules, body):
 
 @family(
     "terrain_texts", "name:string kind:string blocks:boolean disrupts:boolean dangerous:boolean penalty:string cover:string body:string", "text:string",
-    [("Wood", "woods", False, True, True, "half", "partial", "Trees.", "Wood. woods terrain. disrupts rank bonus, requires a dangerous terrain test, movement penalty: half, grants partial cover. Trees."), ("Wall", "high_linear_obstacle", True, None, False, None, None, None, "Wall. high linear obstacle terrain. blocks movement"), ("X", None, False, False, False, "", "", "", "X")],
+    [("§A Wood", "woods", False, True, True, "half", "partial", "§B trees.", "§A Wood. woods terrain. disrupts rank bonus, requires a dangerous terrain test, movement penalty: half, grants partial cover. §B trees."), ("§B Wall", "high_linear_obstacle", True, None, False, None, None, None, "§B Wall. high linear obstacle terrain. blocks movement"), ("§A §n", None, False, False, False, "", "", "", "§A §n")],
 )
 def terrain_texts(name, kind, blocks, disrupts, dangerous, penalty, cover, body):
     return B.terrain(name, kind, blocks, disrupts, dangerous, penalty, cover, body)
@@ -419,7 +419,7 @@ def terrain_texts(name, kind, blocks, disrupts, dangerous, penalty, cover, body)
 
 @family(
     "troop_texts", "name:string category:string least:bigint most:bigint strength:string body:string", "text:string",
-    [("N", "infantry", 5, 2, "1", "T", "N. infantry. Rank bonus min 5 / max +2. Unit strength 1. T"), ("N", "", None, 2, "", None, "N"), ("N", None, 4, None, None, None, "N. Rank bonus min 4 / max +None")],
+    [("§A §B", "infantry", "§n", 2, "§m", "T", "§A §B. infantry. Rank bonus min §n / max +2. Unit strength §m. T"), ("§A", "", None, 2, "", None, "§A"), ("§B", None, "§n", None, None, None, "§B. Rank bonus min §n / max +None")],
 )
 def troop_texts(name, category, least, most, strength, body):
     return B.troop_type(name, category, least, most, strength, body)
@@ -428,9 +428,9 @@ def troop_texts(name, category, least, most, strength, body):
 @family(
     "node_summaries", "label:string cost:bigint size_min:bigint size_max:bigint width:bigint category:string item_type:string points:bigint unit:string", "seed:string neighbour:string",
     [
-        ("Unit", 7, 5, 20, 25, "Core", None, None, None, "(7 pts/model ; Unit size 5-20 ; Base 25x50mm ; Category Core)", "(7 pts/model ; Base 25x50mm)"), ("Unit", None, 5, 0, None, None, None, None, None, "(Unit size 5+)", ""), ("Unit", None, None, 3, None, "", None, None, None, "", ""),
-        ("MagicItem", None, None, None, None, None, "arcane_item", 0, None, "(arcane item ; 0 pts)", ""), ("MagicItem", None, None, None, None, None, None, None, None, "", ""), ("Upgrade", None, None, None, None, None, None, 4, "per_model", "(+4 pt/model)", "(+4 pt/model)"),
-        ("Upgrade", None, None, None, None, None, None, 4, "per_unit", "(+4 pts/unit)", "(+4 pts/unit)"), ("Upgrade", None, None, None, None, None, None, None, "flat", "", ""), ("Profile", None, None, None, None, None, None, 6, None, "", "Stats: M6"), ("Army", 1, 1, 1, 1, "c", "x", 1, "flat", "", ""),
+        ("Unit", "§n", 5, 20, 25, "§A §B", None, None, None, "(§n pts/model ; Unit size 5-20 ; Base 25x50mm ; Category §A §B)", "(§n pts/model ; Base 25x50mm)"), ("Unit", None, "§n", 0, None, None, None, None, None, "(Unit size §n+)", ""), ("Unit", None, None, 3, None, "", None, None, None, "", ""),
+        ("MagicItem", None, None, None, None, None, "arcane_item", "§n", None, "(arcane item ; §n pts)", ""), ("MagicItem", None, None, None, None, None, None, None, None, "", ""), ("Upgrade", None, None, None, None, None, None, "§n", "per_model", "(+§n pt/model)", "(+§n pt/model)"),
+        ("Upgrade", None, None, None, None, None, None, "§n", "per_unit", "(+§n pts/unit)", "(+§n pts/unit)"), ("Upgrade", None, None, None, None, None, None, None, "flat", "", ""), ("Profile", None, None, None, None, None, None, "§n", None, "", "Stats: M§n"), ("Army", 1, 1, 1, 1, "c", "x", 1, "flat", "", ""),
     ],
 )
 def node_summaries(label, cost, size_min, size_max, width, category, item_type, points, unit):

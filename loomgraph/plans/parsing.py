@@ -1,7 +1,9 @@
-"""Parsing queries: every part carries one of a family's cases, and the SQL states what each case must give.
+"""Parsing queries: texts made of a part's own name, size and number, and what a rule must give for them.
 
-The cases differ where a rule is easily got wrong; what is expected is written
-down by hand from the rule, not computed.
+Every part takes one of a family's patterns in turn and fills its marks with its
+own columns, so the rule reads what the table holds; the SQL fills the same marks
+into what the pattern must give, written down by hand from the rule and not
+computed.  Patterns differ where a rule is easily got wrong.
 """
 
 from __future__ import annotations
@@ -32,8 +34,24 @@ def _literal(v: object) -> str:
     return str(v).lower() if isinstance(v, bool) else str(v)
 
 
+#: Marks in patterns: a part's adjective and noun, small and with a capital, its size, its number, and what an odd size says.
+MARKS = {
+    "§a": ("split(p_name, ' ')[0]", "string_split(p_name, ' ')[1]"), "§b": ("element_at(split(p_name, ' '), -1)", "string_split(p_name, ' ')[-1]"),
+    "§A": ("initcap(split(p_name, ' ')[0])", "upper(left(string_split(p_name, ' ')[1], 1)) || substr(string_split(p_name, ' ')[1], 2)"),
+    "§B": ("initcap(element_at(split(p_name, ' '), -1))", "upper(left(string_split(p_name, ' ')[-1], 1)) || substr(string_split(p_name, ' ')[-1], 2)"),
+    "§n": ("string(p_size)", "p_size::VARCHAR"), "§m": ("string(p_partkey)", "p_partkey::VARCHAR"), "§t": ("string(p_size % 2 = 1)", "(p_size % 2 = 1)::VARCHAR"),
+    "§v": ("if(p_size % 2 = 1, 'vector', 'hybrid')", "if(p_size % 2 = 1, 'vector', 'hybrid')"), "§k": ("if(p_size % 2 = 1, 'Impassable', 'Easy')", "if(p_size % 2 = 1, 'Impassable', 'Easy')"), "§g": ("if(p_size % 2 = 1, 'GRAPH', 'hybrid')", "if(p_size % 2 = 1, 'GRAPH', 'hybrid')"),
+}
+
+
+def _filled(c: Column) -> Column:
+    for mark, (value, _) in MARKS.items():
+        c = F.replace(c, F.lit(mark), F.expr(value))
+    return c
+
+
 def family(name: str, inputs: str, outputs: str, cases: list[tuple], first: Callable[[Column], Column] | None = None) -> Callable:
-    """Register a query over ``part`` whose rows take the cases in turn; a case has the inputs, then the outputs.
+    """Register a query over ``part`` whose rows take the patterns in turn; a pattern has the inputs, then the outputs, with the marks of ``MARKS``.
 
     ``first`` is applied to the first input in a step of its own.
     """
@@ -41,17 +59,25 @@ def family(name: str, inputs: str, outputs: str, cases: list[tuple], first: Call
 
     def register(make: Callable[..., Column]) -> Callable:
         def query(spark: SparkSession, d: str) -> DataFrame:
-            rows = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(case, ins)]) for case in cases])
-            said = table(spark, d, "part").select("p_partkey", F.element_at(rows, (F.col("p_partkey") % len(cases) + 1).cast("int")).alias("x")).select("p_partkey", "x.*")
-            said = said if first is None else said.withColumn(ins[0][0], first(F.col(ins[0][0])))
-            made = said.select("p_partkey", make(*[F.col(n) for n, _ in ins]).alias("y"))
+            said = lambda v: str(v).lower() if isinstance(v, bool) else None if v is None else str(v)
+            rows = F.array(*[F.struct(*[F.lit(said(v)).cast("string").alias(n) for v, (n, _) in zip(case, ins)]) for case in cases])
+            part = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.element_at(rows, (F.col("p_partkey") % len(cases) + 1).cast("int")).alias("x"))
+            filled = part.select("p_partkey", *[_filled(F.col(f"x.{n}")).cast(t).alias(n) for n, t in ins])
+            filled = filled if first is None else filled.withColumn(ins[0][0], first(F.col(ins[0][0])))
+            made = filled.select("p_partkey", make(*[F.col(n) for n, _ in ins]).alias("y"))
             one = F.col("y") if len(outs) == 1 and made.schema["y"].dataType.typeName() != "struct" else None
             return made.select("p_partkey", *[(F.col(f"y.{n}") if one is None else one).cast(t).alias(n) for n, t in outs])
 
         query.__name__, query.__doc__ = name, make.__doc__
         QUERIES[name] = query
-        values = ", ".join("(" + ", ".join([str(i), *[_literal(v) for v in case[len(ins) :]]]) + ")" for i, case in enumerate(cases))
-        picked = ", ".join(f"{n}::{_SQL[t]} AS {n}" for n, t in outs)
+        values = ", ".join("(" + ", ".join([str(i), *[_literal(v if v is None or isinstance(v, str) else str(v).lower()) for v in case[len(ins) :]]]) + ")" for i, case in enumerate(cases))
+
+        def put(n: str) -> str:
+            for mark, (_, value) in MARKS.items():
+                n = f"replace({n}, '{mark}', {value})"
+            return n
+
+        picked = ", ".join(f"({put(f't.{n}::VARCHAR')})::{_SQL[t]} AS {n}" for n, t in outs)
         ORACLES[name] = f"SELECT p_partkey, {picked} FROM part JOIN (VALUES {values}) t(_i, {', '.join(n for n, _ in outs)}) ON _i = p_partkey % {len(cases)}"
         return query
 
@@ -67,27 +93,27 @@ def _links(c: Column) -> Column:
 @family(
     "option_upgrade", "text:string links:string mounts:boolean", "upgrade_type:string name:string points_cost:bigint cost_unit:string points_budget:bigint magic_standard_budget:bigint replaces:string",
     [
-        ("May upgrade one model to a standard bearer (+6 points per unit)", "", False, "command_standard", "Standard Bearer", 6, "per_unit", None, None, None),
+        ("May upgrade one model to a standard bearer (+§n points per unit)", "", False, "command_standard", "Standard Bearer", "§n", "per_unit", None, None, None),
         ("Upgrade one model to a standard bearer, who may carry a magic standard worth up to 50 points", "", False, "command_standard", "Standard Bearer", None, "per_unit", None, 50, None),
-        ("May purchase a magic standard worth up to 75 points", "", False, "magic_standard_budget", "Magic Standard Budget (75 pts)", None, "budget", 75, None, None),
+        ("May purchase a magic standard worth up to §n points", "", False, "magic_standard_budget", "Magic Standard Budget (§n pts)", None, "budget", "§n", None, None),
         ("Upgrade one model to a standard bearer, with gear up to a total of 20 pts", "", False, "command_standard", "Standard Bearer", None, "per_unit", None, None, None),
         ("Upgrade one model to a hornblower (musician) (+5 points)", "", False, "command_musician", "Musician", 5, "flat", None, None, None),
-        ("Upgrade one model to a Grey Warden (champion) ( +7 points per unit )", "", False, "command_champion", "Champion (Grey Warden)", 7, "per_unit", None, None, None),
-        ("Upgrade one model to an Old Hand (+9 points), with gear up to a total of 25 points", "", False, "command_champion", "Champion (Old Hand)", 9, "flat", 25, None, None),
-        ("May purchase items up to a total of 100 points", "", False, "magic_item_budget", "Magic Item Budget (100 pts)", None, "budget", 100, None, None),
-        ("May purchase runes up to 60 pts", "weapon-runes:rule", False, "rune_budget", "Rune Budget (60 pts)", None, "budget", 60, None, None),
+        ("Upgrade one model to a §A §B (champion) ( +7 points per unit )", "", False, "command_champion", "Champion (§A §B)", 7, "per_unit", None, None, None),
+        ("Upgrade one model to an §A Hand (+§n points), with gear up to a total of 25 points", "", False, "command_champion", "Champion (§A Hand)", "§n", "flat", 25, None, None),
+        ("May purchase items up to a total of §n points", "", False, "magic_item_budget", "Magic Item Budget (§n pts)", None, "budget", "§n", None, None),
+        ("May purchase runes up to §n pts", "weapon-runes:rule", False, "rune_budget", "Rune Budget (§n pts)", None, "budget", "§n", None, None),
         ("May buy powers up to a  total of 40 points", "other:rule|vampiric-powers:rule", False, "vampiric_powers_budget", "Vampiric Powers Budget (40 pts)", None, "budget", 40, None, None),
-        ("May be a Level 3 Wizard (+30 points)", "", False, "wizard_level", "Level 3 Wizard", 30, "flat", None, None, None),
+        ("May be a Level 3 Wizard (+§n points)", "", False, "wizard_level", "Level 3 Wizard", "§n", "flat", None, None, None),
         ("May be a Level 1 Wizard", "", False, "wizard_level", "Level 1 Wizard", None, "flat", None, None, None),
-        ("May ride along (+14 points)", "grey-horse:armyListEntry", False, "mount", "Grey Horse", 14, "flat", None, None, None),
-        ("A plain mule (+3 points)", "", True, "mount", "A plain mule (+3 points)", 3, "flat", None, None, None),
-        ("Replace hand axe with long pike (+2 points per model)", "hand-axe:rule|long-pike:rule", False, "weapon_replace", "Replace Hand Axe with Long Pike", 2, "per_model", None, None, "hand-axe"),
-        ("Replace it all", "long-pike:rule", False, "weapon_replace", "Long Pike", None, "per_model", None, None, None),
+        ("May ride along (+§n points)", "§a-horse:armyListEntry", False, "mount", "§A Horse", "§n", "flat", None, None, None),
+        ("A §a mule (+3 points)", "", True, "mount", "A §a mule (+3 points)", 3, "flat", None, None, None),
+        ("Replace §a axe with §b pike (+§n points per model)", "§a-axe:rule|§b-pike:rule", False, "weapon_replace", "Replace §A Axe with §B Pike", "§n", "per_model", None, None, "§a-axe"),
+        ("Replace all §bs", "§b-pike:rule", False, "weapon_replace", "§B Pike", None, "per_model", None, None, None),
         ("Replace it without a link", "", False, "rule_add", "Replace it without a link", None, None, None, None, None),
-        ("May wear heavy armour (+1 point per model)", "heavy-armour:rule", False, "armour_add", "Heavy Armour", 1, "per_model", None, None, None),
+        ("May wear heavy armour (+§n points per model)", "heavy-armour:rule", False, "armour_add", "Heavy Armour", "§n", "per_model", None, None, None),
         ("May have a barding", "", False, "armour_add", "May have a barding", None, "per_model", None, None, None),
-        ("Costs up to nothing, 100 points in words", "stubborn-folk:rule", False, "rule_add", "Stubborn Folk", None, None, None, None, None),
-        ("This standard rule is for all (+10 points)", "", False, "rule_add", "This standard rule is for all (+10 points)", 10, "flat", None, None, None),
+        ("Costs up to nothing, 100 points in words", "§a-folk:rule", False, "rule_add", "§A Folk", None, None, None, None, None),
+        ("This standard rule is for all (+§n points)", "", False, "rule_add", "This standard rule is for all (+§n points)", "§n", "flat", None, None, None),
     ],
 )
 def option_upgrade(text, links, mounts):
@@ -116,17 +142,17 @@ def _doc(*content: str) -> str:
 
 
 _TREES = [
-    _doc(_p("intro"), _ul(_li(_p("A Captain may buy a cup (+5 points)")), _li(_p("The unit may take one of the following:"), _ul(_li(_p("a")), _li(_p("b")))), _li(_p("0-1 unit of these may have:"), _ul(_li(_p("c")))))),
+    _doc(_p("intro"), _ul(_li(_p("A Captain may buy a §b (+5 points)")), _li(_p("The unit may take one of the following:"), _ul(_li(_p("a")), _li(_p("b")))), _li(_p("0-1 unit of §bs may have:"), _ul(_li(_p("c")))))),
     _doc(_ul(_li(_p("May take one of the following:"), _ul(_li(_p("x")))), _li(_p("May be mounted on:"), _ul(_li(_p("y")))), _li(_p("It may take one of the following: "), _ul(_li(_p("z")))))),
     _doc(_p("no list at all")),
-    _doc(_ul(_li(_p("A Nobody may buy a cup")), _li(_p("A Captain may choose:"), _ul(_li(_p("v")), _li(_p("w"))))), _ul(_li(_p("a second list is passed over")))),
+    _doc(_ul(_li(_p("A Nobody may buy a §b")), _li(_p("A Captain may choose:"), _ul(_li(_p("v")), _li(_p("w"))))), _ul(_li(_p("a second list is passed over")))),
 ]
 
 
 @family(
     "option_context", "tree:string", "said:string",
     [
-        (_TREES[0], "u#upgrade-0,,,false,u#captain;u#upgrade-1,u#mg1,,false,;u#upgrade-2,u#mg1,,false,;u#upgrade-3,,0-1 unit of these may have,false,"),
+        (_TREES[0], "u#upgrade-0,,,false,u#captain;u#upgrade-1,u#mg1,,false,;u#upgrade-2,u#mg1,,false,;u#upgrade-3,,0-1 unit of §bs may have,false,"),
         (_TREES[1], "u#upgrade-0,u#mg1,,false,;u#upgrade-1,,,true,;u#upgrade-2,u#mg2,,false,"),
         (_TREES[2], ""),
         (_TREES[3], "u#upgrade-0,,,false,;u#upgrade-1,,,false,u#captain;u#upgrade-2,,,false,u#captain"),
@@ -145,8 +171,8 @@ def option_context(tree):
 @family(
     "option_edges", "links:string kind:string", "said:string",
     [
-        ("a:rule|b:rule|m:armyListEntry", "weapon_replace", "UNLOCKS_MOUNT m,REPLACES_WEAPON a,UNLOCKS_RULE b"),
-        ("a:rule", "weapon_replace", "UNLOCKS_RULE a"), ("a:rule|b:rule", "rule_add", "UNLOCKS_RULE a,UNLOCKS_RULE b"), ("", "mount", ""),
+        ("§a:rule|§b:rule|§m:armyListEntry", "weapon_replace", "UNLOCKS_MOUNT §m,REPLACES_WEAPON §a,UNLOCKS_RULE §b"),
+        ("§a:rule", "weapon_replace", "UNLOCKS_RULE §a"), ("§b:rule|§a:rule", "rule_add", "UNLOCKS_RULE §b,UNLOCKS_RULE §a"), ("", "mount", ""),
     ],
 )
 def option_edges(links, kind):
@@ -154,14 +180,14 @@ def option_edges(links, kind):
     return F.array_join(F.transform(O.edges(F.lit("u"), _links(links), kind), lambda e: F.concat_ws(" ", e["relation"], e["dst"])), ",")
 
 
-_BLOCK = '{"nodeType":"embedded-entry-block","data":{"target":{"fields":{"bodyIndex":"from the index","slug":"s1"},"sys":{"contentType":{"sys":{"id":"magicItem"}}}}}}'
+_BLOCK = '{"nodeType":"embedded-entry-block","data":{"target":{"fields":{"bodyIndex":"from the §b index","slug":"s1"},"sys":{"contentType":{"sys":{"id":"magicItem"}}}}}}'
 
 
 @family(
     "rich_text_entries", "tree:string", "plain:string links:string has_item:boolean leaves:string",
     [
-        (_doc(_p("one "), _BLOCK), "one from the index", "s1 magicItem", True, ""),
-        (_doc(f'{{"nodeType":"paragraph","content":[{_link("pike", "rule")},{_link("mule", "armyListEntry")}]}}'), "pikemule", "pike rule,mule armyListEntry", False, ""),
+        (_doc(_p("§a "), _BLOCK), "§a from the §b index", "s1 magicItem", True, ""),
+        (_doc(f'{{"nodeType":"paragraph","content":[{_link("§a-pike", "rule")},{_link("§b-mule", "armyListEntry")}]}}'), "§a-pike§b-mule", "§a-pike rule,§b-mule armyListEntry", False, ""),
         (_doc(_ul(_li(_p("a"), _ul(_li(_p("b")), _li(_p("c"), _ul(_li(_p("d")))))), _li(_p("e")))), "abcde", "", False, "b,d,e"),
         (None, "", "", False, ""),
     ],
@@ -178,8 +204,8 @@ def rich_text_entries(tree):
 @family(
     "body_text", "entry:string", "body:string first:string",
     [
-        ('{"bodyIndex":"plain","body":{"nodeType":"text","value":"rich"}}', "plain", None), ('{"bodyIndex":"","body":{"nodeType":"text","value":"rich"}}', '{"nodeType":"text","value":"rich"}', None),
-        ('[{"fields":{"name":"first"}},{"fields":{"name":"second"}}]', None, "first"), ('{"fields":{"name":"single"}}', None, "single"), ("[]", None, None), (None, None, None),
+        ('{"bodyIndex":"§a §b","body":{"nodeType":"text","value":"§b"}}', "§a §b", None), ('{"bodyIndex":"","body":{"nodeType":"text","value":"§b"}}', '{"nodeType":"text","value":"§b"}', None),
+        ('[{"fields":{"name":"§A"}},{"fields":{"name":"second"}}]', None, "§A"), ('{"fields":{"name":"§b"}}', None, "§b"), ("[]", None, None), (None, None, None),
     ],
 )
 def body_text(entry):
@@ -190,9 +216,9 @@ def body_text(entry):
 @family(
     "slug_names", "slug:string", "title:string army:string spaced:string bare:string",
     [
-        ("grey-wolves-army-list", "Grey Wolves Army List", "grey-wolves", "grey-wolves-army-list", "wolves-army-list"), ("old-folk-legacy-army-list", "Old Folk Legacy Army List", "old-folk", "old-folk-legacy-army-list", "old-folk-legacy-army-list"),
-        ("magic_item_x", "Magic_Item_X", "magic_item_x", "magic item x", "magic_item_x"), ("3rd-of-o'neil", "3Rd Of O'Neil", "3rd-of-o'neil", "3rd-of-o'neil", "3rd-of-o'neil"), ("army-list-legacy", "Army List Legacy", "army-list", "army-list-legacy", "army-list-legacy"),
-        ("grey-", "Grey ", "grey-", "grey-", ""), ("", "", "", "", ""),
+        ("grey-§bs-army-list", "Grey §Bs Army List", "grey-§bs", "grey-§bs-army-list", "§bs-army-list"), ("§a-folk-legacy-army-list", "§A Folk Legacy Army List", "§a-folk", "§a-folk-legacy-army-list", "§a-folk-legacy-army-list"),
+        ("magic_§b_x", "Magic_§B_X", "magic_§b_x", "magic §b x", "magic_§b_x"), ("3rd-of-o'neil", "3Rd Of O'Neil", "3rd-of-o'neil", "3rd-of-o'neil", "3rd-of-o'neil"), ("army-list-legacy", "Army List Legacy", "army-list", "army-list-legacy", "army-list-legacy"),
+        ("grey-§a", "Grey §A", "grey-§a", "grey-§a", "§a"), ("", "", "", "", ""),
     ],
 )
 def slug_names(slug):
@@ -202,7 +228,7 @@ def slug_names(slug):
 
 @family(
     "citation_split", "raw:string", "book:string page:string",
-    [("Grey Book, p. 77", "Grey Book", "77"), ("Tales, part two, p. 3 & 9", "Tales, part two", "3 & 9"), ("A, p. 1, p. 2", "A, p. 1", "2"), ("No page", "No page", None), ("", "", None)],
+    [("§A Book, p. §n", "§A Book", "§n"), ("§B, part two, p. 3 & 9", "§B, part two", "3 & 9"), ("§A, p. 1, p. 2", "§A, p. 1", "2"), ("No §b", "No §b", None), ("", "", None)],
 )
 def citation_split(raw):
     """Book and page of a reference."""
@@ -211,7 +237,7 @@ def citation_split(raw):
 
 @family(
     "page_prefix_strip", "raw:string", "name:string",
-    [("Page 47 – Fear", "Fear"), ("page 3 - Two words ", "Two words"), ("Page x – Fear", "Page x – Fear"), ("The Page 4 - b", "The Page 4 - b"), ("Page 9 — Z", "Z")],
+    [("Page §n – §A", "§A"), ("page 3 - §B §a ", "§B §a"), ("Page x – §A", "Page x – §A"), ("The Page 4 - §b", "The Page 4 - §b"), ("Page 9 — §B", "§B")],
 )
 def page_prefix_strip(raw):
     """An erratum's rule without the page it stands on."""
@@ -220,7 +246,7 @@ def page_prefix_strip(raw):
 
 @family(
     "faq_topic", "url:string", "topic:string",
-    [("https://h/faq/first-steps/", "First Steps"), ("https://h/faq", None), ("https://h/faq/", None), ("https://h/x/faq/a-b/c", "A B/C"), ("https://h/rules/x", None), ("https://h/faq/a/faq/b-c", "B C")],
+    [("https://h/faq/§a-steps/", "§A Steps"), ("https://h/faq", None), ("https://h/faq/", None), ("https://h/x/faq/a-§b/c", "A §B/C"), ("https://h/rules/§b", None), ("https://h/faq/a/faq/§a-c", "§A C")],
 )
 def faq_topic(url):
     """Topic of a page of questions."""
@@ -229,7 +255,7 @@ def faq_topic(url):
 
 @family(
     "fallback_pages", "data:string", "waiting:boolean",
-    [('{"isFallback":true}', True), ('{"isFallback":false,"props":{}}', False), ("{}", False), (None, True), ('{"isFallback":"true"}', True), ("not json", False)],
+    [('{"isFallback":§t}', "§t"), ('{"isFallback":false,"props":{"name":"§a"}}', False), ("{}", False), (None, True), ('{"isFallback":"true"}', True), ("not §b", False)],
 )
 def fallback_pages(data):
     """Pages whose data is still to be built."""
@@ -239,9 +265,9 @@ def fallback_pages(data):
 @family(
     "standard_bearer_parse", "raw:string", "points:bigint unlimited:boolean characters:string",
     [
-        ("A single Grey Lord or Old Captain (on foot) in your army may be upgraded to carry the banner (+25 points).", 25, False, "grey-lord,old-captain"),
-        ("A single Thane, King's Hand or Oath-Man in your army may be upgraded. He may take a magic standard with no points limit.", None, True, "thane,king-s-hand,oath-man"),
-        ("Any lord may be upgraded for +5 point", 5, False, ""), ("An unlimited magic standard", None, True, ""),
+        ("A single §A Lord or Old Captain (on foot) in your army may be upgraded to carry the banner (+§n points).", "§n", False, "§a-lord,old-captain"),
+        ("A single Thane, King's Hand or §B-Man in your army may be upgraded. He may take a magic standard with no points limit.", None, True, "thane,king-s-hand,§b-man"),
+        ("Any §b may be upgraded for +§n point", "§n", False, ""), ("An unlimited magic standard", None, True, ""),
     ],
 )
 def standard_bearer_parse(raw):
@@ -254,10 +280,10 @@ def standard_bearer_parse(raw):
     "terrain_rules", "slug:string body:string", "terrain_class:string blocks_movement:boolean disrupts_units:boolean requires_dangerous_test:boolean grants_cover:string movement_penalty:string",
     [
         ("woods", "Models count as disrupted and move at half rate; it is impassable for chariots. Soft cover.", "woods", False, True, False, "partial", "half"),
-        ("tower", "A tall house.", "building", True, False, False, None, None),
+        ("tower", "A §a house.", "building", True, False, False, None, None),
         ("marsh", "This is difficult terrain. Take a Dangerous Terrain Test. Moves at half speed and gives HARD COVER.", "difficult", False, False, True, "full", "Moves at half"),
-        ("lake", "Impassable to all.", None, True, False, False, None, None),
-        ("grove", "A small forest. Such units cannot claim any rank bonus. Halve their move.", "woods", False, True, False, None, "Halve"),
+        ("lake", "§k to all.", None, "§t", False, False, None, None),
+        ("grove", "A §a forest. Such units cannot claim any rank bonus. Halve their move.", "woods", False, True, False, None, "Halve"),
         ("moor", "x" * 495 + " woods", None, False, False, False, None, None),
         ("statue", "A special feature that is halfed.", "special_feature", False, False, False, None, "halfed"),
     ],
@@ -267,7 +293,7 @@ def terrain_rules(slug, body):
     return P.terrain(slug, body)
 
 
-@family("wizard_level_parse", "raw:string", "level:bigint", [("3", 3), ("", None), (None, None), ("0", 0), ("x", None)])
+@family("wizard_level_parse", "raw:string", "level:bigint", [("§n", "§n"), ("", None), (None, None), ("0", 0), ("§b", None)])
 def wizard_level_parse(raw):
     return P.wizard_level(raw)
 
@@ -275,8 +301,8 @@ def wizard_level_parse(raw):
 @family(
     "page_section", "kind:string path:string next:string", "section:string name:string next_url:string",
     [
-        ("the-fight-phase", "/x/y", "charging", "the-fight-phase", "The Fight Phase", "/the-fight-phase/charging"), ("", "/moving-on/slow-march", None, "moving-on", "Moving On", None),
-        (None, "/alone", "b", "alone", "Alone", "/alone/b"), (None, "/a/b-c/d/", "", "b-c", "B C", None), (None, "/", "z", "", "", None),
+        ("the-§a-phase", "/x/y", "§bs", "the-§a-phase", "The §A Phase", "/the-§a-phase/§bs"), ("", "/moving-on/slow-march", None, "moving-on", "Moving On", None),
+        (None, "/§b", "§a", "§b", "§B", "/§b/§a"), (None, "/a/§b-c/d/", "", "§b-c", "§B C", None), (None, "/", "z", "", "", None),
     ],
 )
 def page_section(kind, path, next):
@@ -288,8 +314,8 @@ def page_section(kind, path, next):
 @family(
     "spell_casting", "value:string said:string ord:bigint lore:string", "casting_value:bigint override:string lore_number:bigint lore_id:string refers_to:string",
     [
-        ("8", None, 23, "battle-magic-lore", 8, None, 2, "battle-magic", "casting-roll-casting-result-and-casting-value"),
-        ("8", "Special", 100, "x", None, "Special", 10, "x", "casting-roll-casting-result-and-casting-value"), (None, "", None, "-lore", None, None, 0, None, None), ("0", None, 9, None, 0, None, 0, None, "casting-roll-casting-result-and-casting-value"),
+        ("§n", None, 23, "§a-magic-lore", "§n", None, 2, "§a-magic", "casting-roll-casting-result-and-casting-value"),
+        ("8", "§A §n", 100, "x", None, "§A §n", 10, "x", "casting-roll-casting-result-and-casting-value"), (None, "", None, "-lore", None, None, 0, None, None), ("0", None, 9, None, 0, None, 0, None, "casting-roll-casting-result-and-casting-value"),
     ],
 )
 def spell_casting(value, said, ord, lore):
@@ -301,10 +327,10 @@ def spell_casting(value, said, ord, lore):
 @family(
     "item_fields", "raw:string association:string book:string url:string", "item_type:string army:string source:string",
     [
-        ("Magic Weapon", "rulebook", "Rulebook", "https://h/magic-items/x", "magic_weapon", None, "Rulebook"), ("Odd New Kind", None, None, "https://h/magic-items/x", "odd_new_kind", None, "Rulebook"),
-        ("", "grey-folk", "Grey Folk", "https://h/magic-items/x/", None, "grey-folk", "Grey Folk"),
-        ("Ability", "arcane-journal-empire-of-man", "Journal", "https://h/magic-items/y", "ability", "empire-of-man", "Journal"),
-        ("Arcane Item", "arcane-journal-empire-of-man", "Journal", "https://h/magic-items/incantations-scrolls/", "arcane_item", "tomb-kings-of-khemri", "Journal"),
+        ("Magic Weapon", "rulebook", "Rulebook", "https://h/magic-items/x", "magic_weapon", None, "Rulebook"), ("Odd §B Kind", None, None, "https://h/magic-items/x", "odd_§b_kind", None, "Rulebook"),
+        ("", "§a-folk", "§A Folk", "https://h/magic-items/x/", None, "§a-folk", "§A Folk"),
+        ("Ability", "arcane-journal-empire-of-man", "§B Journal", "https://h/magic-items/y", "ability", "empire-of-man", "§B Journal"),
+        ("Arcane Item", "arcane-journal-empire-of-man", "§B Journal", "https://h/magic-items/incantations-scrolls/", "arcane_item", "tomb-kings-of-khemri", "§B Journal"),
     ],
 )
 def item_fields(raw, association, book, url):
@@ -315,7 +341,7 @@ def item_fields(raw, association, book, url):
 
 @family(
     "slug_lookups", "slug:string", "troop:string category:string",
-    [("war-beast", "war-beasts", None), ("named-character", None, "Named Characters"), ("mount", "mount", "Mounts"), ("heavy-infantry", "heavy-infantry", None), ("character", "character", "Characters"), ("swarm", "swarms", None)],
+    [("war-beast", "war-beasts", None), ("named-character", None, "Named Characters"), ("mount", "mount", "Mounts"), ("§a-§b", "§a-§b", None), ("character", "character", "Characters"), ("swarm", "swarms", None)],
 )
 def slug_lookups(slug):
     """Troop type by its map, unknown slugs as they are, and the army's category."""
@@ -324,14 +350,14 @@ def slug_lookups(slug):
     return F.struct(P.troop_type(slug).alias("troop"), P.lookup(K.CATEGORY_OF, slug).alias("category"))
 
 
-@family("rule_scopes", "association:string", "scope:string army:string", [("rulebook", "universal", None), ("", "universal", None), (None, "universal", None), ("grey-folk", "army", "grey-folk")])
+@family("rule_scopes", "association:string", "scope:string army:string", [("rulebook", "universal", None), ("", "universal", None), (None, "universal", None), ("§a-folk", "army", "§a-folk")])
 def rule_scopes(association):
     return P.rule_scope(association)
 
 
 @family(
     "troop_categories", "slug:string name:string", "category:string",
-    [("monstrous-infantry", "x", "infantry"), ("monstrous-cavalry", "x", "cavalry"), ("x", "Great Monstrous Thing", "monster"), ("war-machines", "Guns", "war_machine"), ("war-beasts", "Hounds", "beast"), ("light-chariots", "", "chariot"), ("stones", "Stones", "unknown"), ("swarms", "of beasts", "swarm")],
+    [("monstrous-infantry", "x", "infantry"), ("monstrous-cavalry", "x", "cavalry"), ("x", "§A Monstrous §B", "monster"), ("war-machines", "§A Guns", "war_machine"), ("war-beasts", "§B Hounds", "beast"), ("light-chariots", "", "chariot"), ("§a-stones", "§A Stones", "unknown"), ("swarms", "of beasts", "swarm")],
 )
 def troop_categories(slug, name):
     return P.troop_category(slug, name)
@@ -339,7 +365,7 @@ def troop_categories(slug, name):
 
 @family(
     "weapon_classes", "slug:string name:string", "kind:string",
-    [("shield", "Shield", "armour"), ("bolt-thrower", "Bolt Thrower", "war_machine"), ("short-bow", "Short Bow", "missile"), ("bow-spear", "Both", "missile"), ("rainbow", "Rainbow", "equipment"), ("long-axe", "Long Axe", "melee"), ("great-weapon", "Great Weapon", "melee"), ("tower-shield", "Tower Shield", "armour"), ("odd-thing", "Odd Thing", "equipment"), ("black-armor", "Black Armor", "armour")],
+    [("shield", "Shield", "armour"), ("bolt-thrower", "Bolt Thrower", "war_machine"), ("§a-bow", "§A Bow", "missile"), ("bow-spear", "Both", "missile"), ("rainbow", "Rainbow", "equipment"), ("§a-axe", "§A Axe", "melee"), ("great-weapon", "Great Weapon", "melee"), ("tower-shield", "Tower Shield", "armour"), ("§a-thing", "§A Thing", "equipment"), ("§a-armor", "§A Armor", "armour")],
 )
 def weapon_classes(slug, name):
     return P.weapon_class(slug, name)
@@ -348,10 +374,10 @@ def weapon_classes(slug, name):
 @family(
     "page_types", "path:string items:boolean", "kind:string parser:string",
     [
-        ("/", False, "toc", "toc"), ("", False, "toc", "toc"), ("/sitemap/a/b", False, "sitemap", "sitemap"), ("/army/grey/reference/", False, "army_reference", "army_reference"), ("/army/grey", False, "army", "army"), ("/army/grey/x", False, None, None),
-        ("/unit/old-guard", False, "unit", "unit"), ("/faq", False, "faq", "faq"), ("/faq/a", False, "faq", "faq"), ("/errata/", False, "errata", "errata"), ("/special-rules/fear", False, "special_rule", "special_rule"), ("/troop-types-in-detail/x", False, "troop_type", "troop_type"),
-        ("/magic-items/list", True, "magic_item", "magic_item"), ("/magic-items/intro", False, "magic_item", "core_rule"), ("/the-lores-of-magic/x", False, "spell", "spell"), ("/spell/x", False, "spell_page", "spell_page"), ("/weapons-of-war/x", False, "weapon", "weapon"),
-        ("/battlefield-terrain/x", False, "terrain", "terrain"), ("/fight/first", False, "core_rule", "core_rule"), ("/grey-folk/grey-army-list", False, "core_rule", "army_list"), ("/magic-item/x", False, "core_rule", "magic_item"), ("/one", False, None, None), ("/a/b/c", False, None, None),
+        ("/", False, "toc", "toc"), ("", False, "toc", "toc"), ("/sitemap/a/b", False, "sitemap", "sitemap"), ("/army/§a/reference/", False, "army_reference", "army_reference"), ("/army/§a", False, "army", "army"), ("/army/§a/x", False, None, None),
+        ("/unit/§a-§b", False, "unit", "unit"), ("/faq", False, "faq", "faq"), ("/faq/§b", False, "faq", "faq"), ("/errata/", False, "errata", "errata"), ("/special-rules/§b", False, "special_rule", "special_rule"), ("/troop-types-in-detail/x", False, "troop_type", "troop_type"),
+        ("/magic-items/list", True, "magic_item", "magic_item"), ("/magic-items/intro", False, "magic_item", "core_rule"), ("/the-lores-of-magic/x", False, "spell", "spell"), ("/spell/x", False, "spell_page", "spell_page"), ("/weapons-of-war/§a-§b", False, "weapon", "weapon"),
+        ("/battlefield-terrain/x", False, "terrain", "terrain"), ("/§b-fight/§a", False, "core_rule", "core_rule"), ("/§a-folk/§a-army-list", False, "core_rule", "army_list"), ("/magic-item/x", False, "core_rule", "magic_item"), ("/one", False, None, None), ("/a/§b/c", False, None, None),
     ],
 )
 def page_types(path, items):
@@ -362,7 +388,7 @@ def page_types(path, items):
 
 @family(
     "page_classes", "path:string", "label:string",
-    [("/overview-of-the-game/x", "Document"), ("/matched-play/gather-your-allies", "Document"), ("/matched-play/gather-your-allies/deeper", "Document"), ("/matched-play/scoring", "CoreRule"), ("/", "CoreRule"), ("/overview-of-the-game", "Document"), ("/gather-your-allies", "CoreRule")],
+    [("/overview-of-the-game/§a", "Document"), ("/matched-play/gather-your-allies", "Document"), ("/matched-play/gather-your-allies/§a", "Document"), ("/matched-play/§b", "CoreRule"), ("/", "CoreRule"), ("/overview-of-the-game", "Document"), ("/gather-your-allies", "CoreRule")],
 )
 def page_classes(path):
     return P.page_class(path)
@@ -370,7 +396,7 @@ def page_classes(path):
 
 @family(
     "mount_profiles", "m:string t:string w:string", "mount:boolean",
-    [("8", "-", "-", True), ("8", None, "", True), ("8", "3", "-", False), ("-", "-", "-", False), (None, None, None, False), ("8", "-", "2", False)],
+    [("§n", "-", "-", True), ("§n", None, "", True), ("§n", "3", "-", False), ("-", "-", "-", False), (None, None, None, False), ("§n", "-", "2", False)],
 )
 def mount_profiles(m, t, w):
     return P.is_mount_profile(m, t, w)
@@ -378,7 +404,7 @@ def mount_profiles(m, t, w):
 
 @family(
     "name_gates", "id:string name:string", "scannable:boolean found:boolean label:string",
-    [("fear", "Fear", False, False, "Unit"), ("a-b", "A b", True, False, "Unit"), ("grey-lord", "Other", True, True, "Unit"), ("x", "GREY lord", True, True, "Unit"), ("Grey Lord", "x", False, True, "Unit"), ("y", "Terror", True, False, "Unit")],
+    [("fear", "Fear", False, False, "Unit"), ("a-b", "A b", True, False, "Unit"), ("grey-lord", "§A Other", True, True, "Unit"), ("x", "GREY lord", True, True, "Unit"), ("Grey Lord", "x", False, True, "Unit"), ("§b", "§A §B §n", True, False, "Unit")],
 )
 def name_gates(id, name):
     """Names long enough to be sought, a node by id, slug or name, and a label that is allowed."""
@@ -387,7 +413,7 @@ def name_gates(id, name):
 
 @family(
     "fallback_rule_lines", "raw:string", "slugs:string",
-    [("First Rule\n  Second rule \n\nFirst Rule", "first-rule,second-rule"), ("One\r\nTwo's (X)", "one,two-s-x"), ("", ""), (" A ", "a")],
+    [("§A Rule\n  §B rule \n\n§A Rule", "§a-rule,§b-rule"), ("One\r\nTwo's (X)", "one,two-s-x"), ("", ""), (" A ", "a")],
 )
 def fallback_rule_lines(raw):
     """Rules named line by line where no link says them."""
@@ -397,10 +423,10 @@ def fallback_rule_lines(raw):
 @family(
     "content_parts", "raw:string", "text:string reasoning:string cited:string",
     [
-        ('"just text"', "just text", "", ""), ('{"type":"text","text":"a"}', "a", "", ""), ('{"type":"tool_use","text":"a"}', "", "", ""),
-        ('[{"type":"thinking","thinking":"hm"},{"type":"text","text":"b"},{"type":"text_delta","delta":"c"},"d"]', "bcd", "hm", ""),
-        ('[{"type":"text","text":"x","citations":[{"type":"search_result_location","search_result_index":4},{"type":"other","search_result_index":1},{"type":"search_result_location","search_result_index":0},{"type":"search_result_location","search_result_index":4}]}]', "x", "", "0,4"),
-        ('[{"type":"reasoning","reasoning":"r1"},{"type":"reasoning","thinking":"r2"}]', "", "r1r2", ""), ("[]", "", "", ""), (None, "", "", ""),
+        ('"just §a §n"', "just §a §n", "", ""), ('{"type":"text","text":"a"}', "a", "", ""), ('{"type":"tool_use","text":"a"}', "", "", ""),
+        ('[{"type":"thinking","thinking":"§b"},{"type":"text","text":"b"},{"type":"text_delta","delta":"c"},"d"]', "bcd", "§b", ""),
+        ('[{"type":"text","text":"x","citations":[{"type":"search_result_location","search_result_index":§n},{"type":"other","search_result_index":1},{"type":"search_result_location","search_result_index":0},{"type":"search_result_location","search_result_index":§n}]}]', "x", "", "0,§n"),
+        ('[{"type":"reasoning","reasoning":"§A"},{"type":"reasoning","thinking":"r2"}]', "", "§Ar2", ""), ("[]", "", "", ""), (None, "", "", ""),
     ],
 )
 def content_parts(raw):
@@ -411,14 +437,14 @@ def content_parts(raw):
 
 @family(
     "lenient_nodes", "raw:string", "id:string name:string page:bigint",
-    [('{"id":"a","name":null,"page":3}', "a", None, 3), ('{"id":"b","page":"three","name":"B"}', "b", "B", None), ("nonsense", None, None, None), ('{"other":1}', None, None, None), ('{"id":"c","extra":{"x":1}}', "c", None, None)],
+    [('{"id":"§a-§b","name":null,"page":§n}', "§a-§b", None, "§n"), ('{"id":"b","page":"§b","name":"§A"}', "b", "§A", None), ("§a", None, None, None), ('{"other":1}', None, None, None), ('{"id":"c","extra":{"x":1}}', "c", None, None)],
 )
 def lenient_nodes(raw):
     """A node read leniently: what is missing or of a wrong type is null."""
     return P.graph_node(raw)
 
 
-@family("retrieval_modes", "mode:string", "strategy:string lexical:boolean expand:boolean", [("vector", "vector", False, False), ("GRAPH", "vector", True, True), ("hybrid", "hybrid", False, True), (None, "vector", True, True), ("", "vector", True, True)])
+@family("retrieval_modes", "mode:string", "strategy:string lexical:boolean expand:boolean", [("vector", "vector", False, False), ("§g", "§v", "§t", True), ("hybrid", "hybrid", False, True), (None, "vector", True, True), ("", "vector", True, True)])
 def retrieval_modes(mode):
     return P.mode_config(mode)
 
@@ -426,9 +452,9 @@ def retrieval_modes(mode):
 @family(
     "absolute_links", "link:string base:string", "url:string slug:string",
     [
-        ("/b/c/#x", "https://H.example/a/d?q=1", "https://h.example/b/c", "c"), ("e", "https://h.example/a/d", "https://h.example/a/e", "e"), ("../f/", "https://h.example/a/b/d", "https://h.example/a/f", "f"),
+        ("/§b/c/#x", "https://H.example/a/d?q=1", "https://h.example/§b/c", "c"), ("§a", "https://h.example/a/d", "https://h.example/a/§a", "§a"), ("../§b/", "https://h.example/a/b/d", "https://h.example/a/§b", "§b"),
         ("HTTP://Other.Example/P/?x=1#y", "https://h.example/a", "http://other.example/P?x=1", "P"), ("//cdn.example/z", "https://h.example/a", "https://cdn.example/z", "z"), ("#part", "https://h.example/a/d?q=1", "https://h.example/a/d?q=1", "d"),
-        ("?page=2", "https://h.example/a/d?q=1", "https://h.example/a/d?page=2", "d"), ("/", "https://h.example/a/d", "https://h.example/", "unknown"), ("./g", "https://h.example", "https://h.example/g", "g"), ("../../../h", "https://h.example/a/b", "https://h.example/h", "h"),
+        ("?page=§n", "https://h.example/a/d?q=1", "https://h.example/a/d?page=§n", "d"), ("/", "https://h.example/a/d", "https://h.example/", "unknown"), ("./g", "https://h.example", "https://h.example/g", "g"), ("../../../h", "https://h.example/a/b", "https://h.example/h", "h"),
     ],
 )
 def absolute_links(link, base):
@@ -440,9 +466,9 @@ def absolute_links(link, base):
 @family(
     "rule_phrases", "raw:string", "points:bigint unit:string budget:bigint most:bigint least:bigint count:bigint per:bigint version:string alliance:string",
     [
-        ("Take up to 100 points", None, None, 100, None, None, None, None, None, "trusted"), ("It costs 5 points", None, None, None, None, None, None, None, None, "trusted"), ("( +12 Points per Model )", 12, "per_model", None, None, None, None, None, None, "trusted"),
-        ("Up to 25% of the points\nAt least 50% later", None, None, None, 25, None, None, None, None, "trusted"), ("At least 33 % of it", None, None, None, None, 33, None, None, None, "trusted"), ("0-2 Old Guns per 1,000 points", None, None, None, None, None, 2, 1000, None, "trusted"),
-        ("Book - VERSION 1.5.2", None, None, None, None, None, None, None, "1.5.2", "trusted"), ("Grey Folk ( Uneasy )", None, None, None, None, None, None, None, None, "uneasy"), ("A suspicious lot", None, None, None, None, None, None, None, None, "trusted"), ("0-1 (in all), per 1,000 points", None, None, None, None, None, None, None, None, "trusted"),
+        ("Take up to §n points", None, None, "§n", None, None, None, None, None, "trusted"), ("It costs 5 points", None, None, None, None, None, None, None, None, "trusted"), ("( +§n Points per Model )", "§n", "per_model", None, None, None, None, None, None, "trusted"),
+        ("Up to §n% of the points\nAt least 50% later", None, None, None, "§n", None, None, None, None, "trusted"), ("At least §n % of it", None, None, None, None, "§n", None, None, None, "trusted"), ("0-2 §A Guns per 1,000 points", None, None, None, None, None, 2, 1000, None, "trusted"),
+        ("Book - VERSION 1.5.§n", None, None, None, None, None, None, None, "1.5.§n", "trusted"), ("§A Folk ( Uneasy )", None, None, None, None, None, None, None, None, "uneasy"), ("A suspicious §b", None, None, None, None, None, None, None, None, "trusted"), ("0-1 (in all), per 1,000 points", None, None, None, None, None, None, None, None, "trusted"),
     ],
 )
 def rule_phrases(raw):
@@ -454,19 +480,19 @@ def rule_phrases(raw):
     )
 
 
-_TABLE = '<table class="profile-table profile-table--weapon"><tbody><tr><td>24"</td><td>S+1</td><td>–</td><td><a href="/special-rules/slow/">Slow</a>, <a href="/x/y">no</a><a href="/special-rules/loud">Loud</a></td></tr><tr><td>9</td></tr></tbody></table>'
+_TABLE = '<table class="profile-table profile-table--weapon"><tbody><tr><td>§n"</td><td>S+1</td><td>–</td><td><a href="/special-rules/§a/">Slow</a>, <a href="/x/y">no</a><a href="/special-rules/loud">Loud</a></td></tr><tr><td>9</td></tr></tbody></table>'
 _CRUMBS = (
-    '<div class="breadcrumb__wrapper"><ul class="breadcrumb"><li class="breadcrumb-link"><a href="/a">Gifts</a></li><li class="breadcrumb-link">Folk</li></ul>'
-    '<ul class="breadcrumb"><li class="update-timestamp">Last update: <!-- -->2024 May 2</li><li class="page-reference">Grey Book, p. <!-- -->7 &amp; 9</li></ul></div>'
+    '<div class="breadcrumb__wrapper"><ul class="breadcrumb"><li class="breadcrumb-link"><a href="/a">§A</a></li><li class="breadcrumb-link">Folk</li></ul>'
+    '<ul class="breadcrumb"><li class="update-timestamp">Last update: <!-- -->2024 May 2</li><li class="page-reference">Grey Book, p. <!-- -->§n &amp; 9</li></ul></div>'
 )
 
 
 @family(
     "html_fields", "html:string", "weapon:string rules:string spell:string crumbs:string book:string page:string updated:string",
     [
-        (_TABLE, '24",S+1,', "slow,loud", None, "", None, None, None), ("<table class='profile-table--weapon'><tbody><tr><td>1</td></tr></tbody></table>", ",,", "", None, "", None, None, None),
-        ('<div class="spell big"><table><tr><td>Range</td><td>9</td></tr><tr><td> Type </td><td><a href="/magic/hex">Hex</a></td></tr></table></div>', ",,", "", "Hex", "", None, None, None),
-        ('<div class="spell"><table><tr><td>Type</td><td>Bound</td></tr></table></div>', ",,", "", None, "", None, None, None), (_CRUMBS, ",,", "", None, "Gifts>Folk", "Grey Book", "7 & 9", "2024 May 2"), ("", ",,", "", None, "", None, None, None),
+        (_TABLE, '§n",S+1,', "§a,loud", None, "", None, None, None), ("<table class='profile-table--weapon'><tbody><tr><td>§n</td></tr></tbody></table>", ",,", "", None, "", None, None, None),
+        ('<div class="spell big"><table><tr><td>Range</td><td>9</td></tr><tr><td> Type </td><td><a href="/magic/hex">§B</a></td></tr></table></div>', ",,", "", "§B", "", None, None, None),
+        ('<div class="spell"><table><tr><td>Type</td><td>Bound</td></tr></table></div>', ",,", "", None, "", None, None, None), (_CRUMBS, ",,", "", None, "§A>Folk", "Grey Book", "§n & 9", "2024 May 2"), ("", ",,", "", None, "", None, None, None),
     ],
 )
 def html_fields(html):
@@ -482,9 +508,9 @@ def html_fields(html):
 @family(
     "markdown_links", "html:string", "md:string",
     [
-        ('<p>See <a href="/rules/fear#top">Fear</a><a href="/rules/awe">Awe</a></p>', "See [Fear](../rules/fear.md#top) [Awe](https://h.example/rules/awe)"),
+        ('<p>§A <a href="/rules/fear#top">Fear</a><a href="/rules/awe">Awe</a></p>', "§A [Fear](../rules/fear.md#top) [Awe](https://h.example/rules/awe)"),
         ('<p><a href="https://h.example/rules/fear">F</a> and <a href="https://other.example/z">Z</a></p>', "[F](../rules/fear.md) and [Z](https://other.example/z)"),
-        ('<article class="section-intro"><p>One.</p><p>Two.</p></article><p>Three.</p>', "*One.*\n\n*Two.*\n\nThree."), ('<p>a b</p><div class="ad">no</div>', "a b"), ("<h2>T</h2><ul><li>x</li><li><b>y</b><i>z</i></li></ul>", "## T\n\n- x\n- **y** *z*"),
+        ('<article class="section-intro"><p>§B.</p><p>Two.</p></article><p>§A three.</p>', "*§B.*\n\n*Two.*\n\n§A three."), ('<p>§a b</p><div class="ad">no</div>', "§a b"), ("<h2>§B</h2><ul><li>x</li><li><b>y</b><i>z</i></li></ul>", "## §B\n\n- x\n- **y** *z*"),
     ],
 )
 def markdown_links(html):
