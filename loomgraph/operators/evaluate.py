@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,13 +121,13 @@ def significance(results: DataFrame, metric: str, baseline: str = "vector", leve
     """Per mode the signed-rank test against the baseline: statistic, n, p and whether it is significant; no difference at all gives p = 1."""
     d = paired(results, metric, baseline)
     counts = d.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
-    ranks = signed_ranks(d, ["mode"]).select("mode", F.least("w_plus", "w_minus").alias("statistic"), F.col("n").alias("_used"))
+    ranks = signed_ranks(d, ["mode"]).select("mode", F.least("w_plus", "w_minus").alias("statistic"), F.col("n").alias("_used"), "ties")
 
     @F.pandas_udf("double")
-    def p(w: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([wilcoxon_p(a, int(b)) for a, b in zip(w, n)])
+    def p(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p(a, int(b), t, int(z)) for a, b, t, z in zip(w, n, ties, zeros)])
 
-    out = counts.join(ranks, "mode", "left").withColumn("statistic", F.coalesce("statistic", F.lit(0.0))).withColumn("p", p("statistic", F.coalesce("_used", F.lit(0))))
+    out = counts.join(ranks, "mode", "left").withColumn("statistic", F.coalesce("statistic", F.lit(0.0))).withColumn("p", p("statistic", F.coalesce("_used", F.lit(0)), F.coalesce("ties", F.lit(0.0)), F.col("n") - F.coalesce("_used", F.lit(0))))
     return out.select("mode", F.lit(metric).alias("metric"), "statistic", "n", "p", (F.col("p") < level).alias("significant"))
 
 
@@ -141,26 +143,42 @@ def metrics(results: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def signed_ranks(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Wilcoxon's W+ and W- over ``d`` per group: zero differences dropped, ties share their mean rank."""
-    rows = pairs.where("d IS NOT NULL AND d <> 0").withColumn("_a", F.abs("d"))
-    by = Window.partitionBy(*group)
-    rank = F.rank().over(by.orderBy("_a")) + (F.count(F.lit(1)).over(Window.partitionBy(*group, "_a")) - 1) / 2.0
-    rows = rows.withColumn("_r", rank)
-    return rows.groupBy(*group).agg(F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n"))
+#: Differences of a block share their leading digits; sums of blocks come before sums inside them.
+BLOCKS = 256
+
 
+def signed_ranks(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Wilcoxon's W+ and W- over ``d`` per group, with n and the ties' sum of t^3 - t: zero differences dropped, ties share their mean rank.
 
-def wilcoxon_p(w: float, n: int) -> float:
-    """Two-sided p of the signed-rank statistic min(W+, W-): exact to n = 25 by counting rank sums, else normal."""
+    Ranks come from a histogram of the absolute differences, which combines before
+    the shuffle; the places before a value are a sum over blocks of values, then
+    one inside the block, so no task sorts the rows of a group.
+    """
+    size = F.abs("d")
+    rows = pairs.where("d IS NOT NULL AND d <> 0")
+    bars = rows.groupBy(*group, size.alias("_a")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col("d") > 0).alias("_up")).withColumn("_block", F.floor(F.col("_a") * BLOCKS))
+    before = Window.unboundedPreceding
+    blocks = bars.groupBy(*group, "_block").agg(F.sum("_c").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(before, -1)), F.lit(0))
+    blocks = blocks.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_block").alias("_b"), earlier.alias("_earlier"))
+    same = F.col("_block") == F.col("_b")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*group, "_block").orderBy("_a").rowsBetween(before, -1)), F.lit(0))
+    ranked = bars.withColumn("_inside", inside).join(blocks, same).withColumn("_r", F.col("_earlier") + F.col("_inside") + (F.col("_c") + 1) / 2.0)
+    cubes = F.col("_c").cast("double")
+    return ranked.groupBy(*group).agg(F.sum(F.col("_up") * F.col("_r")).alias("w_plus"), F.sum((F.col("_c") - F.col("_up")) * F.col("_r")).alias("w_minus"), F.sum("_c").alias("n"), F.sum(cubes * cubes * cubes - cubes).alias("ties"))
+
+
+def wilcoxon_p(w: float, n: int, ties: float = 0.0, zeros: int = 0) -> float:
+    """Two-sided p of the signed-rank statistic min(W+, W-): exact up to n = 50 without ties and zeros, by counting rank sums, else normal, corrected for ties."""
     if n == 0:
         return 1.0
-    if n <= 25 and float(w).is_integer():
+    if n <= 50 and not ties and not zeros:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for r in range(1, n + 1):
             for s in range(len(ways) - 1, r - 1, -1):
                 ways[s] += ways[s - r]
         return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
-    import math
-
-    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return min(1.0, math.erfc(abs(w - mean) / sd / math.sqrt(2)))
+    mean, sd = n * (n + 1) / 4, math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    return min(1.0, math.erfc(abs(w - mean) / sd / math.sqrt(2))) if sd else 1.0

@@ -152,6 +152,8 @@ def test_metrics(spark):
 
 def test_wilcoxon():
     assert V.wilcoxon_p(0, 8) < 0.05 and V.wilcoxon_p(0, 0) == 1.0
+    assert V.wilcoxon_p(120, 30) == pytest.approx(0.01966, abs=5e-6)  # exact, where the normal gives 0.02067
+    assert V.wilcoxon_p(120, 30, ties=6.0) == pytest.approx(math.erfc(112.5 / math.sqrt((30 * 31 * 61 - 3) / 24) / math.sqrt(2)))
     assert V.wilcoxon_p(0, 8) == pytest.approx(2 / 2**8) and math.isclose(V.wilcoxon_p(18, 8), 1.0, abs_tol=0.1)
 
 
