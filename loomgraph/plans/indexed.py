@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import retrieve as R
+from loomgraph.functions import variant as V
 from loomgraph.operators.text_index import TextIndex
 from loomgraph.operators.vector_index import VectorIndex
 from loomgraph.plans import retrieval
@@ -63,10 +63,36 @@ def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "label", "id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (keyed_batches, text_index_topk, vector_index_topk)}
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as a message in JSON: its words as text blocks, its role as reasoning, its number as a citation; unreadable where the turn is a seventh."""
+    c = table(spark, d, "conversations")
+    block = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in more.items()])
+    text = F.to_json(block("text", text=F.col("text"), citations=F.array(F.struct(F.lit("search_result_location").alias("type"), F.col("turn").alias("search_result_index")))))
+    raw = F.concat(F.lit("["), text, F.lit(","), F.to_json(block("thinking", thinking=F.col("role"))), F.lit(","), F.to_json(block("text_delta", delta=F.concat(F.lit(" "), F.col("role")))), F.lit("]"))
+    return c.select("conv_id", "turn", V.parsed(F.when(F.col("turn") % 7 == 6, F.concat(F.lit("{"), raw)).otherwise(raw)).alias("v"))
+
+
+def variant_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Text, reasoning and citations of messages that are parsed once."""
+    m = _messages(spark, d).select("conv_id", "turn", V.content(F.col("v")).alias("c"))
+    return m.select("conv_id", "turn", F.sha2("c.text", 256).alias("text"), "c.reasoning", F.array_join(F.col("c.cited").cast("array<string>"), ",").alias("cited"))
+
+
+def variant_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of all messages by kind: how many there are and how long their texts are."""
+    rows = V.blocks(_messages(spark, d), "v", ["conv_id", "turn"]).where("place IS NOT NULL")
+    kind, text = V.field(F.col("value"), "$.type"), F.coalesce(V.field(F.col("value"), "$.text"), V.field(F.col("value"), "$.delta"), V.field(F.col("value"), "$.thinking"))
+    return rows.groupBy(kind.alias("kind"), "place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text)).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (keyed_batches, text_index_topk, vector_index_topk, variant_messages, variant_blocks)}
 ORACLES = {
     "keyed_batches": """SELECT p_partkey, p_name, CASE WHEN p_partkey % 14 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 14 = 0
         UNION ALL SELECT p_partkey + 1000000, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END FROM part WHERE p_partkey % 5 = 0""",
+    "variant_messages": """SELECT conv_id, turn, sha256(CASE WHEN turn % 7 = 6 THEN '' ELSE coalesce(text, '') || coalesce(' ' || role, '') END) AS text, CASE WHEN turn % 7 = 6 THEN '' ELSE coalesce(role, '') END AS reasoning,
+        CASE WHEN turn % 7 = 6 THEN '' ELSE turn::VARCHAR END AS cited FROM conversations""",
+    "variant_blocks": """WITH c AS (SELECT * FROM conversations WHERE turn % 7 <> 6) SELECT 'text' AS kind, 0 AS place, count(*) AS n, sum(length(text))::BIGINT AS chars FROM c
+        UNION ALL SELECT 'thinking', 1, count(*), sum(length(role))::BIGINT FROM c UNION ALL SELECT 'text_delta', 2, count(*), sum(length(role) + 1)::BIGINT FROM c""",
     "text_index_topk": retrieval.ORACLES["bm25_topk"],
     "vector_index_topk": retrieval.ORACLES["knn_per_label"],
 }
