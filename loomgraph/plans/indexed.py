@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import tables as T
 from loomgraph.functions import variant as V
 from loomgraph.operators.text_index import TextIndex
 from loomgraph.operators.vector_index import VectorIndex
-from loomgraph.plans import retrieval
+from loomgraph.plans import catalogue, retrieval
 from loomgraph.sources.keyed import KeyedTable
-from loomgraph.sources.tables import place, table
+from loomgraph.sources.tables import NODES_SQL, nodes, place, table
 
 BUCKETS = 8
 CELLS = 16
@@ -85,10 +86,43 @@ def variant_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(kind.alias("kind"), "place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text)).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (keyed_batches, text_index_topk, vector_index_topk, variant_messages, variant_blocks)}
+def option_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Options of every customer's order lines by a table function in SQL: urgent orders open groups, those of low priority stand below them."""
+    T.register(spark)
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("n"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("May be mounted on one of "), F.col("o_orderkey").cast("string"), F.lit(":"))).when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("Takes one of:")))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("option "), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("  choice "), F.col("o_orderkey").cast("string"))).alias("line"),
+    )
+    o.createOrReplaceTempView("loomgraph_lines")
+    return spark.sql("SELECT unit, bigint(place) AS place, line, bigint(group_id) AS group_id, header, mounts, n FROM option_walk(TABLE(loomgraph_lines))")
+
+
+def army_roster(spark: SparkSession, d: str) -> DataFrame:
+    """The roster tool in SQL, for every nation: units of a category in order, the first fifty."""
+    T.army_roster(spark, catalogue.units(spark, d))
+    table(spark, d, "nation").createOrReplaceTempView("loomgraph_nations")
+    return spark.sql("SELECT n_name, r.unit, r.category, bigint(r.place) AS place FROM loomgraph_nations, LATERAL army_roster(concat('army-', n_nationkey), 'u', 50) r")
+
+
+def archive_query(spark: SparkSession, d: str) -> DataFrame:
+    """The archive tool in SQL: what is called so or speaks of it, the first hundred."""
+    T.archive_query(spark, nodes(spark, d, ("Part", "Nation", "Region", "Supplier")))
+    return spark.sql("SELECT id, label, name, exact, bigint(place) AS place FROM archive_query('Red Bolt', 100)")
+
+
+QUERIES = {f.__name__: f for f in (keyed_batches, text_index_topk, vector_index_topk, variant_messages, variant_blocks, option_walk, army_roster, archive_query)}
 ORACLES = {
     "keyed_batches": """SELECT p_partkey, p_name, CASE WHEN p_partkey % 14 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 14 = 0
         UNION ALL SELECT p_partkey + 1000000, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END FROM part WHERE p_partkey % 5 = 0""",
+    "option_walk": """WITH l AS (SELECT o_custkey AS unit, o_orderkey AS n, o_orderpriority AS p, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'option ' || o_orderkey WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'choice ' || o_orderkey END AS line FROM orders),
+        g AS (SELECT *, count(*) FILTER (p IN ('1-URGENT', '2-HIGH')) OVER w AS groups, last_value(CASE WHEN p IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN n END IGNORE NULLS) OVER w AS top FROM l WINDOW w AS (PARTITION BY unit ORDER BY n ROWS UNBOUNDED PRECEDING)),
+        h AS (SELECT g.*, t.p AS tp FROM g LEFT JOIN l t ON t.n = g.top WHERE g.line IS NOT NULL)
+        SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY n) - 1 AS place, line, CASE WHEN tp IN ('1-URGENT', '2-HIGH') THEN groups END AS group_id,
+          CASE tp WHEN '1-URGENT' THEN 'May be mounted on one of ' || top WHEN '2-HIGH' THEN 'Takes one of' END AS header, coalesce(tp = '1-URGENT', false) AS mounts, n FROM h""",
+    "army_roster": """SELECT n_name, 'unit-' || c_custkey AS unit, c_mktsegment AS category, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_mktsegment, c_name, 'unit-' || c_custkey) AS place
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_mktsegment), 'u') QUALIFY place <= 50""",
+    "archive_query": f"WITH {NODES_SQL} SELECT id, label, name, lower(name) = 'red bolt' AS exact, row_number() OVER (ORDER BY lower(name) = 'red bolt' DESC, label, id) AS place FROM nodes WHERE label IN ('Part', 'Nation', 'Region', 'Supplier') AND (contains(lower(name), 'red bolt') OR contains(lower(text), 'red bolt')) QUALIFY place <= 100",
     "variant_messages": """SELECT conv_id, turn, sha256(CASE WHEN turn % 7 = 6 THEN '' ELSE coalesce(text, '') || coalesce(' ' || role, '') END) AS text, CASE WHEN turn % 7 = 6 THEN '' ELSE coalesce(role, '') END AS reasoning,
         CASE WHEN turn % 7 = 6 THEN '' ELSE turn::VARCHAR END AS cited FROM conversations""",
     "variant_blocks": """WITH c AS (SELECT * FROM conversations WHERE turn % 7 <> 6) SELECT 'text' AS kind, 0 AS place, count(*) AS n, sum(length(text))::BIGINT AS chars FROM c
