@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,19 @@ def drop_report(raw: DataFrame, loaded: DataFrame, exempt: list[str], most: floa
     return rows.withColumn("status", status)
 
 
+def observed_load(raw: DataFrame, ids: DataFrame, path: str, relations: list[str], intrinsic: list[str]) -> dict[str, dict[str, int]]:
+    """Write the edges whose ends exist, and count on the way: per relation raw, loaded, orphans and edges to what every unit has; no second scan."""
+    s, t = ids.select(F.col("id").alias("_s")).distinct(), ids.select(F.col("id").alias("_t")).distinct()
+    rows = raw.join(s, F.col("src") == F.col("_s"), "left").join(t, F.col("dst") == F.col("_t"), "left")
+    whole = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    kinds = {"raw": F.lit(True), "loaded": whole, "orphans": ~whole, "intrinsic": whole & F.col("dst").isin(*intrinsic)}
+    seen = Observation()
+    counts = [F.count_if((F.col("relation") == r) & on).alias(f"{i}_{k}") for i, r in enumerate(relations) for k, on in kinds.items()]
+    rows.observe(seen, *counts).where(whole).drop("_s", "_t").write.mode("overwrite").parquet(path)
+    found = seen.get
+    return {r: {k: found[f"{i}_{k}"] for k in kinds} for i, r in enumerate(relations)}
+
+
 def coverage(rows: DataFrame, key: str, covered: DataFrame, covered_key: str, least: float = 0.7) -> DataFrame:
     """How many rows have a partner, their share, and whether it is too low."""
     hit = covered.select(F.col(covered_key).alias("_k")).distinct()

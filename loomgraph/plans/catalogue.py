@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from loomgraph.operators import evaluate as V
 from loomgraph.operators import graph as G
 from loomgraph.operators import quality as Q
 from loomgraph.operators import retrieve as R
+from loomgraph.plans import checks
 from loomgraph.plans.graph import ORACLES as _GRAPH_SQL
 from loomgraph.plans.parsing import family
 from loomgraph.sources import constants as K
 from loomgraph.sources import hooks as H
-from loomgraph.sources.tables import table
+from loomgraph.sources.tables import place, table
 from loomgraph.streaming import fold as Z
 
 _int = lambda c: c.cast("bigint")
@@ -473,8 +476,26 @@ def intrinsic_edge_count(spark, d):
 def check_report(spark, d):
     """All checks as rows, and which of them failed."""
     low = Q.coverage(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders").where("o_totalprice > 450000"), "o_custkey")
-    checks = {"coverage": low, "ratio": ratio_flag(spark, d), "intrinsic": intrinsic_edge_count(spark, d)}
-    return Q.report(checks).select("check", "failed")
+    rows = {"coverage": low, "ratio": ratio_flag(spark, d), "intrinsic": intrinsic_edge_count(spark, d)}
+    return Q.report(rows).select("check", "failed")
+
+
+def load_checks(spark, d):
+    """All ten checks of a load, a row each with the faults it found; those of edges were counted while the edges were written."""
+    raw, ids = checks._raw_edges(spark, d), checks._ids(spark, d)
+    seen = Q.observed_load(raw, ids, place(spark, "edges"), ["CONTAINS", "PLACED_BY", "IN_NATION"], ["part#57", "part#58", "part#59"])
+    dropped = sum(r != "PLACED_BY" and m["raw"] > 0 and (m["raw"] - m["loaded"]) / m["raw"] > 0.01 for r, m in seen.items())
+    one = lambda name, df, n, failed: df.select(F.lit(name).alias("check"), n.cast("bigint").alias("n"), failed.alias("failed"))
+    any_ = lambda name, df: one(name, df.agg(F.count(F.lit(1)).alias("n")), F.col("n"), F.col("n") > 0)
+    known = spark.createDataFrame([("SMALL",), ("MEDIUM",), ("LARGE",), ("PROMO",), ("ECONOMY",)], "p_type string")
+    edges_ = spark.createDataFrame([(name, n, n > 0) for name, n in (("edge_counts", dropped), ("orphans", sum(m["orphans"] for m in seen.values())), ("intrinsic", sum(m["intrinsic"] for m in seen.values())))], "check string, n long, failed boolean")
+    big = table(spark, d, "orders").where("o_totalprice > 450000")
+    parts = [
+        edges_, any_("node_counts", checks.count_deltas(spark, d).where("delta < 0")), one("ratio", ratio_flag(spark, d), F.col("part"), F.col("high")), any_("dangling_references", checks.dangling_reference(spark, d)),
+        any_("armies_without_edge", checks.anti_path(spark, d)), any_("unreachable", unreachable_items(spark, d)), one("coverage", Q.coverage(table(spark, d, "customer"), "c_custkey", big, "o_custkey"), F.col("total") - F.col("covered"), F.col("low")),
+        any_("dangling_types", table(spark, d, "part").join(known, "p_type", "left_anti")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fill_translations(spark, d):
@@ -547,7 +568,7 @@ def _judge(question: str, answer: str) -> tuple[int, int, int]:
 QUERIES = {f.__name__: f for f in (
     eligible_items, eligible_standards, eligible_abilities, unreachable_items, seeded_relations, troop_type_texts, unit_texts, lore_texts, texts_by_label, seeds_context, cited_context, citable_nodes,
     json_tool_result, fallback_block, fulltext_topk, hybrid_search, boosted_search, answer_stream, judge_means, evaluation_summary, flagged_queries, queries_by_category, bucket_listing,
-    citation_metrics, army_found, paired_differences, roster_order, shortest_routes, ratio_flag, intrinsic_edge_count, check_report, fill_translations, embed_missing, isolated_failures,
+    citation_metrics, army_found, paired_differences, roster_order, shortest_routes, ratio_flag, intrinsic_edge_count, check_report, load_checks, fill_translations, embed_missing, isolated_failures,
     fallback_seeds, golden_queries, parser_registry, judge_hook,
 )}
 
@@ -625,6 +646,14 @@ ORACLES = {
     "intrinsic_edge_count": "SELECT count(*) FILTER (l_partkey % 100 IN (7, 9)) AS n, count(*) FILTER (l_partkey % 100 IN (7, 9)) = 0 AS ok FROM lineitem",
     "check_report": """SELECT 'coverage' AS "check", (SELECT round_even(count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)) / count(*), 3) < 0.7 FROM customer) AS failed
         UNION ALL SELECT 'ratio', (SELECT round_even(count(*) FILTER (p_type = 'SMALL') / count(*), 3) > 0.15 FROM part) UNION ALL SELECT 'intrinsic', (SELECT count(*) > 0 FROM lineitem WHERE l_partkey % 100 IN (7, 9))""",
+    "load_checks": f"""WITH {checks._RAW_SQL}, {_CAN_SQL}, m AS (SELECT relation, src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids) AS whole, dst FROM raw),
+        r AS (SELECT relation, count(*) AS raw, count(*) FILTER (whole) AS loaded FROM m GROUP BY 1),
+        x AS (SELECT 'edge_counts' AS "check", (SELECT count(*) FROM r WHERE relation <> 'PLACED_BY' AND (raw - loaded) / raw > 0.01) AS n UNION ALL SELECT 'orphans', (SELECT count(*) FROM m WHERE NOT whole)
+        UNION ALL SELECT 'intrinsic', (SELECT count(*) FROM m WHERE whole AND dst IN ('part#57', 'part#58', 'part#59')) UNION ALL SELECT 'node_counts', (SELECT count(*) FROM ({checks.ORACLES["count_deltas"]}) WHERE delta < 0)
+        UNION ALL SELECT 'dangling_references', (SELECT count(*) FROM ({checks.ORACLES["dangling_reference"]})) UNION ALL SELECT 'armies_without_edge', (SELECT count(*) FROM ({checks.ORACLES["anti_path"]}))
+        UNION ALL SELECT 'unreachable', (SELECT count(*) FROM items WHERE army IS NULL AND item NOT IN (SELECT item FROM edge)) UNION ALL SELECT 'dangling_types', (SELECT count(*) FROM part WHERE p_type NOT IN ('SMALL', 'MEDIUM', 'LARGE', 'PROMO', 'ECONOMY')))
+        SELECT "check", n::BIGINT AS n, n > 0 AS failed FROM x UNION ALL SELECT 'ratio', count(*) FILTER (p_type = 'SMALL')::BIGINT, round_even(count(*) FILTER (p_type = 'SMALL') / count(*), 3) > 0.15 FROM part
+        UNION ALL SELECT 'coverage', count(*) FILTER (NOT c)::BIGINT, round_even(count(*) FILTER (c) / count(*), 3) < 0.7 FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) AS c FROM customer)""",
     "fill_translations": "SELECT p_partkey, p_name, CASE WHEN p_partkey % 4 = 0 THEN reverse(p_name) WHEN p_partkey % 3 = 0 THEN upper(p_name) END AS name_es FROM part",
     "embed_missing": "SELECT doc_id, 64::BIGINT AS size FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''",
     "isolated_failures": "SELECT p_partkey, CASE WHEN p_partkey % 10 <> 3 THEN (2 * p_size)::VARCHAR END AS out, p_partkey % 10 = 3 AS failed FROM part",
