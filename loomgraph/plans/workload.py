@@ -149,7 +149,7 @@ def cost_override(spark, d):
 def text_contains_join(spark, d):
     """Passages that no label holds yet (anti join), bare of the full stop, and the number of conversations with a turn that holds the whole passage; openings of every twentieth conversation are passages too."""
     held = table(spark, d, "labels").select(F.col("doc_id").alias("item_id"))
-    said = table(spark, d, "conversations").where("conv_id % 20 = 0 AND role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    said = table(spark, d, "conversations").where("conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     passages = table(spark, d, "benchmark").select("item_id", "text").unionByName(said.select((-1 - F.col("conv_id")).alias("item_id"), "text"))
     free = passages.join(held, "item_id", "left_anti").select(F.col("item_id").alias("name_id"), F.regexp_replace("text", r"\.$", "").alias("name"))
     t = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("text_id"), "text")
@@ -192,7 +192,7 @@ ORACLES = {
     "page_router": f"""SELECT page_id, CASE WHEN regexp_matches(coalesce(nullif(regexp_extract({_PATH}, '([^/]+)/*$', 1), ''), 'toc'), '^[0-9]+$') AND {_KIND} = 'article' THEN 'numbered' WHEN contains(html, '__NEXT_DATA__') THEN 'data' WHEN {_KIND} = 'toc' THEN 'index' ELSE {_KIND} END AS kind FROM pages""",
     "spell_values": "SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END::BIGINT AS value, CASE WHEN p_size % 7 = 0 THEN p_size || '+' END AS override, (p_size // 10)::BIGINT AS number, lower(p_type) AS lore_id FROM part",
     "cost_override": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size END::BIGINT AS cost FROM part",
-    "text_contains_join": r"""WITH p AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - conv_id, arg_min(text, turn) FROM conversations WHERE conv_id % 20 = 0 AND role = 'user' GROUP BY conv_id),
+    "text_contains_join": r"""WITH p AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - conv_id, arg_min(text, turn) FROM conversations WHERE conv_id % 20 = 0 GROUP BY conv_id),
         f AS MATERIALIZED (SELECT item_id, lower(regexp_replace(text, '\.$', '')) AS name FROM p WHERE item_id NOT IN (SELECT doc_id FROM labels)), c AS MATERIALIZED (SELECT conv_id, lower(text) AS t FROM conversations),
         m AS MATERIALIZED (SELECT item_id, conv_id, name, t FROM f, c WHERE contains(t, name))
         SELECT item_id, count(DISTINCT conv_id) AS n FROM m WHERE regexp_matches(t, '(^|[^\p{L}\p{M}\p{N}_])' || regexp_escape(name) || '($|[^\p{L}\p{M}\p{N}_])') GROUP BY 1""",
