@@ -171,10 +171,10 @@ def signed_ranks(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def wilcoxon_p(w: float, n: int, ties: float = 0.0, zeros: int = 0) -> float:
-    """Two-sided p of the signed-rank statistic min(W+, W-): exact up to n = 50 without ties and zeros, by counting rank sums, else normal, corrected for ties."""
+    """Two-sided p of the signed-rank statistic min(W+, W-): exact by counting rank sums up to n = 50 without ties and zeros, and up to 25 with a whole statistic; else normal, corrected for ties."""
     if n == 0:
         return 1.0
-    if n <= 50 and not ties and not zeros:
+    if (n <= 50 and not ties and not zeros) or (n <= 25 and float(w).is_integer()):
         ways = [1] + [0] * (n * (n + 1) // 2)
         for r in range(1, n + 1):
             for s in range(len(ways) - 1, r - 1, -1):
