@@ -40,10 +40,10 @@ from loomgraph.llm import common, pieces, shingles
 
 NBEST = 5
 PENALTY = 10.0
-CACHE = 125_000
+CACHE = 250_000
 #: Characters of new units that one numpy pass takes.
 SLICE = 100_000
-CHUNK = 500_000
+CHUNK = 1_000_000
 #: Characters from which on a unit is taken apart.
 LONG = 64
 MARK = pieces.SPACE
