@@ -109,10 +109,11 @@ def seeded_relations(spark, d):
 
 
 def troop_type_texts(spark, d):
-    """The constant troop types as they are embedded."""
+    """Every part as a troop of one of the constant types: the type's name and numbers, the part's kind and name."""
     c = F.col
-    none = F.lit(None).cast("string")
-    return K.troop_types(spark).select("id", B.troop_type(F.initcap(F.replace("id", F.lit("-"), F.lit(" "))), F.lit("unknown"), c("min_models_for_rank_bonus"), c("max_rank_bonus"), c("unit_strength_per_model"), none).alias("text"))
+    known = spark.createDataFrame([(i, *t) for i, t in enumerate(K.TROOP_TYPES)], "i int, id string, least int, most int, strength string")
+    rows = table(spark, d, "part").join(F.broadcast(known), c("p_partkey") % len(K.TROOP_TYPES) == c("i"))
+    return rows.select("p_partkey", B.troop_type(F.initcap(F.replace("id", F.lit("-"), F.lit(" "))), F.lower("p_type"), c("least"), c("most"), c("strength"), c("p_name")).alias("text"))
 
 
 # -- texts -----------------------------------------------------------------------
@@ -597,9 +598,10 @@ ORACLES = {
     "unreachable_items": f"WITH {_CAN_SQL} SELECT item, item_type FROM items WHERE army IS NULL AND item NOT IN (SELECT item FROM edge)",
     "seeded_relations": """SELECT * FROM (VALUES ('fly', 'difficult-terrain', 'ignores'), ('fly', 'woods', 'ignores'), ('ethereal', 'difficult-terrain', 'ignores'), ('move-through-cover', 'woods', 'ignores_cover'), ('scouts', 'woods', 'can_deploy_in'), ('skirmishers', 'woods', 'ignores_disruption'),
         ('vampire-counts', 'tomb-kings-of-khemri', 'trusted'), ('empire-of-man', 'dwarfen-mountain-holds', 'trusted'), ('empire-of-man', 'grand-cathay', 'trusted'), ('empire-of-man', 'kingdom-of-bretonnia', 'trusted'), ('empire-of-man', 'wood-elf-realms', 'suspicious')) t(src, dst, effect)""",
-    "troop_type_texts": """SELECT id, name || '. unknown.' || coalesce(' Rank bonus min ' || a || ' / max +' || b || '.', '') || ' Unit strength ' || s AS text FROM (VALUES ('regular-infantry', 'Regular Infantry', 5, 2, '1'), ('heavy-infantry', 'Heavy Infantry', 4, 2, '1'), ('monstrous-infantry', 'Monstrous Infantry', 3, 2, '3'),
-        ('swarms', 'Swarms', NULL, NULL, '3'), ('light-cavalry', 'Light Cavalry', 5, 1, '2'), ('heavy-cavalry', 'Heavy Cavalry', 4, 1, '2'), ('monstrous-cavalry', 'Monstrous Cavalry', 3, 1, '3'), ('war-beasts', 'War Beasts', 5, 1, '1'), ('light-chariots', 'Light Chariots', 3, 1, '3'), ('heavy-chariots', 'Heavy Chariots', NULL, NULL, '5'),
-        ('monstrous-creatures', 'Monstrous Creatures', NULL, NULL, 'As Starting Wounds'), ('behemoths', 'Behemoths', NULL, NULL, 'As Starting Wounds'), ('war-machines', 'War Machines', NULL, NULL, 'As Starting Wounds')) t(id, name, a, b, s)""",
+    "troop_type_texts": """SELECT p_partkey, name || '. ' || lower(p_type) || coalesce('. Rank bonus min ' || a || ' / max +' || b, '') || '. Unit strength ' || s || '. ' || p_name AS text
+        FROM part JOIN (VALUES (0, 'Regular Infantry', 5, 2, '1'), (1, 'Heavy Infantry', 4, 2, '1'), (2, 'Monstrous Infantry', 3, 2, '3'), (3, 'Swarms', NULL, NULL, '3'), (4, 'Light Cavalry', 5, 1, '2'), (5, 'Heavy Cavalry', 4, 1, '2'),
+        (6, 'Monstrous Cavalry', 3, 1, '3'), (7, 'War Beasts', 5, 1, '1'), (8, 'Light Chariots', 3, 1, '3'), (9, 'Heavy Chariots', NULL, NULL, '5'), (10, 'Monstrous Creatures', NULL, NULL, 'As Starting Wounds'),
+        (11, 'Behemoths', NULL, NULL, 'As Starting Wounds'), (12, 'War Machines', NULL, NULL, 'As Starting Wounds')) t(i, name, a, b, s) ON p_partkey % 13 = i""",
     "unit_texts": f"WITH {_UNIT_SQL} SELECT id, text FROM unit_text",
     "lore_texts": """SELECT 'lore-' || r_regionkey AS id, r_name || coalesce('. Spells: ' || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey), '') AS text FROM region
         UNION ALL SELECT 'spell-' || n_nationkey, n_name || '. Lore of ' || r_name || CASE WHEN n_nationkey % 2 = 0 THEN '. Cast it.' ELSE '' END FROM nation JOIN region ON n_regionkey = r_regionkey""",
