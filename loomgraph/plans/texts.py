@@ -301,7 +301,7 @@ ORACLES = {
     "mutex_counter": """WITH g AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM lineitem)
         SELECT l_orderkey, g, count(*) AS n FROM g GROUP BY 1, 2""",
     "html_title": r"""WITH h AS (SELECT page_id, regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), '(?s)<[^>]*>[^<]*</[^>]*>', '', 'g') AS t FROM pages)
-        SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM h""",
+        SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&(lt|LT);?', '<', 'g'), '&(gt|GT);?', '>', 'g'), '&(quot|QUOT);?', '"', 'g'), '&(amp|AMP);?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM h""",
     "html_document_title": f"SELECT page_id, nullif({_TITLE}, '') AS title, NULL::VARCHAR AS data FROM pages",
     "front_matter": f"SELECT page_id, '---' || chr(10) || 'title: ' || {_YAML(_TITLE)} || chr(10) || 'source: ' || {_YAML('url')} || chr(10) || 'kind: page' || chr(10) || '---' || chr(10) AS front FROM pages",
     "chat_text": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1",
