@@ -113,8 +113,9 @@ def archive_query(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (keyed_batches, text_index_topk, vector_index_topk, variant_messages, variant_blocks, option_walk, army_roster, archive_query)}
 ORACLES = {
-    "keyed_batches": """SELECT p_partkey, p_name, CASE WHEN p_partkey % 14 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey % 7 <> 0 OR p_partkey % 14 = 0
-        UNION ALL SELECT p_partkey + 1000000, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END FROM part WHERE p_partkey % 5 = 0""",
+    "keyed_batches": """WITH late AS (SELECT p_partkey + 1000000 AS p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS price FROM part WHERE p_partkey % 5 = 0)
+        SELECT p_partkey, p_name, CASE WHEN p_partkey % 14 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE (p_partkey % 7 <> 0 OR p_partkey % 14 = 0) AND p_partkey NOT IN (SELECT p_partkey FROM late)
+        UNION ALL SELECT * FROM late""",
     "option_walk": """WITH l AS (SELECT o_custkey AS unit, o_orderkey AS n, o_orderpriority AS p, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'option ' || o_orderkey WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'choice ' || o_orderkey END AS line FROM orders),
         g AS (SELECT *, count(*) FILTER (p IN ('1-URGENT', '2-HIGH')) OVER w AS groups, last_value(CASE WHEN p IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN n END IGNORE NULLS) OVER w AS top FROM l WINDOW w AS (PARTITION BY unit ORDER BY n ROWS UNBOUNDED PRECEDING)),
         h AS (SELECT g.*, t.p AS tp FROM g LEFT JOIN l t ON t.n = g.top WHERE g.line IS NOT NULL)
