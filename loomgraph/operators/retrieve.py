@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import text as X
 from loomgraph.sources.tables import written
@@ -27,17 +31,120 @@ def per_label_k(top_k: int) -> int:
 def knn_per_label(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each label for each of ``queries(query_id, query)``, by cosine scaled to 0..1.
 
-    Queries are a small stated set; a query's candidates are cut per partition
-    before they are shuffled (window group limit).
+    Queries are a small stated set.  A task multiplies its vectors with all of
+    them and keeps ``k`` a query and label, so what is shuffled does not grow with
+    the pairs.  Products only choose what is scored: scores are summed component
+    by component, as ``dot`` does.  Vectors and queries with a null, non-finite or
+    missing component, or of no length, are scored in the JVM.
     """
-    q = queries.withColumn("_qn", F.sqrt(dot(F.col("query"), F.col("query"))))
-    scored = with_norm(vectors).crossJoin(F.broadcast(q)) if _small(queries) else with_norm(vectors).crossJoin(q)
-    cosine = dot(F.col("embedding"), F.col("query")) / (F.col("_norm") * F.col("_qn"))
-    scored = scored.select("query_id", "label", F.col("vec_id").alias("id"), ((1 + cosine) / 2).alias("score"))
+    numbers = {vectors.schema[c].dataType.typeName() for c in ("vec_id", "label")} <= {"long", "integer"}
+    first = queries.where("query IS NOT NULL").select(F.size("query")).head() if numbers and _small(queries) else None
+    if first is None:
+        return _ranked(_scored(vectors, queries), k)
+    square = lambda c: dot(F.col(c), F.col(c))
+    # a null component makes the square null, infinities and NaN leave the range
+    whole = lambda c: F.coalesce((F.size(c) == first[0]) & square(c).between(1e-200, 1e200), F.lit(False))
+    even = vectors.where(whole("embedding")).select("label", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.where(whole("query")).select("query_id", F.col("query").cast("array<double>").alias("query")).collect()  # within the bound for broadcasting
+    scored = _scored(vectors.where(~whole("embedding")), queries).unionByName(_scored(vectors.where(whole("embedding")), queries.where(~whole("query"))))
+    if asked:
+        found = even.mapInArrow(_nearest(even.sparkSession.sparkContext.broadcast(np.array([r["query"] for r in asked])), k), "place int, label long, id long, score double")
+        names = even.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], T.StructType([T.StructField("place", T.IntegerType()), queries.schema["query_id"]]))
+        found = found.join(F.broadcast(names), "place").select("query_id", F.col("label").cast(vectors.schema["label"].dataType).alias("label"), F.col("id").cast(vectors.schema["vec_id"].dataType).alias("id"), "score")
+        scored = scored.unionByName(found)
+    return _ranked(scored, k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id", "label").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every vector with every query: query_id, label, id, score."""
+    q = queries.withColumn("_qn", F.sqrt(dot(F.col("query"), F.col("query"))))
+    met = with_norm(vectors).crossJoin(F.broadcast(q)) if _small(queries) else with_norm(vectors).crossJoin(q)
+    cosine = dot(F.col("embedding"), F.col("query")) / (F.col("_norm") * F.col("_qn"))
+    return met.select("query_id", "label", F.col("vec_id").alias("id"), ((1 + cosine) / 2).alias("score"))
+
+
+#: Products of a block, and hits that a task holds before it gives them on.
+BLOCK, HELD = 2_000_000, 8_000_000
+#: What a product may be off the sum component by component.
+SLACK = 1e-9
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row inner products, summed component by component as the JVM does."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
+def _nearest(asked, k: int):
+    """Batches of label, vec_id and embedding to the best ``k`` of the task for each query and label."""
+
+    def run(batches):
+        q = asked.value
+        qn = np.sqrt(_in_order(q, q))
+        held: dict[int | None, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        least: dict[int | None, np.ndarray] = {}
+
+        def given():
+            for label, (at, score, ids) in held.items():
+                for i in range(0, len(at), 100_000):
+                    part = slice(i, i + 100_000)
+                    n = len(at[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(at[part].astype("int32")), pa.array([label] * n, pa.int64()), pa.array(ids[part]), pa.array(score[part])], ["place", "label", "id", "score"])
+            held.clear()
+            least.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("vec_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            vn = np.sqrt(_in_order(v, v))
+            groups = pc.dictionary_encode(b.column("label").cast(pa.int64()), null_encoding="encode")
+            codes = groups.indices.to_numpy(zero_copy_only=False)
+            for code, label in enumerate(groups.dictionary.to_pylist()):
+                rows = np.flatnonzero(codes == code)
+                x, xn, xi = v[rows], vn[rows], ids[rows]
+                low = least.setdefault(label, np.full(len(q), -np.inf))
+                step = max(1, BLOCK // len(rows))
+                fresh = [held[label]] if label in held else []
+                for c in range(0, len(q), step):
+                    block = (1 + (q[c : c + step] @ x.T) / (qn[c : c + step, None] * xn[None, :])) / 2
+                    bar = low[c : c + step]
+                    if len(rows) > k:
+                        bar = np.maximum(bar, np.partition(block, len(rows) - k, axis=1)[:, len(rows) - k])
+                    at, of = np.nonzero(block >= bar[:, None] - SLACK)
+                    for i in range(0, len(at), BLOCK // 8):  # copies of one vector pass the bar together
+                        a, o = at[i : i + BLOCK // 8] + c, of[i : i + BLOCK // 8]
+                        score = (1 + _in_order(x[o], q[a]) / (xn[o] * qn[a])) / 2
+                        fresh.append(_best(a, score, xi[o], k))
+                if fresh:
+                    held[label] = at, score, _ = _best(*[np.concatenate(p) for p in zip(*fresh)], k)
+                    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    full = np.diff(np.r_[first, len(at)]) == k
+                    low[at[first[full]]] = score[first[full] + k - 1]
+            if sum(len(h[0]) for h in held.values()) > HELD:
+                yield from given()
+        yield from given()
+
+    return run
+
+
+def _best(at: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each query, by score and then id, in that order."""
+    order = np.lexsort((ids, -score, at))
+    at, score, ids = at[order], score[order], ids[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
+    kept = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < k
+    return at[kept], score[kept], ids[kept]
+
+
 def _small(queries: DataFrame, most: int = 10_000) -> bool:
     """Whether the query set is within the bound for broadcasting."""
     return queries.limit(most + 1).count() <= most
