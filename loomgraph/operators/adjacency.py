@@ -1,11 +1,12 @@
 """An adjacency table: both directions of every edge, node by node, laid out so that a step reads what it needs.
 
-A row holds the sorted neighbours of a node, or of one of its shares where it has
-more than ``SHARE``; rows are bucketed by node and share and sorted inside.  A
-step from a large frontier joins it to the buckets as they lie, so edges are not
-shuffled; only the frontier is.  A step from a few nodes names them, and then no
-other bucket is opened at all.  A node with most of the edges is many rows in
-many buckets, so no task gets the whole of it.
+A row is an edge seen from one of its ends; a node with more than ``SHARE``
+edges is dealt into shares.  Rows are bucketed by node and share and sorted
+inside, so building takes one shuffle of narrow rows.  A step from a large
+frontier joins it to the buckets as they lie, so edges are not shuffled; only
+the frontier is.  A step from a few nodes names them, and then no other bucket
+is opened at all.  A node with most of the edges lies in many
+buckets, so no task gets the whole of it.
 
 The table is built once for a graph and found again by a signature of the files
 it came from, in this session or a later one.
@@ -25,13 +26,14 @@ from loomgraph.sources import versions
 from loomgraph.sources.tables import RELATIONS, edges, place, undirected, written
 
 BUCKETS = 32
-#: Neighbours of a row, about.
+#: Bytes of the tables behind a bucket; a graph of more has more buckets than ``BUCKETS``.
+BUCKET_BYTES = 4 << 20
+#: Neighbours of a share, about.
 SHARE = 4096
 #: Nodes that a step names one by one.
 FEW = 200
 #: Nodes of several shares up to this number are broadcast.
 FEW_HOT = 50_000
-_NEIGHBOUR = "struct<other:string,relation:string,src:string,dst:string,quantity:double,price:double>"
 
 
 class Adjacency:
@@ -46,22 +48,24 @@ class Adjacency:
         name = f"adjacency_{hashlib.sha256(path.encode()).hexdigest()[:20]}"
         if not spark.catalog.tableExists(name):
             # the files lie bucketed already; the session is told so
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (node STRING, share INT, others ARRAY<{_NEIGHBOUR}>) USING parquet CLUSTERED BY (node, share) SORTED BY (node, share) INTO {self.buckets} BUCKETS LOCATION '{path}/data/{m['rows']}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (node STRING, share INT, other STRING, relation STRING, ahead BOOLEAN, quantity DOUBLE, price DOUBLE) USING parquet CLUSTERED BY (node, share) SORTED BY (node, share) INTO {self.buckets} BUCKETS LOCATION '{path}/data/{m['rows']}'")
         self.rows = spark.table(name)
 
     @classmethod
     def of_edges(cls, e: DataFrame, path: str, buckets: int = BUCKETS) -> Adjacency:
         spark = e.sparkSession
         name = uuid.uuid4().hex
-        both = written(undirected(e).select("node", "other", "relation", "src", "dst", "quantity", "price").where("node IS NOT NULL AND other IS NOT NULL"), "both-ways")
-        hot = both.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select("node", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+        e = written(e.select("src", "dst", "relation", "quantity", "price").where("src IS NOT NULL AND dst IS NOT NULL"), "edges")
+        ends = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
+        hot = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARE).select("node", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
         hot.write.parquet(f"{path}/data/hot-{name}")
         hot = spark.read.schema("node string, shares int").parquet(f"{path}/data/hot-{name}")
         hot_nodes = hot.count()
         named = hot.select(F.col("node").alias("_n"), "shares")
+        both = undirected(e).select("node", "other", "relation", (F.col("node") == F.col("src")).alias("ahead"), "quantity", "price")
         split = both.join(F.broadcast(named) if hot_nodes <= FEW_HOT else named, F.col("node") == F.col("_n"), "left")
         split = split.withColumn("share", F.coalesce(F.pmod(F.xxhash64("other"), F.col("shares")), F.lit(0)).cast("int"))
-        rows = split.groupBy("node", "share").agg(F.sort_array(F.collect_list(F.struct("other", "relation", "src", "dst", "quantity", "price"))).alias("others"))
+        rows = split.select("node", "share", "other", "relation", "ahead", "quantity", "price")
         table = f"adjacency_{name}"
         # the write needs a name; it is dropped and the files stay
         rows.repartition(buckets, "node", "share").write.bucketBy(buckets, "node", "share").sortBy("node", "share").option("path", f"{path}/data/rows-{name}").saveAsTable(table)
@@ -78,9 +82,9 @@ class Adjacency:
             fs, p = versions.path_of(spark, f)
             s = fs.getFileStatus(p)
             facts.append([f, s.getLen(), s.getModificationTime()])
-        signature = hashlib.sha256(json.dumps([facts, sorted(relations)]).encode()).hexdigest()[:24]
+        signature = hashlib.sha256(json.dumps(["edges", facts, sorted(relations)]).encode()).hexdigest()[:24]
         path = f"{place(spark, 'x').rpartition('/')[0]}/adjacency-{signature}"
-        return cls(spark, path) if versions.latest(spark, path) else cls.of_edges(e, path)
+        return cls(spark, path) if versions.latest(spark, path) else cls.of_edges(e, path, max(BUCKETS, sum(f[1] for f in facts) // BUCKET_BYTES))
 
     # -- steps
 
@@ -96,7 +100,8 @@ class Adjacency:
             wide = front.join(F.broadcast(hot) if self.few_hot else hot, F.col(node) == F.col("_h"), "left")
             wide = wide.withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("_h", "shares")
             met = wide.join(rows, (F.col(node) == F.col("node")) & (F.col("_share") == F.col("share")))
-        return met.select(*front.columns, F.explode("others").alias("_o")).select(*front.columns, "_o.*")
+        src, dst = F.when(F.col("ahead"), F.col("node")).otherwise(F.col("other")), F.when(F.col("ahead"), F.col("other")).otherwise(F.col("node"))
+        return met.select(*front.columns, "other", "relation", src.alias("src"), dst.alias("dst"), "quantity", "price")
 
     def hops(self, centers: DataFrame, depth: int, only: Column | None = None) -> DataFrame:
         """Least number of undirected hops, up to ``depth``, from each of ``centers(center)`` to the nodes it reaches; over the edges of which ``only`` holds."""

@@ -101,7 +101,7 @@ def _seed_nodes(spark, d) -> DataFrame:
 
 
 def _expanded(spark, d) -> tuple[DataFrame, DataFrame]:
-    hits = _seed_nodes(spark, d)
+    hits = written(_seed_nodes(spark, d), "seeds")  # searched once, read by every step
     return hits, Adjacency.of_tables(spark, d).expand(hits.select("seed_id").distinct())
 
 

@@ -65,3 +65,22 @@ def test_a_graph_is_built_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Adjacency, "of_edges", None)  # would fail
     assert Adjacency.of_tables(spark, d).path == first.path
     assert first.neighbours(spark.createDataFrame([("nation#1",)], "id string"), "id").where(F.col("relation") == "IN_REGION").count() == 1
+
+
+def test_a_build_shuffles_narrow_rows_once(spark, tmp_path, monkeypatch):
+    e = spark.range(20_000).select(F.concat(F.lit("n"), F.col("id") % 100).alias("src"), F.concat(F.lit("m"), "id").alias("dst"), F.lit("CONTAINS").alias("relation"), F.lit(1.0).alias("quantity"), F.lit(None).cast("double").alias("price"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    wrote = lambda: store.executorList(False).apply(0).totalShuffleWrite()
+    before = wrote()
+    a = Adjacency.of_edges(e, f"{tmp_path}/a", buckets=4)
+    assert a.rows.count() == 40_000 and set(a.rows.columns) == {"node", "share", "other", "relation", "ahead", "quantity", "price"}
+    assert wrote() - before < 40_000 * 60  # nodes counted and rows dealt once; neither lists nor both ends again
+
+
+def test_more_tables_make_more_buckets(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(adjacency, "BUCKET_BYTES", 4096)
+    monkeypatch.setattr(Adjacency, "of_edges", lambda e, path, buckets: made.append(buckets))
+    monkeypatch.setattr(adjacency.versions, "latest", lambda *_: None)
+    Adjacency.of_tables(spark, "/root/testdata/sf0.001")
+    assert made[0] > adjacency.BUCKETS
