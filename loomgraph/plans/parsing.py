@@ -50,10 +50,11 @@ def _filled(c: Column) -> Column:
     return c
 
 
-def family(name: str, inputs: str, outputs: str, cases: list[tuple], first: Callable[[Column], Column] | None = None) -> Callable:
+def family(name: str, inputs: str, outputs: str, cases: list[tuple], first: Callable[[Column], Column] | None = None, dealt: bool = False) -> Callable:
     """Register a query over ``part`` whose rows take the patterns in turn; a pattern has the inputs, then the outputs, with the marks of ``MARKS``.
 
-    ``first`` is applied to the first input in a step of its own.
+    ``first`` is applied to the first input in a step of its own; ``dealt`` rows
+    go to all tasks first, for parsers that take long over a table of few files.
     """
     ins, outs = [x.split(":") for x in inputs.split()], [x.split(":") for x in outputs.split()]
 
@@ -61,7 +62,8 @@ def family(name: str, inputs: str, outputs: str, cases: list[tuple], first: Call
         def query(spark: SparkSession, d: str) -> DataFrame:
             said = lambda v: str(v).lower() if isinstance(v, bool) else None if v is None else str(v)
             rows = F.array(*[F.struct(*[F.lit(said(v)).cast("string").alias(n) for v, (n, _) in zip(case, ins)]) for case in cases])
-            part = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.element_at(rows, (F.col("p_partkey") % len(cases) + 1).cast("int")).alias("x"))
+            part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+            part = (part.repartition("p_partkey") if dealt else part).withColumn("x", F.element_at(rows, (F.col("p_partkey") % len(cases) + 1).cast("int")))
             filled = part.select("p_partkey", *[_filled(F.col(f"x.{n}")).cast(t).alias(n) for n, t in ins])
             filled = filled if first is None else filled.withColumn(ins[0][0], first(F.col(ins[0][0])))
             made = filled.select("p_partkey", make(*[F.col(n) for n, _ in ins]).alias("y"))
@@ -493,14 +495,15 @@ _CRUMBS = (
         (_TABLE, '§n",S+1,', "§a,loud", None, "", None, None, None), ("<table class='profile-table--weapon'><tbody><tr><td>§n</td></tr></tbody></table>", ",,", "", None, "", None, None, None),
         ('<div class="spell big"><table><tr><td>Range</td><td>9</td></tr><tr><td> Type </td><td><a href="/magic/hex">§B</a></td></tr></table></div>', ",,", "", "§B", "", None, None, None),
         ('<div class="spell"><table><tr><td>Type</td><td>Bound</td></tr></table></div>', ",,", "", None, "", None, None, None), (_CRUMBS, ",,", "", None, "§A>Folk", "Grey Book", "§n & 9", "2024 May 2"), ("", ",,", "", None, "", None, None, None),
-    ],
+    ], dealt=True,
 )
 def html_fields(html):
     """A weapon's profile, a spell's type, and what a page's breadcrumbs say."""
-    w, b = M.weapon_profile(html), M.breadcrumb(html)
+    page = M.page_fields(html)
+    w, b = page["weapon"], page["crumbs"]
     blank = lambda c: F.coalesce(c, F.lit(""))
     return F.struct(
-        F.concat_ws(",", blank(w["range"]), blank(w["strength"]), blank(w["ap"])).alias("weapon"), F.array_join(w["special_rules"], ",").alias("rules"), M.spell_type(html).alias("spell"),
+        F.concat_ws(",", blank(w["range"]), blank(w["strength"]), blank(w["ap"])).alias("weapon"), F.array_join(w["special_rules"], ",").alias("rules"), page["spell"].alias("spell"),
         F.array_join(b["path"], ">").alias("crumbs"), b["book"].alias("book"), b["page"].alias("page"), b["updated"].alias("updated"),
     )
 

@@ -361,3 +361,14 @@ def test_imports_without_the_training_operators(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1_') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
+
+
+def test_a_page_is_parsed_once_for_all_its_fields(spark, monkeypatch):
+    from loomgraph.functions import markup as M
+
+    parsed = []
+    tree = M._Tree
+    monkeypatch.setattr(M, "_Tree", lambda h: parsed.append(h) or tree(h))
+    pages = ['<div class="spell"><table><tr><td>Type</td><td><a href="/magic/hex">Hex</a></td></tr></table></div>', "", None]
+    got = M.page_fields.func(__import__("pandas").Series(pages))
+    assert len(parsed) == 3 and list(got["spell"]) == ["Hex", None, None] and got["weapon"][0]["special_rules"] == [] and got["crumbs"][2]["path"] == []
