@@ -77,6 +77,28 @@ def test_text_index_leaves_out_blocks(spark, tmp_path, monkeypatch):
     assert "CartesianProduct" not in plan
 
 
+def _shuffled(spark, work):
+    """Rows that the stages of ``work`` shuffle."""
+    gw, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    none = gw.jvm.java.util.ArrayList
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for x in [store.stageList(none(), False, False, gw.new_array(gw.jvm.double, 0), none())] for s in map(x.apply, range(x.size()))}
+    before = stages()
+    work()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_text_index_deals_texts_and_postings_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", 8)
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "common " + " ".join(rng.sample([f"w{j}" for j in range(80)], 40))) for i in range(1000)], DOCS)
+    queries = spark.createDataFrame([(i, "common") for i in range(50)], "query_id long, text string")
+    index = TextIndex.create(spark, f"{tmp_path}/i", buckets=2)
+    # 41,000 postings in lists, not a row each; 1,000 postings for 50 queries, not 50,000 pairs
+    assert _shuffled(spark, lambda: index.update(docs)) < 10_000
+    assert _shuffled(spark, lambda: index.search(queries, 20).collect()) < 15_000
+    _same(index.search(queries, 20), docs, queries, 20)
+
+
 def _clustered(rng, n, d=16, centers=12):
     c = rng.normal(size=(centers, d))
     x = c[rng.integers(centers, size=n)] + 0.15 * rng.normal(size=(n, d))
