@@ -82,11 +82,12 @@ def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(asked, k: int):
-    """Batches of label, vec_id and embedding to the best ``k`` of the task for each query and label."""
+def _nearest(asked, k: int, probing=None):
+    """Batches of label, vec_id and embedding to the best ``k`` of the task for each query and label; with ``probing``, the places of the queries that ask for a cell, only those meet its vectors."""
 
     def run(batches):
         q = asked.value
+        everyone = np.arange(len(q))
         qn = np.sqrt(_in_order(q, q))
         held: dict[int | None, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         least: dict[int | None, np.ndarray] = {}
@@ -108,23 +109,28 @@ def _nearest(asked, k: int):
             vn = np.sqrt(_in_order(v, v))
             groups = pc.dictionary_encode(b.column("label").cast(pa.int64()), null_encoding="encode")
             codes = groups.indices.to_numpy(zero_copy_only=False)
-            for code, label in enumerate(groups.dictionary.to_pylist()):
-                rows = np.flatnonzero(codes == code)
+            labels = groups.dictionary.to_pylist()
+            cells = np.zeros(len(ids), np.int64) if probing is None else b.column("cell").to_numpy(zero_copy_only=False)
+            for cell, code in sorted(set(zip(cells.tolist(), codes.tolist()))):
+                label, asking = labels[code], everyone if probing is None else probing.value.get(cell, everyone[:0])
+                rows = np.flatnonzero((codes == code) & (cells == cell))
                 x, xn, xi = v[rows], vn[rows], ids[rows]
                 low = least.setdefault(label, np.full(len(q), -np.inf))
                 step = max(1, BLOCK // len(rows))
-                fresh = [held[label]] if label in held else []
-                for c in range(0, len(q), step):
-                    block = (1 + (q[c : c + step] @ x.T) / (qn[c : c + step, None] * xn[None, :])) / 2
-                    bar = low[c : c + step]
+                fresh = []
+                for c in range(0, len(asking), step):
+                    some = asking[c : c + step]
+                    block = (1 + (q[some] @ x.T) / (qn[some, None] * xn[None, :])) / 2
+                    bar = low[some]
                     if len(rows) > k:
                         bar = np.maximum(bar, np.partition(block, len(rows) - k, axis=1)[:, len(rows) - k])
                     at, of = np.nonzero(block >= bar[:, None] - SLACK)
                     for i in range(0, len(at), BLOCK // 8):  # copies of one vector pass the bar together
-                        a, o = at[i : i + BLOCK // 8] + c, of[i : i + BLOCK // 8]
+                        a, o = some[at[i : i + BLOCK // 8]], of[i : i + BLOCK // 8]
                         score = (1 + _in_order(x[o], q[a]) / (xn[o] * qn[a])) / 2
                         fresh.append(_best(a, score, xi[o], k))
                 if fresh:
+                    fresh += [held[label]] if label in held else []
                     held[label] = at, score, _ = _best(*[np.concatenate(p) for p in zip(*fresh)], k)
                     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                     full = np.diff(np.r_[first, len(at)]) == k

@@ -10,7 +10,9 @@ exact cosine.  With ``exact`` it then goes on: the k-th best distance of a query
 and label so far rules out every cell whose centroid is farther than that by more
 than its radius, and the cells that are left are read too, so the result is that of
 comparing everything.  Distances are between vectors of unit length, in which
-order by distance is order by cosine.
+order by distance is order by cosine.  A task keeps the ``k`` best of a query and
+label of the pairs that it compares, so neither its memory nor what is shuffled
+grows with the pairs.
 
 Batches are published as numbered versions.  An insert goes into the folders of
 its cells under its own batch; an id that is there already is replaced, the
@@ -26,10 +28,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.operators import retrieve as R
 from loomgraph.sources import versions
@@ -39,14 +43,12 @@ SAMPLE = 100_000
 PROBES = 4
 #: Queries up to this number meet the cells by a broadcast.
 FEW = 10_000
+#: Pairs that a task holds before it keeps the best of them, where there are more queries.
+HELD = 2_000_000
 SLACK = 1e-7
 _ROW = "id bigint, label bigint, embedding array<float>, batch int, cell int"
 
 
-def _unit(v: str):
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(R.dot(F.col(v), F.col(v))))
-
-
 def _usable(rows: DataFrame, column: str) -> DataFrame:
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(F.col(column).isNotNull() & ~bad & (R.dot(F.col(column), F.col(column)) > 0))
@@ -62,7 +64,7 @@ class VectorIndex:
     def build(cls, vectors: DataFrame, path: str, cells: int, sample: int = SAMPLE, seed: int = 1) -> VectorIndex:
         """Fit the centroids and index all ``vectors``."""
         out = cls(vectors.sparkSession, path)
-        drawn = R.written(_usable(vectors, "embedding").orderBy(F.xxhash64("id"), "id").limit(sample).select(_unit("embedding").alias("unit")), "sample")
+        drawn = R.written(R.with_norm(_usable(vectors, "embedding")).orderBy(F.xxhash64("id"), "id").limit(sample).select(F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("unit")), "sample")
         common = drawn.groupBy(F.size("unit").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
         fit = drawn.where(F.size("unit") == (common["d"] if common else 0)).select(array_to_vector("unit").alias("features"))
         n = min(cells, fit.count())
@@ -89,7 +91,7 @@ class VectorIndex:
         rows = self.spark.read.schema(f"{_ROW}, of string").option("basePath", f"{self.path}/data/cells").parquet(*paths).drop("of")
         if not m["replaced"]:
             return rows
-        last = self._stats(m, "ids", "id bigint, batch int").groupBy(F.col("id").alias("_id")).agg(F.max("batch").alias("_last"))
+        last = self._stats(m, "ids", "id bigint, batch int").groupBy(F.col("id").alias("_id")).agg(F.max("batch").alias("_last"), F.min("batch").alias("_first")).where("_first < _last")
         return rows.join(last, (F.col("id") == F.col("_id")) & (F.col("batch") < F.col("_last")), "left_anti")
 
     def _stats(self, m: dict[str, Any], kind: str, schema: str) -> DataFrame:
@@ -187,12 +189,54 @@ class VectorIndex:
 
     def _compared(self, m: dict[str, Any], near: DataFrame, probed: DataFrame, k: int, few: bool) -> DataFrame:
         cells = [r[0] for r in probed.select("cell").distinct().collect()]  # at most as many as there are centroids
+        asked = near.where("query_id IS NOT NULL").select("query_id", "query").collect() if few else []
+        if asked and cells:
+            context = self.spark.sparkContext
+            names = self.spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], T.StructType([T.StructField("place", T.IntegerType()), near.schema["query_id"]]))
+            probing = {r["cell"]: np.unique(r["places"]) for r in probed.join(F.broadcast(names), "query_id").groupBy("cell").agg(F.collect_list("place").alias("places")).collect()}
+            rows = self._rows(m, cells).select(F.col("id").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"), "cell")
+            found = rows.mapInArrow(R._nearest(context.broadcast(np.array([r["query"] for r in asked], np.float64)), k, context.broadcast(probing)), "place int, label long, id long, score double")
+            return self._ranked(found.join(F.broadcast(names), "place"), k)
         q = near.select("query_id", "query").join(probed, "query_id").withColumn("_qn", F.sqrt(R.dot(F.col("query"), F.col("query"))))
         rows = R.with_norm(self._rows(m, cells))
-        met = rows.join(F.broadcast(q) if few else q, "cell")
+        met = rows.join(q, "cell")
         cosine = R.dot(F.col("embedding"), F.col("query")) / (F.col("_norm") * F.col("_qn"))
-        return self._ranked(met.select("query_id", "label", "id", ((1 + cosine) / 2).alias("score")), k)
+        scored = met.select("query_id", "label", "id", ((1 + cosine) / 2).alias("score"))
+        return self._ranked(scored.mapInArrow(_best(k, HELD), scored.schema), k)
 
     def _ranked(self, hits: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("query_id", "label").orderBy(F.col("score").desc(), "id")
         return hits.select("query_id", "label", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best(k: int, most: int):
+    """Batches of query_id, label, id and score to the best ``k`` of a query and label among some ``most`` pairs."""
+
+    def kept(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        num = lambda c: c.combine_chunks().to_numpy(zero_copy_only=False)
+        codes = [pc.dictionary_encode(t.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("query_id", "label")]
+        group = codes[0] * (codes[1].max(initial=0) + 1) + codes[1]
+        order = np.lexsort((num(t.column("id")), -num(t.column("score")), group))
+        group = group[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        place = np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+        return t.take(pa.array(order[place < k])).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            size += len(b)
+            if size >= most:
+                held = [kept(held)]
+                size = len(held[0])
+                if 2 * size > most:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield kept(held)
+
+    return run

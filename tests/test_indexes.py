@@ -153,3 +153,22 @@ def test_vector_index_replaces_and_leaves_out(spark, tmp_path):
     assert best(True) == [(0, 2), (2, 8), (None, 3)]
     empty = VectorIndex.build(spark.createDataFrame([], VECTORS), f"{tmp_path}/e", cells=5)
     assert empty.search(queries, 3, exact=True).collect() == []
+
+
+def test_vector_index_keeps_k_a_task(spark, tmp_path, monkeypatch):
+    """Neither way to search shuffles or sorts the pairs; both equal a search of everything."""
+    rng = np.random.default_rng(7)
+    vectors = spark.createDataFrame([(i, [0, 1, None][i % 3], rng.normal(size=8).astype(np.float32).tolist()) for i in range(3000)] + [(9000 + i, 1, [1.0] * 8) for i in range(40)], VECTORS)
+    queries = vectors.where("id % 30 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    index = VectorIndex.build(vectors.where("id % 7 <> 0"), f"{tmp_path}/v", cells=6)
+    index.insert(vectors.where("id % 5 = 0 OR id % 7 = 0"))
+    want = sorted((_key(r) for r in R.knn_per_label(vectors.withColumnRenamed("id", "vec_id"), queries, 4).collect()), key=repr)
+    seen, old = [], VectorIndex._ranked
+    monkeypatch.setattr(VectorIndex, "_ranked", lambda self, hits, k: seen.append(hits.count()) or old(self, hits, k))
+    for few, held in ((10_000, 100), (10, 100), (10, 100_000)):
+        monkeypatch.setattr(vector_index, "FEW", few)
+        monkeypatch.setattr(vector_index, "HELD", held)
+        seen.clear()
+        assert sorted((_key(r) for r in index.search(queries, 4, 2, exact=True).collect()), key=repr) == want
+        if held > 100 or few > 10:  # of 310,000 pairs 4 a query, label and task
+            assert max(seen) <= 102 * 3 * 4 * 8
