@@ -19,12 +19,14 @@ first; an empty table writes no file and gives no row; extra columns are ignored
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +156,9 @@ class WordEncoder:
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.known = split.get("pattern", {}).get("Regex") == self.PATTERN and steps == ["NFC", "Replace", "Lowercase"]
         self.plain = re.compile(f"[ \n{self.PLAIN}]*")
-        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.DIGITS}]|[^ \n{self.LETTERS}{self.DIGITS}]+")
+        # letters, digits and the apostrophe exclude each other, so the commonest is tried first
+        self.cut = re.compile(f"[{self.LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{self.DIGITS}]|[^ \n{self.LETTERS}{self.DIGITS}]+")
+        self.cut_ascii = re.compile("[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \na-z0-9]+")  # of lower-cased ASCII
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -164,12 +168,12 @@ class WordEncoder:
         # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [i for i in range(256) if i not in printable]
-        self.table = {i: i if i in printable else 256 + others.index(i) for i in range(256)}
+        self.table = "".join(chr(i) if i in printable or i == 32 else chr(256 + others.index(i)) for i in range(256))  # but the space between words
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        text = " ".join(p.encode("utf-8").decode("latin-1").translate(self.table) for p in new)
+        text = codecs.charmap_decode(" ".join(new).encode("utf-8"), "strict", self.table)[0]
         ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stop) != len(new):
@@ -183,7 +187,7 @@ class WordEncoder:
         cut: list[list[str] | None] = []
         for t in texts:
             plain = self.known and self.plain.fullmatch(t) and "<|" not in t and unicodedata.is_normalized("NFC", t)
-            cut.append(self.cut.findall(t.lower()) if plain else None)
+            cut.append((self.cut_ascii if t.isascii() else self.cut).findall(t.lower()) if plain else None)
         if len(self.words) > CACHE:  # words of the last round stay at hand
             self.words, self.older = {}, self.words
         words, older = self.words, self.older
@@ -200,6 +204,12 @@ class WordEncoder:
         return [whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker, with the words that its earlier tasks have met."""
+    return WordEncoder(path)
+
+
 def _write_ranges(encoder: Callable[[], WordEncoder], folder: str, end_id: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @common.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +258,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str | None = None, e
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranged, n = common.key_ranges(rows, F.coalesce("doc_id", F.lit(-(2**63))), min(RANGES, max(common.partitions(spark), -(-size // FILE_BYTES))))
     dealt = rows.withColumn("_range", ranged).repartition(n, "_range").sortWithinPartitions("_range", F.col("doc_id").asc_nulls_first(), "text")
-    files = dealt.mapInArrow(_write_ranges(lambda: WordEncoder(tokenizer), folder, end_id, FILE_BYTES), "range int, part int, uri string, n_ids long")
+    files = dealt.mapInArrow(_write_ranges(lambda: word_encoder(tokenizer), folder, end_id, FILE_BYTES), "range int, part int, uri string, n_ids long")
     files = common.written(files, "token-manifest")
     start, before = 0, []
     for r in sorted(files.groupBy("range").agg(F.sum("n_ids").alias("n")).collect()):  # a row per range
@@ -266,7 +276,7 @@ def store_ids(documents: DataFrame, tokenizer: str, folder: str | None = None, e
     common.small_batches(spark)
     folder = folder or common.shared_path(spark, "token-store")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.spark_partition_id().alias("_range"))
-    return common.written(rows.mapInArrow(_write_ranges(lambda: WordEncoder(tokenizer), folder, end_id, FILE_BYTES), "range int, part int, uri string, n_ids long"), "token-store")
+    return common.written(rows.mapInArrow(_write_ranges(lambda: word_encoder(tokenizer), folder, end_id, FILE_BYTES), "range int, part int, uri string, n_ids long"), "token-store")
 
 
 def read_ids(manifest: DataFrame, columns: tuple[str, ...] = ("ids",)) -> DataFrame:

@@ -251,6 +251,16 @@ def test_token_files_of_a_range(spark, monkeypatch):
     assert sorted(r.doc_id for r in token_ids.read_ids(files).collect()) == seen
 
 
+def test_one_encoder_a_worker():
+    """Tasks of a worker share an encoder and its words; its cuts are the library's, of ASCII and other texts."""
+    path = token_ids.public_tokenizer()
+    encode = token_ids.word_encoder(path)
+    assert token_ids.word_encoder(path) is encode
+    texts = ["It's we'LL they'Re I'm x'd 'tis 12a3'S don''t !?'s\n a'", "ÉCOLE's ñandú'll ½x²'t «ça»'ve ÿ\xa0é Þ'm", "", "~'`' #1's"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [encode.whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_packing(bits):
     x = np.random.default_rng(bits).integers(0, 1 << bits, 777).astype(np.uint32)
