@@ -46,12 +46,23 @@ SLICE = 100_000
 CHUNK = 1_000_000
 #: Characters from which on a unit is taken apart.
 LONG = 64
+#: Units of which a worker remembers the N best.
+LISTS = 20_000
+#: Factors of the characters of a unit by place, for hashes.
+WEIGHTS = np.random.default_rng(4).integers(1, 1 << 63, LONG + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+WORD, STOP = 1, 2
 MARK = pieces.SPACE
 Unit = tuple[bytes, float, float]
 #: Place in the best ids, the ids that stand there, and those that replace them.
 Change = tuple[int, bytes, bytes]
 
 
+@lru_cache(maxsize=1)
+def _words() -> np.ndarray:
+    """``WORD`` at the code points of letters and digits, else 0."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), np.uint8, 0x110000) * np.uint8(WORD)
+
+
 class Encoder:
     def __init__(self, model: str) -> None:
         names, scores, kinds = pieces.vocabulary(model)
@@ -62,22 +73,19 @@ class Encoder:
         self.raw = [p.replace(MARK, " ").encode("utf-8") for p in names]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.width = np.array([len(r) for r in self.raw])
+        self.begin = np.cumsum(self.width) - self.width
         if len(self.byte) < 256:
             raise ValueError("the model has no byte pieces")
         self.unknown = min(scores[i] for i in normal.values()) - PENALTY
         self.most = max(map(len, normal))
-        crossing = any(MARK in p.lstrip(MARK) for p in normal)
-        lines = not any("\n" in p and len(p) > 1 for p in normal)
+        self.crossing = any(MARK in p.lstrip(MARK) for p in normal)
+        self.lines = not any("\n" in p and len(p) > 1 for p in normal)
         word = re.compile(r"[^\W_]")
         joined = {p[i] for p in normal for i in range(1, len(p)) if p[i] in ".,;:!?*#$%&" and word.match(p[i - 1])}
-        stops = re.escape("".join(c for c in ".,;:!?*#$%&" if c not in joined))
-        if crossing:
-            pattern = r"(?s).+"
-        elif lines and stops:  # no piece goes on from a letter to one of these signs, so a word ends before it
-            pattern = f"{MARK}+[^\\W_]++(?=[{stops}])|{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+"
-        else:
-            pattern = f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+"
-        self.cut = re.compile(pattern)
+        self.kind = _words().copy()
+        self.kind[[ord(c) for c in ".,;:!?*#$%&" if c not in joined]] = STOP
         flat = np.frombuffer("".join(normal).encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum([len(p) for p in normal])])
         hashes = self._hashes(flat, at[:-1], at[1:])
@@ -91,6 +99,7 @@ class Encoder:
             self.table[slot], self.key[slot] = i, h
         self.units: dict[str, Unit] = {}
         self.older: dict[str, Unit] = {}
+        self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @staticmethod
     def _hashes(points: np.ndarray, a: np.ndarray, b: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
@@ -119,69 +128,70 @@ class Encoder:
         n = np.array([len(u) for u in new])
         start = np.cumsum(n) - n
         end = np.repeat(start + n, n)
-        p = len(points)
+        p, longest = len(points), int(n[0])
         at = np.arange(p)
-        most = int(min(self.most, n[0]))
+        most = min(self.most, longest)
         powers, _ = shingles._power_tables(p + 1)
         sums = np.zeros(p + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[:p], out=sums[1:])
+        # the t-th characters of all units that have so many lie side by side, edges at the characters at which they end
+        live = np.append(np.searchsorted(-n, -np.arange(1, longest + 1), "right"), 0)
+        first = np.cumsum(live) - live
+        unit = np.repeat(np.arange(len(new)), n)
+        turn = at - start[unit]
+        slot = first[turn] + unit
         ids = np.full((most + 1, p), -1, np.int32)
         edge = np.full((most + 1, p), -np.inf)
+        some = np.zeros((most + 1, longest), bool)
+        some[1] = True
         for k in range(1, most + 1):
             i = at[at + k <= end]
             found = self._find(self._hashes(points, i, i + k, sums))
-            i, found = i[found >= 0], found[found >= 0]
-            ids[k, i], edge[k, i] = found, self.scores[found]
-        lone = np.flatnonzero(ids[1] < 0)
+            i, found = i[found >= 0] + k - 1, found[found >= 0]
+            ids[k, slot[i]], edge[k, slot[i]] = found, self.scores[found]
+            some[k, turn[i]] = True
+        lone = np.flatnonzero(ids[1, slot] < 0)
         width = np.where(points[lone] < 0x80, 1, np.where(points[lone] < 0x800, 2, np.where(points[lone] < 0x10000, 3, 4)))
-        edge[1, lone] = width * self.unknown
-        node = start + np.arange(len(new))  # a unit of n characters has n + 1 nodes
-        ahead = np.full(p + len(new), -np.inf)
-        behind = np.full(p + len(new), -np.inf)
-        back = np.zeros(p + len(new), np.int32)
-        ahead[node], behind[node + n] = 0, 0
-        for t in range(1, int(n[0]) + 1):
-            k = int(np.searchsorted(-n, -t, "right"))
-            for m in range(1, min(most, t) + 1):
-                score = ahead[node[:k] + t - m] + edge[m, start[:k] + t - m]
-                better = score >= ahead[node[:k] + t]
-                better &= score > -np.inf
-                to = node[:k][better] + t
-                ahead[to], back[to] = score[better], m
-                score = behind[node[:k] + n[:k] - t + m] + edge[m, start[:k] + n[:k] - t]
-                to = node[:k] + n[:k] - t
-                behind[to] = np.maximum(behind[to], score)
-        unit = np.repeat(np.arange(len(new)), n)
-        best = ahead[node + n]
-        place = n.copy()
+        edge[1, slot[lone]] = width * self.unknown
+        rows = [(t, int(live[t - 1]), int(first[t - 1]), [m for m in range(1, min(most, t) + 1) if some[m, t - 1]]) for t in range(1, longest + 1)]
+        ahead, back = [np.zeros(len(new))], [np.zeros(len(new), np.int32)]
+        for t, k, a, steps in rows:
+            top, by = ahead[t - 1][:k] + edge[1, a : a + k], np.ones(k, np.int32)
+            for m in steps[1:]:
+                score = ahead[t - m][:k] + edge[m, a : a + k]
+                better = score >= top
+                np.copyto(top, score, where=better)
+                np.copyto(by, m, where=better)
+            ahead.append(top)
+            back.append(by)
+        behind = [np.full(len(x), -np.inf) for x in ahead]
+        best, second = np.empty(len(new)), np.full(len(new), -np.inf)
+        place, count = n.copy(), np.zeros(len(new), np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
-        on_path = np.zeros((most + 1, p), bool)
-        live = np.arange(len(new))
-        while len(live):
-            k = back[node[live] + place[live]]
-            place[live] -= k
-            i = start[live] + place[live]
-            on_path[k, i] = True
-            taken.append((live, ids[k, i]))
-            live = live[place[live] > 0]
-        second = np.full(p, -np.inf)
-        for k in range(1, most + 1):
-            i = at[at + k <= end]
-            through = ahead[i + unit[i]] + edge[k, i] + behind[i + unit[i] + k]
-            through[on_path[k, i]] = -np.inf
-            second[i] = np.maximum(second[i], through)
-        gap = best - np.maximum.reduceat(second, start)
-        count = np.zeros(len(new), np.int64)
-        for live, _ in taken:
-            count[live] += 1
+        for t, k, a, steps in reversed(rows):
+            hind = behind[t]
+            hind[live[t] :] = 0
+            best[live[t] : k] = ahead[t][live[t] :]
+            on = np.flatnonzero(place[:k] == t)
+            own = back[t][on]
+            for m in steps:
+                np.maximum(behind[t - m][:k], hind + edge[m, a : a + k], out=behind[t - m][:k])
+                through = ahead[t - m][:k] + edge[m, a : a + k] + hind
+                through[on[own == m]] = -np.inf
+                np.maximum(second[:k], through, out=second[:k])
+            taken.append((on, ids[own, a + on]))
+            place[on] -= own
+            count[on] += 1
+        gap = best - second
         last = np.cumsum(count)
         flat = np.empty(int(last[-1]), "<i4")
-        for step, (live, i) in enumerate(taken):
-            flat[last[live] - 1 - step] = i
+        put = last.copy()
+        for on, i in taken:
+            put[on] -= 1
+            flat[put[on]] = i
         raw = flat.tobytes()
         odd = set(np.unique(np.repeat(np.arange(len(new)), count)[flat < 0]).tolist()) if (flat < 0).any() else set()
-        first = (last - count).tolist()
-        for u, (text, a, b, s, g) in enumerate(zip(new, first, last.tolist(), best.tolist(), gap.tolist())):
+        for u, (text, a, b, s, g) in enumerate(zip(new, (last - count).tolist(), last.tolist(), best.tolist(), gap.tolist())):
             data = raw[4 * a : 4 * b]
             self.units[text] = (data if u not in odd else self.nbest(text, 1)[0][1], s, g)
 
@@ -197,17 +207,15 @@ class Encoder:
                 found = self._find(self._hashes(window, i, i + k, sums))
                 yield k, i[found >= 0] + s, found[found >= 0]
 
-    def _parts(self, unit: str) -> list[str]:
-        """A long unit, cut wherever no piece crosses."""
+    def _parts(self, unit: str) -> np.ndarray:
+        """Places inside a long unit that no piece crosses."""
         points = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
         step = np.zeros(len(points) + 2, np.int32)
         for k, i, _ in self._found(points):
             if k > 1:
                 step[i + 1] += 1
                 step[i + k] -= 1
-        free = np.flatnonzero(np.cumsum(step)[1 : len(points)] == 0) + 1
-        cuts = [0, *free.tolist(), len(unit)]
-        return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+        return np.flatnonzero(np.cumsum(step)[1 : len(points)] == 0) + 1
 
     def _lattice(self, unit: str, mark: str = "") -> tuple[list[int], list[int], list[float], list[int]]:
         """Begin, id (-1: bytes) and score of the edges by the node at which they end, longest first, and each node's first edge."""
@@ -299,73 +307,149 @@ class Encoder:
             del ends[count - len(out) :]
         return out
 
-    def _split(self, text: str) -> tuple[list[str], str]:
-        mark = ""
-        if MARK in text:
-            mark = next(c for c in map(chr, [*range(0xFDD0, 0xFDF0), *range(0xF0000, 0x10FFFE)]) if c not in text)
-            text = text.replace(MARK, mark)
-        return self.cut.findall(MARK + text.replace(" ", MARK)), mark
+    def _starts(self, points: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where units start: at a text, a run of U+2581, a line's end and behind it, and at a stop behind a word.
+
+        No piece goes on from a letter to a stop, so a word ends before it.
+        """
+        if self.crossing:
+            return texts
+        new = np.zeros(len(points) + 1, bool)
+        space = points == ord(MARK)
+        new[1:-1] = space[1:] & ~space[:-1]
+        if self.lines:
+            line = np.flatnonzero(points == 10)
+            new[line] = new[line + 1] = True
+            kind = self.kind[points]
+            rest = np.flatnonzero(kind != WORD)
+            new[rest[1:]] |= (kind[rest[1:]] == STOP) & space[rest[:-1]] & (np.diff(rest) > 1)
+        new[texts] = True
+        return np.flatnonzero(new[:-1])
+
+    @staticmethod
+    def _distinct(points: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of equal units each, and for every unit the number of its own; only equal characters make units equal."""
+        kept, number, total = [], np.empty(len(a), np.int64), 0
+        cuts = np.unique(np.append(np.searchsorted(a, np.arange(0, len(points), CHUNK)), len(a)))
+        for x, y in zip(cuts, cuts[1:]):
+            b, k = a[x:y] - a[x], n[x:y]
+            own = points[a[x] : a[x] + b[-1] + k[-1]]
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum((own + np.uint64(1)) * WEIGHTS[np.minimum(np.arange(len(own)) - np.repeat(b, k), LONG)], out=sums[1:])
+            hashes = sums[b + k] - sums[b]
+            order = np.argsort(hashes)
+            new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
+            some = order[new]
+            group = np.empty(len(b), np.int64)
+            group[order] = np.cumsum(new) - 1
+            like = some[group]
+            like = np.where(k[like] == k, like, np.arange(len(b)))
+            unlike = np.flatnonzero(own != own[np.arange(len(own)) + np.repeat(b[like] - b, k)])
+            alone = np.unique(np.concatenate([np.flatnonzero(k[some[group]] != k), np.searchsorted(b, unlike, "right") - 1]))
+            group[alone] = len(some) + np.arange(len(alone))
+            number[x:y] = total + group
+            kept.append(x + np.append(some, alone))
+            total += len(kept[-1])
+        return np.concatenate(kept), number
+
+    def _entries(self, names: list[str], marks: dict[int, str]) -> list[Unit]:
+        """What is known of units, by their place in ``names``; ``marks`` has the mark of those with a literal U+2581."""
+        entries: list[Unit | None] = list(map(self.units.get, names))
+        for j in marks:
+            entries[j] = None
+        lengthy: dict[tuple[str, str], Unit] = {}  # not remembered beyond this call
+        new: list[int] = []
+        for j in [j for j, e in enumerate(entries) if e is None]:
+            u = names[j]
+            if j in marks or len(u) > LONG:
+                key = (u, marks.get(j, ""))
+                if key not in lengthy:
+                    lengthy[key] = self._long(*key)
+                entries[j] = lengthy[key]
+            elif (known := self.older.get(u)) is not None:
+                self.units[u] = entries[j] = known
+            else:
+                new.append(j)
+        some: list[str] = []
+        size = 0
+        for j in new:
+            some.append(names[j])
+            size += len(names[j])
+            if size > SLICE:
+                self._learn(some)
+                some, size = [], 0
+        if some:
+            self._learn(some)
+        for j in new:
+            entries[j] = self.units[names[j]]
+        return entries
+
+    def _best(self, unit: str, mark: str, count: int, top: bytes) -> list[tuple[float, bytes]]:
+        """The ``count`` best segmentations of a unit, of equal first ones ``top``; those of short units are remembered."""
+        key = (unit, count)
+        if mark or (best := self.lists.get(key)) is None:
+            best = self.nbest(unit, count, mark)
+            if best[0][1] != top:
+                best = [(best[0][0], top), *[x for x in best if x[1] != top]][:count]
+            if not mark and len(unit) <= LONG:
+                if len(self.lists) >= LISTS:
+                    self.lists = {}
+                self.lists[key] = best
+        return best
 
     def __call__(self, texts: list[str], count: int = NBEST) -> list[tuple[bytes, list[float], list[int], list[list[Change]]]]:
         """Per text the ids of the best segmentation, and scores, piece counts and changes to those ids of the ``count`` best."""
         if len(self.units) > CACHE:
             self.units, self.older = {}, self.units
-        cut = [self._split(t) if t else ([], "") for t in texts]
-        cut = [([x for u in us for x in (self._parts(u) if len(u) > LONG else (u,))], m) if max(map(len, us), default=0) > LONG else (us, m) for us, m in cut]
-        marked = {u: m for us, m in cut if m for u in us if m in u}
-        new: list[str] = []
-        lengthy: dict[str, Unit] = {}
-        size = 0
-        for u in set().union(*[us for us, _ in cut]).difference(self.units):
-            if u in marked:
-                continue
-            if len(u) > LONG:  # not remembered beyond this call
-                lengthy[u] = self._long(u)
-                continue
-            known = self.older.get(u)
-            if known is not None:
-                self.units[u] = known
-                continue
-            new.append(u)
-            size += len(u)
-            if size > SLICE:
-                self._learn(new)
-                new, size = [], 0
-        if new:
-            self._learn(new)
-        lists: dict[tuple[str, str], list[tuple[float, bytes]]] = {}
+        marks = [next(c for c in map(chr, [*range(0xFDD0, 0xFDF0), *range(0xF0000, 0x10FFFE)]) if c not in t) if MARK in t else "" for t in texts]
+        full = [MARK + (t.replace(MARK, m) if m else t).replace(" ", MARK) if t else "" for t, m in zip(texts, marks)]
+        whole = "".join(full)
+        if not whole:
+            return [(b"", [0.0], [0], [[]]) for _ in texts]
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in full])
+        begins = np.append(0, ends[:-1])
+        a = self._starts(points, begins[begins < ends])
+        n = np.diff(a, append=len(points))
+        more = [a[j] + self._parts(whole[a[j] : a[j] + n[j]]) for j in np.flatnonzero(n > LONG)]
+        if more:
+            a = np.sort(np.concatenate([a, *more]))
+            n = np.diff(a, append=len(points))
+        own: dict[int, str] = {}
+        for i in [i for i, m in enumerate(marks) if m]:
+            at = begins[i] + np.flatnonzero(points[begins[i] : ends[i]] == ord(marks[i]))
+            own |= dict.fromkeys((np.searchsorted(a, at, "right") - 1).tolist(), marks[i])
+        some, number = self._distinct(points, a, n)
+        if own:  # a mark may be a character of another text
+            alone = np.fromiter(own, np.int64, len(own))
+            number[alone] = len(some) + np.arange(len(own))
+            some = np.append(some, alone)
+        names = [whole[x:y] for x, y in zip(a[some].tolist(), (a + n)[some].tolist())]
+        entries = self._entries(names, dict(zip(range(len(names) - len(own), len(names)), own.values())))
+        made = np.frombuffer(b"".join([e[0] for e in entries]), "<i4")
+        size = np.array([len(e[0]) // 4 for e in entries])
+        score, gap = (np.array([e[c] for e in entries]) for c in (1, 2))
+        past = np.append(0, np.cumsum(size[number]))
+        made = made[np.repeat((np.cumsum(size) - size)[number] - past[:-1], size[number]) + np.arange(past[-1])]
         out = []
-        for us, mark in cut:
-            if not us:
+        for x, y in zip(np.searchsorted(a, begins).tolist(), np.searchsorted(a, ends).tolist()):
+            if x == y:
                 out.append((b"", [0.0], [0], [[]]))
                 continue
-            if mark or lengthy:
-                found = [self._long(u, mark) if mark and mark in u else lengthy.get(u) or self.units[u] for u in us]
-            else:
-                found = list(map(self.units.__getitem__, us))
-            parts = [f[0] for f in found]
-            data = b"".join(parts)
-            total = sum([f[1] for f in found])
-            gaps = np.array([f[2] for f in found])
+            total = sum(score[number[x:y]].tolist())
+            gaps = gap[number[x:y]]
             near = np.argsort(gaps, kind="stable")[: count - 1] if len(gaps) < 64 else _least(gaps, count - 1)
             near = near[np.isfinite(gaps[near])].tolist()
-            ways: list[tuple[float, int, tuple[tuple[int, bytes], ...]]] = [(0.0, len(data) // 4, ())]
+            ways: list[tuple[float, int, tuple[tuple[int, bytes], ...]]] = [(0.0, int(past[y] - past[x]), ())]
             for i in near:
-                u = us[i]
-                own = mark if mark and mark in u else ""
-                if (best := lists.get((u, own))) is None:
-                    best = self.nbest(u, count, own)
-                    if best[0][1] != parts[i]:  # of equal ones that in ``data`` is the first
-                        best = [(best[0][0], parts[i]), *[x for x in best if x[1] != parts[i]]][:count]
-                    lists[u, own] = best
-                top, size = best[0][0], len(best[0][1])
-                ways = sorted(((d + s - top, k + (len(x) - size) // 4, (*w, (i, x)) if r else w) for d, k, w in ways for r, (s, x) in enumerate(best)), key=lambda w: -w[0])[:count]
-            place, at, past = {}, 0, 0
-            for i in sorted(near):
-                at += sum(map(len, parts[past:i]))
-                place[i], past = at // 4, i
-            changes = [[(place[i], parts[i], x) for i, x in sorted(w)] for _, _, w in ways]
-            out.append((data, [total + d for d, _, _ in ways], [k for _, k, _ in ways], changes))
+                j = number[x + i]
+                best = self._best(names[j], own.get(x + i, ""), count, entries[j][0])
+                top, first = best[0][0], len(best[0][1])
+                # a pair that ``count`` others precede in both lists is not among the best
+                ways = sorted([(d + s - top, k + (len(z) - first) // 4, (*w, (i, z)) if r else w) for q, (d, k, w) in enumerate(ways) for r, (s, z) in enumerate(best[: count // (q + 1)])], key=lambda w: -w[0])[:count]
+            place = {i: int(past[x + i] - past[x]) for i in near}
+            changes = [[(place[i], entries[number[x + i]][0], z) for i, z in sorted(w)] for _, _, w in ways]
+            out.append((made[past[x] : past[y]].tobytes(), [total + d for d, _, _ in ways], [k for _, k, _ in ways], changes))
         return out
 
     def _same(self, change: Change) -> bool:
@@ -373,6 +457,24 @@ class Encoder:
         old, new = (b"".join(map(self.raw.__getitem__, np.frombuffer(x, "<i4").tolist())) for x in change[1:])
         return old == new
 
+    def _gives(self, ids: np.ndarray, at: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Whether the bytes of the pieces ``ids[at[i]:at[i + 1]]`` are those of each text, as ``decode`` joins them."""
+        want = [(" " + t).encode("utf-8") if t else b"" for t in texts]
+        lengths = np.array([len(w) for w in want])
+        size = self.width[ids]
+        past = np.append(0, np.cumsum(size))
+        right = np.diff(past[at]) == lengths
+        if not right.all():
+            return np.array([self.decode(ids[a:e].tolist()) == t for a, e, t in zip(at, at[1:], texts)])
+        ends = np.cumsum(lengths)
+        wanted = np.frombuffer(b"".join(want), np.uint8)
+        for x in range(0, len(ids), CHUNK):
+            k = size[x : x + CHUNK]
+            begin, end = past[x], past[x + len(k)]
+            got = self.bytes[np.repeat(self.begin[ids[x : x + CHUNK]] - past[x : x + len(k)] + begin, k) + np.arange(end - begin)]
+            right[np.searchsorted(ends, begin + np.flatnonzero(got != wanted[begin:end]), "right")] = False
+        return right
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation."""
         if not ids:
@@ -449,7 +551,7 @@ def encode(documents: DataFrame, model: str, nbest: int = NBEST) -> DataFrame:
                 made = machine(texts[i:j], nbest)
                 flat = np.frombuffer(b"".join(m[0] for m in made), "<i4")
                 at = np.concatenate([[0], np.cumsum([len(m[0]) // 4 for m in made])]).astype(np.int32)
-                back = [machine.decode(flat[a:e].tolist()) == t and all(machine._same(c) for w in m[3] for c in w) for a, e, t, m in zip(at, at[1:], texts[i:j], made)]
+                back = [bool(g) and all(machine._same(c) for w in m[3] for c in w) for g, m in zip(machine._gives(flat, at, texts[i:j]), made)]
                 cols = [
                     b.column("doc_id").slice(i, j - i), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                     pa.array([m[1] for m in made], pa.list_(pa.float64())), pa.array([m[2] for m in made], pa.list_(pa.int32())), _changes([m[3] for m in made]), pa.array(back),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -422,6 +423,54 @@ def test_sentencepiece_work_grows_with_the_length():
         assert e.decode(np.frombuffer(got[0], "<i4").tolist()) == text and len(got[1]) in (1, sentencepieces.NBEST)
 
 
+def test_sentencepiece_repeated_words_are_looked_up_and_searched_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    e = sentencepieces.Encoder(pieces.public_model())
+    e.units, searched, real = Counted(), [], e.nbest
+    e.nbest = lambda *a: searched.append(a) or real(*a)
+    text = "to be or not to be, that is the question\n" * 500
+    first = e([text])
+    assert e.units.asked < 100  # of 6,000 words
+    n = len(searched)
+    assert e([text, text]) == first * 2 and len(searched) == n
+    assert np.allclose(first[0][1], _best_scores(e, text, sentencepieces.NBEST))
+
+
+def test_sentencepiece_units():
+    e = sentencepieces.Encoder(pieces.public_model())
+    stops = "".join(c for c in ".,;:!?*#$%&" if e.kind[ord(c)] == sentencepieces.STOP)
+    assert stops
+    rule = re.compile(f"\u2581+[^\\W_]++(?=[{re.escape(stops)}])|\u2581+[^\u2581\n]*|\n|[^\u2581\n]+")
+    rng = np.random.default_rng(5)
+    rows = ["\u2581" + "".join(rng.choice(list("\u2581\u2581\nab7\u00e9\u0663\u65e5_-.,;:!?*#$%&'\u0301"), 60)) for _ in range(500)]
+    points = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+    starts = e._starts(points, np.arange(len(rows)) * 61)
+    assert ["".join(rows)[a:b] for a, b in zip(starts, [*starts[1:], len(points)])] == [u for r in rows for u in rule.findall(r)]
+
+
+def test_sentencepiece_equal_hashes(monkeypatch):
+    e = sentencepieces.Encoder(pieces.public_model())
+    rows = [t or "" for _, t, _ in texts()] + ["a b ab ba a\ufdd0", "\u2581\ufdd0 \ufdd0 a", "ba aa"]
+    want = e(rows)
+    monkeypatch.setattr(sentencepieces, "WEIGHTS", sentencepieces.WEIGHTS * np.uint64(0))
+    monkeypatch.setattr(sentencepieces, "CHUNK", 50)
+    assert sentencepieces.Encoder(pieces.public_model())(rows) == want == [x for r in rows for x in e([r])]
+    ids, at = np.frombuffer(b"".join(w[0] for w in want), "<i4"), np.cumsum([0, *[len(w[0]) // 4 for w in want]])
+    assert e._gives(ids, at, rows).all()
+    for wrong in (rows[-1][::-1], rows[-1] + "s"):
+        assert e._gives(ids, at, [*rows[:-1], wrong]).tolist() == [True] * (len(rows) - 1) + [False]
+
+
 def test_sentencepiece_decode(spark):
     made = sentencepieces.encode(documents(spark), pieces.public_model())
     back = sentencepieces.decode(made, pieces.public_model()).collect()
