@@ -55,3 +55,15 @@ def test_edges_of_one_army_are_dealt_over_tasks(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(r["count"] for r in rows) == 10_000 and len(rows) > 8 and max(r["count"] for r in rows) < 2500
+
+
+def _joined(df):
+    """The final plan of ``df`` once it has run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_abilities_are_shuffled_with_their_units_into_all_tasks(spark):
+    plan = _joined(G.eligible(*_tables(spark)).where("pass = 2"))  # files far below what the planner broadcasts
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.count(f", {G.SPREAD}), REPARTITION_BY_NUM") == 2  # adaptive execution deals no more than it was given into fewer tasks
