@@ -18,7 +18,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
@@ -88,11 +88,11 @@ class Adjacency:
 
     # -- steps
 
-    def neighbours(self, front: DataFrame, node: str) -> DataFrame:
-        """Rows of ``front`` with each neighbour of their ``node``: other, relation, src, dst, quantity, price."""
+    def neighbours(self, front: DataFrame, node: str, ahead: bool = False) -> DataFrame:
+        """Rows of ``front`` with each neighbour of their ``node`` (``ahead``: by edges from it alone): other, relation, src, dst, quantity, price."""
         few = [r[0] for r in front.select(node).distinct().limit(FEW + 1).collect()]
         hot = self.hot.select(F.col("node").alias("_h"), "shares")
-        rows = self.rows
+        rows = self.rows.where("ahead") if ahead else self.rows
         if len(few) <= FEW:
             rows = rows.where(F.col("node").isin([n for n in few if n is not None]))
             met = front.join(rows, F.col(node) == F.col("node"))
@@ -116,14 +116,15 @@ class Adjacency:
             known = known.unionByName(front)
         return known
 
-    def subgraph(self, centers: DataFrame, depth: int = 2, most: int = 150) -> tuple[DataFrame, DataFrame]:
-        """Nodes within ``depth`` hops (nearest first, at most ``most`` a center) and every directed edge among them."""
-        order = Window.partitionBy("center").orderBy("distance", "id")
-        near = self.hops(centers, depth).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
-        near = written(near, "subgraph")
+    def subgraph(self, centers: DataFrame, depth: int = 2, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes within ``depth`` hops (all, or the nearest ``most`` a center) and every directed edge among them."""
+        near = written(G.nearest(self.hops(centers, depth), most), "subgraph")
         # an edge is seen from its source, and kept where its other end is one of the center's nodes too
-        out = self.neighbours(near.select("center", "id"), "id").where("src = id").select("center", "src", "dst", "relation").distinct()
-        return near, out.join(near.select("center", F.col("id").alias("dst")), ["center", "dst"]).select("center", "src", "dst", "relation")
+        out = self.neighbours(near.select("center", "id"), "id", ahead=True).select("center", "src", "dst", "relation").distinct()
+        ends = near.select("center", F.col("id").alias("dst"))
+        if most is None:  # nodes without bound are not broadcast, however small their files
+            ends = ends.hint("merge")
+        return near, out.join(ends, ["center", "dst"]).select("center", "src", "dst", "relation")
 
     def shortest_path(self, pairs: DataFrame, most: int = 4) -> DataFrame:
         """Length of the shortest undirected path of up to ``most`` hops between ``pairs(a, b)``; null where there is none."""

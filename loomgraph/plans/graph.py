@@ -80,18 +80,23 @@ def hop_distance(spark, d):
     return Adjacency.of_tables(spark, d).hops(_centers(spark), 4).groupBy("center", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+#: Nodes of a subgraph that is drawn.
+_DRAWN = 150
+
+
 def subgraph_depth2(spark, d):
+    """Every edge among all nodes within two hops of each center."""
     _, among = Adjacency.of_tables(spark, d).subgraph(_centers(spark))
     return among
 
 
 def subgraph_nodes(spark, d):
-    near, _ = Adjacency.of_tables(spark, d).subgraph(_centers(spark))
+    near, _ = Adjacency.of_tables(spark, d).subgraph(_centers(spark), most=_DRAWN)
     return near
 
 
 def capped_bfs(spark, d):
-    return G.capped_bfs(Adjacency.of_tables(spark, d).subgraph(_centers(spark))[1])
+    return G.capped_bfs(Adjacency.of_tables(spark, d).subgraph(_centers(spark), most=_DRAWN)[1])
 
 
 def shortest_path(spark, d):
@@ -105,7 +110,7 @@ def var_length_1_2(spark, d):
 
 
 def radial_layout(spark, d):
-    near, _ = Adjacency.of_tables(spark, d).subgraph(_centers(spark))
+    near, _ = Adjacency.of_tables(spark, d).subgraph(_centers(spark), most=_DRAWN)
     return G.radial_layout(near).select("center", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -254,7 +259,7 @@ ORACLES = {
     "expand_capped": f"WITH {EDGES_SQL}, {BOTH_SQL}, {_SEEDS_SQL}, {_EXPAND_SQL} SELECT seed_id, relation AS rel_type, id, place FROM expanded",
     "links_between": f"WITH {EDGES_SQL}, {_LINK_SEEDS_SQL} SELECT src, dst, relation FROM edges WHERE src IN (SELECT seed_id FROM seeds) AND dst IN (SELECT seed_id FROM seeds) AND src <> dst QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst), relation ORDER BY src, dst) = 1",
     "hop_distance": f"{_HOPS_WITH} SELECT center, distance, count(*) AS n, min(id) AS first_id FROM dist GROUP BY ALL",
-    "subgraph_depth2": f"{_HOPS_WITH}, {_NEAR_SQL} SELECT DISTINCT a.center, e.src, e.dst, e.relation FROM edges e JOIN near2 a ON a.id = e.src JOIN near2 b ON b.id = e.dst AND a.center = b.center WHERE {_HOP_SQL}",
+    "subgraph_depth2": f"{_HOPS_WITH}, near2 AS (SELECT center, id FROM dist WHERE distance <= 2) SELECT DISTINCT a.center, e.src, e.dst, e.relation FROM edges e JOIN near2 a ON a.id = e.src JOIN near2 b ON b.id = e.dst AND a.center = b.center WHERE {_HOP_SQL}",
     "subgraph_nodes": f"{_HOPS_WITH}, {_NEAR_SQL} SELECT * FROM near2",
     "shortest_path": f"""WITH {EDGES_SQL}, {BOTH_SQL}, p AS (SELECT * FROM (VALUES ('part#1', 'region#1'), ('customer#5', 'supplier#7'), ('region#1', 'region#2'), ('part#1', 'missing#1'), ('customer#5', 'customer#5')) v(a, b)),
         seeds AS (SELECT DISTINCT a AS seed_id FROM p), {_LEVELS_SQL} SELECT a, b, distance::BIGINT AS hops FROM p LEFT JOIN dist ON a = center AND b = id""",

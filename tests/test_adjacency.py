@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import adjacency
 from loomgraph.operators import graph as G
 from loomgraph.operators.adjacency import Adjacency
+from loomgraph.plans import catalog
 
 EDGES = "src string, dst string, relation string, quantity double, price double"
 
@@ -59,6 +60,38 @@ def test_a_step_does_not_shuffle_edges(spark, tmp_path, monkeypatch):
     assert "In(node" in few or "EqualTo(node" in few
 
 
+def test_a_subgraph_has_all_nodes_unless_a_number_is_asked_for(spark, tmp_path):
+    rows = [("hub", f"n{k}", "CONTAINS") for k in range(400)] + [(f"n{k}", f"m{k}", "OTHER") for k in range(400)]
+    e = spark.createDataFrame([(*r, 1.0, None) for r in rows], EDGES)
+    a = Adjacency.of_edges(e, f"{tmp_path}/a", buckets=3)
+    center = spark.createDataFrame([("hub",)], "center string")
+    for near, among in (a.subgraph(center), G.subgraph(e, center)):
+        assert near.count() == 801 and sorted(tuple(r)[1:] for r in among.collect()) == sorted(rows)
+    for near, among in (a.subgraph(center, most=150), G.subgraph(e, center, most=150)):
+        assert near.count() == 150 and among.count() == 149
+
+
+def test_edges_among_many_nodes_are_not_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adjacency, "FEW", 0)
+    a = Adjacency.of_edges(_graph(spark), f"{tmp_path}/a", buckets=4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = a.subgraph(spark.createDataFrame([("hub",)], "center string"))[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Bucketed: true" in plan and not re.search(r"Exchange hashpartitioning\(node#", plan)
+
+
+def test_the_query_has_every_edge_within_two_hops(spark):
+    d, rows = "/root/testdata/sf0.01", {}  # a region with 302 customers
+    got = catalog.queries()["subgraph_depth2"](spark, d).where("center = 'region#1'").collect()
+    nations = {r[0] for r in spark.read.parquet(f"{d}/nation.parquet").where("n_regionkey = 1").select("n_nationkey").collect()}
+    for kind, key, of in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey")):
+        rows |= {f"{kind}#{r[0]}": f"nation#{r[1]}" for r in spark.read.parquet(f"{d}/{kind}.parquet").select(key, of).collect() if r[1] in nations}
+    assert {(r["src"], r["dst"]) for r in got} == set(rows.items()) | {(f"nation#{n}", "region#1") for n in nations}
+
+
 def test_a_graph_is_built_once(spark, tmp_path, monkeypatch):
     d = "/root/testdata/sf0.001"
     first = Adjacency.of_tables(spark, d)
