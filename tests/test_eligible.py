@@ -67,3 +67,11 @@ def test_abilities_are_shuffled_with_their_units_into_all_tasks(spark):
     plan = _joined(G.eligible(*_tables(spark)).where("pass = 2"))  # files far below what the planner broadcasts
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert plan.count(f", {G.SPREAD}), REPARTITION_BY_NUM") == 2  # adaptive execution deals no more than it was given into fewer tasks
+
+
+def test_standards_of_all_armies_are_shuffled_too(spark):
+    edges = G.eligible(*_tables(spark)).where("pass = 1")
+    plan = _joined(edges)
+    assert "Broadcast" not in plan and plan.count(f", {G.SPREAD}), REPARTITION_BY_NUM") == 4  # those of the unit's army, and those of all
+    items = {(r["unit"], r["item"]) for r in edges.collect()}
+    assert items == {(u, f"magic_standard-{army}-{i}") for u, own in (("u1", "army-1"), ("u2", "army-1"), ("u4", None)) for army in ("ravening-hordes", None, own) for i in range(2)}
